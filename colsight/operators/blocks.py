@@ -1,7 +1,7 @@
 """Building blocks the operators share.
 
 * ``per_column_agg``   one scan, one aggregate for many columns, result in long form
-* ``value_counts`` / ``frequency_stats``   typed frequency tables per column
+* ``value_counts`` / ``frequency_stats``   typed frequency tables
 * ``exact_quantiles``  interpolated quantiles without a shuffle of the rows
 * ``range_bucket`` / ``running_totals``   ordered scans split over many tasks
 * ``duplicate_count``  surplus copies of rows
@@ -104,54 +104,71 @@ def _digest_stats(df: DataFrame, ordinal: int, name: str) -> DataFrame:
     )
 
 
+def _family(dt: T.DataType) -> T.DataType:
+    """Type in which the values of a column are counted: integers share one."""
+    return T.LongType() if isinstance(dt, T.IntegralType) else dt
+
+
+def _families(df: DataFrame, columns: Sequence[str]) -> dict[T.DataType, list[int]]:
+    out: dict[T.DataType, list[int]] = {}
+    for i, n in enumerate(columns):
+        out.setdefault(_family(dtype_of(df, n)), []).append(i)
+    return out
+
+
+def _typed_counts(df: DataFrame, columns: Sequence[str], dt: T.DataType, ordinals: Sequence[int]) -> DataFrame:
+    """(ordinal, value, n) of the columns of one type family."""
+    cells = [F.struct(F.lit(i).alias("ordinal"), value(df, columns[i]).cast(dt).alias("value")) for i in ordinals]
+    long = df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
+    return long.groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _best(counts: DataFrame) -> DataFrame:
+    """Per ordinal: distinct values and the smallest of the most frequent ones."""
+    best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("value"))).alias("best")
+    return counts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_distinct"), best)
+
+
 def frequency_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(ordinal, n_distinct, top_value, top_frequency) per column; the top value is the
     smallest of the most frequent ones, compared by its own type.
 
-    One grouped branch per column, united into one job: a columnar source reads every
-    column once, and counts are combined before the shuffle, so a hot value is one row
-    per task.
+    Columns of one type are counted together: one scan and one shuffle per type, and
+    counts are combined before the shuffle, so a hot value is one row per task. Columns
+    without any value still get their row.
     """
     long_text = set(long_text_columns(df, columns))
-    parts = []
-    for i, name in enumerate(columns):
-        if name in long_text:
-            parts.append(_digest_stats(df, i, name))
-            continue
-        counts = value_counts(df, name)
-        best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("value")))
+    short = [n for n in columns if n not in long_text]
+    parts = [_digest_stats(df, i, n) for i, n in enumerate(columns) if n in long_text]
+    for dt, places in _families(df, short).items():
+        ordinals = [columns.index(short[i]) for i in places]
+        best = _best(_typed_counts(df, columns, dt, ordinals))
+        top = F.col("best.value").cast("string")
         parts.append(
-            counts.agg(F.count(F.lit(1)).alias("n_distinct"), best.alias("best")).select(
-                F.lit(i).alias("ordinal"),
-                F.col("n_distinct"),
-                _text_of("best.value", dtype_of(df, name)).alias("top_value"),
+            best.select(
+                "ordinal",
+                "n_distinct",
+                (F.initcap(top) if isinstance(dt, T.BooleanType) else top).alias("top_value"),
                 (-F.col("best.neg")).alias("top_frequency"),
             )
         )
-    return union_all(parts)
-
-
-def _text_of(path: str, dt: T.DataType) -> Column:
-    col = F.col(path).cast("string")
-    return F.initcap(col) if isinstance(dt, T.BooleanType) else col
+    every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("ordinal"))
+    counted = every.join(union_all(parts), "ordinal", "left")
+    return counted.select("ordinal", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "top_value", "top_frequency")
 
 
 def smallest_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
-    """Typed smallest mode per column (None when all values are missing): one struct row."""
-    if not columns:
-        return {}
-    out: dict[str, object] = {}
+    """Typed smallest mode per column, None when all values are missing."""
+    out: dict[str, object] = {n: None for n in columns}
+    families = _families(df, columns)
     parts = []
-    for i, name in enumerate(columns):
-        counts = value_counts(df, name)
-        best = counts.agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("value"))).alias("best"))
+    for k, (dt, ordinals) in enumerate(families.items()):
         slots = [
-            (F.col("best.value") if j == i else F.lit(None).cast(dtype_of(df, m))).alias(f"v{j}")
-            for j, m in enumerate(columns)
+            (F.col("best.value") if j == k else F.lit(None).cast(t)).alias(f"v{j}") for j, t in enumerate(families)
         ]
-        parts.append(best.select(F.lit(i).alias("ordinal"), *slots))
-    for row in union_all(parts).collect():
-        out[columns[row["ordinal"]]] = row[f"v{row['ordinal']}"]
+        parts.append(_best(_typed_counts(df, columns, dt, ordinals)).select("ordinal", F.lit(k).alias("family"), *slots))
+    for row in union_all(parts).collect() if parts else []:
+        out[columns[row["ordinal"]]] = row[f"v{row['family']}"]
     return out
 
 

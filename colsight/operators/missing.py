@@ -164,12 +164,14 @@ def fill_datetime(
 
     groups = [c(k) for k in partition_by] or [F.lit(0)]
     order = [c(k) for k in order_by]
+    backward = [c(k).desc_nulls_last() for k in order_by]
     up_to = Window.partitionBy(*groups, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    since = Window.partitionBy(*groups, "_bucket").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    # "First later value" as "last value" of the reversed order: a growing frame is linear.
+    since = Window.partitionBy(*groups, "_bucket").orderBy(*backward).rowsBetween(Window.unboundedPreceding, 0)
     local = steps.select(
         "*",
         *[F.last(s, ignorenulls=True).over(up_to).alias(f"{s}_prev") for s in slots],
-        *[F.first(s, ignorenulls=True).over(since).alias(f"{s}_next") for s in slots],
+        *[F.last(s, ignorenulls=True).over(since).alias(f"{s}_next") for s in slots],
     ).filter(" or ".join(f"{s}_gap" for s in slots))
 
     if bucket is not None:
@@ -179,12 +181,12 @@ def fill_datetime(
             *[F.min_by(s, F.when(F.col(s).isNotNull(), at)).alias(f"{s}_start") for s in slots],
         )
         before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        after = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
+        after = Window.partitionBy(*groups).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
         carried = ends.select(
             *[c(k).alias(f"_p{i}") for i, k in enumerate(partition_by)],
             F.col("_bucket").alias("_b"),
             *[F.last(f"{s}_end", ignorenulls=True).over(before).alias(f"{s}_carry") for s in slots],
-            *[F.first(f"{s}_start", ignorenulls=True).over(after).alias(f"{s}_ahead") for s in slots],
+            *[F.last(f"{s}_start", ignorenulls=True).over(after).alias(f"{s}_ahead") for s in slots],
         )
         same = F.col("_bucket") == F.col("_b")
         for i, k in enumerate(partition_by):

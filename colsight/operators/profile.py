@@ -197,9 +197,9 @@ def column_profile(
 ) -> DataFrame:
     """One row per atomic column.
 
-    Two reads of the data: one fused aggregate (counts, moments, parse rates), one
-    job with a frequency table per column. Both results have one row per column, so
-    the join and the role rules cost nothing.
+    One fused aggregate (counts, moments, parse rates) and one frequency table per
+    column type. Both results have one row per column, so the join and the role rules
+    cost nothing.
     """
     names = atomic_columns(df)
     kinds = {n: kind_of(dtype_of(df, n)) for n in names}
@@ -221,7 +221,7 @@ def column_profile(
     type_array = F.array(*[F.lit(dtype_of(df, n).simpleString()) for n in names])
     nth = F.col("ordinal") + 1
     joined = (
-        stats.join(freq, "ordinal")
+        freq.join(F.broadcast(stats), "ordinal")
         .withColumn("kind", F.element_at(kind_array, nth))
         .withColumn("dtype", F.element_at(type_array, nth))
         .withColumn(
@@ -304,9 +304,14 @@ def table_profile(profile: DataFrame, duplicates: DataFrame | None = None, skipp
 
 
 def profile_catalog(tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(column profiles, table profiles) of several tables, one row per column / table."""
+    """(column profiles, table profiles) of several tables, one row per column / table.
+
+    The profiles are computed once here; whatever is derived from them reads the few
+    result rows and not the data again.
+    """
     spark = next(iter(tables.values())).sparkSession
-    columns = union_all([column_profile(df, name) for name, df in tables.items()])
+    rows = [r for name, df in tables.items() for r in collect_profile(df, column_profile(df, name))]
+    columns = profile_frame(spark, rows)
     copies = spark.createDataFrame(
         [(name, duplicate_count(df)[1]) for name, df in tables.items()], "table_name string, duplicate_rows bigint"
     )

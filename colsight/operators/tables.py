@@ -227,8 +227,10 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
         F.col("column").alias("column_b"),
         F.when(F.col("spread") > 0, F.lit(1.0)).alias("r"),
     )
-    both = F.array(F.struct("i", "j", "column_a", "column_b", "r"), F.struct("j", "i", "column_b", "column_a", "r"))
-    mirrored = upper.select(F.inline(both)).toDF("i", "j", "column_a", "column_b", "r")
+    lower = upper.select(
+        F.col("j").alias("i"), F.col("i").alias("j"), F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "r"
+    )
+    mirrored = upper.unionByName(lower)
     return mirrored.unionByName(diagonal).select("i", "j", "column_a", "column_b", F.bround("r", 4).alias("r"))
 
 
