@@ -46,24 +46,43 @@ def number_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_number(f.dataType)]
 
 
-def value(df: DataFrame, name: str) -> Column:
-    """The column with NaN read as missing."""
+def quoted(name: str) -> str:
+    """Column name as it is written in a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """Text as a SQL string literal, backslashes kept."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def value_sql(df: DataFrame, name: str) -> str:
+    """SQL text of the column with NaN read as missing."""
+    col = quoted(name)
     if isinstance(dtype_of(df, name), (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(c(name)), c(name))
-    return c(name)
+        return f"CASE WHEN NOT isnan({col}) THEN {col} END"
+    return col
 
 
-def number(df: DataFrame, name: str) -> Column:
-    """The column as a double; text that is no number, and NaN, become NULL."""
+def number_sql(df: DataFrame, name: str) -> str:
+    """SQL text of the column as a double; text that is no number, and NaN, become NULL."""
     dt = dtype_of(df, name)
+    col = quoted(name)
     if isinstance(dt, T.BooleanType):
-        return c(name).cast("int").cast("double")
-    if isinstance(dt, T.DoubleType):
-        return value(df, name)
+        return f"cast(cast({col} AS int) AS double)"
     if is_number(dt):
-        return value(df, name).cast("double")
-    parsed = c(name).try_cast("double")
-    return F.when(~F.isnan(parsed), parsed)
+        return f"cast({value_sql(df, name)} AS double)"
+    return f"nullif(try_cast({col} AS double), double('NaN'))"
+
+
+def value(df: DataFrame, name: str) -> Column:
+    """The column with NaN read as missing."""
+    return F.expr(value_sql(df, name))
+
+
+def number(df: DataFrame, name: str) -> Column:
+    """The column as a double; text that is no number, and NaN, become NULL."""
+    return F.expr(number_sql(df, name))
 
 
 def text(df: DataFrame, name: str) -> Column:
@@ -81,23 +100,23 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[value(df, n).alias(n) if n in floats else c(n) for n in df.columns])
 
 
-def micros(df: DataFrame, name: str) -> Column:
+def micros_sql(name: str) -> str:
     """Microseconds since 1970 of a date or timestamp, free of the session time zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, {EPOCH_NTZ}, cast(`{name.replace('`', '``')}` as timestamp_ntz))")
+    return f"cast(timestampdiff(MICROSECOND, {EPOCH_NTZ}, cast({quoted(name)} AS timestamp_ntz)) AS double)"
 
 
 def from_micros(col: Column) -> Column:
     return F.timestamp_add("MICROSECOND", col.cast("bigint"), F.expr(EPOCH_NTZ))
 
 
-def guarded_corr(a: Column, b: Column) -> Column:
+def corr_sql(a: str, b: str) -> str:
     """Pearson r over the rows where both sides are present; NULL when a side is constant.
 
-    ``F.corr`` raises under ANSI mode for a constant column, the regression sums do not.
+    ``corr`` raises under ANSI mode for a constant column, the regression sums do not.
     """
-    spread = F.sqrt(F.regr_sxx(a, b)) * F.sqrt(F.regr_syy(a, b))
-    r = F.try_divide(F.regr_sxy(a, b), spread)
-    return F.when(r.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+    spread = f"(sqrt(regr_sxx({a}, {b})) * sqrt(regr_syy({a}, {b})))"
+    r = f"try_divide(regr_sxy({a}, {b}), {spread})"
+    return f"CASE WHEN {r} > 1 THEN 1.0D WHEN {r} < -1 THEN -1.0D ELSE {r} END"
 
 
 def clamp01(col: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colsight.functions.exprs import c, dtype_of, number, value
+from colsight.functions.exprs import c, dtype_of, literal, number, quoted, value, value_sql
 
 COLUMNS_PER_AGGREGATE = 32
 LONG_TEXT_LENGTH = 128
@@ -33,29 +33,23 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 def per_column_agg(
     df: DataFrame,
     columns: Sequence[str],
-    metrics: Callable[[str], list[tuple[str, Column]]],
+    metrics: Callable[[str], dict[str, str]],
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Run ``metrics`` for every column in one aggregate and return one row per column
-    (and per group of ``keys``). Wide tables are cut into aggregates of
-    ``COLUMNS_PER_AGGREGATE`` columns so that generated code stays small."""
+    """Run ``metrics`` (result name -> SQL aggregate) for every column in one aggregate and
+    return one row per column (and per group of ``keys``). Wide tables are cut into
+    aggregates of ``COLUMNS_PER_AGGREGATE`` columns so that generated code stays small."""
     parts = []
     numbered = list(enumerate(columns))
     for start in range(0, len(numbered), COLUMNS_PER_AGGREGATE):
-        chunk = numbered[start : start + COLUMNS_PER_AGGREGATE]
-        aggs = [F.struct(*[m.alias(a) for a, m in metrics(n)]).alias(f"_m{i}") for i, n in chunk]
-        wide = df.groupBy(*[c(k) for k in keys]).agg(*aggs) if keys else df.agg(*aggs)
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("ordinal"),
-                    F.lit(n).alias("column"),
-                    *[F.col(f"_m{i}")[a].alias(a) for a, _ in metrics(n)],
-                )
-                for i, n in chunk
-            ]
-        )
-        parts.append(wide.select(*[c(k) for k in keys], F.inline(rows)))
+        aggs, rows = [], []
+        for i, n in numbered[start : start + COLUMNS_PER_AGGREGATE]:
+            found = metrics(n)
+            aggs.append(F.expr(f"struct({', '.join(f'{e} AS {a}' for a, e in found.items())})").alias(f"_m{i}"))
+            fields = ", ".join(f"_m{i}.{a} AS {a}" for a in found)
+            rows.append(f"struct({i} AS ordinal, {literal(n)} AS column, {fields})")
+        wide = df.groupBy(*[c(k) for k in keys]).agg(*aggs)
+        parts.append(wide.selectExpr(*[quoted(k) for k in keys], f"inline(array({', '.join(rows)}))"))
     return union_all(parts)
 
 
@@ -118,8 +112,8 @@ def _families(df: DataFrame, columns: Sequence[str]) -> dict[T.DataType, list[in
 
 def _typed_counts(df: DataFrame, columns: Sequence[str], dt: T.DataType, ordinals: Sequence[int]) -> DataFrame:
     """(ordinal, value, n) of the columns of one type family."""
-    cells = [F.struct(F.lit(i).alias("ordinal"), value(df, columns[i]).cast(dt).alias("value")) for i in ordinals]
-    long = df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
+    cells = [f"struct({i} AS ordinal, cast({value_sql(df, columns[i])} AS {dt.simpleString()}) AS value)" for i in ordinals]
+    long = df.selectExpr(f"inline(array({', '.join(cells)}))").filter("value is not null")
     return long.groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colsight.functions.exprs import c, dtype_of, is_number, is_temporal, nan_to_null, value
+from colsight.functions.exprs import c, dtype_of, is_temporal, nan_to_null, value, value_sql
 from colsight.operators import profile as P
 from colsight.operators.blocks import ROWS_PER_BUCKET, exact_quantiles, per_column_agg, range_bucket, smallest_modes
 
@@ -131,7 +131,7 @@ def as_datetime(df: DataFrame, name: str) -> Column:
     if not isinstance(dtype_of(df, name), T.StringType):
         return c(name)
     fmt = P.detect_datetime_format(df, name)
-    return P.parsed_datetime(c(name), fmt) if fmt else F.lit(None).cast("timestamp")
+    return P.parsed_datetime(name, fmt) if fmt else F.lit(None).cast("timestamp")
 
 
 def fill_datetime(
@@ -254,9 +254,7 @@ def apply_treatment(
 
 
 def _gap_counts(df: DataFrame) -> DataFrame:
-    return per_column_agg(
-        df, df.columns, lambda n: [("n_rows", F.count(F.lit(1))), ("gaps", F.count_if(value(df, n).isNull()))]
-    )
+    return per_column_agg(df, df.columns, lambda n: {"n_rows": "count(1)", "gaps": f"count_if({value_sql(df, n)} IS NULL)"})
 
 
 def treatment_report(before: DataFrame, after: DataFrame, solution_id: str) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import types as T
 
 from colsight.functions.exprs import (
     atomic_columns,
-    c,
     dtype_of,
     is_number,
     is_temporal,
-    number,
-    value,
+    literal,
+    number_sql,
+    quoted,
+    value_sql,
 )
 from colsight.operators.blocks import duplicate_count, frequency_stats, per_column_agg, union_all
 
@@ -57,28 +58,27 @@ METRIC, CATEGORY, DATETIME = "NUMERIC_METRIC", "CATEGORICAL_DIMENSION", "DATETIM
 IDENTIFIER, BOOLEAN, TEXT = "IDENTIFIER", "BOOLEAN", "TEXT"
 
 
-def parsed_datetime(col: Column, fmt: str, formats: Mapping[str, str] = DATETIME_FORMATS) -> Column:
-    """Timestamp of a text in one format; NULL where shape or parse fails."""
-    return F.when(F.trim(col).rlike(formats[fmt]), F.try_to_timestamp(F.trim(col), F.lit(fmt)))
+def parsed_sql(col: str, fmt: str, formats: Mapping[str, str] = DATETIME_FORMATS) -> str:
+    """SQL text: timestamp of a text in one format; NULL where shape or parse fails."""
+    return f"CASE WHEN trim({col}) RLIKE {literal(formats[fmt])} THEN try_to_timestamp(trim({col}), {literal(fmt)}) END"
+
+
+def parsed_datetime(name: str, fmt: str, formats: Mapping[str, str] = DATETIME_FORMATS) -> Column:
+    return F.expr(parsed_sql(quoted(name), fmt, formats))
 
 
 def datetime_shares(df: DataFrame, columns: Sequence[str], formats: Mapping[str, str] = DATETIME_FORMATS) -> DataFrame:
-    """(ordinal, column, format, share): parse rate of every candidate format."""
+    """(ordinal, column, format, rank, share): parse rate of every candidate format."""
 
-    def metrics(name: str) -> list[tuple[str, Column]]:
-        col = c(name).cast("string")
+    def metrics(name: str) -> dict[str, str]:
+        col = quoted(name)
         hits = [
-            F.struct(
-                F.lit(fmt).alias("format"),
-                F.lit(i).alias("rank"),
-                F.try_divide(F.count(parsed_datetime(col, fmt, formats)), F.count(c(name))).alias("share"),
-            )
+            f"struct({literal(fmt)} AS format, {i} AS rank, try_divide(count({parsed_sql(col, fmt, formats)}), count({col})) AS share)"
             for i, fmt in enumerate(formats)
         ]
-        return [("hits", F.array(*hits))]
+        return {"hits": f"array({', '.join(hits)})"}
 
-    wide = per_column_agg(df, columns, metrics)
-    return wide.select("ordinal", "column", F.inline("hits")).select("ordinal", "column", "format", "rank", "share")
+    return per_column_agg(df, columns, metrics).selectExpr("ordinal", "column", "inline(hits)")
 
 
 def detect_datetime_format(df: DataFrame, name: str) -> str | None:
@@ -144,9 +144,7 @@ def table_shape(df: DataFrame) -> DataFrame:
 def missing_percentages(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(ordinal, column, n_missing, missing_pct), one fused scan."""
     names = list(columns or df.columns)
-    per_column = per_column_agg(
-        df, names, lambda n: [("n_rows", F.count(F.lit(1))), ("n_present", F.count(value(df, n)))]
-    )
+    per_column = per_column_agg(df, names, lambda n: {"n_rows": "count(1)", "n_present": f"count({value_sql(df, n)})"})
     missing = F.col("n_rows") - F.col("n_present")
     return per_column.select("ordinal", "column", missing.alias("n_missing"), _pct(missing, F.col("n_rows")).alias("missing_pct"))
 
@@ -158,11 +156,11 @@ def _pct(part: Column, whole: Column) -> Column:
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(ordinal, column, mean, std, min, max) of number columns; std is the sample one."""
     names = list(columns or [n for n in df.columns if is_number(dtype_of(df, n))])
-    return per_column_agg(df, names, lambda n: _moments(number(df, n)))
+    return per_column_agg(df, names, lambda n: moments_sql(number_sql(df, n)))
 
 
-def _moments(col: Column) -> list[tuple[str, Column]]:
-    return [("mean", F.avg(col)), ("std", F.stddev_samp(col)), ("min", F.min(col)), ("max", F.max(col))]
+def moments_sql(col: str) -> dict[str, str]:
+    return {"mean": f"avg({col})", "std": f"stddev_samp({col})", "min": f"min({col})", "max": f"max({col})"}
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -203,17 +201,17 @@ def column_profile(
     """
     names = atomic_columns(df)
     kinds = {n: kind_of(dtype_of(df, n)) for n in names}
-    no_number = F.lit(None).cast("double")
+    nothing = "max(cast(NULL AS double))"
 
-    def metrics(n: str) -> list[tuple[str, Column]]:
-        is_num = kinds[n] == "number"
-        moments = _moments(number(df, n)) if is_num else [(a, F.max(no_number)) for a in ("mean", "std", "min", "max")]
+    def metrics(n: str) -> dict[str, str]:
+        col = quoted(n)
+        counts = {"n_rows": "count(1)", "n_present": f"count({value_sql(df, n)})"}
+        moments = moments_sql(number_sql(df, n)) if kinds[n] == "number" else dict.fromkeys(("mean", "std", "min", "max"), nothing)
+        ratio = nothing
         if kinds[n] == "text":
-            hits = [F.count(parsed_datetime(c(n), fmt)) for fmt in DATETIME_FORMATS]
-            ratio = F.try_divide(F.greatest(*hits), F.count(c(n)))
-        else:
-            ratio = F.max(no_number)
-        return [("n_rows", F.count(F.lit(1))), ("n_present", F.count(value(df, n))), *moments, ("parse_ratio", ratio)]
+            hits = ", ".join(f"count({parsed_sql(col, fmt)})" for fmt in DATETIME_FORMATS)
+            ratio = f"try_divide(greatest({hits}), count({col}))"
+        return {**counts, **moments, "parse_ratio": ratio}
 
     stats = per_column_agg(df, names, metrics)
     freq = frequency_stats(df, names)

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from colsight.functions.exprs import (
     c,
     clamp01,
+    corr_sql,
     dtype_of,
-    guarded_corr,
     is_number_or_bool,
     is_temporal,
     number,
+    number_sql,
     share,
     text,
     value,
@@ -74,7 +75,7 @@ def class_moments(df: DataFrame, target: str, features: Sequence[str]) -> DataFr
     long = per_column_agg(
         rows,
         features,
-        lambda n: [("n", F.count(number(rows, n))), ("mean", F.avg(number(rows, n))), ("var", F.var_samp(number(rows, n)))],
+        lambda n: {a: f"{fn}({number_sql(rows, n)})" for a, fn in (("n", "count"), ("mean", "avg"), ("var", "var_samp"))},
         keys=["_class"],
     )
     return long.filter(F.col("n") > 0).select(
@@ -225,9 +226,9 @@ def _same_type(v: object, df: DataFrame, target: str) -> Column:
 
 def pearson(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     """(ordinal, feature, n, r, t) over pair-complete rows, one fused scan."""
-    y = number(df, target)
+    y = number_sql(df, target)
     out = per_column_agg(
-        df, features, lambda n: [("n", F.regr_count(y, number(df, n))), ("r", guarded_corr(number(df, n), y))]
+        df, features, lambda n: {"n": f"regr_count({y}, {number_sql(df, n)})", "r": corr_sql(number_sql(df, n), y)}
     )
     r, n = F.col("r"), F.col("n")
     t = F.try_divide(r * F.sqrt(F.greatest(n - 2, F.lit(0))), F.sqrt((1 - r) * (1 + r)))

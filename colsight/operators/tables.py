@@ -11,15 +11,19 @@ from colsight.functions.exprs import (
     atomic_columns,
     c,
     dtype_of,
+    corr_sql,
     from_micros,
-    guarded_corr,
     is_number,
     is_temporal,
-    micros,
+    literal,
+    micros_sql,
     number,
     number_columns,
+    number_sql,
     value,
+    value_sql,
 )
+from colsight.operators import profile as P
 from colsight.operators.blocks import (
     ROWS_PER_BUCKET,
     exact_quantiles,
@@ -48,22 +52,13 @@ def summary(df: DataFrame) -> DataFrame:
     times = [n for n in names if is_temporal(dtype_of(df, n))]
     others = [n for n in names if n not in numbers and n not in times]
 
-    def measure(n: str) -> Column:
-        return number(df, n) if n in numbers else micros(df, n).cast("double")
+    def measure(n: str) -> str:
+        return number_sql(df, n) if n in numbers else micros_sql(n) if n in times else "cast(NULL AS double)"
 
-    none = F.lit(None).cast("double")
+    def metrics(n: str) -> dict[str, str]:
+        return {"count": f"count({value_sql(df, n)})", **P.moments_sql(measure(n))}
 
-    def metrics(n: str) -> list[tuple[str, Column]]:
-        m = measure(n) if n not in others else none
-        return [
-            ("count", F.count(value(df, n))),
-            ("mean", F.avg(m)),
-            ("std", F.stddev_samp(m)),
-            ("min", F.min(m)),
-            ("max", F.max(m)),
-        ]
-
-    quartiles = exact_quantiles(df, [(n, measure(n)) for n in numbers + times], QUARTILES)
+    quartiles = exact_quantiles(df, [(n, F.expr(measure(n))) for n in numbers + times], QUARTILES)
     stats = per_column_agg(df, names, metrics)
     freq_schema = "ordinal int, unique bigint, top string, freq bigint"
     if others:
@@ -194,24 +189,17 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     names = list(columns or number_columns(df))
     if len(names) < 2:
         raise ValueError("At least two numeric columns are required for correlation.")
+    x = [number_sql(df, n) for n in names]
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
         chunk = pairs[start : start + PAIRS_PER_AGGREGATE]
-        row = df.agg(*[guarded_corr(number(df, names[i]), number(df, names[j])).alias(f"r{i}_{j}") for i, j in chunk])
-        cells = F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("i"),
-                    F.lit(j).alias("j"),
-                    F.lit(names[i]).alias("column_a"),
-                    F.lit(names[j]).alias("column_b"),
-                    F.col(f"r{i}_{j}").alias("r"),
-                )
-                for i, j in chunk
-            ]
-        )
-        parts.append(row.select(F.inline(cells)))
+        row = df.agg(*[F.expr(corr_sql(x[i], x[j])).alias(f"r{i}_{j}") for i, j in chunk])
+        cells = [
+            f"struct({i} AS i, {j} AS j, {literal(names[i])} AS column_a, {literal(names[j])} AS column_b, r{i}_{j} AS r)"
+            for i, j in chunk
+        ]
+        parts.append(row.selectExpr(f"inline(array({', '.join(cells)}))"))
     return union_all(parts)
 
 
@@ -219,7 +207,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     """Long Pearson matrix (column_a, column_b, r rounded to 4); constant columns give NULL."""
     names = list(columns or number_columns(df))
     upper = correlation_pairs(df, names)
-    varied = per_column_agg(df, names, lambda n: [("spread", F.var_pop(number(df, n)))])
+    varied = per_column_agg(df, names, lambda n: {"spread": f"var_pop({number_sql(df, n)})"})
     diagonal = varied.select(
         F.col("ordinal").alias("i"),
         F.col("ordinal").alias("j"),

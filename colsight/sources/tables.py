@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colsight.functions.exprs import c, dtype_of, nan_to_null
+from colsight.functions.exprs import c, dtype_of, literal, nan_to_null, quoted
 from colsight.operators.blocks import per_column_agg
 from colsight.sources.html import html_tables, table_frame
 
@@ -21,6 +21,8 @@ NA_TOKENS = (
 # Texts read as booleans when a column holds nothing else.
 TRUE_TEXTS, FALSE_TEXTS = ("True", "TRUE", "true"), ("False", "FALSE", "false")
 
+WHOLE_SHAPE = r"^[+-]?\d+$"
+REAL_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|Infinity|infinity|Inf)$"
 READERS = {"csv": "csv", "parquet": "parquet", "json": "json", "html": "html"}
 MEGABYTE = 1024 * 1024
 
@@ -67,16 +69,15 @@ def infer_types(df: DataFrame) -> DataFrame:
     if not texts:
         return df
 
-    def metrics(n: str):
-        s = F.trim(c(n))
-        whole = F.when(s.rlike(r"^[+-]?\d+$"), s.try_cast("bigint"))
-        real = F.when(s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|Infinity|infinity|Inf)$"), s.try_cast("double"))
-        return [
-            ("present", F.count(c(n))),
-            ("whole", F.count(whole)),
-            ("real", F.count(real)),
-            ("logical", F.count_if(s.isin(*TRUE_TEXTS, *FALSE_TEXTS))),
-        ]
+    def metrics(n: str) -> dict[str, str]:
+        col = f"trim({quoted(n)})"
+        logical = ", ".join(literal(v) for v in TRUE_TEXTS + FALSE_TEXTS)
+        return {
+            "present": f"count({quoted(n)})",
+            "whole": f"count(CASE WHEN {col} RLIKE {literal(WHOLE_SHAPE)} THEN try_cast({col} AS bigint) END)",
+            "real": f"count(CASE WHEN {col} RLIKE {literal(REAL_SHAPE)} THEN try_cast({col} AS double) END)",
+            "logical": f"count_if({col} IN ({logical}))",
+        }
 
     found = {r["column"]: r for r in per_column_agg(df, texts, metrics).collect()}
     cols = []
