@@ -9,7 +9,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -74,7 +74,7 @@ def long_text_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return out
 
 
-def _digest_stats(df: DataFrame, ordinal: int, name: str) -> DataFrame:
+def _digest_stats(df: DataFrame, ordinal: int, name: str, measures: Mapping[str, str]) -> DataFrame:
     """Distinct count and top value of a long text column. Only 16-byte digests are
     shuffled; the texts themselves are read once more to find the smallest top text."""
     keyed = df.select(c(name).alias("value"), F.unhex(F.md5(c(name))).alias("digest")).filter(F.col("value").isNotNull())
@@ -90,11 +90,15 @@ def _digest_stats(df: DataFrame, ordinal: int, name: str) -> DataFrame:
     else:
         best = counts.filter(F.col("n") == top_n).select("digest")
         winners = keyed.join(F.broadcast(best) if texts <= SUSPECT_LIMIT else best, "digest", "left_semi")
+    measured = {}
+    if measures:
+        measured = keyed.withColumn("n", F.lit(1)).agg(*[F.expr(e).alias(a) for a, e in measures.items()]).first().asDict()
     return winners.agg(F.min("value").alias("top_value")).select(
         F.lit(ordinal).alias("ordinal"),
         F.lit(int(distinct)).cast("bigint").alias("n_distinct"),
         "top_value",
         F.lit(top_n).cast("bigint").alias("top_frequency"),
+        *[F.lit(measured[a]).cast("double").alias(a) for a in measures],
     )
 
 
@@ -110,33 +114,39 @@ def _families(df: DataFrame, columns: Sequence[str]) -> dict[T.DataType, list[in
     return out
 
 
-def _typed_counts(df: DataFrame, columns: Sequence[str], dt: T.DataType, ordinals: Sequence[int]) -> DataFrame:
+def typed_counts(df: DataFrame, columns: Sequence[str], dt: T.DataType, ordinals: Sequence[int]) -> DataFrame:
     """(ordinal, value, n) of the columns of one type family."""
     cells = [f"struct({i} AS ordinal, cast({value_sql(df, columns[i])} AS {dt.simpleString()}) AS value)" for i in ordinals]
     long = df.selectExpr(f"inline(array({', '.join(cells)}))").filter("value is not null")
     return long.groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _best(counts: DataFrame) -> DataFrame:
+def _best(counts: DataFrame, *more: Column) -> DataFrame:
     """Per ordinal: distinct values and the smallest of the most frequent ones."""
     best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("value"))).alias("best")
-    return counts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_distinct"), best)
+    return counts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_distinct"), best, *more)
 
 
-def frequency_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def frequency_stats(df: DataFrame, columns: Sequence[str], text_measures: Mapping[str, str] | None = None) -> DataFrame:
     """(ordinal, n_distinct, top_value, top_frequency) per column; the top value is the
     smallest of the most frequent ones, compared by its own type.
 
     Columns of one type are counted together: one scan and one shuffle per type, and
     counts are combined before the shuffle, so a hot value is one row per task. Columns
     without any value still get their row.
+
+    ``text_measures`` (name -> SQL aggregate over ``value`` and its count ``n``) are taken
+    for text columns along the way: what depends on the value alone is evaluated once
+    per distinct value.
     """
+    measures = dict(text_measures or {})
     long_text = set(long_text_columns(df, columns))
     short = [n for n in columns if n not in long_text]
-    parts = [_digest_stats(df, i, n) for i, n in enumerate(columns) if n in long_text]
+    parts = [_digest_stats(df, i, n, measures) for i, n in enumerate(columns) if n in long_text]
     for dt, places in _families(df, short).items():
         ordinals = [columns.index(short[i]) for i in places]
-        best = _best(_typed_counts(df, columns, dt, ordinals))
+        wanted = {a: (e if isinstance(dt, T.StringType) else "max(cast(NULL AS double))") for a, e in measures.items()}
+        best = _best(typed_counts(df, columns, dt, ordinals), *[F.expr(e).alias(a) for a, e in wanted.items()])
         top = F.col("best.value").cast("string")
         parts.append(
             best.select(
@@ -144,11 +154,12 @@ def frequency_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 "n_distinct",
                 (F.initcap(top) if isinstance(dt, T.BooleanType) else top).alias("top_value"),
                 (-F.col("best.neg")).alias("top_frequency"),
+                *measures,
             )
         )
     every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("ordinal"))
     counted = every.join(union_all(parts), "ordinal", "left")
-    return counted.select("ordinal", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "top_value", "top_frequency")
+    return counted.select("ordinal", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "top_value", "top_frequency", *measures)
 
 
 def smallest_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
@@ -160,7 +171,7 @@ def smallest_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
         slots = [
             (F.col("best.value") if j == k else F.lit(None).cast(t)).alias(f"v{j}") for j, t in enumerate(families)
         ]
-        parts.append(_best(_typed_counts(df, columns, dt, ordinals)).select("ordinal", F.lit(k).alias("family"), *slots))
+        parts.append(_best(typed_counts(df, columns, dt, ordinals)).select("ordinal", F.lit(k).alias("family"), *slots))
     for row in union_all(parts).collect() if parts else []:
         out[columns[row["ordinal"]]] = row[f"v{row['family']}"]
     return out

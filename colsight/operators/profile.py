@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,7 @@ from colsight.functions.exprs import (
     quoted,
     value_sql,
 )
-from colsight.operators.blocks import duplicate_count, frequency_stats, per_column_agg, union_all
+from colsight.operators.blocks import duplicate_count, frequency_stats, per_column_agg, typed_counts
 
 # Names that mark an identifier when they occur inside a column name.
 IDENTIFIER_HINTS = ("id", "uuid", "key", "code")
@@ -28,6 +30,9 @@ DATETIME_SHARE = 0.8
 NUMBER_LEVELS = 10
 TEXT_LEVELS = 50
 
+# Tables of a catalog that are profiled at the same time.
+PARALLEL_TABLES = 4
+
 # Parse pattern and the shape a text must have before the parser is tried.
 DATETIME_FORMATS = {
     "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
@@ -48,6 +53,8 @@ DATETIME_FORMATS = {
     "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
 }
 
+LONGEST_DATETIME = 40
+
 PROFILE_SCHEMA = (
     "table_name string, ordinal int, column string, dtype string, kind string, role string, n_rows bigint, "
     "n_missing bigint, missing_pct double, n_distinct bigint, mean double, std double, min double, max double, "
@@ -59,26 +66,36 @@ IDENTIFIER, BOOLEAN, TEXT = "IDENTIFIER", "BOOLEAN", "TEXT"
 
 
 def parsed_sql(col: str, fmt: str, formats: Mapping[str, str] = DATETIME_FORMATS) -> str:
-    """SQL text: timestamp of a text in one format; NULL where shape or parse fails."""
-    return f"CASE WHEN trim({col}) RLIKE {literal(formats[fmt])} THEN try_to_timestamp(trim({col}), {literal(fmt)}) END"
+    """SQL text: timestamp of a text in one format; NULL where shape or parse fails.
+    Length and shape are tested first: the parser only sees likely texts."""
+    likely = f"length({col}) <= {LONGEST_DATETIME} AND trim({col}) RLIKE {literal(formats[fmt])}"
+    return f"CASE WHEN {likely} THEN try_to_timestamp(trim({col}), {literal(fmt)}) END"
 
 
 def parsed_datetime(name: str, fmt: str, formats: Mapping[str, str] = DATETIME_FORMATS) -> Column:
     return F.expr(parsed_sql(quoted(name), fmt, formats))
 
 
-def datetime_shares(df: DataFrame, columns: Sequence[str], formats: Mapping[str, str] = DATETIME_FORMATS) -> DataFrame:
-    """(ordinal, column, format, rank, share): parse rate of every candidate format."""
+def hits_sql(fmt: str, formats: Mapping[str, str] = DATETIME_FORMATS) -> str:
+    """SQL aggregate over counted values: rows whose value parses in a format."""
+    return f"coalesce(sum(CASE WHEN {parsed_sql('value', fmt, formats)} IS NOT NULL THEN n END), 0)"
+
+
+def parse_ratio_sql(formats: Mapping[str, str] = DATETIME_FORMATS) -> str:
+    """SQL aggregate over counted values: parse rate of the best single format."""
+    return f"cast(try_divide(greatest({', '.join(hits_sql(f, formats) for f in formats)}), sum(n)) AS double)"
 
-    def metrics(name: str) -> dict[str, str]:
-        col = quoted(name)
-        hits = [
-            f"struct({literal(fmt)} AS format, {i} AS rank, try_divide(count({parsed_sql(col, fmt, formats)}), count({col})) AS share)"
-            for i, fmt in enumerate(formats)
-        ]
-        return {"hits": f"array({', '.join(hits)})"}
 
-    return per_column_agg(df, columns, metrics).selectExpr("ordinal", "column", "inline(hits)")
+def datetime_shares(df: DataFrame, columns: Sequence[str], formats: Mapping[str, str] = DATETIME_FORMATS) -> DataFrame:
+    """(ordinal, column, format, rank, share): parse rate of every candidate format, from
+    counted values, so that a repeated text is parsed once per task and shuffle."""
+    counts = typed_counts(df, columns, T.StringType(), range(len(columns)))
+    hits = [
+        f"struct({literal(fmt)} AS format, {i} AS rank, cast(try_divide({hits_sql(fmt, formats)}, sum(n)) AS double) AS share)"
+        for i, fmt in enumerate(formats)
+    ]
+    shares = counts.groupBy("ordinal").agg(F.expr(f"array({', '.join(hits)})").alias("hits"))
+    return _named(shares, columns).selectExpr("ordinal", "column", "inline(hits)")
 
 
 def detect_datetime_format(df: DataFrame, name: str) -> str | None:
@@ -95,10 +112,9 @@ def detect_datetime_format(df: DataFrame, name: str) -> str | None:
 def datetime_detection(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(ordinal, column, parse_ratio, is_datetime) for text columns."""
     names = list(columns or [n for n in df.columns if isinstance(dtype_of(df, n), T.StringType)])
-    best = datetime_shares(df, names).groupBy("ordinal", "column").agg(F.max("share").alias("parse_ratio"))
-    return best.select(
-        "ordinal", "column", "parse_ratio", F.coalesce(F.col("parse_ratio") >= DATETIME_SHARE, F.lit(False)).alias("is_datetime")
-    )
+    best = frequency_stats(df, names, {"parse_ratio": parse_ratio_sql()})
+    is_datetime = F.coalesce(F.col("parse_ratio") >= DATETIME_SHARE, F.lit(False))
+    return _named(best, names).select("ordinal", "column", "parse_ratio", is_datetime.alias("is_datetime"))
 
 
 def identifier_name(name: Column, hints: Sequence[str] = IDENTIFIER_HINTS) -> Column:
@@ -195,8 +211,8 @@ def column_profile(
 ) -> DataFrame:
     """One row per atomic column.
 
-    One fused aggregate (counts, moments, parse rates) and one frequency table per
-    column type. Both results have one row per column, so the join and the role rules
+    One fused aggregate (counts, moments) and one frequency table per column type, which
+    also gives the parse rates of texts. Both results have one row per column, so the join and the role rules
     cost nothing.
     """
     names = atomic_columns(df)
@@ -204,30 +220,25 @@ def column_profile(
     nothing = "max(cast(NULL AS double))"
 
     def metrics(n: str) -> dict[str, str]:
-        col = quoted(n)
         counts = {"n_rows": "count(1)", "n_present": f"count({value_sql(df, n)})"}
         moments = moments_sql(number_sql(df, n)) if kinds[n] == "number" else dict.fromkeys(("mean", "std", "min", "max"), nothing)
-        ratio = nothing
-        if kinds[n] == "text":
-            hits = ", ".join(f"count({parsed_sql(col, fmt)})" for fmt in DATETIME_FORMATS)
-            ratio = f"try_divide(greatest({hits}), count({col}))"
-        return {**counts, **moments, "parse_ratio": ratio}
+        return {**counts, **moments}
 
     stats = per_column_agg(df, names, metrics)
-    freq = frequency_stats(df, names)
+    freq = frequency_stats(df, names, {"parse_ratio": parse_ratio_sql()})
     kind_array = F.array(*[F.lit(kinds[n]) for n in names])
     type_array = F.array(*[F.lit(dtype_of(df, n).simpleString()) for n in names])
     nth = F.col("ordinal") + 1
     joined = (
         freq.join(F.broadcast(stats), "ordinal")
-        .withColumn("kind", F.element_at(kind_array, nth))
-        .withColumn("dtype", F.element_at(type_array, nth))
-        .withColumn(
-            "is_datetime",
-            (F.col("kind") == "datetime") | F.coalesce(F.col("parse_ratio") >= DATETIME_SHARE, F.lit(False)),
+        .withColumns({"kind": F.element_at(kind_array, nth), "dtype": F.element_at(type_array, nth)})
+        .withColumns(
+            {
+                "is_datetime": (F.col("kind") == "datetime") | F.coalesce(F.col("parse_ratio") >= DATETIME_SHARE, F.lit(False)),
+                "n_missing": F.col("n_rows") - F.col("n_present"),
+            }
         )
         .withColumn("role", role_of(hints, identifier_kinds))
-        .withColumn("n_missing", F.col("n_rows") - F.col("n_present"))
     )
     metric = F.col("role") == METRIC
     return joined.select(
@@ -308,11 +319,15 @@ def profile_catalog(tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFra
     result rows and not the data again.
     """
     spark = next(iter(tables.values())).sparkSession
-    rows = [r for name, df in tables.items() for r in collect_profile(df, column_profile(df, name))]
-    columns = profile_frame(spark, rows)
-    copies = spark.createDataFrame(
-        [(name, duplicate_count(df)[1]) for name, df in tables.items()], "table_name string, duplicate_rows bigint"
-    )
+
+    def one(item: tuple[str, DataFrame]) -> tuple[list[Row], tuple[str, int]]:
+        name, df = item
+        return collect_profile(df, column_profile(df, name)), (name, duplicate_count(df)[1])
+
+    with ThreadPoolExecutor(max_workers=PARALLEL_TABLES) as pool:
+        found = list(pool.map(inheritable_thread_target(spark)(one), tables.items()))
+    columns = profile_frame(spark, [r for rows, _ in found for r in rows])
+    copies = spark.createDataFrame([pair for _, pair in found], "table_name string, duplicate_rows bigint")
     skipped = {name: [n for n in df.columns if n not in set(atomic_columns(df))] for name, df in tables.items()}
     return columns, table_profile(columns, copies, {k: v for k, v in skipped.items() if v})
 

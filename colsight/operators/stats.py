@@ -56,15 +56,17 @@ def _result(df: DataFrame, test_type: str, **cols: Column) -> DataFrame:
     )
 
 
-def _long(df: DataFrame, features: Sequence[str], cell, target: Column) -> DataFrame:
-    """(ordinal, feature, x, y) rows where both sides are present."""
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("feature"), cell(n).alias("x")) for i, n in enumerate(features)]
-    )
-    rows = df.select(target.alias("y"), cells.alias("cells")).filter(F.col("y").isNotNull())
+def _long(df: DataFrame, cells: Sequence[Column], target: Column) -> DataFrame:
+    """(ordinal, x, y) rows where both sides are present; the ordinal stands for the feature."""
+    packed = F.array(*[F.struct(F.lit(i).alias("ordinal"), x.alias("x")) for i, x in enumerate(cells)])
+    rows = df.select(target.alias("y"), packed.alias("cells")).filter(F.col("y").isNotNull())
     return rows.select("y", F.inline("cells")).filter(F.col("x").isNotNull())
 
 
+def _feature(features: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(n) for n in features]), F.col("ordinal") + 1).alias("feature")
+
+
 # --- moments by class and by category --------------------------------------------------
 
 
@@ -85,10 +87,11 @@ def class_moments(df: DataFrame, target: str, features: Sequence[str]) -> DataFr
 
 def category_moments(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     """(class, ordinal, feature, n, mean, var) of a numeric target per feature level."""
-    long = _long(df, features, lambda n: text(df, n), number(df, target))
-    return long.groupBy("ordinal", "feature", F.col("x").alias("class")).agg(
+    long = _long(df, [text(df, n) for n in features], number(df, target))
+    grouped = long.groupBy("ordinal", F.col("x").alias("class")).agg(
         F.count("y").alias("n"), F.avg("y").alias("mean"), F.var_samp("y").alias("var")
     )
+    return grouped.select("class", "ordinal", _feature(features), "n", "mean", "var")
 
 
 def anova(moments: DataFrame) -> DataFrame:
@@ -193,7 +196,6 @@ def mann_whitney(
         *[
             F.struct(
                 F.lit(i).alias("ordinal"),
-                F.lit(n).alias("feature"),
                 number(df, n).alias("x"),
                 (y == _same_type(first_class[n], df, target)).cast("int").alias("zero"),
             )
@@ -201,11 +203,11 @@ def mann_whitney(
         ]
     )
     long = df.select(cells.alias("cells")).select(F.inline("cells")).filter("x is not null and zero is not null")
-    counted = long.groupBy("ordinal", "feature", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("zero").alias("zeros"))
+    counted = long.groupBy("ordinal", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("zero").alias("zeros"))
     size = (df.count() if n_rows is None else n_rows) * len(features)
-    ranked = average_ranks(counted, ["ordinal", "feature"], "x", "n", range_bucket(long, ["ordinal", "x"], size, rows_per_bucket))
+    ranked = average_ranks(counted, ["ordinal"], "x", "n", range_bucket(long, ["ordinal", "x"], size, rows_per_bucket))
     n = F.col("n").cast("double")
-    sums = ranked.groupBy("ordinal", "feature").agg(
+    sums = ranked.groupBy("ordinal").agg(
         F.sum("zeros").alias("n0"),
         (F.sum("n") - F.sum("zeros")).alias("n1"),
         F.sum(F.col("zeros") * F.col("avg_rank")).alias("r0"),
@@ -216,7 +218,7 @@ def mann_whitney(
     u = F.col("r0") - n0 * (n0 + 1) / 2
     spread = F.sqrt(n0 * n1 / 12.0 * (total + 1 - F.try_divide(F.col("tie_term"), total * (total - 1))))
     z = F.try_divide(F.greatest(u, n0 * n1 - u) - n0 * n1 / 2 - 0.5, spread)
-    return sums.select("ordinal", "feature", "n0", "n1", u.alias("u_stat"), "tie_term", z.alias("z"))
+    return sums.select("ordinal", _feature(features), "n0", "n1", u.alias("u_stat"), "tie_term", z.alias("z"))
 
 
 def _same_type(v: object, df: DataFrame, target: str) -> Column:
@@ -248,8 +250,8 @@ def spearman(
     A value shared by many pairs makes a skewed join partition, which adaptive
     execution splits: the rank side holds one row per value.
     """
-    long = _long(df, features, lambda n: number(df, n), number(df, target))
-    pairs = long.groupBy("ordinal", "feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    long = _long(df, [number(df, n) for n in features], number(df, target))
+    pairs = long.groupBy("ordinal", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     size = (df.count() if n_rows is None else n_rows) * len(features)
 
     def side(col: str) -> DataFrame:
@@ -261,7 +263,7 @@ def spearman(
     ranked = pairs.join(side("x"), ["ordinal", "x"]).join(side("y"), ["ordinal", "y"]).join(totals, "ordinal")
     middle = (F.col("total") + 1) / 2.0
     dx, dy = F.col("rx") - middle, F.col("ry") - middle
-    sums = ranked.groupBy("ordinal", "feature").agg(
+    sums = ranked.groupBy("ordinal").agg(
         F.sum("n").alias("n"),
         F.sum(F.col("n") * dx * dy).alias("sxy"),
         F.sum(F.col("n") * dx * dx).alias("sxx"),
@@ -269,7 +271,7 @@ def spearman(
     )
     rho = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx")) * F.sqrt(F.col("syy")))
     rho = F.when(rho.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), rho)))
-    return sums.select("ordinal", "feature", "n", rho.alias("rho"))
+    return sums.select("ordinal", _feature(features), "n", rho.alias("rho"))
 
 
 # --- contingency -----------------------------------------------------------------------
@@ -277,10 +279,9 @@ def spearman(
 
 def contingency(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     """(ordinal, feature, level, class, n): non-empty cells of every feature x target table."""
-    long = _long(df, features, lambda n: text(df, n), text(df, target))
-    return long.groupBy("ordinal", "feature", F.col("x").alias("level"), F.col("y").alias("class")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    long = _long(df, [text(df, n) for n in features], text(df, target))
+    counted = long.groupBy("ordinal", F.col("x").alias("level"), F.col("y").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("ordinal", _feature(features), "level", "class", "n")
 
 
 def chi_square(cells: DataFrame) -> DataFrame:

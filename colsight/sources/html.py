@@ -6,14 +6,19 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colsight.functions.exprs import c
 
+NO_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 TABLE_SCHEMA = "page_id string, row_no int, is_header boolean, cells array<string>"
 
 
+class _TableEnd(Exception):
+    """The first table is complete; the rest of the page need not be read."""
+
+
 class _FirstTable(HTMLParser):
     """Collects the rows of the first table of a page; text of nested tables stays in its cell."""
 
@@ -21,7 +26,6 @@ class _FirstTable(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[tuple[bool, list[str]]] = []
         self._depth = 0
-        self._done = False
         self._row: list[str] | None = None
         self._cell: list[str] | None = None
         self._span = 1
@@ -29,8 +33,6 @@ class _FirstTable(HTMLParser):
         self._in_head = False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self._done:
-            return
         if tag == "table":
             self._depth += 1
         elif self._depth != 1:
@@ -50,13 +52,13 @@ class _FirstTable(HTMLParser):
             self._cell = []
 
     def handle_endtag(self, tag: str) -> None:
-        if self._done or not self._depth:
+        if not self._depth:
             return
         if tag == "table":
             self._depth -= 1
             if self._depth == 0:
                 self._close_row()
-                self._done = True
+                raise _TableEnd
         elif self._depth == 1:
             if tag in ("td", "th"):
                 self._close_cell()
@@ -67,7 +69,7 @@ class _FirstTable(HTMLParser):
                 self._in_head = False
 
     def handle_data(self, data: str) -> None:
-        if self._cell is not None and not self._done:
+        if self._cell is not None:
             self._cell.append(data)
 
     def _close_cell(self) -> None:
@@ -84,8 +86,11 @@ class _FirstTable(HTMLParser):
 
 def first_table(html: str | None) -> list[tuple[bool, list[str]]]:
     parser = _FirstTable()
-    parser.feed(html or "")
-    parser.close()
+    try:
+        parser.feed(html or "")
+        parser.close()
+    except _TableEnd:
+        return parser.rows
     parser._close_row()
     return parser.rows
 
@@ -97,19 +102,18 @@ def html_tables(pages: DataFrame, id_column: str = "page_id", html_column: str =
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [
-                (page, i, head, cells)
-                for page, html in zip(batch["page_id"], batch["html"])
-                for i, (head, cells) in enumerate(first_table(html))
-            ]
-            yield pd.DataFrame(out, columns=["page_id", "row_no", "is_header", "cells"])
+            for page, html in zip(batch["page_id"], batch["html"]):
+                rows = [(page, i, head, cells) for i, (head, cells) in enumerate(first_table(html))]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["page_id", "row_no", "is_header", "cells"])
 
     return tagged.mapInPandas(parse, TABLE_SCHEMA)
 
 
 def pages_without_table(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
-    """Pages whose markup holds no table."""
-    return pages.filter(~F.coalesce(F.lower(c(html_column)).contains("<table"), F.lit(False))).select(c(id_column))
+    """Pages whose markup, comments and scripts aside, holds no table."""
+    markup = F.regexp_replace(F.coalesce(c(html_column), F.lit("")), NO_MARKUP, "")
+    return pages.filter(~F.lower(markup).contains("<table")).select(c(id_column))
 
 
 def table_frame(rows: DataFrame, page_id: str) -> DataFrame:
