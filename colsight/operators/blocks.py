@@ -124,7 +124,11 @@ def typed_counts(df: DataFrame, columns: Sequence[str], dt: T.DataType, ordinals
 def _best(counts: DataFrame, *more: Column) -> DataFrame:
     """Per ordinal: distinct values and the smallest of the most frequent ones."""
     best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("value"))).alias("best")
-    return counts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_distinct"), best, *more)
+    # With an object buffer among its functions the aggregate hashes the few ordinals;
+    # without one, a minimum over structs would sort all distinct values first.
+    hashed = F.collect_set("ordinal").alias("ordinals")
+    found = counts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_distinct"), best, hashed, *more)
+    return found.withColumn("ordinal", F.col("ordinals")[0]).drop("ordinals")
 
 
 def frequency_stats(df: DataFrame, columns: Sequence[str], text_measures: Mapping[str, str] | None = None) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from colsight.functions.exprs import atomic_columns, c, is_number, dtype_of, nan_to_null, number, number_columns, value
+from colsight.functions.exprs import atomic_columns, c, dtype_of, is_number, nan_to_null, number_columns, value
 from colsight.operators.blocks import SUSPECT_LIMIT, exact_quantiles
 from colsight.operators.missing import fill_median, fill_mode
+from colsight.session import materialize
 
 # Operations of a cleaning step, in the order they run, and the default choice.
 OPERATIONS = ("drop_duplicates", "fill_numeric_median", "fill_categorical_mode", "remove_outliers_iqr")
@@ -67,17 +70,31 @@ def remove_outliers(df: DataFrame, columns: Sequence[str] | None = None, mode: s
     rounds = [[n] for n in names] if mode == "sequential" else [names]
     for group in rounds:
         for n, bounds in iqr_bounds(df, group).items():
-            df = df.filter(F.lit(False) if bounds is None else number(df, n).between(*bounds))
+            df = df.filter(F.lit(False) if bounds is None else within(df, n, *bounds))
     return df
 
 
+def within(df: DataFrame, name: str, low: float, high: float) -> Column:
+    """Range test on the bare column, in its own type where possible, so that it can be
+    pushed into the scan. NaN sorts above every number and fails."""
+    if isinstance(dtype_of(df, name), T.IntegralType):
+        return c(name).between(max(math.ceil(low), -(2**63)), min(math.floor(high), 2**63 - 1))
+    return c(name).between(low, high)
+
+
 def clean(df: DataFrame, operations: Sequence[str] = DEFAULT_OPERATIONS) -> DataFrame:
-    """Run the chosen operations in their fixed order."""
+    """Run the chosen operations in their fixed order.
+
+    Every later operation reads the table several times, so a table that lost rows to
+    the duplicate step is written once instead of being compared again each time.
+    """
     df = nan_to_null(df)
     steps = dict(zip(OPERATIONS, (drop_duplicates, fill_numbers, fill_categories, remove_outliers)))
-    for name in OPERATIONS:
-        if name in operations:
-            df = steps[name](df)
+    chosen = [name for name in OPERATIONS if name in operations]
+    for name in chosen:
+        before, df = df, steps[name](df)
+        if name == "drop_duplicates" and df is not before and len(chosen) > 1:
+            df = materialize(df)
     return df
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from colsight.functions.exprs import c, dtype_of, is_temporal, nan_to_null, value, value_sql
 from colsight.operators import profile as P
 from colsight.operators.blocks import ROWS_PER_BUCKET, exact_quantiles, per_column_agg, range_bucket, smallest_modes
+from colsight.session import materialize
 
 # Treatment ids, titles and descriptions, in the order they are offered.
 SOLUTIONS = {
@@ -301,6 +302,9 @@ def treat(df: DataFrame, solution_id: str, order_by: Sequence[str] = (), **scan)
     if solution_id not in offered:
         raise ValueError(f"Treatment '{solution_id}' is not among the suggested ones: {sorted(offered)}")
     table = apply_treatment(df, solution_id, order_by, rows, **scan)
-    new_profile = P.column_profile(table)
+    joins = solution_id in ("SMART_IMPUTE", "FILL_DATETIME_FFILL")
+    if joins and any(r["n_missing"] for r in rows if r["role"] == P.DATETIME):
+        table = materialize(table)
+    new_profile = P.profile_frame(df.sparkSession, P.collect_profile(table))
     return Treatment(table, treatment_report(df, table, solution_id), new_profile, suggest_treatments(new_profile))
 

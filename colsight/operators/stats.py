@@ -43,6 +43,10 @@ RESULT_SCHEMA = (
     "ordinal int, feature string, test_type string, n bigint, statistic double, df1 double, df2 double, "
     "p_value double, effect_size double, correlation double"
 )
+ANOVA_SCHEMA = (
+    "ordinal int, feature string, rows bigint, n bigint, k bigint, ssb double, ssw double, f_stat double, "
+    "df1 double, df2 double, eta_squared double"
+)
 
 
 def _result(df: DataFrame, test_type: str, **cols: Column) -> DataFrame:
@@ -94,56 +98,62 @@ def category_moments(df: DataFrame, target: str, features: Sequence[str]) -> Dat
     return grouped.select("class", "ordinal", _feature(features), "n", "mean", "var")
 
 
-def anova(moments: DataFrame) -> DataFrame:
+def anova(moments: DataFrame, centres: dict[str, float] | None = None) -> DataFrame:
     """One-way ANOVA per feature from group moments.
 
     Groups below ``MIN_GROUP`` rows are left out; two groups must remain. ``rows`` counts
-    all rows, ``n`` those of the kept groups.
+    all rows, ``n`` those of the kept groups. ``centres`` has the overall mean per feature:
+    group means are taken relative to it, so that a single pass over the groups is
+    numerically safe. Any value near the mean will do, the result does not depend on it.
     """
+    if centres is None:
+        overall = F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("centre")
+        centres = {r["feature"]: r["centre"] for r in moments.groupBy("feature").agg(overall).collect()}
+    if not centres:
+        return moments.sparkSession.createDataFrame([], ANOVA_SCHEMA)
+    places = F.create_map(*[F.lit(v) for pair in centres.items() for v in (pair[0], float(pair[1] or 0.0))])
     keep = F.col("n") >= MIN_GROUP
-    within = F.sum(F.when(keep, (F.col("n") - 1) * F.col("var")))
-    totals = moments.groupBy("ordinal", "feature").agg(
+    n = F.when(keep, F.col("n"))
+    shifted = F.col("mean") - F.coalesce(F.element_at(places, F.col("feature")), F.lit(0.0))
+    sums = moments.groupBy("ordinal", "feature").agg(
         F.sum("n").alias("rows"),
         F.count_if(keep).alias("k"),
-        F.sum(F.when(keep, F.col("n"))).alias("total"),
-        F.try_divide(F.sum(F.when(keep, F.col("n") * F.col("mean"))), F.sum(F.when(keep, F.col("n")))).alias("grand"),
-        within.alias("ssw"),
-    )
-    # The second use of the moments reads the same columns, so their shuffle is reused.
-    parts = (
-        moments.join(totals.select("ordinal", "grand"), "ordinal")
-        .groupBy("ordinal")
-        .agg(F.sum(F.when(keep, F.col("n") * (F.col("mean") - F.col("grand")) ** 2)).alias("ssb"), within.alias("scatter"))
+        F.sum(n).alias("n"),
+        F.sum(n * shifted).alias("s1"),
+        F.sum(n * shifted * shifted).alias("s2"),
+        F.sum((n - 1) * F.col("var")).alias("ssw"),
     )
-    df1, df2 = F.col("k") - 1, F.col("total") - F.col("k")
-    ratio = F.try_divide(F.col("ssb") / df1, F.try_divide(F.col("scatter"), df2))
+    between = F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.lit(0.0))
+    df1, df2 = F.col("k") - 1, F.col("n") - F.col("k")
+    ratio = F.try_divide(F.col("ssb") / df1, F.try_divide(F.col("ssw"), df2))
     f = F.when((F.col("ssw") == 0) & (F.col("ssb") > 0), F.lit(float("inf"))).otherwise(ratio)
-    whole = F.col("ssb") + F.col("ssw")
     return (
-        totals.filter(F.col("k") >= 2)
-        .join(parts, "ordinal")
+        sums.filter(F.col("k") >= 2)
+        .withColumn("ssb", between)
         .select(
             "ordinal",
             "feature",
             "rows",
-            F.col("total").alias("n"),
+            "n",
             "k",
             "ssb",
             "ssw",
             f.alias("f_stat"),
             df1.cast("double").alias("df1"),
             df2.cast("double").alias("df2"),
-            F.coalesce(F.try_divide(F.col("ssb"), whole), F.lit(0.0)).alias("eta_squared"),
+            F.coalesce(F.try_divide(F.col("ssb"), F.col("ssb") + F.col("ssw")), F.lit(0.0)).alias("eta_squared"),
         )
     )
 
 
 def anova_by_class(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
-    return anova(class_moments(df, target, features))
+    means = df.filter(value(df, target).isNotNull()).agg(*[F.avg(number(df, n)).alias(f"m{i}") for i, n in enumerate(features)]).first()
+    return anova(class_moments(df, target, features), {n: means[f"m{i}"] for i, n in enumerate(features)})
 
 
 def anova_by_category(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
-    return anova(category_moments(df, target, features))
+    centre = df.agg(F.avg(number(df, target))).first()[0]
+    return anova(category_moments(df, target, features), dict.fromkeys(features, centre))
 
 
 def cohens_d(moments: DataFrame) -> DataFrame:
@@ -387,7 +397,13 @@ def _numeric_by_class(df: DataFrame, target: str, features: list[str]) -> list[D
     moments = class_moments(df, target, features)
     facts = (
         moments.groupBy("feature")
-        .agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.min("n").alias("least"), F.min("class").alias("first"))
+        .agg(
+            F.count(F.lit(1)).alias("k"),
+            F.sum("n").alias("n"),
+            F.min("n").alias("least"),
+            F.min("class").alias("first"),
+            (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("centre"),
+        )
         .collect()
     )
     enough = {r["feature"]: r for r in facts if r["n"] >= MIN_ROWS}
@@ -404,7 +420,7 @@ def _numeric_by_class(df: DataFrame, target: str, features: list[str]) -> list[D
             _result(joined, "mann_whitney_u", n=F.col("n0") + F.col("n1"), statistic=F.col("u_stat"), p_value=p, effect_size=F.col("cohens_d"))
         )
     if many:
-        tested = anova(moments.filter(F.col("feature").isin(many)))
+        tested = anova(moments.filter(F.col("feature").isin(many)), {n: enough[n]["centre"] for n in many})
         parts.append(_anova_result(tested, "anova_multi_class"))
     return parts
 
@@ -458,9 +474,18 @@ def with_confidence(results: DataFrame) -> DataFrame:
     return results.withColumn("confidence_score", F.bround(score, 4))
 
 
-def result_bundle(df: DataFrame, target: str, features: Sequence[str], target_type: str, importance: DataFrame | None = None) -> DataFrame:
-    """Test results with model importance (feature, feature_importance) and confidence."""
-    tests = run_tests(df, target, features, target_type)
+def result_bundle(
+    df: DataFrame,
+    target: str,
+    features: Sequence[str],
+    target_type: str,
+    importance: DataFrame | None = None,
+    tests: DataFrame | None = None,
+) -> DataFrame:
+    """Test results with model importance (feature, feature_importance) and confidence.
+    ``tests`` are results at hand, else the tests are run here."""
+    if tests is None:
+        tests = run_tests(df, target, features, target_type)
     if importance is None:
         scored = tests.withColumn("feature_importance", F.lit(None).cast("double"))
     else:

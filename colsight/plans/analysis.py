@@ -12,6 +12,7 @@ from colsight.functions.exprs import nan_to_null
 from colsight.operators import cleaning, drivers, model, stats, tables, targets
 from colsight.operators import profile as P
 from colsight.operators.blocks import duplicate_count
+from colsight.session import materialize
 
 STEP_SCHEMA = "step_id string, operation string, status string, summary string, metrics map<string,string>"
 
@@ -47,12 +48,13 @@ def driver_analysis(
     wanted = df.sparkSession.createDataFrame([(table, target, target_type)], "table_name string, target string, target_type string")
     hypotheses = targets.hypotheses(small, wanted)
     features = [r["feature"] for r in hypotheses.orderBy("ordinal").collect()]
+    found = stats.run_tests(df, target, features, target_type)
+    tests = df.sparkSession.createDataFrame(found.collect(), found.schema)
     weights = None
     if importance:
-        tested = [r["feature"] for r in stats.run_tests(df, target, features, target_type).select("feature", "ordinal").orderBy("ordinal").collect()]
+        tested = [r["feature"] for r in tests.orderBy("ordinal").collect()]
         weights = model.feature_importance(df, tested, target, target_type, trees=trees)
-    results = stats.result_bundle(df, target, features, target_type, weights)
-    kept = df.sparkSession.createDataFrame(results.collect(), results.schema)
+    kept = stats.result_bundle(df, target, features, target_type, weights, tests)
     ranking = drivers.rank_drivers(kept)
     return DriverAnalysis(target, target_type, kept, ranking, drivers.answers(ranking, wanted), hypotheses)
 
@@ -117,7 +119,7 @@ def _evaluate_step(df, params, state):
 def _clean_step(df, params, state):
     operations = params.get("operations", cleaning.DEFAULT_OPERATIONS)
     removed = duplicate_count(df)[1] if "drop_duplicates" in operations else None
-    cleaned = cleaning.clean(df, operations)
+    cleaned = materialize(cleaning.clean(df, operations))
     frame = cleaning.clean_metrics(df, cleaned, removed)
     row = {k: str(v) for k, v in frame.first().asDict().items() if v is not None}
     return frame, "Applied deterministic data cleaning operations.", row, cleaned

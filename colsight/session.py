@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app_name: str = "colsight", driver_memory: str = "16g") -> SparkSession:
@@ -24,3 +26,22 @@ def local_session(cores: int | str = 8, app_name: str = "colsight", driver_memor
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a DataFrame that several jobs will read, and cut its lineage.
+
+    The checkpoint goes to the shared folder named in ``spark.checkpoint.dir``, where it
+    outlives a lost executor. Only a local session without that setting gets a temporary
+    folder.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("Set spark.checkpoint.dir to a shared folder.")
+            folder = tempfile.mkdtemp(prefix="colsight-checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
