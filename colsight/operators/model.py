@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import FeatureHasher, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colsight.functions.exprs import (
     c,
@@ -31,7 +32,12 @@ TEST_SHARE, SPLIT_SEED = 0.2, 42
 LOGISTIC_ITERATIONS = 1000
 TREES, FOREST_SEED, FOREST_ROWS = 180, 42, 20
 
+# Levels up to which a text column is spelled out as columns on request, becomes columns
+# of a model, becomes a sparse vector of a model; classes of a label.
 LEVEL_LIMIT = 1000
+COLUMN_LEVELS = 50
+ENCODED_LEVELS = 100_000
+CLASS_LABELS = 100_000
 HASHED_SLOTS = 1 << 18
 FOREST_BINS = 64
 FOREST_DEPTH = 10
@@ -52,8 +58,8 @@ def dummy_encode(df: DataFrame, target: str, levels: dict[str, list[str]] | None
 
     A missing category is all zeros, like the first level. Booleans pass as 0/1, datetimes
     and nested columns are left out. Rows that miss a number or the target are removed.
-    Text columns above the level limit have no explicit form here: models hash them
-    (see ``training_frame``).
+    Text columns above ``LEVEL_LIMIT`` levels have no explicit form here: models encode
+    them sparsely (see ``training_frame``).
     """
     features = [n for n in df.columns if n != target and is_atomic(dtype_of(df, n)) and not is_temporal(dtype_of(df, n))]
     numbers = [n for n in features if is_number_or_bool(dtype_of(df, n))]
@@ -143,48 +149,75 @@ def training_frame(
     task: str,
     exclude: Sequence[str] = (),
     split_key: Sequence[str] | None = None,
-    level_limit: int = LEVEL_LIMIT,
+    level_limit: int = ENCODED_LEVELS,
 ) -> TrainingFrame:
-    """(label, features, is_test). Text columns with many levels enter hashed, the rest
-    as 0/1 columns; datetimes and ``exclude`` stay out and are listed."""
+    """(label, features, is_test); datetimes and ``exclude`` stay out and are listed.
+
+    Text columns with few levels become 0/1 columns, those with more a sparse one-hot
+    vector over a broadcast level list, and beyond ``level_limit`` levels they are hashed,
+    so a column of any cardinality takes part. First level and missing are all zeros.
+    """
     usable = [n for n in df.columns if n != target and n not in exclude and is_atomic(dtype_of(df, n)) and not is_temporal(dtype_of(df, n))]
     excluded = [n for n in df.columns if n != target and n not in usable]
     numbers = [n for n in usable if is_number_or_bool(dtype_of(df, n))]
-    texts = [n for n in usable if n not in numbers]
-    levels = {n: levels_of(df, n, level_limit) for n in texts}
-    hashed = [n for n in texts if levels[n] is None]
+    levels = {n: levels_of(df, n, level_limit) for n in usable if n not in numbers}
+    hashed = [n for n, found in levels.items() if found is None]
+    sparse = [n for n, found in levels.items() if found is not None and len(found) > COLUMN_LEVELS]
 
     rows = hash_split(complete_rows(df, numbers, target), split_key)
-    classes: list[str] = []
-    if task == "classification":
-        label, classes = _class_label(df, target, rows)
-    else:
-        label = number(df, target)
     slots = [number(df, n).alias(f"f{i}") for i, n in enumerate(numbers)]
-    for n in texts:
-        for level in (levels[n] or [])[1:]:
-            slots.append(F.coalesce((text(df, n) == level).cast("double"), F.lit(0.0)).alias(f"f{len(slots)}"))
-    wide = rows.select(label.alias("label"), "is_test", *slots, *[text(df, n).alias(f"t{i}") for i, n in enumerate(hashed)])
-    wide = wide.filter(F.col("label").isNotNull())
+    for n, found in levels.items():
+        if n not in hashed and n not in sparse:
+            for level in found[1:]:
+                slots.append(F.coalesce((text(df, n) == level).cast("double"), F.lit(0.0)).alias(f"f{len(slots)}"))
     inputs = [f"f{i}" for i in range(len(slots))]
+    width = len(slots)
+    texts = [text(df, n).alias(f"t{i}") for i, n in enumerate([*sparse, *hashed])]
+    label = number(df, target) if task == "regression" else value(df, target)
+    wide = rows.select(label.alias("label"), "is_test", *slots, *texts).filter(F.col("label").isNotNull())
+    classes: list[str] = []
+    if task == "classification":
+        wide, classes = label_encoded(wide, "label")
+    for i, n in enumerate(sparse):
+        wide = _one_hot(wide, f"t{i}", levels[n], f"h{i}")
+        inputs.append(f"h{i}")
+        width += len(levels[n]) - 1
     if hashed:
-        tall = FeatureHasher(
-            numFeatures=HASHED_SLOTS, inputCols=[f"t{i}" for i in range(len(hashed))], outputCol="hashed"
-        ).transform(wide.fillna("", [f"t{i}" for i in range(len(hashed))]))
-        wide, inputs = tall, [*inputs, "hashed"]
+        names = [f"t{i}" for i in range(len(sparse), len(texts))]
+        hasher = FeatureHasher(numFeatures=HASHED_SLOTS, inputCols=names, outputCol="hashed")
+        wide = hasher.transform(wide.fillna("", names))
+        inputs.append("hashed")
+        width += HASHED_SLOTS
     if not inputs:
         raise ValueError("No usable feature columns.")
     rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(wide).select("label", "features", "is_test")
-    return TrainingFrame(rows, len(slots) + (HASHED_SLOTS if hashed else 0), classes, excluded, hashed)
-
-
-def _class_label(df: DataFrame, target: str, rows: DataFrame, limit: int = 100_000) -> tuple[Column, list[str]]:
-    found = rows.select(value(df, target).alias("v")).filter(F.col("v").isNotNull()).distinct().limit(limit + 1).collect()
+    return TrainingFrame(rows, width, classes, excluded, hashed)
+
+
+def _one_hot(df: DataFrame, name: str, levels: Sequence[str], out: str) -> DataFrame:
+    """Sparse 0/1 vector of a text column; the first level shares the dropped slot with
+    missing values. The level list is within its limit, so it is broadcast."""
+    last = len(levels) - 1
+    listed = df.sparkSession.createDataFrame([(v, i - 1) for i, v in enumerate(levels) if i], "level string, slot int")
+    found = df.join(F.broadcast(listed), F.col(name) == F.col("level"), "left")
+    nominal = {"ml_attr": {"type": "nominal", "num_vals": len(levels), "name": out}}
+    index = F.coalesce("slot", F.lit(last)).cast("double").alias(f"{out}_index", metadata=nominal)
+    indexed = found.select(*[c(n) for n in df.columns], index)
+    encoder = OneHotEncoder(inputCols=[f"{out}_index"], outputCols=[out], dropLast=True)
+    return encoder.fit(indexed).transform(indexed).drop(f"{out}_index")
+
+
+def label_encoded(df: DataFrame, name: str, limit: int = CLASS_LABELS) -> tuple[DataFrame, list[str]]:
+    """Replace a class column by its index in sorted order, through a broadcast list of at
+    most ``limit`` classes."""
+    found = df.select(name).distinct().limit(limit + 1).collect()
     if len(found) > limit:
-        raise ValueError(f"Target '{target}' has more than {limit} classes.")
-    classes = sorted(r["v"] for r in found)
-    order = F.array(*[F.lit(str(v)).cast(dtype_of(df, target)) for v in classes])
-    return (F.array_position(order, value(df, target)) - 1).cast("double"), [str(v) for v in classes]
+        raise ValueError(f"Target has more than {limit} classes.")
+    classes = sorted(r[0] for r in found)
+    schema = T.StructType([T.StructField("class", df.schema[name].dataType), T.StructField("index", T.DoubleType())])
+    listed = df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(classes)], schema)
+    joined = df.join(F.broadcast(listed), F.col(name) == F.col("class"))
+    return joined.select(*[(F.col("index") if n == name else c(n)).alias(n) for n in df.columns]), [str(v) for v in classes]
 
 
 def fit_logistic(train: DataFrame, n_rows: int | None = None) -> object:
@@ -207,7 +240,7 @@ def train_model(
     target: str | None,
     exclude: Sequence[str] = (),
     split_key: Sequence[str] | None = None,
-    level_limit: int = LEVEL_LIMIT,
+    level_limit: int = ENCODED_LEVELS,
 ) -> TrainedModel:
     """Fit the baseline model of a target on 80 % of the rows and predict the rest."""
     if not target or target not in df.columns:
@@ -296,14 +329,11 @@ def feature_importance(
     rows = df
     for n in [*features, target]:
         rows = rows.filter(value(df, n).isNotNull())
-    label = number(df, target) if target_type != "classification" else None
-    if label is not None:
-        rows = rows.filter(label.isNotNull())
-    n_rows = rows.count()
-    if n_rows < FOREST_ROWS:
+    classify = target_type == "classification"
+    label = value(df, target) if classify else number(df, target)
+    rows = rows.filter(label.isNotNull())
+    if rows.count() < FOREST_ROWS:
         return empty
-    if label is None:
-        label, _ = _class_label(df, target, rows, limit=10_000)
 
     cols = []
     for i, n in enumerate(features):
@@ -318,8 +348,10 @@ def feature_importance(
         nominal = {"ml_attr": {"type": "nominal", "num_vals": size, "name": f"f{i}"}}
         cols.append(slot.cast("double").alias(f"f{i}", metadata=nominal))
     wide = rows.select(label.alias("label"), *cols)
+    if classify:
+        wide, _ = label_encoded(wide, "label", limit=10_000)
     train = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features").transform(wide)
-    kind = RandomForestClassifier if target_type == "classification" else RandomForestRegressor
+    kind = RandomForestClassifier if classify else RandomForestRegressor
     forest = kind(numTrees=trees, maxDepth=depth, maxBins=max(bins, 32), seed=FOREST_SEED, subsamplingRate=1.0)
     weights = forest.fit(train.select("label", "features")).featureImportances.toArray()
     return spark.createDataFrame(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from colsight.functions.exprs import c
 
 NO_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+ROWS_PER_BATCH = 5000
 TABLE_SCHEMA = "page_id string, row_no int, is_header boolean, cells array<string>"
 
 
@@ -98,14 +99,19 @@ def first_table(html: str | None) -> list[tuple[bool, list[str]]]:
 def html_tables(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
     """Rows of the first table of every page (``TABLE_SCHEMA``); pages without a table give none."""
     tagged = pages.select(c(id_column).cast("string").alias("page_id"), c(html_column).alias("html"))
+    columns = ["page_id", "row_no", "is_header", "cells"]
     tagged = tagged.filter(F.lower("html").contains("<table"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
             for page, html in zip(batch["page_id"], batch["html"]):
-                rows = [(page, i, head, cells) for i, (head, cells) in enumerate(first_table(html))]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["page_id", "row_no", "is_header", "cells"])
+                rows += [(page, i, head, cells) for i, (head, cells) in enumerate(first_table(html))]
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     return tagged.mapInPandas(parse, TABLE_SCHEMA)
 

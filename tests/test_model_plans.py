@@ -57,6 +57,19 @@ def test_classification_with_hashed_text(sales):
         model.train_model(sales, "absent")
 
 
+def test_sparse_levels_equal_columns(spark, monkeypatch):
+    df = spark.range(600).select(
+        F.when(F.col("id") % 9 > 0, F.concat(F.lit("v"), F.col("id") % 8)).alias("s"), (F.col("id") % 13).cast("double").alias("x"),
+        ((F.col("id") % 8) * 2.0 + F.col("id") % 13 + F.col("id") % 9).alias("y"),
+    )
+    columns = model.training_frame(df, "y", "regression")
+    monkeypatch.setattr(model, "COLUMN_LEVELS", 2)
+    sparse = model.training_frame(df, "y", "regression")
+    assert columns.feature_count == sparse.feature_count == 8
+    a, b = (model.fit_linear(f.rows) for f in (columns, sparse))
+    assert a.coefficients.toArray() == pytest.approx(b.coefficients.toArray(), abs=1e-6)
+
+
 def test_forest_weights_sum_to_one_and_name_their_columns(spark):
     df = spark.range(300).select(
         (F.col("id") % 5).cast("double").alias("a"), F.concat(F.lit("v"), F.col("id") % 90).alias("a_b"), (F.col("id") % 5 > 2).alias("y")
