@@ -129,7 +129,16 @@ def share(col: Column) -> Column:
     return F.least(F.lit(1.0), F.abs(F.coalesce(col, F.lit(0.0))))
 
 
+def fixed_text(col: Column, digits: int) -> Column:
+    """Number with a fixed count of decimals, rounded by its exact binary value, half to even."""
+    return F.replace(F.format_number(col, digits), F.lit(","), F.lit(""))
+
+
+def exact_round(col: Column, digits: int) -> Column:
+    """Round by exact binary value; for result rows, as it goes through text."""
+    return fixed_text(col, digits).cast("double")
+
+
 def decimal_text(col: Column, digits: int) -> Column:
     """Rounded number as text without padding zeros but with at least one decimal: 3.0, 12.25."""
-    fixed = F.format_string(f"%.{digits}f", col)
-    return F.when(col.isNotNull(), F.regexp_replace(fixed, r"(\.\d+?)0+$", "$1"))
+    return F.when(col.isNotNull(), F.regexp_replace(fixed_text(col, digits), r"(\.\d+?)0+$", "$1"))

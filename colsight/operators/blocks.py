@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from colsight.functions.exprs import c, dtype_of, literal, number, quoted, value, value_sql
 
-COLUMNS_PER_AGGREGATE = 32
+COLUMNS_PER_AGGREGATE = 12
 LONG_TEXT_LENGTH = 128
 ROWS_PER_BUCKET = 2_000_000
 QUANTILE_CELL = 100_000
@@ -38,12 +38,15 @@ def per_column_agg(
 ) -> DataFrame:
     """Run ``metrics`` (result name -> SQL aggregate) for every column in one aggregate and
     return one row per column (and per group of ``keys``). Wide tables are cut into
-    aggregates of ``COLUMNS_PER_AGGREGATE`` columns so that generated code stays small."""
+    aggregates of up to ``COLUMNS_PER_AGGREGATE`` columns: beyond that the generated code
+    is too large to be compiled well. Each reads its own columns only."""
     parts = []
     numbered = list(enumerate(columns))
-    for start in range(0, len(numbered), COLUMNS_PER_AGGREGATE):
+    n_chunks = max(1, -(-len(numbered) // COLUMNS_PER_AGGREGATE))
+    size = max(1, -(-len(numbered) // n_chunks))
+    for start in range(0, len(numbered), size):
         aggs, rows = [], []
-        for i, n in numbered[start : start + COLUMNS_PER_AGGREGATE]:
+        for i, n in numbered[start : start + size]:
             found = metrics(n)
             aggs.append(F.expr(f"struct({', '.join(f'{e} AS {a}' for a, e in found.items())})").alias(f"_m{i}"))
             fields = ", ".join(f"_m{i}.{a} AS {a}" for a in found)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colsight.functions.exprs import share
+from colsight.functions.exprs import exact_round, fixed_text, share
 
 # Fixed texts of an answer without drivers, and its confidence.
 NO_DRIVERS = {
@@ -20,7 +20,7 @@ NO_DRIVERS_CONFIDENCE = 0.32
 # Sentences of an answer with drivers; confidence stays within these limits.
 DIRECT_ANSWER = (
     "The strongest driver for %s is %s, "
-    "supported by the highest combined statistical and model-based score (%.2f)."
+    "supported by the highest combined statistical and model-based score (%s)."
 )
 KEY_DRIVERS = (
     "Top drivers are %s. "
@@ -81,7 +81,7 @@ def rank_drivers(results: DataFrame) -> DataFrame:
         "target",
         "target_type",
         "feature",
-        F.bround(F.col("raw") / F.when(top == 0, 1.0).otherwise(top), 4).alias("strength_score"),
+        exact_round(F.col("raw") / F.when(top == 0, 1.0).otherwise(top), 4).alias("strength_score"),
         F.row_number().over(by_target.orderBy(F.desc("raw"), "ordinal")).alias("importance_rank"),
         significance_label(F.col("p_value")).alias("statistical_significance"),
         explanation_hint(F.col("feature_importance"), F.col("correlation"), F.col("effect_size")).alias("explanation_hint"),
@@ -95,16 +95,16 @@ def rank_drivers(results: DataFrame) -> DataFrame:
 def evidence_points(ranking: DataFrame, top: int = EVIDENCE_DRIVERS) -> DataFrame:
     """One sentence per leading driver; parts without a value are left out."""
 
-    def part(fmt: str, name: str) -> Column:
-        return F.when(F.col(name).isNotNull(), F.format_string(fmt, F.col(name)))
+    def part(label: str, name: str, digits: int) -> Column:
+        return F.when(F.col(name).isNotNull(), F.format_string(f"{label}=%s", fixed_text(F.col(name), digits)))
 
     # Parts of an evidence sentence.
     sentence = F.concat_ws(
         ", ",
-        F.format_string("%s (strength %.2f)", "feature", "strength_score"),
-        part("p=%.4f", "p_value"),
-        part("effect=%.3f", "effect_size"),
-        part("importance=%.3f", "feature_importance"),
+        F.format_string("%s (strength %s)", F.col("feature"), fixed_text(F.col("strength_score"), 2)),
+        part("p", "p_value", 4),
+        part("effect", "effect_size", 3),
+        part("importance", "feature_importance", 3),
     )
     kept = ranking.filter(F.col("importance_rank") <= top)
     return kept.select("target", "target_type", "importance_rank", "feature", "strength_score", sentence.alias("evidence"))
@@ -126,7 +126,7 @@ def answers(ranking: DataFrame, targets: DataFrame) -> DataFrame:
     return full.select(
         "target",
         "target_type",
-        text(F.format_string(DIRECT_ANSWER, F.col("target"), lead, strength), "direct_answer"),
+        text(F.format_string(DIRECT_ANSWER, F.col("target"), lead, fixed_text(strength, 2)), "direct_answer"),
         text(F.format_string(KEY_DRIVERS, names), "key_drivers_summary"),
         F.when(found, F.transform("top", lambda d: d["evidence"]))
         .otherwise(F.array(F.lit(NO_DRIVERS["evidence_points"])))

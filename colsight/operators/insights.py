@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colsight.functions.exprs import decimal_text
+from colsight.functions.exprs import decimal_text, fixed_text
 from colsight.operators import profile as P
 
 # Missing percentages that count as high (summary / overview), columns named
@@ -349,11 +349,7 @@ def variability(columns: DataFrame) -> DataFrame:
 def actionable(columns: DataFrame, tables: DataFrame) -> DataFrame:
     """Up to five suggestions per table: leading metrics, time axis, several metrics."""
 
-    def number(name: str) -> Column:
-        return F.coalesce(F.format_string("%.2f", F.col(name)), F.lit("N/A")) if name else F.lit("N/A")
-
-    std = F.when(F.col("std").isNotNull(), number("std")).otherwise("N/A")
-    spread = F.when(F.col("range").isNotNull(), number("range")).otherwise("N/A")
+    std, spread = (F.coalesce(fixed_text(F.col(n), 2), F.lit("N/A")) for n in ("std", "range"))
     score = F.coalesce("score", F.lit(0.0))
     name = F.col("column")
 

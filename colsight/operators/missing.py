@@ -224,6 +224,7 @@ def drop_high_missing(df: DataFrame, profile: DataFrame | Sequence[Row] | None =
 def smart_impute(df: DataFrame, order_by: Sequence[str], profile: DataFrame | Sequence[Row] | None = None, **scan) -> DataFrame:
     """Median, mode and datetime fill by role; identifiers are never imputed."""
     rows = P.collect_profile(df, profile)
+    scan = {"n_rows": rows[0]["n_rows"] if rows else 0, **scan}
     out = fill_median(df, P.columns_with_role(rows, P.METRIC))
     out = fill_mode(out, P.columns_with_role(rows, *MODE_ROLES))
     return fill_datetime(out, P.columns_with_role(rows, P.DATETIME), order_by, **scan)
@@ -251,7 +252,7 @@ def apply_treatment(
         raise ValueError("Datetime fill needs order_by: rows of a DataFrame have no order of their own.")
     if solution_id == "SMART_IMPUTE":
         return smart_impute(df, order_by, rows, **scan)
-    return fill_datetime(df, datetimes, order_by, **scan)
+    return fill_datetime(df, datetimes, order_by, **{"n_rows": rows[0]["n_rows"] if rows else 0, **scan})
 
 
 def _gap_counts(df: DataFrame) -> DataFrame:

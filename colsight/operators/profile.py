@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from colsight.functions.exprs import (
     atomic_columns,
     dtype_of,
+    exact_round,
     is_number,
     is_temporal,
     literal,
@@ -166,7 +167,7 @@ def missing_percentages(df: DataFrame, columns: Sequence[str] | None = None) ->
 
 
 def _pct(part: Column, whole: Column) -> Column:
-    return F.bround(F.coalesce(F.try_divide(100.0 * part, whole), F.lit(0.0)), 2)
+    return exact_round(F.coalesce(F.try_divide(100.0 * part, whole), F.lit(0.0)), 2)
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from colsight.functions.exprs import (
     clamp01,
     corr_sql,
     dtype_of,
+    exact_round,
     is_number_or_bool,
     is_temporal,
     number,
@@ -471,7 +472,7 @@ def with_confidence(results: DataFrame) -> DataFrame:
         + 0.2 * share(F.col("correlation"))
         + 0.2 * share(F.col("feature_importance"))
     )
-    return results.withColumn("confidence_score", F.bround(score, 4))
+    return results.withColumn("confidence_score", exact_round(score, 4))
 
 
 def result_bundle(

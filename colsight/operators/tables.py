@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +41,7 @@ from colsight.operators.missing import as_datetime
 QUARTILES = (0.25, 0.5, 0.75)
 # Fixed value: groups kept by a grouped aggregate.
 TOP_GROUPS = 20
-PAIRS_PER_AGGREGATE = 60
+PAIRS_PER_AGGREGATE = 10
 
 
 def summary(df: DataFrame) -> DataFrame:
@@ -183,8 +186,9 @@ def grouped_median(pairs: DataFrame, n_rows: int | None = None, rows_per_bucket:
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(i, j, column_a, column_b, r) for i < j, over the rows where both are present.
 
-    All pairs share one scan; wide tables are cut into aggregates of
-    ``PAIRS_PER_AGGREGATE`` pairs.
+    All pairs share one scan. In wide tables the columns without gaps go through one
+    distributed correlation matrix, which is the same there; the pairs that need their own
+    complete rows are cut into aggregates of ``PAIRS_PER_AGGREGATE``.
     """
     names = list(columns or number_columns(df))
     if len(names) < 2:
@@ -192,6 +196,11 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     x = [number_sql(df, n) for n in names]
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     parts = []
+    if len(pairs) > PAIRS_PER_AGGREGATE:
+        full = _complete_columns(df, x)
+        if len(full) > 2:
+            parts.append(_matrix_pairs(df, names, x, full))
+            pairs = [(i, j) for i, j in pairs if i not in full or j not in full]
     for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
         chunk = pairs[start : start + PAIRS_PER_AGGREGATE]
         row = df.agg(*[F.expr(corr_sql(x[i], x[j])).alias(f"r{i}_{j}") for i, j in chunk])
@@ -203,6 +212,25 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     return union_all(parts)
 
 
+def _complete_columns(df: DataFrame, x: Sequence[str]) -> set[int]:
+    gaps = df.agg(*[F.expr(f"count_if({e} IS NULL)").alias(f"g{i}") for i, e in enumerate(x)]).first()
+    return {i for i in range(len(x)) if gaps[f"g{i}"] == 0}
+
+
+def _matrix_pairs(df: DataFrame, names: Sequence[str], x: Sequence[str], full: set[int]) -> DataFrame:
+    """Pairs of columns without gaps from one pass; the matrix has columns x columns cells."""
+    order = sorted(full)
+    cols = [F.expr(x[i]).alias(f"x{i}") for i in order]
+    vectors = VectorAssembler(inputCols=[f"x{i}" for i in order], outputCol="v").transform(df.select(*cols))
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    rows = []
+    for a, i in enumerate(order):
+        for b in range(a + 1, len(order)):
+            r = float(matrix[a, b])
+            rows.append((i, order[b], names[i], names[order[b]], None if math.isnan(r) else r))
+    return df.sparkSession.createDataFrame(rows, "i int, j int, column_a string, column_b string, r double")
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Long Pearson matrix (column_a, column_b, r rounded to 4); constant columns give NULL."""
     names = list(columns or number_columns(df))
@@ -249,6 +277,7 @@ def trend_mean(df: DataFrame, datetime_column: str, target_column: str) -> DataF
 def trend_count(df: DataFrame, datetime_column: str) -> DataFrame:
     """Row counts per month; months without rows inside the range appear with 0."""
     counts = _months(df, datetime_column).groupBy("month_end").agg(F.count(F.lit(1)).alias("n"))
+    # One row per month is left here, so a window without partitions is small.
     after = F.lead("month_end").over(Window.orderBy("month_end"))
     gaps = F.sequence(F.last_day("month_end"), F.coalesce(F.last_day(F.add_months("next_end", -1)), F.col("month_end")), F.expr("interval 1 month"))
     spine = counts.select("month_end", "n", after.alias("next_end")).select("month_end", "n", F.explode(gaps).alias("day"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colsight.operators import blocks as B
+from colsight.session import materialize
 
 
 @pytest.mark.parametrize("cell", [5, 100, 100_000])
@@ -68,3 +69,8 @@ def test_long_texts_are_counted_by_digest(spark):
 def test_modes_keep_their_type(spark):
     df = spark.createDataFrame([("b", 2.5, None), ("a", 2.5, None), ("b", 1.0, None), ("a", None, None)], "s string, x double, e int")
     assert B.smallest_modes(df, ["s", "x", "e"]) == {"s": "a", "x": 2.5, "e": None}
+
+
+def test_materialized_table_is_kept_under_the_checkpoint_folder(spark):
+    df = materialize(spark.range(10).filter("id > 3"))
+    assert df.count() == 6 and spark.sparkContext.getCheckpointDir() is not None

@@ -109,6 +109,20 @@ def test_correlation_of_constant_and_gaps(spark):
         tables.correlation_matrix(df.select("a"))
 
 
+def test_wide_correlation_takes_the_matrix_for_full_columns(spark):
+    cols = [((F.col("id") * (k + 3) * 7919) % 1013).cast("double").alias(f"c{k}") for k in range(12)]
+    gappy = F.when(F.col("id") % 5 > 0, F.col("id") % 17).cast("double").alias("gap")
+    df = spark.range(500).select(*cols, gappy, F.lit(2.0).alias("const"))
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in tables.correlation_pairs(df).collect()}
+    want = df.toPandas().corr()
+    assert len(got) == 14 * 13 // 2
+    for (a, b), r in got.items():
+        if "const" in (a, b):
+            assert r is None
+        else:
+            assert r == pytest.approx(want.loc[a, b])
+
+
 def test_month_gaps_show_as_zero(spark):
     df = spark.createDataFrame([("2024-01-31",), ("2024-04-30",), ("2024-04-01",), (None,), ("2024-02-01",)], "d string")
     got = [(str(r["month_end"]), r["value"]) for r in tables.trend(df, "d").collect()]
