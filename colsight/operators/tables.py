@@ -231,10 +231,11 @@ def _matrix_pairs(df: DataFrame, names: Sequence[str], x: Sequence[str], full: s
     return df.sparkSession.createDataFrame(rows, "i int, j int, column_a string, column_b string, r double")
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Long Pearson matrix (column_a, column_b, r rounded to 4); constant columns give NULL."""
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Long Pearson matrix (column_a, column_b, r rounded to 4); constant columns give NULL.
+    ``pairs`` are correlations at hand, else they are computed here."""
     names = list(columns or number_columns(df))
-    upper = correlation_pairs(df, names)
+    upper = correlation_pairs(df, names) if pairs is None else pairs
     varied = per_column_agg(df, names, lambda n: {"spread": f"var_pop({number_sql(df, n)})"})
     diagonal = varied.select(
         F.col("ordinal").alias("i"),
@@ -250,9 +251,9 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     return mirrored.unionByName(diagonal).select("i", "j", "column_a", "column_b", F.bround("r", 4).alias("r"))
 
 
-def strongest_correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def strongest_correlation(df: DataFrame, columns: Sequence[str] | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Pair with the largest |r|, first in row order on ties; r keeps its sign."""
-    found = correlation_pairs(df, columns).filter(F.col("r").isNotNull())
+    found = (correlation_pairs(df, columns) if pairs is None else pairs).filter(F.col("r").isNotNull())
     return found.orderBy(F.abs("r").desc(), "i", "j").limit(1).select("column_a", "column_b", "r")
 
 

@@ -84,8 +84,10 @@ def _groupby_step(df, params, state):
 
 
 def _correlation_step(df, params, state):
-    frame = tables.correlation_matrix(df)
-    best = tables.strongest_correlation(df).first()
+    found = tables.correlation_pairs(df)
+    pairs = df.sparkSession.createDataFrame(found.collect(), found.schema)
+    frame = tables.correlation_matrix(df, pairs=pairs)
+    best = tables.strongest_correlation(df, pairs=pairs).first()
     metrics = {} if best is None else {
         "strongest_pair": f"{best['column_a']}, {best['column_b']}", "strongest_value": str(best["r"]),
     }
