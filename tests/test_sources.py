@@ -27,7 +27,7 @@ def test_csv_is_typed_and_na_tokens_are_missing(spark, tmp_path):
     assert rows[3]["age"] is None
 
 
-def test_small_reference_style_csv(spark, tmp_path):
+def test_small_csv(spark, tmp_path):
     path = tmp_path / "test_sample.csv"
     path.write_text("id,name,age,score\n1,Alice,25,85.5\n2,Bob,30,90.0\n3,Charlie,35,88.5\n")
     df = S.ingest(spark, str(path))
