@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from colsight.llm.bpe import op3_bpe
 from colsight.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from colsight.llm.line_dedup import OP8_SQL, op8_line_dedup
+from colsight.llm.minhash_dedup import OP1_SQL, op1_minhash_dedup
 from colsight.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 
 QUERIES = {
+    "op1_minhash_dedup": (op1_minhash_dedup, OP1_SQL),
     "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
+    "op3_bpe": (op3_bpe, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
+    "op8_line_dedup": (op8_line_dedup, OP8_SQL),
 }
