@@ -278,7 +278,8 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     found = links.select("id", "root").unionByName(_cross_links(tasks, percent, need))
 
     reps = filled.groupBy("digest").agg(F.min("id").alias("id")).join(components(found), "id", "left")
-    reps = reps.select("digest", F.coalesce("component", "id").alias("component"))
+    # Written, so that the join below has an exchange on each side and a hot digest can be split.
+    reps = shared.written(reps.select("digest", F.coalesce("component", "id").alias("component")))
     out = filled.select("id", "n", "digest").join(reps, "digest").select("id", "n", "component")
     out = out.unionByName(signed.filter("n = 0").select("id", "n", F.col("id").alias("component")))
     number = lambda c: F.when(F.col(c) != shared.NO_ID, F.col(c))

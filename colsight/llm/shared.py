@@ -167,13 +167,13 @@ def scatter(packs: DataFrame, fn: Callable[[int, pa.Table], Iterator[pa.RecordBa
 
 def merged(found: DataFrame, fn: Callable[[list[list[np.ndarray]]], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """Merge each hash range: ``fn`` gets the decoded lists of all packs and yields (place of
-    the list, reply). Result: (pack, keys)."""
+    the list, or -1 for a reply to no pack, reply). Result: (pack, keys)."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         packs = table.column("pack").to_pylist()
         replies = list(fn([decode(x.as_py()) for x in table.column("keys")]))
         return pa.table(
-            {"pack": pa.array([packs[i] for i, _ in replies], pa.int64()), "keys": pa.array([x for _, x in replies], pa.binary())}
+            {"pack": pa.array([packs[i] if i >= 0 else -1 for i, _ in replies], pa.int64()), "keys": pa.array([x for _, x in replies], pa.binary())}
         )
 
     return found.groupBy("bucket").applyInArrow(run, "pack bigint, keys binary")

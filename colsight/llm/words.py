@@ -21,6 +21,8 @@ _BASE = int(_rng.integers(1, 2**62)) * 8 + 5
 _STEP = np.uint64(int(_rng.integers(1, 2**62)) * 8 + 3)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Bytes between words if these are to be letters and digits (and all of non-ASCII) only.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER_VALUES = _BYTE_VALUES.copy()
 _LOWER_VALUES[65:91] = _BYTE_VALUES[97:123]
 
@@ -79,9 +81,9 @@ class WordHasher:
 class Words:
     """Word bounds of a chunk of texts. ``first[i]:first[i + 1]`` are the words of text i."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE):
         self.data = data
-        space = _SPACE[data]
+        space = between[data]
         n = len(data)
         at_start = np.zeros(n + 1, bool)
         at_start[offsets] = True
@@ -131,7 +133,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def chunks(column: pa.Array, size: int = CHUNK_BYTES, between: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, words) of pieces of up to ``size`` bytes; a longer text
     is a piece of its own, so memory is bounded by the longest text."""
     data, offsets = text_bytes(column)
@@ -139,5 +141,5 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
     while row < n:
         stop = int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1
         stop = min(max(stop, row + 1), n)
-        yield row, stop, Words(data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row])
+        yield row, stop, Words(data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row], between)
         row = stop
