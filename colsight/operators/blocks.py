@@ -22,6 +22,7 @@ from colsight.functions.exprs import c, dtype_of, literal, number, quoted, value
 COLUMNS_PER_AGGREGATE = 12
 LONG_TEXT_LENGTH = 128
 ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 2048
 QUANTILE_CELL = 100_000
 SUSPECT_LIMIT = 1_000_000
 
@@ -56,6 +57,22 @@ def per_column_agg(
     return union_all(parts)
 
 
+def gap_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(ordinal, column, n_rows, n_missing) of any number of columns."""
+    return per_column_agg(df, columns, lambda n: {"n_rows": "count(1)", "n_missing": f"count_if({value_sql(df, n)} IS NULL)"})
+
+
+def comparable(df: DataFrame, name: str) -> Column:
+    """The column in a form that can be hashed and grouped: a map as its sorted entries,
+    a nested type with maps inside as JSON."""
+    dt = dtype_of(df, name)
+    if isinstance(dt, T.MapType) and "map<" not in dt.valueType.simpleString():
+        return F.array_sort(F.map_entries(c(name)))
+    if "map<" in dt.simpleString():
+        return F.when(c(name).isNotNull(), F.to_json(F.struct(c(name))))
+    return value(df, name)
+
+
 def value_counts(df: DataFrame, name: str) -> DataFrame:
     """Typed (value, n) of one column, missing values left out."""
     v = value(df, name)
@@ -63,18 +80,13 @@ def value_counts(df: DataFrame, name: str) -> DataFrame:
 
 
 def long_text_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """String columns whose first rows are long on average. Only steers how distinct
-    values are counted, never the result."""
+    """String columns that are long on average. Only steers how distinct values are counted,
+    never the result."""
     names = [n for n in columns if isinstance(dtype_of(df, n), T.StringType)]
     if not names:
         return []
-    rows = df.select(*[F.length(c(n)).alias(f"l{i}") for i, n in enumerate(names)]).take(200)
-    out = []
-    for i, n in enumerate(names):
-        seen = [r[i] for r in rows if r[i] is not None]
-        if seen and sum(seen) / len(seen) > LONG_TEXT_LENGTH:
-            out.append(n)
-    return out
+    lengths = per_column_agg(df, names, lambda n: {"mean": f"avg(length({quoted(n)}))"}).collect()
+    return [r["column"] for r in lengths if r["mean"] is not None and r["mean"] > LONG_TEXT_LENGTH]
 
 
 def _digest_stats(df: DataFrame, ordinal: int, name: str, measures: Mapping[str, str]) -> DataFrame:
@@ -172,6 +184,10 @@ def frequency_stats(df: DataFrame, columns: Sequence[str], text_measures: Mappin
 def smallest_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     """Typed smallest mode per column, None when all values are missing."""
     out: dict[str, object] = {n: None for n in columns}
+    long_text = long_text_columns(df, columns)
+    for i, n in enumerate(long_text):  # only digests are shuffled, the text is read again for the winner
+        out[n] = _digest_stats(df, i, n, {}).first()["top_value"]
+    columns = [n for n in columns if n not in long_text]
     families = _families(df, columns)
     parts = []
     for k, (dt, ordinals) in enumerate(families.items()):
@@ -192,6 +208,20 @@ def exact_quantiles(
 ) -> dict[str, list[float] | None]:
     """Interpolated quantiles of many columns (None for a column without values).
 
+    Columns are taken ``COLUMNS_PER_AGGREGATE`` at a time, so that an aggregate holds a
+    bounded number of sketches and values.
+    """
+    out: dict[str, list[float] | None] = {}
+    for start in range(0, len(columns), COLUMNS_PER_AGGREGATE):
+        out |= _exact_quantiles(df, columns[start : start + COLUMNS_PER_AGGREGATE], probs, cell)
+    return out
+
+
+def _exact_quantiles(
+    df: DataFrame, columns: Sequence[str | tuple[str, Column]], probs: Sequence[float], cell: int
+) -> dict[str, list[float] | None]:
+    """Quantiles of some columns.
+
     The exact ``percentile`` aggregate keeps every distinct value of a column in one
     reducer. Here the wanted ranks are fenced in first: a bounded sketch names a value
     on either side of a rank, a count tells how many rows lie below, at and between
@@ -320,9 +350,11 @@ def range_bucket(df: DataFrame, keys: Sequence[str], n_rows: int, rows_per_bucke
 
     Boundaries come from a random sample of the keys and become literals, so the
     number is a pure function of the row: the same on every evaluation and retry.
-    Small inputs need no buckets (None). A bucket number is found by bisection.
+    Small inputs need no buckets (None). A bucket number is found by bisection. There are
+    at most ``MAX_BUCKETS``, which bounds the sample and the literals; beyond that a range
+    has more rows, and its sort spills.
     """
-    n_buckets = -(-n_rows // rows_per_bucket)
+    n_buckets = min(-(-n_rows // rows_per_bucket), MAX_BUCKETS)
     if n_buckets <= 1:
         return None
     fraction = min(1.0, 20.0 * n_buckets / n_rows)
@@ -361,8 +393,8 @@ def running_totals(
     sums: Sequence[str],
     bucket: Column | None,
 ) -> DataFrame:
-    """Add ``<s>_before`` to rows that are unique per (by, order): the sum of ``s`` over
-    the earlier rows of the same group.
+    """Add ``<s>_before`` and ``<s>_total`` to rows that are unique per (by, order): the sum
+    of ``s`` over the earlier rows and over all rows of the same group.
 
     Each (group, bucket) is scanned on its own; bucket totals, a small table, carry the
     sum across buckets. No task sees a whole group. Without buckets (small inputs) it
@@ -371,14 +403,21 @@ def running_totals(
     if bucket is None:
         plain = Window.partitionBy(*[c(k) for k in by]).orderBy(*[c(o) for o in order])
         plain = plain.rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", *[F.coalesce(F.sum(c(s)).over(plain), F.lit(0)).alias(f"{s}_before") for s in sums])
+        whole = Window.partitionBy(*[c(k) for k in by])
+        return df.select(
+            "*",
+            *[F.coalesce(F.sum(c(s)).over(plain), F.lit(0)).alias(f"{s}_before") for s in sums],
+            *[F.sum(c(s)).over(whole).alias(f"{s}_total") for s in sums],
+        )
     bucketed = df.withColumn("_bucket", bucket)
     keys = [*by, "_bucket"]
     totals = bucketed.groupBy(*[c(k) for k in keys]).agg(*[F.sum(c(s)).alias(f"_t{i}") for i, s in enumerate(sums)])
     earlier = Window.partitionBy(*[c(k) for k in by]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*[c(k) for k in by])
     carried = totals.select(
         *[c(k) for k in keys],
         *[F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_c{i}") for i in range(len(sums))],
+        *[F.sum(f"_t{i}").over(whole).alias(f"{s}_total") for i, s in enumerate(sums)],
     )
     inside = Window.partitionBy(*[c(k) for k in keys]).orderBy(*[c(o) for o in order])
     inside = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -389,6 +428,7 @@ def running_totals(
     return joined.select(
         *[c(n) for n in df.columns],
         *[(F.col(f"_l{i}") + F.col(f"_c{i}")).alias(f"{s}_before") for i, s in enumerate(sums)],
+        *[F.col(f"{s}_total") for s in sums],
     )
 
 
@@ -402,8 +442,8 @@ def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None, suspect
     names = list(columns or df.columns)
     if not names:
         return df.count(), 0
-    cols = [value(df, n).alias(f"v{i}") for i, n in enumerate(names)]
-    keyed = df.select(F.xxhash64(*[value(df, n) for n in names]).alias("h"), *cols)
+    cols = [comparable(df, n).alias(f"v{i}") for i, n in enumerate(names)]
+    keyed = df.select(F.xxhash64(*[comparable(df, n) for n in names]).alias("h"), *cols)
     counts = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     seen = counts.agg(
         F.sum("n").alias("rows"),

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colsight.functions.exprs import atomic_columns, c, dtype_of, is_number, nan_to_null, number_columns, value
-from colsight.operators.blocks import SUSPECT_LIMIT, exact_quantiles
+from colsight.functions.exprs import atomic_columns, c, dtype_of, is_number, nan_to_null, number_columns
+from colsight.operators.blocks import SUSPECT_LIMIT, comparable, exact_quantiles, gap_counts
 from colsight.operators.missing import fill_median, fill_mode
 from colsight.session import materialize
 
@@ -28,16 +28,23 @@ def drop_duplicates(df: DataFrame, suspect_limit: int = SUSPECT_LIMIT) -> DataFr
     shuffled). If they are few, rows with any other hash stay where they are and only
     the rest is compared in full; otherwise whole rows are shuffled.
     """
-    hashed = df.withColumn("_row_hash", F.xxhash64(*[value(df, n) for n in df.columns]))
+    hashed = df.withColumn("_row_hash", F.xxhash64(*[comparable(df, n) for n in df.columns]))
     counts = hashed.groupBy("_row_hash").agg(F.count(F.lit(1)).alias("n"))
     shared = counts.filter(F.col("n") > 1).select("_row_hash")
     n_shared = shared.count()
     if n_shared == 0:
         return df
+    maps = [n for n in df.columns if "map<" in dtype_of(df, n).simpleString()]
+
+    def distinct(rows: DataFrame) -> DataFrame:
+        keyed = rows.withColumns({f"_key{i}": comparable(df, n) for i, n in enumerate(maps)})
+        keys = [n for n in rows.columns if n not in maps] + [f"_key{i}" for i in range(len(maps))]
+        return keyed.dropDuplicates(keys).select(*[c(n) for n in rows.columns])
+
     if n_shared > suspect_limit:
-        return df.dropDuplicates()
+        return distinct(df)
     alone = hashed.join(F.broadcast(shared), "_row_hash", "left_anti")
-    suspects = hashed.join(F.broadcast(shared), "_row_hash", "left_semi").dropDuplicates()
+    suspects = distinct(hashed.join(F.broadcast(shared), "_row_hash", "left_semi"))
     return alone.unionByName(suspects).select(*[c(n) for n in df.columns])
 
 
@@ -83,27 +90,35 @@ def within(df: DataFrame, name: str, low: float, high: float) -> Column:
 
 
 def clean(df: DataFrame, operations: Sequence[str] = DEFAULT_OPERATIONS) -> DataFrame:
-    """Run the chosen operations in their fixed order.
+    """Run the chosen operations in their fixed order."""
+    return clean_counted(df, operations)[0]
+
+
+def clean_counted(df: DataFrame, operations: Sequence[str] = DEFAULT_OPERATIONS) -> tuple[DataFrame, int | None]:
+    """``clean``, and how many duplicates it removed (None without that operation).
 
     Every later operation reads the table several times, so a table that lost rows to
     the duplicate step is written once instead of being compared again each time.
     """
     df = nan_to_null(df)
     steps = dict(zip(OPERATIONS, (drop_duplicates, fill_numbers, fill_categories, remove_outliers)))
-    chosen = [name for name in OPERATIONS if name in operations]
-    for name in chosen:
+    removed = None
+    for name in (n for n in OPERATIONS if n in operations):
         before, df = df, steps[name](df)
-        if name == "drop_duplicates" and df is not before and len(chosen) > 1:
-            df = materialize(df)
-    return df
+        if name == "drop_duplicates":
+            removed = 0
+            if df is not before:
+                df = materialize(df)
+                removed = before.count() - df.count()
+    return df, removed
 
 
 def clean_metrics(before: DataFrame, after: DataFrame, duplicates_removed: int | None = None) -> DataFrame:
     """One row: rows and missing cells before and after, duplicates removed."""
 
     def count(df: DataFrame, suffix: str) -> DataFrame:
-        gaps = sum((F.count_if(value(df, n).isNull()) for n in df.columns), F.lit(0))
-        return df.agg(F.count(F.lit(1)).alias(f"rows_{suffix}"), gaps.cast("bigint").alias(f"missing_{suffix}"))
+        gaps = gap_counts(df, df.columns)
+        return gaps.agg(F.max("n_rows").alias(f"rows_{suffix}"), F.sum("n_missing").cast("bigint").alias(f"missing_{suffix}"))
 
     pair = count(before, "before").withColumn("_one", F.lit(1)).join(count(after, "after").withColumn("_one", F.lit(1)), "_one")
     return pair.select(

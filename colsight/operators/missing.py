@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from colsight.functions.exprs import c, dtype_of, is_temporal, nan_to_null, value, value_sql
 from colsight.operators import profile as P
-from colsight.operators.blocks import ROWS_PER_BUCKET, exact_quantiles, per_column_agg, range_bucket, smallest_modes
+from colsight.operators.blocks import ROWS_PER_BUCKET, exact_quantiles, gap_counts, per_column_agg, range_bucket, smallest_modes
 from colsight.session import materialize
 
 # Treatment ids, titles and descriptions, in the order they are offered.
@@ -79,8 +79,8 @@ def suggest_treatments(profile: DataFrame, high_missing: float = HIGH_MISSING) -
 
 def missing_total(df: DataFrame) -> DataFrame:
     """One row: missing cells in the table and whether it is free of them."""
-    cells = sum((F.count_if(value(df, n).isNull()) for n in df.columns), F.lit(0))
-    return df.agg(cells.cast("bigint").alias("missing_cells")).withColumn("ready", F.col("missing_cells") == 0)
+    cells = F.sum("n_missing").cast("bigint").alias("missing_cells")
+    return gap_counts(df, df.columns).agg(cells).withColumn("ready", F.col("missing_cells") == 0)
 
 
 def _replace(df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
@@ -90,8 +90,8 @@ def _replace(df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
 def _columns_with_gaps(df: DataFrame, columns: Sequence[str]) -> list[str]:
     if not columns:
         return []
-    gaps = df.agg(*[F.count_if(value(df, n).isNull()).alias(f"g{i}") for i, n in enumerate(columns)]).first()
-    return [n for i, n in enumerate(columns) if gaps[f"g{i}"]]
+    gaps = {r["column"]: r["n_missing"] for r in gap_counts(df, list(columns)).collect()}
+    return [n for n in columns if gaps[n]]
 
 
 def fill_median(df: DataFrame, columns: Sequence[str], undefined: float | None = 0.0) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,7 @@ from colsight.functions.exprs import (
     value,
 )
 from colsight.operators.blocks import value_counts
+from colsight.session import materialize
 
 # Distinct values up to which a numeric target counts as classes; share and
 # seed of the test split; iterations of the logistic fit; trees, seed and least rows of the forest.
@@ -32,21 +33,50 @@ TEST_SHARE, SPLIT_SEED = 0.2, 42
 LOGISTIC_ITERATIONS = 1000
 TREES, FOREST_SEED, FOREST_ROWS = 180, 42, 20
 
-# Levels up to which a text column is spelled out as columns on request, becomes columns
-# of a model, becomes a sparse vector of a model; classes of a label.
-LEVEL_LIMIT = 1000
+# Text columns with up to so many levels become 0/1 columns of a model, others one sparse
+# vector: a choice of plan, the model is the same.
 COLUMN_LEVELS = 50
-ENCODED_LEVELS = 100_000
-CLASS_LABELS = 100_000
-HASHED_SLOTS = 1 << 18
+LINEAR_ITERATIONS = 1000
+WIDE_FEATURES = 4096
 FOREST_BINS = 64
 FOREST_DEPTH = 10
 
 
-def levels_of(df: DataFrame, name: str, limit: int = LEVEL_LIMIT) -> list[str] | None:
-    """Sorted text levels, or None when there are more than ``limit``."""
-    rows = value_counts(df.select(text(df, name).alias("value")), "value").select("value").limit(limit + 1).collect()
-    return sorted(r["value"] for r in rows) if len(rows) <= limit else None
+def _cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(ordinal, value) of the present texts of some columns."""
+    cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), text(df, n).alias("value")) for i, n in enumerate(names)])
+    return df.select(F.inline(cells)).filter(F.col("value").isNotNull())
+
+
+def levels_of(df: DataFrame, names: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted text levels of some columns, found in one job. They reach the driver, so this
+    is for columns that are spelled out in a schema."""
+    out: dict[str, list[str]] = {n: [] for n in names}
+    for r in _cells(df, names).distinct().collect() if names else []:
+        out[names[r["ordinal"]]].append(r["value"])
+    return {n: sorted(found) for n, found in out.items()}
+
+
+def numbered(values: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """Number the distinct values of each ordinal from 0 in sorted order.
+
+    ``values`` is (ordinal, value); the result (ordinal, value, index), and the number of
+    values per ordinal. Ranges are numbered on their own and shifted by the sizes of those
+    before, so only sizes of ranges reach the driver.
+    """
+    ordered = values.distinct().repartitionByRange("ordinal", "value").withColumn("part", F.spark_partition_id())
+    placed = materialize(ordered)
+    sizes = placed.groupBy("ordinal", "part").count().orderBy("ordinal", "part").collect()
+    totals: dict[int, int] = {}
+    starts = []
+    for r in sizes:
+        starts.append((r["ordinal"], r["part"], totals.get(r["ordinal"], 0)))
+        totals[r["ordinal"]] = totals.get(r["ordinal"], 0) + r["count"]
+    first = values.sparkSession.createDataFrame(starts, "ordinal int, part int, start bigint")
+    place = F.row_number().over(Window.partitionBy("ordinal", "part").orderBy("value"))
+    joined = placed.withColumn("place", place).join(F.broadcast(first), ["ordinal", "part"])
+    index = (F.col("start") + F.col("place") - 1).cast("double").alias("index")
+    return joined.select("ordinal", "value", index), totals
 
 
 def dummy_name(column: str, level: str) -> str:
@@ -58,23 +88,30 @@ def dummy_encode(df: DataFrame, target: str, levels: dict[str, list[str]] | None
 
     A missing category is all zeros, like the first level. Booleans pass as 0/1, datetimes
     and nested columns are left out. Rows that miss a number or the target are removed.
-    Text columns above ``LEVEL_LIMIT`` levels have no explicit form here: models encode
-    them sparsely (see ``training_frame``).
+    Every level becomes a column. Where that is too wide, ``dummy_long`` has the same ones
+    as rows, and models encode levels sparsely (see ``training_frame``).
     """
     features = [n for n in df.columns if n != target and is_atomic(dtype_of(df, n)) and not is_temporal(dtype_of(df, n))]
     numbers = [n for n in features if is_number_or_bool(dtype_of(df, n))]
     texts = [n for n in features if n not in numbers]
-    levels = levels or {n: levels_of(df, n) for n in texts}
+    levels = levels_of(df, texts) if levels is None else levels
     cols: list[Column] = []
     for n in features:
         if n in numbers:
             cols.append(number(df, n).alias(n) if not is_number(dtype_of(df, n)) else value(df, n).alias(n))
         else:
-            for level in (levels.get(n) or [])[1:]:
+            for level in levels[n][1:]:
                 cols.append(F.coalesce((text(df, n) == level).cast("int"), F.lit(0)).alias(dummy_name(n, level)))
     return complete_rows(df, numbers, target).select(value(df, target).alias(target), *cols)
 
 
+def dummy_long(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """Long form of the text levels: (key columns, column, level), a row per present text."""
+    names = list(columns or [n for n in df.columns if n not in key and isinstance(dtype_of(df, n), T.StringType)])
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), text(df, n).alias("level")) for n in names])
+    return df.select(*[c(k) for k in key], F.inline(cells)).filter(F.col("level").isNotNull())
+
+
 def complete_rows(df: DataFrame, numbers: Sequence[str], target: str) -> DataFrame:
     keep = value(df, target).isNotNull()
     for n in numbers:
@@ -120,7 +157,6 @@ class TrainedModel:
     feature_count: int
     classes: list[str] = field(default_factory=list)
     excluded: list[str] = field(default_factory=list)
-    hashed: list[str] = field(default_factory=list)
 
     def metrics(self) -> dict[str, str]:
         out = {
@@ -129,8 +165,9 @@ class TrainedModel:
         }
         if self.excluded:
             out["excluded_features"] = ", ".join(self.excluded)
-        if self.hashed:
-            out["hashed_features"] = ", ".join(self.hashed)
+        summary = self.model.summary
+        if summary.totalIterations >= self.model.getMaxIter():
+            out["converged"] = "false"
         return out
 
 
@@ -140,7 +177,6 @@ class TrainingFrame:
     feature_count: int
     classes: list[str]
     excluded: list[str]
-    hashed: list[str]
 
 
 def training_frame(
@@ -149,75 +185,70 @@ def training_frame(
     task: str,
     exclude: Sequence[str] = (),
     split_key: Sequence[str] | None = None,
-    level_limit: int = ENCODED_LEVELS,
 ) -> TrainingFrame:
     """(label, features, is_test); datetimes and ``exclude`` stay out and are listed.
 
-    Text columns with few levels become 0/1 columns, those with more a sparse one-hot
-    vector over a broadcast level list, and beyond ``level_limit`` levels they are hashed,
-    so a column of any cardinality takes part. First level and missing are all zeros.
+    Text columns with few levels become 0/1 columns, the others a sparse one-hot vector over
+    a table of numbered levels. First level and missing are all zeros.
     """
     usable = [n for n in df.columns if n != target and n not in exclude and is_atomic(dtype_of(df, n)) and not is_temporal(dtype_of(df, n))]
     excluded = [n for n in df.columns if n != target and n not in usable]
     numbers = [n for n in usable if is_number_or_bool(dtype_of(df, n))]
-    levels = {n: levels_of(df, n, level_limit) for n in usable if n not in numbers}
-    hashed = [n for n, found in levels.items() if found is None]
-    sparse = [n for n, found in levels.items() if found is not None and len(found) > COLUMN_LEVELS]
+    texts = [n for n in usable if n not in numbers]
+    table, sizes = numbered(_cells(df, texts)) if texts else (None, {})
+    size = {n: sizes.get(i, 0) for i, n in enumerate(texts)}
+    few = {n: [] for n in texts if size[n] <= COLUMN_LEVELS}
+    if few:
+        wanted = table.filter(F.col("ordinal").isin([i for i, n in enumerate(texts) if n in few]))
+        for r in wanted.orderBy("ordinal", "index").collect():  # at most COLUMN_LEVELS per column
+            few[texts[r["ordinal"]]].append(r["value"])
+    sparse = [n for n in texts if n not in few]
 
     rows = hash_split(complete_rows(df, numbers, target), split_key)
     slots = [number(df, n).alias(f"f{i}") for i, n in enumerate(numbers)]
-    for n, found in levels.items():
-        if n not in hashed and n not in sparse:
-            for level in found[1:]:
-                slots.append(F.coalesce((text(df, n) == level).cast("double"), F.lit(0.0)).alias(f"f{len(slots)}"))
+    for n, found in few.items():
+        for level in found[1:]:
+            slots.append(F.coalesce((text(df, n) == level).cast("double"), F.lit(0.0)).alias(f"f{len(slots)}"))
     inputs = [f"f{i}" for i in range(len(slots))]
     width = len(slots)
-    texts = [text(df, n).alias(f"t{i}") for i, n in enumerate([*sparse, *hashed])]
     label = number(df, target) if task == "regression" else value(df, target)
-    wide = rows.select(label.alias("label"), "is_test", *slots, *texts).filter(F.col("label").isNotNull())
+    columns = [label.alias("label"), "is_test", *slots, *[text(df, n).alias(f"t{i}") for i, n in enumerate(sparse)]]
+    wide = rows.select(*columns).filter(F.col("label").isNotNull())
     classes: list[str] = []
     if task == "classification":
-        wide, classes = label_encoded(wide, "label")
+        wide, labels, _ = label_encoded(wide, "label")
+        classes = [str(r["value"]) for r in labels.orderBy("index").collect()]
     for i, n in enumerate(sparse):
-        wide = _one_hot(wide, f"t{i}", levels[n], f"h{i}")
+        levels = table.filter(F.col("ordinal") == texts.index(n))
+        wide = _one_hot(wide, f"t{i}", levels, size[n], f"h{i}")
         inputs.append(f"h{i}")
-        width += len(levels[n]) - 1
-    if hashed:
-        names = [f"t{i}" for i in range(len(sparse), len(texts))]
-        hasher = FeatureHasher(numFeatures=HASHED_SLOTS, inputCols=names, outputCol="hashed")
-        wide = hasher.transform(wide.fillna("", names))
-        inputs.append("hashed")
-        width += HASHED_SLOTS
+        width += size[n] - 1
     if not inputs:
         raise ValueError("No usable feature columns.")
     rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(wide).select("label", "features", "is_test")
-    return TrainingFrame(rows, width, classes, excluded, hashed)
+    return TrainingFrame(rows, width, classes, excluded)
 
 
-def _one_hot(df: DataFrame, name: str, levels: Sequence[str], out: str) -> DataFrame:
+def _one_hot(df: DataFrame, name: str, levels: DataFrame, size: int, out: str) -> DataFrame:
     """Sparse 0/1 vector of a text column; the first level shares the dropped slot with
-    missing values. The level list is within its limit, so it is broadcast."""
-    last = len(levels) - 1
-    listed = df.sparkSession.createDataFrame([(v, i - 1) for i, v in enumerate(levels) if i], "level string, slot int")
-    found = df.join(F.broadcast(listed), F.col(name) == F.col("level"), "left")
-    nominal = {"ml_attr": {"type": "nominal", "num_vals": len(levels), "name": out}}
-    index = F.coalesce("slot", F.lit(last)).cast("double").alias(f"{out}_index", metadata=nominal)
-    indexed = found.select(*[c(n) for n in df.columns], index)
+    missing values."""
+    found = df.join(levels.select("value", "index"), F.col(name) == F.col("value"), "left")
+    nominal = {"ml_attr": {"type": "nominal", "num_vals": size, "name": out}}
+    slot = F.when(F.col("index") > 0, F.col("index") - 1).otherwise(F.lit(float(size - 1)))
+    indexed = found.select(*[c(n) for n in df.columns], slot.alias(f"{out}_index", metadata=nominal))
     encoder = OneHotEncoder(inputCols=[f"{out}_index"], outputCols=[out], dropLast=True)
     return encoder.fit(indexed).transform(indexed).drop(f"{out}_index")
 
 
-def label_encoded(df: DataFrame, name: str, limit: int = CLASS_LABELS) -> tuple[DataFrame, list[str]]:
-    """Replace a class column by its index in sorted order, through a broadcast list of at
-    most ``limit`` classes."""
-    found = df.select(name).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"Target has more than {limit} classes.")
-    classes = sorted(r[0] for r in found)
-    schema = T.StructType([T.StructField("class", df.schema[name].dataType), T.StructField("index", T.DoubleType())])
-    listed = df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(classes)], schema)
-    joined = df.join(F.broadcast(listed), F.col(name) == F.col("class"))
-    return joined.select(*[(F.col("index") if n == name else c(n)).alias(n) for n in df.columns]), [str(v) for v in classes]
+def label_encoded(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int]:
+    """Replace a class column by its index in sorted order; also the classes (value, index)
+    and their number."""
+    labels, sizes = numbered(df.select(F.lit(0).alias("ordinal"), c(name).alias("value")))
+    n = sizes.get(0, 0)
+    nominal = {"ml_attr": {"type": "nominal", "num_vals": max(n, 2), "name": name}}
+    joined = df.join(labels.select("value", "index"), F.col(name) == F.col("value"))
+    out = joined.select(*[(F.col("index").alias(k, metadata=nominal) if k == name else c(k)) for k in df.columns])
+    return out, labels, n
 
 
 def fit_logistic(train: DataFrame, n_rows: int | None = None) -> object:
@@ -232,7 +263,8 @@ def fit_linear(train: DataFrame) -> object:
     """Ordinary least squares with intercept; the solver falls back to iterations when
     there are many columns."""
     width = len(train.first()["features"])
-    return LinearRegression(regParam=0.0, solver="auto" if width <= 4096 else "l-bfgs").fit(train)
+    solver = "auto" if width <= WIDE_FEATURES else "l-bfgs"
+    return LinearRegression(regParam=0.0, solver=solver, maxIter=LINEAR_ITERATIONS).fit(train)
 
 
 def train_model(
@@ -240,22 +272,23 @@ def train_model(
     target: str | None,
     exclude: Sequence[str] = (),
     split_key: Sequence[str] | None = None,
-    level_limit: int = ENCODED_LEVELS,
 ) -> TrainedModel:
-    """Fit the baseline model of a target on 80 % of the rows and predict the rest."""
+    """Fit the baseline model of a target on 80 % of the rows and predict the rest. What the
+    fit reads again and again is written once."""
     if not target or target not in df.columns:
         raise ValueError("TRAIN_MODEL requires a valid target_column.")
     task = task_type(df, target)
-    frame = training_frame(df, target, task, exclude, split_key, level_limit)
-    sizes = {r["is_test"]: r["count"] for r in frame.rows.groupBy("is_test").count().collect()}
+    frame = training_frame(df, target, task, exclude, split_key)
+    rows = materialize(frame.rows)
+    sizes = {r["is_test"]: r["count"] for r in rows.groupBy("is_test").count().collect()}
     if not sizes:
         raise ValueError("No valid rows after filtering missing values.")
-    train, test = frame.rows.filter(~F.col("is_test")), frame.rows.filter("is_test")
+    train, test = rows.filter(~F.col("is_test")), rows.filter("is_test")
     model = fit_logistic(train, sizes.get(False, 0)) if task == "classification" else fit_linear(train)
     predictions = model.transform(test).select("label", "prediction")
     return TrainedModel(
         task, target, model, predictions, sizes.get(False, 0), sizes.get(True, 0),
-        frame.feature_count, frame.classes, frame.excluded, frame.hashed,
+        frame.feature_count, frame.classes, frame.excluded,
     )
 
 
@@ -317,9 +350,9 @@ def feature_importance(
 ) -> DataFrame:
     """(feature, feature_importance) of a random forest on the complete rows.
 
-    Text features are nominal: levels are indexed when they fit into ``bins``, otherwise
-    hashed into as many slots, so a feature of any cardinality takes part. Every feature
-    is one slot of the vector and needs no roll-up. Fewer than 20 rows give no result.
+    Text features are nominal, every level a category of its own. Every feature is one slot
+    of the vector and needs no roll-up. Fewer than 20 rows give no result. Histograms of a
+    forest hold levels x classes numbers per node, which sets the limit of what it can fit.
     """
     spark = df.sparkSession
     empty = spark.createDataFrame([], "feature string, feature_importance double")
@@ -331,28 +364,28 @@ def feature_importance(
         rows = rows.filter(value(df, n).isNotNull())
     classify = target_type == "classification"
     label = value(df, target) if classify else number(df, target)
-    rows = rows.filter(label.isNotNull())
-    if rows.count() < FOREST_ROWS:
+    numbers = [n for n in features if is_number_or_bool(dtype_of(df, n))]
+    texts = [n for n in features if n not in numbers]
+    cells = [(number(df, n) if n in numbers else text(df, n)).alias(f"f{i}") for i, n in enumerate(features)]
+    wide = materialize(rows.select(label.alias("label"), *cells).filter(F.col("label").isNotNull()))
+    if wide.count() < FOREST_ROWS:
         return empty
 
-    cols = []
-    for i, n in enumerate(features):
-        if is_number_or_bool(dtype_of(df, n)):
-            cols.append(number(df, n).alias(f"f{i}"))
-            continue
-        levels = levels_of(rows, n, bins)
-        if levels is None:
-            slot, size = F.pmod(F.xxhash64(text(df, n)), F.lit(bins)), bins
-        else:
-            slot, size = F.array_position(F.array(*[F.lit(v) for v in levels]), text(df, n)) - 1, max(len(levels), 2)
-        nominal = {"ml_attr": {"type": "nominal", "num_vals": size, "name": f"f{i}"}}
-        cols.append(slot.cast("double").alias(f"f{i}", metadata=nominal))
-    wide = rows.select(label.alias("label"), *cols)
+    places = {n: f"f{i}" for i, n in enumerate(features)}
+    most = 2
+    if texts:
+        table, sizes = numbered(_cells(wide, [places[n] for n in texts]))
+        for k, n in enumerate(texts):
+            size = max(sizes[k], 2)
+            most = max(most, size)
+            nominal = {"ml_attr": {"type": "nominal", "num_vals": size, "name": places[n]}}
+            found = wide.join(table.filter(F.col("ordinal") == k).select("value", "index"), F.col(places[n]) == F.col("value"))
+            wide = found.select(*[(F.col("index").alias(x, metadata=nominal) if x == places[n] else c(x)) for x in wide.columns])
     if classify:
-        wide, _ = label_encoded(wide, "label", limit=10_000)
+        wide, _, _ = label_encoded(wide, "label")
     train = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features").transform(wide)
     kind = RandomForestClassifier if classify else RandomForestRegressor
-    forest = kind(numTrees=trees, maxDepth=depth, maxBins=max(bins, 32), seed=FOREST_SEED, subsamplingRate=1.0)
+    forest = kind(numTrees=trees, maxDepth=depth, maxBins=max(bins, most), seed=FOREST_SEED, subsamplingRate=1.0)
     weights = forest.fit(train.select("label", "features")).featureImportances.toArray()
     return spark.createDataFrame(
         [(n, float(w)) for n, w in zip(features, weights)], "feature string, feature_importance double"

@@ -40,18 +40,26 @@ DATETIME_FORMATS = {
     "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
     "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$",
     "yyyy-MM-dd HH:mm": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$",
+    "yyyy-MM-dd'T'HH:mm": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}$",
+    "yyyy-MM-dd HH:mm:ss.SSS": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}$",
     "yyyy-MM-dd HH:mm:ss.SSSSSS": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{6}$",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}$",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}$",
+    "yyyy-MM-dd HH:mm:ssXXX": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})$",
     "yyyy-MM-dd'T'HH:mm:ss.SSSXXX": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}(Z|[+-]\d{2}:\d{2})$",
     "yyyy-MM-dd'T'HH:mm:ssXXX": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})$",
     "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
     "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
     "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
     "M/d/yyyy HH:mm": r"^\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}$",
+    "M/d/yyyy HH:mm:ss": r"^\d{1,2}/\d{1,2}/\d{4} \d{2}:\d{2}:\d{2}$",
     "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
     "d.M.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
     "yyyyMMdd": r"^\d{8}$",
     "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
+    "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
     "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
+    "MMMM d, yyyy": r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$",
 }
 
 LONGEST_DATETIME = 40
@@ -69,7 +77,7 @@ IDENTIFIER, BOOLEAN, TEXT = "IDENTIFIER", "BOOLEAN", "TEXT"
 def parsed_sql(col: str, fmt: str, formats: Mapping[str, str] = DATETIME_FORMATS) -> str:
     """SQL text: timestamp of a text in one format; NULL where shape or parse fails.
     Length and shape are tested first: the parser only sees likely texts."""
-    likely = f"length({col}) <= {LONGEST_DATETIME} AND trim({col}) RLIKE {literal(formats[fmt])}"
+    likely = f"length(trim({col})) <= {LONGEST_DATETIME} AND trim({col}) RLIKE {literal(formats[fmt])}"
     return f"CASE WHEN {likely} THEN try_to_timestamp(trim({col}), {literal(fmt)}) END"
 
 
@@ -113,6 +121,8 @@ def detect_datetime_format(df: DataFrame, name: str) -> str | None:
 def datetime_detection(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(ordinal, column, parse_ratio, is_datetime) for text columns."""
     names = list(columns or [n for n in df.columns if isinstance(dtype_of(df, n), T.StringType)])
+    if not names:
+        return df.sparkSession.createDataFrame([], "ordinal int, column string, parse_ratio double, is_datetime boolean")
     best = frequency_stats(df, names, {"parse_ratio": parse_ratio_sql()})
     is_datetime = F.coalesce(F.col("parse_ratio") >= DATETIME_SHARE, F.lit(False))
     return _named(best, names).select("ordinal", "column", "parse_ratio", is_datetime.alias("is_datetime"))
@@ -173,6 +183,8 @@ def _pct(part: Column, whole: Column) -> Column:
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(ordinal, column, mean, std, min, max) of number columns; std is the sample one."""
     names = list(columns or [n for n in df.columns if is_number(dtype_of(df, n))])
+    if not names:
+        return df.sparkSession.createDataFrame([], "ordinal int, column string, mean double, std double, min double, max double")
     return per_column_agg(df, names, lambda n: moments_sql(number_sql(df, n)))
 
 
@@ -217,6 +229,8 @@ def column_profile(
     cost nothing.
     """
     names = atomic_columns(df)
+    if not names:
+        return df.sparkSession.createDataFrame([], PROFILE_SCHEMA)
     kinds = {n: kind_of(dtype_of(df, n)) for n in names}
     nothing = "max(cast(NULL AS double))"
 

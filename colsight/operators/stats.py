@@ -90,9 +90,16 @@ def class_moments(df: DataFrame, target: str, features: Sequence[str]) -> DataFr
     )
 
 
-def category_moments(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
-    """(class, ordinal, feature, n, mean, var) of a numeric target per feature level."""
-    long = _long(df, [text(df, n) for n in features], number(df, target))
+def _digest(col: Column) -> Column:
+    """Sixteen bytes that stand for a text where it is a key only."""
+    return F.unhex(F.md5(col))
+
+
+def category_moments(df: DataFrame, target: str, features: Sequence[str], digest: bool = False) -> DataFrame:
+    """(class, ordinal, feature, n, mean, var) of a numeric target per feature level. With
+    ``digest`` a level is named by its digest, so whole texts are not shuffled."""
+    levels = [_digest(text(df, n)) if digest else text(df, n) for n in features]
+    long = _long(df, levels, number(df, target))
     grouped = long.groupBy("ordinal", F.col("x").alias("class")).agg(
         F.count("y").alias("n"), F.avg("y").alias("mean"), F.var_samp("y").alias("var")
     )
@@ -154,7 +161,7 @@ def anova_by_class(df: DataFrame, target: str, features: Sequence[str]) -> DataF
 
 def anova_by_category(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     centre = df.agg(F.avg(number(df, target))).first()[0]
-    return anova(category_moments(df, target, features), dict.fromkeys(features, centre))
+    return anova(category_moments(df, target, features, digest=True), dict.fromkeys(features, centre))
 
 
 def cohens_d(moments: DataFrame) -> DataFrame:
@@ -268,10 +275,10 @@ def spearman(
     def side(col: str) -> DataFrame:
         counted = pairs.groupBy("ordinal", col).agg(F.sum("n").alias("m"))
         bucket = range_bucket(long, ["ordinal", col], size, rows_per_bucket)
-        return average_ranks(counted, ["ordinal"], col, "m", bucket).select("ordinal", col, F.col("avg_rank").alias(f"r{col}"))
+        ranks = average_ranks(counted, ["ordinal"], col, "m", bucket)
+        return ranks.select("ordinal", col, F.col("avg_rank").alias(f"r{col}"), F.col("m_total").alias("total"))
 
-    totals = pairs.groupBy("ordinal").agg(F.sum("n").alias("total"))
-    ranked = pairs.join(side("x"), ["ordinal", "x"]).join(side("y"), ["ordinal", "y"]).join(totals, "ordinal")
+    ranked = pairs.join(side("x"), ["ordinal", "x"]).join(side("y").drop("total"), ["ordinal", "y"])
     middle = (F.col("total") + 1) / 2.0
     dx, dy = F.col("rx") - middle, F.col("ry") - middle
     sums = ranked.groupBy("ordinal").agg(
@@ -288,9 +295,11 @@ def spearman(
 # --- contingency -----------------------------------------------------------------------
 
 
-def contingency(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
-    """(ordinal, feature, level, class, n): non-empty cells of every feature x target table."""
-    long = _long(df, [text(df, n) for n in features], text(df, target))
+def contingency(df: DataFrame, target: str, features: Sequence[str], digest: bool = False) -> DataFrame:
+    """(ordinal, feature, level, class, n): non-empty cells of every feature x target table.
+    With ``digest`` levels and classes are named by their digests."""
+    cells = [_digest(text(df, n)) if digest else text(df, n) for n in features]
+    long = _long(df, cells, _digest(text(df, target)) if digest else text(df, target))
     counted = long.groupBy("ordinal", F.col("x").alias("level"), F.col("y").alias("class")).agg(F.count(F.lit(1)).alias("n"))
     return counted.select("ordinal", _feature(features), "level", "class", "n")
 
@@ -313,7 +322,7 @@ def chi_square(cells: DataFrame) -> DataFrame:
         cells.withColumnRenamed("n", "observed")
         .join(level_totals, ["ordinal", "level"])
         .join(class_totals, ["ordinal", "class"])
-        .join(classes.select("ordinal", "n"), "ordinal")
+        .join(F.broadcast(classes.select("ordinal", "n")), "ordinal")  # a row per feature
     )
     expected = F.col("level_n") * (F.col("class_n") / F.col("n"))
     gap = F.abs(F.col("observed") - expected)
@@ -440,7 +449,7 @@ def _anova_result(tested: DataFrame, test_type: str) -> DataFrame:
 
 
 def _categories_by_class(df: DataFrame, target: str, features: list[str]) -> DataFrame:
-    tested = chi_square(contingency(df, target, features)).filter(F.col("n") >= MIN_ROWS)
+    tested = chi_square(contingency(df, target, features, digest=True)).filter(F.col("n") >= MIN_ROWS)
     return _result(
         tested, "chi_square", n=F.col("n"), statistic=F.col("chi2"), df1=F.col("dof"),
         p_value=chi2_tail("chi2", "dof"), effect_size=F.col("cramers_v"),
@@ -475,6 +484,11 @@ def with_confidence(results: DataFrame) -> DataFrame:
     return results.withColumn("confidence_score", exact_round(score, 4))
 
 
+def quality_flags(df: DataFrame, target: str) -> list[str]:
+    """Flags of the target column, as they belong to a bundle of results."""
+    return list(target_flags(df, target).first()["flags"])
+
+
 def result_bundle(
     df: DataFrame,
     target: str,
@@ -492,5 +506,6 @@ def result_bundle(
     else:
         scored = tests.join(importance.select("feature", "feature_importance"), "feature", "left")
     model = "random_forest_classifier" if target_type == "classification" else "random_forest_regressor"
-    full = with_confidence(scored).withColumn("model_type_used", F.lit(model))
+    flags = F.array(*[F.lit(x) for x in quality_flags(df, target)]).cast("array<string>")
+    full = with_confidence(scored).withColumn("model_type_used", F.lit(model)).withColumn("data_quality_flags", flags)
     return full.select("target", "target_type", *[n for n in full.columns if n not in ("target", "target_type")])

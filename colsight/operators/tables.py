@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colsight.functions.exprs import (
     atomic_columns,
@@ -17,6 +18,7 @@ from colsight.functions.exprs import (
     corr_sql,
     from_micros,
     is_number,
+    is_number_or_bool,
     is_temporal,
     literal,
     micros_sql,
@@ -28,6 +30,7 @@ from colsight.functions.exprs import (
 )
 from colsight.operators import profile as P
 from colsight.operators.blocks import (
+    COLUMNS_PER_AGGREGATE,
     ROWS_PER_BUCKET,
     exact_quantiles,
     frequency_stats,
@@ -135,7 +138,8 @@ def group_aggregate(pairs: DataFrame, agg: str, order_column: str | None = None)
         seq = F.when(t.isNotNull(), F.col("seq"))
         expr = F.min_by(t, seq) if agg == "first" else F.max_by(t, seq)
     elif agg in ("mean", "sum", "std", "var", "sem", "prod", "skew"):
-        x = t.cast("double") if agg != "sum" else t
+        whole = isinstance(dtype_of(pairs, "target"), T.BooleanType)
+        x = t.cast("double") if agg != "sum" else t.cast("bigint") if whole else t
         n = F.count(x)
         expr = {
             "mean": F.avg(x),
@@ -171,16 +175,15 @@ def grouped_median(pairs: DataFrame, n_rows: int | None = None, rows_per_bucket:
     counted = present.groupBy("group", "target").agg(F.count(F.lit(1)).alias("n"))
     bucket = range_bucket(present, ["target"], present.count() if n_rows is None else n_rows, rows_per_bucket)
     placed = running_totals(counted, ["group"], ["target"], ["n"], bucket)
-    sizes = clean.groupBy("group").agg(F.count("target").alias("size"))
-    low, high = F.floor((F.col("size") - 1) / 2), F.floor(F.col("size") / 2)
+    low, high = F.floor((F.col("n_total") - 1) / 2), F.floor(F.col("n_total") / 2)
     first, end = F.col("n_before"), F.col("n_before") + F.col("n")
+    groups = clean.select("group").distinct()
     middle = (
-        placed.join(sizes, "group")
-        .filter((first <= high) & (end > low))
+        placed.filter((first <= high) & (end > low))
         .groupBy("group")
         .agg(((F.min("target") + F.max("target")) / 2).alias("value"))
     )
-    return sizes.join(middle, "group", "left").select("group", "value")
+    return groups.join(middle, "group", "left").select("group", "value")
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -213,8 +216,12 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 
 
 def _complete_columns(df: DataFrame, x: Sequence[str]) -> set[int]:
-    gaps = df.agg(*[F.expr(f"count_if({e} IS NULL)").alias(f"g{i}") for i, e in enumerate(x)]).first()
-    return {i for i in range(len(x)) if gaps[f"g{i}"] == 0}
+    full = set()
+    for start in range(0, len(x), COLUMNS_PER_AGGREGATE):
+        part = list(enumerate(x))[start : start + COLUMNS_PER_AGGREGATE]
+        gaps = df.agg(*[F.expr(f"count_if({e} IS NULL)").alias(f"g{i}") for i, e in part]).first()
+        full |= {i for i, _ in part if gaps[f"g{i}"] == 0}
+    return full
 
 
 def _matrix_pairs(df: DataFrame, names: Sequence[str], x: Sequence[str], full: set[int]) -> DataFrame:
@@ -258,9 +265,9 @@ def strongest_correlation(df: DataFrame, columns: Sequence[str] | None = None, p
 
 
 def trend(df: DataFrame, datetime_column: str, target_column: str | None = None) -> DataFrame:
-    """Monthly mean of a numeric target, else monthly row counts (``month_end``, ``value``)."""
+    """Monthly mean of a numeric or boolean target, else monthly row counts (``month_end``, ``value``)."""
     _need(df, datetime_column, "Valid datetime_column is required.")
-    numeric = target_column in df.columns and is_number(dtype_of(df, target_column))
+    numeric = target_column in df.columns and is_number_or_bool(dtype_of(df, target_column))
     return trend_mean(df, datetime_column, target_column) if numeric else trend_count(df, datetime_column)
 
 

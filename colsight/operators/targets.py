@@ -7,6 +7,7 @@ through the same job.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,17 +28,34 @@ INTENT_WORDS = {
 }
 DEFAULT_INTENT = "DESCRIPTIVE"
 # Distinct values above which a number is a regression target; limits of
-# the target suggestion; candidates kept per table and per message.
+# the target suggestion.
 REGRESSION_DISTINCT = 10
 CLASS_LEVELS = (2, 6)
 SPREAD_DISTINCT, SPREAD_SHARE = 20, 0.05
-MAX_TARGETS = 8
-MAX_CANDIDATES = 5
-# Features per kind and target type, fallback features, features in all.
-NUMERIC_FEATURES = {"classification": 8, "regression": 10}
-CATEGORY_FEATURES = 8
-FALLBACK_FEATURES = 6
-MAX_FEATURES = 20
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Most candidates and features that are kept; None keeps all."""
+
+    targets: int | None = None
+    candidates: int | None = None
+    numeric_classification: int | None = None
+    numeric_regression: int | None = None
+    categories: int | None = None
+    fallback: int | None = None
+    features: int | None = None
+
+
+NO_LIMITS = Limits()
+# The limits of a short report.
+REPORT_LIMITS = Limits(
+    targets=8, candidates=5, numeric_classification=8, numeric_regression=10, categories=8, fallback=6, features=20
+)
+
+
+def within(nth: Column, limit: int | None) -> Column:
+    return F.lit(True) if limit is None else nth <= limit
 
 
 def contains_any(col: Column, words: Sequence[str]) -> Column:
@@ -55,8 +73,8 @@ def target_types(profile: DataFrame) -> DataFrame:
     )
 
 
-def suggest_targets(profile: DataFrame, limit: int = MAX_TARGETS) -> DataFrame:
-    """Likely target columns per table, in source order."""
+def suggest_targets(profile: DataFrame, limit: int | None = None) -> DataFrame:
+    """Likely target columns per table, in source order; at most ``limit`` of each."""
     present = F.col("n_rows") - F.col("n_missing")
     number = F.col("kind") == "number"
     levels = F.col("n_distinct")
@@ -70,10 +88,10 @@ def suggest_targets(profile: DataFrame, limit: int = MAX_TARGETS) -> DataFrame:
     )
     rank = F.row_number().over(Window.partitionBy("table_name").orderBy("ordinal"))
     kept = profile.filter(fits).select("table_name", "ordinal", "column", rank.alias("rank"))
-    return kept.filter(F.col("rank") <= limit)
+    return kept.filter(within(F.col("rank"), limit))
 
 
-def resolve_targets(profile: DataFrame, candidates: Sequence[str]) -> DataFrame:
+def resolve_targets(profile: DataFrame, candidates: Sequence[str], limit: int | None = None) -> DataFrame:
     """Named candidates that exist, in the order given; without any, the suggestions.
 
     ``needs_choice`` is true when a table ends up with none or several.
@@ -83,7 +101,7 @@ def resolve_targets(profile: DataFrame, candidates: Sequence[str]) -> DataFrame:
     explicit = profile.filter(position > 0).select(
         "table_name", "column", position.cast("int").alias("rank"), F.lit("explicit").alias("source")
     )
-    suggested = suggest_targets(profile).select("table_name", "column", "rank", F.lit("suggested").alias("source"))
+    suggested = suggest_targets(profile, limit).select("table_name", "column", "rank", F.lit("suggested").alias("source"))
     both = explicit.unionByName(suggested)
     by_table = Window.partitionBy("table_name")
     named = F.max(F.col("source") == "explicit").over(by_table)
@@ -117,30 +135,30 @@ def column_mentions(messages: DataFrame, names: Sequence[str], text_column: str
     return messages.withColumn("column", F.explode(mentioned(c(text_column), names)))
 
 
-def hinted_names(names: Sequence[str], limit: int = MAX_CANDIDATES) -> list[str]:
+def hinted_names(names: Sequence[str], limit: int | None = None) -> list[str]:
     return [n for n in names if any(w in n.lower() for w in TARGET_WORDS)][:limit]
 
 
-def hinted_columns(messages: DataFrame, names: Sequence[str], text_column: str = "text") -> DataFrame:
+def hinted_columns(messages: DataFrame, names: Sequence[str], text_column: str = "text", limit: int | None = None) -> DataFrame:
     """For messages that mention no column: the columns whose names suggest a target."""
     silent = messages.filter(F.size(mentioned(c(text_column), names)) == 0)
-    hints = F.array(*[F.lit(n) for n in hinted_names(names)]).cast("array<string>")
+    hints = F.array(*[F.lit(n) for n in hinted_names(names, limit)]).cast("array<string>")
     return silent.withColumn("column", F.explode(hints))
 
 
-def parse_messages(messages: DataFrame, names: Sequence[str], text_column: str = "text") -> DataFrame:
-    """Intent and target candidates of every message."""
+def parse_messages(messages: DataFrame, names: Sequence[str], text_column: str = "text", limit: int | None = None) -> DataFrame:
+    """Intent and target candidates of every message; at most ``limit`` candidates."""
     found = mentioned(c(text_column), names)
-    hints = F.array(*[F.lit(n) for n in hinted_names(names)]).cast("array<string>")
-    candidates = F.when(F.size(found) > 0, F.slice(found, 1, MAX_CANDIDATES)).otherwise(hints)
+    hints = F.array(*[F.lit(n) for n in hinted_names(names, limit)]).cast("array<string>")
+    candidates = F.when(F.size(found) > 0, F.slice(found, 1, limit or max(1, len(names)))).otherwise(hints)
     return intent_tags(messages, text_column).withColumn("target_candidates", candidates)
 
 
-def hypotheses(profile: DataFrame, targets: DataFrame) -> DataFrame:
+def hypotheses(profile: DataFrame, targets: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
     """Features to test per (table_name, target, target_type), in order.
 
-    Numeric metrics first, then categories, booleans and texts, each up to its limit;
-    a target without any gets its first other columns whatever their role.
+    Numeric metrics first, then categories, booleans and texts, each up to its limit if there
+    is one; a target without any gets its other columns whatever their role.
     """
     role = F.col("role")
     group = F.when(role == P.METRIC, 1).when(role.isin(P.CATEGORY, P.BOOLEAN, P.TEXT), 2).otherwise(3)
@@ -156,12 +174,12 @@ def hypotheses(profile: DataFrame, targets: DataFrame) -> DataFrame:
         .withColumn("testable", F.max(F.col("kind_rank") < 3).over(by_target))
     )
     classify = F.col("target_type") == "classification"
-    numeric_limit = F.when(classify, NUMERIC_FEATURES["classification"]).otherwise(NUMERIC_FEATURES["regression"])
+    nth = F.col("nth")
+    numeric = F.when(classify, within(nth, limits.numeric_classification)).otherwise(within(nth, limits.numeric_regression))
     keep = F.when(
         F.col("testable"),
-        ((F.col("kind_rank") == 1) & (F.col("nth") <= numeric_limit))
-        | ((F.col("kind_rank") == 2) & (F.col("nth") <= CATEGORY_FEATURES)),
-    ).otherwise(F.col("nth_any") <= FALLBACK_FEATURES)
+        ((F.col("kind_rank") == 1) & numeric) | ((F.col("kind_rank") == 2) & within(nth, limits.categories)),
+    ).otherwise(within(F.col("nth_any"), limits.fallback))
     signal = F.when(classify, "classification_signal").otherwise("correlation")
     feature, target = F.col("column"), F.col("target")
     # Descriptions of the four kinds of test and of the fallback.
@@ -189,5 +207,5 @@ def hypotheses(profile: DataFrame, targets: DataFrame) -> DataFrame:
             F.when(F.col("testable") & (F.col("kind_rank") == 2), "group_difference").otherwise(signal).alias("type"),
             description.alias("description"),
         )
-        .filter(F.col("ordinal") <= MAX_FEATURES)
+        .filter(within(F.col("ordinal"), limits.features))
     )

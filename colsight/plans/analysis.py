@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from colsight.functions.exprs import nan_to_null
 from colsight.operators import cleaning, drivers, model, stats, tables, targets
 from colsight.operators import profile as P
-from colsight.operators.blocks import duplicate_count
 from colsight.session import materialize
 
 STEP_SCHEMA = "step_id string, operation string, status string, summary string, metrics map<string,string>"
@@ -25,6 +24,11 @@ class DriverAnalysis:
     ranking: DataFrame
     answer: DataFrame
     hypotheses: DataFrame
+    data_quality_flags: list[str] = field(default_factory=list)
+
+
+# Fixed text: flag of an analysis without model importance.
+FOREST_FLAG = "Model importance is missing: the forest could not be fitted ({})."
 
 
 def driver_analysis(
@@ -34,8 +38,13 @@ def driver_analysis(
     profile: DataFrame | Sequence[Row] | None = None,
     importance: bool = True,
     trees: int = model.TREES,
+    limits: targets.Limits = targets.NO_LIMITS,
 ) -> DriverAnalysis:
-    """Which columns move a target: hypotheses, tests, importance, ranking, answer."""
+    """Which columns move a target: hypotheses, tests, importance, ranking, answer, flags.
+
+    All columns are tested unless ``limits`` are given. If no forest can be fitted, importance
+    is missing and a flag says so.
+    """
     df = nan_to_null(df)
     if target not in df.columns:
         raise ValueError(f"Target column '{target}' is not present in dataframe.")
@@ -46,17 +55,21 @@ def driver_analysis(
         target_type = types["target_type"] if types else "classification"
     table = rows[0]["table_name"]
     wanted = df.sparkSession.createDataFrame([(table, target, target_type)], "table_name string, target string, target_type string")
-    hypotheses = targets.hypotheses(small, wanted)
+    hypotheses = targets.hypotheses(small, wanted, limits)
     features = [r["feature"] for r in hypotheses.orderBy("ordinal").collect()]
     found = stats.run_tests(df, target, features, target_type)
     tests = df.sparkSession.createDataFrame(found.collect(), found.schema)
+    flags = stats.quality_flags(df, target)
     weights = None
     if importance:
         tested = [r["feature"] for r in tests.orderBy("ordinal").collect()]
-        weights = model.feature_importance(df, tested, target, target_type, trees=trees)
+        try:
+            weights = model.feature_importance(df, tested, target, target_type, trees=trees)
+        except Exception as exc:  # noqa: BLE001 - the tests stand without the forest
+            flags.append(FOREST_FLAG.format(str(exc).splitlines()[0][:200]))
     kept = stats.result_bundle(df, target, features, target_type, weights, tests)
     ranking = drivers.rank_drivers(kept)
-    return DriverAnalysis(target, target_type, kept, ranking, drivers.answers(ranking, wanted), hypotheses)
+    return DriverAnalysis(target, target_type, kept, ranking, drivers.answers(ranking, wanted), hypotheses, flags)
 
 
 @dataclass
@@ -120,8 +133,8 @@ def _evaluate_step(df, params, state):
 
 def _clean_step(df, params, state):
     operations = params.get("operations", cleaning.DEFAULT_OPERATIONS)
-    removed = duplicate_count(df)[1] if "drop_duplicates" in operations else None
-    cleaned = materialize(cleaning.clean(df, operations))
+    cleaned, removed = cleaning.clean_counted(df, operations)
+    cleaned = materialize(cleaned)
     frame = cleaning.clean_metrics(df, cleaned, removed)
     row = {k: str(v) for k, v in frame.first().asDict().items() if v is not None}
     return frame, "Applied deterministic data cleaning operations.", row, cleaned

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,20 +29,35 @@ def local_session(cores: int | str = 8, app_name: str = "colsight", driver_memor
     return spark
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for an intermediate table, below the shared folder that
+    ``spark.checkpoint.dir`` names. Only a local session without that setting gets a
+    temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a shared folder.")
+        root = tempfile.mkdtemp(prefix="colsight-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a DataFrame that several jobs will read, and cut its lineage.
 
-    The checkpoint goes to the shared folder named in ``spark.checkpoint.dir``, where it
-    outlives a lost executor. Only a local session without that setting gets a temporary
-    folder.
+    The table is Parquet, so later scans read only the columns they need, and it outlives a
+    lost executor. ``release`` deletes it.
     """
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` returned; it can't be read afterwards."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("Set spark.checkpoint.dir to a shared folder.")
-            folder = tempfile.mkdtemp(prefix="colsight-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/table-" not in folder:
+            raise ValueError(f"Not an intermediate table: {folder}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

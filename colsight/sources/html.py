@@ -29,7 +29,10 @@ class _FirstTable(HTMLParser):
         self._depth = 0
         self._row: list[str] | None = None
         self._cell: list[str] | None = None
-        self._span = 1
+        self._span = (1, 1)
+        # Cells that reach down, by column: rows left and text, for this row and the next.
+        self._down: dict[int, tuple[int, str]] = {}
+        self._later: dict[int, tuple[int, str]] = {}
         self._header = False
         self._in_head = False
 
@@ -48,8 +51,8 @@ class _FirstTable(HTMLParser):
             if self._row is None:
                 self._row, self._header = [], True
             self._header = self._header and (tag == "th" or self._in_head)
-            span = dict(attrs).get("colspan") or "1"
-            self._span = int(span) if span.isdigit() and int(span) > 0 else 1
+            spans = [dict(attrs).get(k) or "1" for k in ("colspan", "rowspan")]
+            self._span = tuple(int(x) if x.isdigit() and int(x) > 0 else 1 for x in spans)
             self._cell = []
 
     def handle_endtag(self, tag: str) -> None:
@@ -75,13 +78,29 @@ class _FirstTable(HTMLParser):
 
     def _close_cell(self) -> None:
         if self._cell is not None and self._row is not None:
-            self._row.extend([" ".join("".join(self._cell).split())] * self._span)
+            text = " ".join("".join(self._cell).split())
+            across, down = self._span
+            for _ in range(across):
+                self._from_above()
+                if down > 1:
+                    self._later[len(self._row)] = (down - 1, text)
+                self._row.append(text)
         self._cell = None
 
+    def _from_above(self) -> None:
+        """Cells of earlier rows that reach down to the next places of this row."""
+        while (held := self._down.pop(len(self._row), None)) is not None:
+            left, text = held
+            if left > 1:
+                self._later[len(self._row)] = (left - 1, text)
+            self._row.append(text)
+
     def _close_row(self) -> None:
         self._close_cell()
-        if self._row:
+        if self._row is not None and (self._row or self._down):
+            self._from_above()
             self.rows.append((self._header, self._row))
+            self._down, self._later = self._later, {}
         self._row = None
 
 
@@ -122,14 +141,19 @@ def pages_without_table(pages: DataFrame, id_column: str = "page_id", html_colum
     return pages.filter(~F.lower(markup).contains("<table")).select(c(id_column))
 
 
-def table_frame(rows: DataFrame, page_id: str) -> DataFrame:
-    """The table of one page with its header row as column names (text columns)."""
-    mine = rows.filter(F.col("page_id") == page_id)
-    lead = mine.filter(F.col("row_no") == 0).first()
-    if lead is None:
-        raise ValueError("No table found in HTML file.")
-    width = mine.agg(F.max(F.size("cells"))).first()[0]
-    names = list(lead["cells"]) if lead["is_header"] else []
-    names += [str(i) for i in range(len(names), width)]
-    body = mine.filter(F.col("row_no") > 0) if lead["is_header"] else mine
+def table_frame(rows: DataFrame, page_id: str | None = None) -> DataFrame:
+    """The table of one page (of all rows without ``page_id``) with its header rows as column
+    names (text columns)."""
+    mine = rows if page_id is None else rows.filter(F.col("page_id") == page_id)
+    first_body, width = mine.agg(F.min(F.when(~F.col("is_header"), F.col("row_no"))), F.max(F.size("cells"))).first()
+    if width is None:
+        raise ValueError("The page holds no table.")
+    # All header rows above the body name the columns together.
+    above = F.col("is_header") if first_body is None else F.col("row_no") < first_body
+    heads = [r["cells"] for r in mine.filter(above).orderBy("row_no").collect()]
+    names = []
+    for i in range(width):
+        parts = dict.fromkeys(h[i] for h in heads if i < len(h) and h[i])
+        names.append(" ".join(parts) or str(i))
+    body = mine.filter(~above)
     return body.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])

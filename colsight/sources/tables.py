@@ -30,23 +30,45 @@ MEGABYTE = 1024 * 1024
 def load_table(spark: SparkSession, path: str, fmt: str | None = None, **options: str) -> DataFrame:
     """Read a table by format, given or taken from the file suffix.
 
-    CSV is read as text, missing tokens become NULL, then columns are typed.
+    CSV is read as text, missing tokens become NULL, then columns are typed. Files with
+    line breaks inside quotes are found beforehand and read whole, all others in splits;
+    ``multiLine`` as an option decides by hand. A repeated header name gets .1, .2, ...
+    An HTML file gives its first table.
     """
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     kind = (fmt or suffix.lstrip(".")).lower()
     if kind not in READERS:
-        raise ValueError(f"Unsupported file type: {suffix or kind}")
+        raise ValueError(f"No reader for files of type {suffix or kind}.")
     if kind == "csv":
-        raw = spark.read.options(**{"header": "true", "multiLine": "false", "escape": '"', **options}).csv(path)
-        return infer_types(na_to_null(raw))
+        return infer_types(na_to_null(_csv(spark, path, options)))
     if kind == "html":
-        pages = spark.read.option("wholetext", "true").text(path).select(F.lit(path).alias("page_id"), F.col("value").alias("html"))
-        return infer_types(na_to_null(table_frame(html_tables(pages), path)))
+        page = F.col("_metadata.file_path").alias("page_id")
+        rows = html_tables(spark.read.option("wholetext", "true").text(path).select(page, F.col("value").alias("html")))
+        found = [r["page_id"] for r in rows.select("page_id").distinct().limit(2).collect()]
+        if len(found) > 1:
+            raise ValueError("Several pages hold a table; html_tables reads them in long form.")
+        return infer_types(na_to_null(table_frame(rows, *found)))
     if kind == "json":
         return spark.read.options(**options).json(path)
     return spark.read.options(**options).parquet(path)
 
 
+def _csv(spark: SparkSession, path: str, options: dict[str, str]) -> DataFrame:
+    chosen = {"header": "true", "escape": '"', **options}
+    if "multiLine" not in chosen:
+        # A line with an odd number of quotes begins or ends a quoted line break.
+        quotes = F.length("value") - F.length(F.replace("value", F.lit(chosen.get("quote", '"')), F.lit("")))
+        broken = not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+        chosen["multiLine"] = "true" if broken else "false"
+    raw = spark.read.options(**chosen).csv(path)
+    if str(chosen["header"]).lower() != "true":
+        return raw
+    first = spark.read.options(**{**chosen, "header": "false"}).csv(path).first()
+    names = [n if v is None else v for n, v in zip(raw.columns, first or raw.columns)]
+    plain = [n.strip().lower() for n in names]
+    return raw if len(set(plain)) == len(plain) or len(names) != len(raw.columns) else raw.toDF(*unique_names(names))
+
+
 def na_to_null(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
     """Missing tokens in text columns and NaN in float columns become NULL."""
     out = nan_to_null(df)
@@ -97,22 +119,26 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def normalized_names(names: Sequence[str]) -> list[str]:
-    """Stripped lower-case names; a repeated name gets .1, .2, ..."""
+def unique_names(names: Sequence[str]) -> list[str]:
+    """Names that differ when case is ignored: a repeated one gets .1, .2, ..."""
     out: list[str] = []
-    taken = {str(n).strip().lower() for n in names}
+    taken = {n.lower() for n in names}
     seen: set[str] = set()
-    for n in names:
-        plain = str(n).strip().lower()
+    for plain in names:
         name, k = plain, 0
-        while name in seen or (k and name in taken):
+        while name.lower() in seen or (k and name.lower() in taken):
             k += 1
             name = f"{plain}.{k}"
-        seen.add(name)
+        seen.add(name.lower())
         out.append(name)
     return out
 
 
+def normalized_names(names: Sequence[str]) -> list[str]:
+    """Stripped lower-case names; a repeated name gets .1, .2, ..."""
+    return unique_names([str(n).strip().lower() for n in names])
+
+
 def normalize_names(df: DataFrame) -> DataFrame:
     return df.toDF(*normalized_names(df.columns))
 
@@ -128,15 +154,15 @@ def table_metadata(df: DataFrame) -> DataFrame:
 def validate(df: DataFrame | None, max_rows: int | None = None) -> tuple[bool, str | None]:
     """Whether a table can be analysed, and why not. There is no row limit by default."""
     if df is None:
-        return False, "DataFrame is None"
+        return False, "There is no table."
     if len(df.columns) == 0:
-        return False, "DataFrame has no columns"
+        return False, "The table has no columns."
     if df.isEmpty():
-        return False, "DataFrame is empty"
+        return False, "The table has no rows."
     if max_rows is not None:
         rows = df.limit(max_rows + 1).count()
         if rows > max_rows:
-            return False, f"DataFrame too large: more than {max_rows} rows (max: {max_rows})"
+            return False, f"The table has more rows than the limit of {max_rows}."
     return True, None
 
 

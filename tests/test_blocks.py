@@ -1,10 +1,13 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from colsight.operators import blocks as B
-from colsight.session import materialize
+from colsight.operators import cleaning
+from colsight.session import materialize, release
 
 
 @pytest.mark.parametrize("cell", [5, 100, 100_000])
@@ -73,4 +76,23 @@ def test_modes_keep_their_type(spark):
 
 def test_materialized_table_is_kept_under_the_checkpoint_folder(spark):
     df = materialize(spark.range(10).filter("id > 3"))
-    assert df.count() == 6 and spark.sparkContext.getCheckpointDir() is not None
+    files = [f.removeprefix("file:").replace("//", "/") for f in df.inputFiles()]
+    assert df.count() == 6 and all("/table-" in f and os.path.exists(f) for f in files)
+    release(df)
+    assert not any(map(os.path.exists, files))
+    with pytest.raises(ValueError):
+        release(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
+
+
+def test_many_columns_go_in_bounded_aggregates(spark):
+    df = spark.range(50).select(*[(F.col("id") * (i + 1) % 37).cast("double").alias(f"c{i}") for i in range(300)])
+    got = B.exact_quantiles(df, df.columns, [0.5])
+    want = df.toPandas().median()
+    assert len(got) == 300 and all(got[n][0] == want[n] for n in df.columns)
+    assert B.gap_counts(df, df.columns).agg(F.sum("n_missing")).first()[0] == 0
+
+
+def test_maps_are_compared_by_their_entries(spark):
+    df = spark.sql("SELECT map('a', 1, 'b', 2) AS m, 1 AS k UNION ALL SELECT map('b', 2, 'a', 1), 1 UNION ALL SELECT map('a', 2), 1")
+    assert B.duplicate_count(df) == (3, 1)
+    assert cleaning.drop_duplicates(df).count() == 2

@@ -48,15 +48,65 @@ def test_regression_model_learns(sales):
     assert model.evaluate(trained).first()["r2"] > 0.99
 
 
-def test_classification_with_hashed_text(sales):
+def test_classification_with_many_levels(sales):
     wide = sales.withColumn("note", F.concat(F.lit("z"), F.col("zone"), (F.col("size") % 5).cast("string")))
-    trained = model.train_model(wide.select("note", "size", "zone"), "zone", level_limit=4)
-    assert trained.task_type == "classification" and trained.hashed == ["note"] and trained.classes == ["n", "s", "w"]
+    trained = model.train_model(wide.select("note", "size", "zone"), "zone")
+    assert trained.task_type == "classification" and trained.feature_count == 15 and trained.classes == ["n", "s", "w"]
     assert model.evaluate(trained).first()["accuracy"] > 0.95
     with pytest.raises(ValueError, match="valid target_column"):
         model.train_model(sales, "absent")
 
 
+def test_no_level_or_class_is_lost(spark):
+    df = spark.range(3000).select(F.format_string("L%05d", F.col("id") % 1500).alias("s"), (F.col("id") % 7).alias("y"))
+    wide = model.dummy_encode(df, "y")
+    assert len(wide.columns) == 1500 and wide.agg(F.sum("s_L00001"), F.sum("s_L01499")).first()[:] == (2, 2)
+    long = model.dummy_long(df.withColumn("k", F.monotonically_increasing_id()), ["k"])
+    assert long.columns == ["k", "column", "level"] and long.select("level").distinct().count() == 1500
+    table, sizes = model.numbered(df.select(F.lit(0).alias("ordinal"), F.col("s").alias("value")))
+    got = [(r["value"], r["index"]) for r in table.orderBy("index").collect()]
+    assert sizes == {0: 1500} and got == [(f"L{i:05d}", float(i)) for i in range(1500)]
+    coded, labels, n = model.label_encoded(df.select(F.col("s").alias("label")), "label")
+    assert n == 1500 and labels.count() == 1500 and coded.agg(F.max("label")).first()[0] == 1499.0
+
+
+def test_forest_with_many_classes(spark):
+    df = spark.range(600).select((F.col("id") % 150).cast("string").alias("y"), (F.col("id") % 150).cast("double").alias("x"), (F.col("id") % 7).cast("string").alias("t"))
+    rows = model.feature_importance(df, ["x", "t"], "y", "classification", trees=3, depth=3).collect()
+    assert sum(r["feature_importance"] for r in rows) == pytest.approx(1.0)
+
+
+def test_driver_analysis_says_when_no_forest_fits(sales, monkeypatch):
+    def broken(*args, **kwargs):
+        raise RuntimeError("too many classes")
+
+    monkeypatch.setattr(model, "feature_importance", broken)
+    gappy = sales.withColumn("amount", F.when(F.col("size") > 0, F.col("amount")))
+    done = analysis.driver_analysis(gappy, "amount", limits=analysis.targets.REPORT_LIMITS)
+    assert [r["feature_importance"] for r in done.ranking.collect()] == [None, None]
+    assert len(done.data_quality_flags) == 2 and "too many classes" in done.data_quality_flags[1]
+    assert done.results.first()["data_quality_flags"] == done.data_quality_flags[:1]
+
+
+def test_drivers_after_steps(sales):
+    steps = [{"step_id": "c", "operation": "CLEAN_DATA"}]
+    run, done = analysis.report_with_drivers(sales, steps, "amount", trees=5)
+    assert run.results.first()["status"] == "SUCCESS" and done.ranking.count() == 2
+
+
+def test_all_features_are_tested_unless_limited(spark):
+    df = spark.range(60).select(*[(F.col("id") * (k + 2) % 31).cast("double").alias(f"m{k}") for k in range(12)], (F.col("id") % 2 == 0).alias("y"))
+    assert analysis.driver_analysis(df, "y", importance=False).results.count() == 12
+    limited = analysis.driver_analysis(df, "y", importance=False, limits=analysis.targets.REPORT_LIMITS)
+    assert limited.results.count() == 8
+
+
+def test_boolean_sums_and_trends(spark):
+    df = spark.createDataFrame([("2024-01-31", True), ("2024-01-02", False), ("2024-02-01", True)], "d string, f boolean")
+    assert [r["value"] for r in tables.trend(df, "d", "f").collect()] == [0.5, 1.0]
+    assert {r["group"]: r["value"] for r in tables.group_top(df, "d", "f", "sum").collect()}["2024-01-31"] == 1
+
+
 def test_sparse_levels_equal_columns(spark, monkeypatch):
     df = spark.range(600).select(
         F.when(F.col("id") % 9 > 0, F.concat(F.lit("v"), F.col("id") % 8)).alias("s"), (F.col("id") % 13).cast("double").alias("x"),

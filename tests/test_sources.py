@@ -36,7 +36,7 @@ def test_small_csv(spark, tmp_path):
 
 
 def test_unknown_format_is_refused(spark):
-    with pytest.raises(ValueError, match="Unsupported file type: .exe"):
+    with pytest.raises(ValueError, match="No reader for files of type .exe"):
         S.load_table(spark, "/x/y.exe")
 
 
@@ -66,7 +66,7 @@ def test_html_file_as_table(spark, tmp_path):
     assert [r["Age"] for r in df.orderBy("Age").collect()] == [30, 41]
     empty = tmp_path / "none.html"
     empty.write_text("<p>nothing</p>")
-    with pytest.raises(ValueError, match="No table found"):
+    with pytest.raises(ValueError, match="holds no table"):
         S.load_table(spark, str(empty))
 
 
@@ -74,16 +74,38 @@ def test_html_colspan_and_unclosed_cells():
     assert html.first_table("<table><tr><td colspan=2>a<td>b<tr><td>c</table>") == [(False, ["a", "a", "b"]), (False, ["c"])]
 
 
+def test_html_rowspan_and_header_rows(spark, tmp_path):
+    page = (
+        "<table><thead><tr><th rowspan=2>k<th colspan=2>v<tr><th>a<th>b</thead><tr><td rowspan=3>x<td>1<td>2"
+        "<tr><td>3<td rowspan=2>4<tr><td>5<tr><td>y<td>6<td>7</table>"
+    )
+    rows = html.first_table(page)
+    assert rows[:2] == [(True, ["k", "v", "v"]), (True, ["k", "a", "b"])]
+    assert [r for _, r in rows[2:]] == [["x", "1", "2"], ["x", "3", "4"], ["x", "5", "4"], ["y", "6", "7"]]
+    (tmp_path / "one.html").write_text(page)
+    assert S.load_table(spark, str(tmp_path / "one.html")).columns == ["k", "v a", "v b"]
+    (tmp_path / "two.html").write_text("<table><tr><td>1</table>")
+    with pytest.raises(ValueError, match="Several pages"):
+        S.load_table(spark, str(tmp_path), fmt="html")
+
+
+def test_csv_line_breaks_and_repeated_names(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b,a\n1,"x\ny",2\n3,"say ""hi""",4\n')
+    df = S.load_table(spark, str(tmp_path / "q.csv"))
+    assert dict(df.dtypes) == {"a": "bigint", "b": "string", "a.1": "bigint"}
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "x\ny", 2), (3, 'say "hi"', 4)]
+
+
 def test_names_are_stripped_lowered_and_unique():
     assert S.normalized_names([" ID ", "id", "A b", "ID"]) == ["id", "id.1", "a b", "id.2"]
     assert S.normalized_names(["a", "A", "a.1"]) == ["a", "a.2", "a.1"]
 
 
 def test_validation(spark):
-    assert S.validate(None) == (False, "DataFrame is None")
-    assert S.validate(spark.createDataFrame([], "a int")) == (False, "DataFrame is empty")
+    assert S.validate(None) == (False, "There is no table.")
+    assert S.validate(spark.createDataFrame([], "a int")) == (False, "The table has no rows.")
     ok, why = S.validate(spark.range(5), max_rows=4)
-    assert not ok and "too large" in why
+    assert not ok and "more rows" in why
 
 
 def test_file_inventory(spark, tmp_path):
