@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import oracle as O
@@ -17,6 +17,7 @@ from colsight.functions.exprs import c
 from colsight.operators import cleaning, drivers, insights, missing, model, stats, tables, targets
 from colsight.operators import profile as P
 from colsight.plans import analysis
+from colsight.session import work_folder
 from colsight.sources import html
 from colsight.sources import tables as S
 
@@ -57,6 +58,7 @@ def catalog(spark, d, *names):
     return P.profile_catalog(frames)
 
 
+LIMITS = targets.REPORT_LIMITS
 CATALOG = ("orders_n", "lineitem_dup", "events_n", "customer", "nation")
 CATALOG_SQL = O.tables_cte(*CATALOG)
 
@@ -134,7 +136,8 @@ def _(spark, d):
     cells = F.concat(
         F.lit("<table><tr><th>url</th><th>size</th></tr><tr><td>"), "url", F.lit("</td><td>"), F.length("html").cast("string"), F.lit("</td></tr></table>")
     )
-    with_table = pages.select("page_id", F.concat(cells, "html").alias("html"))
+    # The table stands behind the page's own markup, so the parser reads all of it.
+    with_table = pages.select("page_id", F.concat("html", cells).alias("html"))
     return joined(html.html_tables(with_table), "cells")
 
 
@@ -611,6 +614,28 @@ def _(spark, d):
     return model.dummy_encode(orders_n(spark, d), "o_totalprice")
 
 
+@query(
+    "dummy_encode_many",
+    "SELECT 'c_name_' || c_name AS name, count(*) AS ones FROM customer WHERE c_name > (SELECT min(c_name) FROM customer) GROUP BY c_name",
+)
+def _(spark, d):
+    wide = model.dummy_encode(V.read(spark, d, "customer").select("c_name", "c_acctbal"), "c_acctbal")
+    names = [n for n in wide.columns if n != "c_acctbal"]
+    cells = wide.select(F.posexplode(F.array(*[c(n) for n in names])).alias("place", "one"))
+    sums = cells.groupBy("place").agg(F.sum("one").alias("ones"))
+    listed = spark.createDataFrame(list(enumerate(names)), "place int, name string")
+    return sums.join(listed, "place").select("name", "ones")
+
+
+@query(
+    "dummy_long",
+    "SELECT 'text' AS \"column\", md5(text) AS level, count(*) AS n FROM documents GROUP BY text UNION ALL SELECT 'source', md5(source), count(*) FROM documents GROUP BY source",
+)
+def _(spark, d):
+    long = model.dummy_long(V.read(spark, d, "documents"), ["doc_id"], ["text", "source"])
+    return long.groupBy("column", F.md5("level").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "task_type",
     O.profile("lineitem", "customer") + " SELECT table_name, col AS \"column\", CASE WHEN kind = 'number' AND n_distinct > 10 THEN 'regression' ELSE 'classification' END AS task_type FROM p",
@@ -664,23 +689,50 @@ def _(spark, d):
     return rounded(rounded(model.evaluate_regression(pred), 4, "mae", "rmse"), 6, "r2")
 
 
-@query("logistic_fit")
+@query(
+    "logistic_fit",
+    "SELECT count(*) FILTER (WHERE l_orderkey % 5 <> 0) AS train_rows, count(*) FILTER (WHERE l_orderkey % 5 = 0) AS test_rows, "
+    "string_agg(DISTINCT l_returnflag, ', ' ORDER BY l_returnflag) AS classes, true AS at_optimum FROM lineitem",
+)
+def _(spark, d):
+    src = model.modulo_split(V.read(spark, d, "lineitem").drop("l_shipdate"), "l_orderkey")
+    trained = model.train_model(src, "l_returnflag", exclude=["l_orderkey"], split_column="is_test")
+    row = (trained.train_rows, trained.test_rows, ", ".join(trained.classes), bool(model.steepest(trained) < 1e-4))
+    return spark.createDataFrame([row], "train_rows bigint, test_rows bigint, classes string, at_optimum boolean")
+
+
+@query("logistic_eval")
 def _(spark, d):
-    src = V.read(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_linestatus", "l_returnflag")
+    src = V.read(spark, d, "lineitem").drop("l_shipdate")
     return model.evaluate(model.train_model(src, "l_returnflag"))
 
 
-@query("linear_fit")
+@query(
+    "linear_fit",
+    "WITH s AS (SELECT l_extendedprice AS y, l_quantity AS a, l_discount AS b, l_orderkey % 5 = 0 AS t FROM lineitem), "
+    "m AS (SELECT covar_pop(y, a) AS ya, covar_pop(y, b) AS yb, covar_pop(a, b) AS ab, var_pop(a) AS aa, var_pop(b) AS bb, avg(y) AS my, avg(a) AS ma, avg(b) AS mb FROM s WHERE NOT t), "
+    "w AS (SELECT *, (ya * bb - yb * ab) / (aa * bb - ab * ab) AS wa, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS wb FROM m), "
+    "e AS (SELECT y, y - (my + wa * (a - ma) + wb * (b - mb)) AS e FROM s, w WHERE t) "
+    "SELECT round(avg(abs(e)), 3) AS mae, round(sqrt(avg(e * e)), 3) AS rmse, round(1 - sum(e * e) / (var_pop(y) * count(y)), 7) AS r2 FROM e",
+)
 def _(spark, d):
-    src = V.read(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")
-    return model.evaluate(model.train_model(src, "l_extendedprice"))
+    src = model.modulo_split(V.read(spark, d, "lineitem"), "l_orderkey").select("l_quantity", "l_discount", "l_extendedprice", "is_test")
+    out = model.evaluate(model.train_model(src, "l_extendedprice", split_column="is_test"))
+    return rounded(rounded(out, 3, "mae", "rmse"), 7, "r2")
 
 
-@query("rf_importance")
+FOREST_FEATURES = ["o_custkey", "o_totalprice", "o_orderpriority"]
+
+
+@query(
+    "rf_importance",
+    " UNION ALL ".join(f"SELECT '{n}' AS feature, true AS in_range, 1.0::DOUBLE AS total" for n in FOREST_FEATURES),
+)
 def _(spark, d):
-    return model.feature_importance(
-        V.read(spark, d, "orders"), ["o_totalprice", "o_orderpriority"], "o_orderstatus", "classification", trees=30, depth=6
-    )
+    found = model.feature_importance(V.read(spark, d, "orders"), FOREST_FEATURES, "o_orderstatus", "classification")
+    weight = F.col("feature_importance")
+    total = F.round(F.sum(weight).over(Window.partitionBy()), 6)  # a row per feature
+    return found.select("feature", weight.between(0, 1).alias("in_range"), total.alias("total"))
 
 
 # --- targets ---------------------------------------------------------------------------
@@ -703,7 +755,7 @@ _SUGGEST = (
 @query("target_candidates", O.profile("lineitem", "orders_n", "customer", "nation") + f', {_SUGGEST} SELECT table_name, col AS "column", rnk AS rank FROM s WHERE rnk <= 8')
 def _(spark, d):
     profile, _ = catalog(spark, d, "lineitem", "orders_n", "customer", "nation")
-    return targets.suggest_targets(profile).drop("ordinal")
+    return targets.suggest_targets(profile, LIMITS.targets).drop("ordinal")
 
 
 @query(
@@ -715,7 +767,7 @@ def _(spark, d):
 )
 def _(spark, d):
     profile, _ = catalog(spark, d, "orders_n", "customer")
-    return targets.resolve_targets(profile, ["o_note", "o_custkey", "no_such_column"])
+    return targets.resolve_targets(profile, ["o_note", "o_custkey", "no_such_column"], LIMITS.targets)
 
 
 _MSG = V.sql("conversations", V.MESSAGES)
@@ -755,11 +807,16 @@ def _(spark, d):
     + f"] IF x IS NOT NULL][1:5], ' | ') END AS target_candidates FROM {_MSG}",
 )
 def _(spark, d):
-    out = targets.parse_messages(V.frame(spark, d, "conversations", V.MESSAGES), _ORDER_NAMES)
+    out = targets.parse_messages(V.frame(spark, d, "conversations", V.MESSAGES), _ORDER_NAMES, limit=LIMITS.candidates)
     return joined(out.select("conv_id", "turn", "intent_type", "target_candidates"), "target_candidates")
 
 
-def _hypotheses_sql() -> str:
+def _hypotheses_sql(limited: bool) -> str:
+    keep = (
+        "CASE WHEN testable THEN (k = 1 AND nth <= CASE target_type WHEN 'classification' THEN 8 ELSE 10 END) OR (k = 2 AND nth <= 8) ELSE any_nth <= 6 END"
+        if limited
+        else "NOT testable OR k < 3"
+    )
     return (
         O.profile("lineitem", "nation")
         + ", w AS (SELECT * FROM (VALUES ('lineitem', 'l_returnflag', 'classification'), ('lineitem', 'l_extendedprice', 'regression'), ('nation', 'n_name', 'classification')) v(table_name, target, target_type)), "
@@ -767,7 +824,7 @@ def _hypotheses_sql() -> str:
         "FROM w JOIN p ON w.table_name = p.table_name WHERE p.col <> w.target), "
         "n AS (SELECT *, row_number() OVER (PARTITION BY table_name, target, k ORDER BY ordinal) AS nth, row_number() OVER (PARTITION BY table_name, target ORDER BY ordinal) AS any_nth, "
         "min(k) OVER (PARTITION BY table_name, target) < 3 AS testable FROM j), "
-        "h AS (SELECT *, CASE WHEN testable THEN (k = 1 AND nth <= CASE target_type WHEN 'classification' THEN 8 ELSE 10 END) OR (k = 2 AND nth <= 8) ELSE any_nth <= 6 END AS keep FROM n) "
+        f"h AS (SELECT *, {keep} AS keep FROM n) "
         "SELECT table_name, target, col AS feature, row_number() OVER (PARTITION BY table_name, target ORDER BY CASE WHEN testable THEN k ELSE 0 END, ordinal) AS ordinal, "
         "CASE WHEN testable AND k = 2 THEN 'group_difference' WHEN target_type = 'classification' THEN 'classification_signal' ELSE 'correlation' END AS type, "
         "CASE WHEN NOT testable THEN col || ' may influence ' || target || ' and should be statistically tested.' "
@@ -778,14 +835,23 @@ def _hypotheses_sql() -> str:
     )
 
 
-@query("hypotheses", _hypotheses_sql())
-def _(spark, d):
+def _hypotheses(spark, d, limits):
     profile, _ = catalog(spark, d, "lineitem", "nation")
     wanted = spark.createDataFrame(
         [("lineitem", "l_returnflag", "classification"), ("lineitem", "l_extendedprice", "regression"), ("nation", "n_name", "classification")],
         "table_name string, target string, target_type string",
     )
-    return targets.hypotheses(profile, wanted).drop("target_type")
+    return targets.hypotheses(profile, wanted, limits).drop("target_type")
+
+
+@query("hypotheses", _hypotheses_sql(True))
+def _(spark, d):
+    return _hypotheses(spark, d, LIMITS)
+
+
+@query("hypotheses_all", _hypotheses_sql(False))
+def _(spark, d):
+    return _hypotheses(spark, d, targets.NO_LIMITS)
 
 
 # --- tests -----------------------------------------------------------------------------
@@ -975,15 +1041,47 @@ def _(spark, d):
     return rounded(rounded(out, 5, "statistic"), 6, "p_value", "effect_size")
 
 
-@query("test_results_regression")
+def _test_rows(df: DataFrame, p_of: tuple[str, ...] = ()) -> DataFrame:
+    """Test rows rounded; p only where SQL has a closed form for it."""
+    p = F.when(F.col("feature").isin(*p_of), F.round("p_value", 6)) if p_of else F.lit(None).cast("double")
+    return df.select(
+        "feature", "test_type", "n", F.round("statistic", 4).alias("statistic"), p.alias("p_value"),
+        F.round("effect_size", 6).alias("effect_size"), F.round("correlation", 6).alias("correlation"),
+    )
+
+
+def _linear_tests(src: str, features: list[str], y: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{x}' AS feature, 'pearson_spearman' AS test_type, a.n, round(r * sqrt((a.n - 2) / (1 - r * r)), 4) AS statistic, "
+        "CAST(NULL AS DOUBLE) AS p_value, round(abs(r), 6) AS effect_size, round(rho, 6) AS correlation FROM "
+        f"(SELECT corr({x}, {y}) AS r, CAST(regr_count({x}, {y}) AS BIGINT) AS n FROM {src}) a, ({_spearman_sql(src, [x], y)}) b"
+        for x in features
+    )
+
+
+@query(
+    "test_results_regression",
+    "WITH " + O.anova(_category_groups("lineitem", ["l_returnflag", "l_linestatus"], "l_extendedprice"))
+    + " SELECT feature, 'anova' AS test_type, n, round(f_stat, 4) AS statistic, CASE WHEN df1 = 2 THEN round(pow(1 + 2 * f_stat / df2, -df2 / 2), 6) END AS p_value, "
+    "round(eta, 6) AS effect_size, CAST(NULL AS DOUBLE) AS correlation FROM f UNION ALL "
+    + _linear_tests("lineitem", ["l_quantity", "l_discount"], "l_extendedprice"),
+)
 def _(spark, d):
     src = V.read(spark, d, "lineitem")
-    return stats.result_bundle(src, "l_extendedprice", ["l_quantity", "l_discount", "l_returnflag", "l_linestatus"], "regression")
+    out = stats.result_bundle(src, "l_extendedprice", ["l_quantity", "l_discount", "l_returnflag", "l_linestatus"], "regression")
+    return _test_rows(out, ("l_returnflag",))
+
+
+def _binary_sql() -> str:
+    cohen = " UNION ALL ".join(_cohen_sql(DL, x, "quality", "0", "1") for x in ("n_chars", "toxic"))
+    ranks = f"SELECT r.feature, 'mann_whitney_u' AS test_type, CAST(r.n0 + r.n1 AS BIGINT) AS n, u_stat AS statistic, cohens_d AS effect_size FROM ({_rank_sql(DL, ['n_chars', 'toxic'], 'quality', '0')}) r JOIN ({cohen}) c USING (feature)"
+    chi = " UNION ALL ".join(f"SELECT feature, 'chi_square', n, round(chi2, 4), round(sqrt(chi2 / n), 6) FROM ({O.chi_square(DL, x, 'quality')})" for x in ("lang", "source"))
+    return f"SELECT *, CAST(NULL AS DOUBLE) AS p_value, CAST(NULL AS DOUBLE) AS correlation FROM ({ranks} UNION ALL {chi})"
 
 
-@query("test_results_binary")
+@query("test_results_binary", _binary_sql())
 def _(spark, d):
-    return stats.result_bundle(V.doc_labels(spark, d), "quality", ["n_chars", "lang", "source", "toxic"], "classification")
+    return _test_rows(stats.result_bundle(V.doc_labels(spark, d), "quality", ["n_chars", "lang", "source", "toxic"], "classification"))
 
 
 @query("confidence", O.flag_tests() + " SELECT feature, round(CAST(0.35 AS DOUBLE) * greatest(0, least(1, 1 - p)) + CAST(0.25 AS DOUBLE) * least(1, abs(effect)), 4) AS confidence_score FROM r")
@@ -1226,26 +1324,155 @@ def _step_rows(run: analysis.StepRun) -> DataFrame:
     return run.results.select("step_id", "operation", "status", "summary", F.size(F.coalesce("metrics", F.create_map().cast("map<string,string>"))).alias("n_metrics"))
 
 
-@query("run_steps_descriptive")
+def _steps_sql(*steps: tuple[str, str, str, str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{sid}' AS step_id, '{op}' AS operation, 'SUCCESS' AS status, '{text}' AS summary, CAST(({n}) AS INT) AS n_metrics" for sid, op, text, n in steps
+    )
+
+
+@query(
+    "run_steps_descriptive",
+    _steps_sql(
+        ("step_1", "SUMMARY", "Generated dataframe summary statistics.", "2"),
+        ("step_2", "GROUPBY", "Computed mean by o_orderstatus for o_totalprice.", "SELECT count(DISTINCT o_orderstatus) FROM orders"),
+        ("step_3", "TREND", "Monthly mean trend for o_totalprice", "SELECT count(DISTINCT date_trunc('month', o_orderdate)) FROM orders"),
+    ),
+)
 def _(spark, d):
     return _step_rows(analysis.report(V.read(spark, d, "orders"), "DESCRIPTIVE"))
 
 
-@query("run_steps_diagnostic")
+@query(
+    "run_steps_diagnostic",
+    _steps_sql(
+        ("step_1", "SUMMARY", "Generated dataframe summary statistics.", "2"),
+        ("step_2", "GROUPBY", "Computed mean by l_linenumber for l_quantity.", "SELECT count(DISTINCT l_linenumber) FROM lineitem"),
+        ("step_3", "CORRELATION", "Computed correlation matrix for numeric columns.", "2"),
+    ),
+)
 def _(spark, d):
     return _step_rows(analysis.report(V.read(spark, d, "lineitem"), "DIAGNOSTIC"))
 
 
-@query("run_steps_cleaning")
+@query(
+    "run_steps_cleaning",
+    _steps_sql(
+        ("step_1", "CLEAN_DATA", "Applied deterministic data cleaning operations.", "5"),
+        ("step_2", "SUMMARY", "Generated dataframe summary statistics.", "2"),
+    ),
+)
 def _(spark, d):
     return _step_rows(analysis.report(orders_n(spark, d), "DATA_CLEANING"))
 
 
-@query("run_steps_predictive")
+@query(
+    "run_steps_predictive",
+    _steps_sql(
+        ("step_1", "TRAIN_MODEL", "Trained baseline regression model on target ''l_extendedprice''.", "6"),
+        ("step_2", "EVALUATE_MODEL", "Evaluated regression model performance.", "3"),
+    ),
+)
 def _(spark, d):
     return _step_rows(analysis.report(V.read(spark, d, "lineitem"), "PREDICTIVE", "l_extendedprice"))
 
 
-@query("driver_analysis")
+@query(
+    "driver_analysis",
+    "WITH " + O.anova(O.class_groups("orders", "o_orderstatus", ["o_totalprice"])) + f", x AS ({O.chi_square('orders', 'o_orderpriority', 'o_orderstatus')}) "
+    "SELECT feature, 'anova_multi_class' AS test_type, n, round(f_stat, 4) AS statistic, round(pow(1 + 2 * f_stat / df2, -df2 / 2), 6) AS p_value, round(eta, 6) AS effect_size, "
+    "CAST(NULL AS DOUBLE) AS correlation, true AS ranked, 1.0::DOUBLE AS importance FROM f UNION ALL "
+    "SELECT feature, 'chi_square', n, round(chi2, 4), NULL, round(sqrt(chi2 / n / 2), 6), NULL, true, 1.0 FROM x",
+)
+def _(spark, d):
+    done = analysis.driver_analysis(V.read(spark, d, "orders"), "o_orderstatus")
+    every = Window.partitionBy()  # a row per feature
+    ranks = done.ranking.select(
+        "feature",
+        (F.sort_array(F.collect_list("importance_rank").over(every)) == F.sequence(F.lit(1), F.count(F.lit(1)).over(every).cast("int"))).alias("ranked"),
+        F.round(F.sum("feature_importance").over(every), 6).alias("importance"),
+    )
+    return _test_rows(done.results, ("o_totalprice",)).join(ranks, "feature")
+
+
+# --- more of the sources, fills and trends ----------------------------------------------
+
+
+@query(
+    "csv_typed",
+    "SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, "
+    "l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate FROM lineitem",
+)
+def _(spark, d):
+    path = work_folder(spark)
+    written = V.read(spark, d, "lineitem").withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    written.write.option("header", "true").csv(path)
+    return S.load_table(spark, path, "csv")
+
+
+@query(
+    "csv_line_breaks",
+    "SELECT doc_id, md5(text) AS digest, lang FROM documents",
+)
+def _(spark, d):
+    path = work_folder(spark)
+    docs = V.read(spark, d, "documents").select("doc_id", "text", "lang")
+    docs.write.options(header="true", escape='"').csv(path)
+    read = S.load_table(spark, path, "csv", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
+    return read.select("doc_id", F.md5("text").alias("digest"), "lang")
+
+
+@query(
+    "file_inventory",
+    "SELECT * FROM (VALUES " + ", ".join(f"('{n}.parquet', '.parquet', true)" for n in (
+        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+    )) + ") t(name, extension, accepted)",
+)
+def _(spark, d):
+    return S.file_inventory(spark, d).filter(F.col("size_bytes") > 0).select("name", "extension", "accepted")
+
+
+@query(
+    "trend_mean_flag",
+    "SELECT CAST(last_day(o_orderdate) AS VARCHAR) AS month_end, round(avg(CAST(o_totalprice > 100000 AS INT)), 8) AS value FROM orders GROUP BY 1",
+)
+def _(spark, d):
+    src = V.read(spark, d, "orders").select("o_orderdate", (F.col("o_totalprice") > 100000).alias("large"))
+    out = rounded(tables.trend(src, "o_orderdate", "large"), 8, "value")
+    return out.withColumn("month_end", F.col("month_end").cast("string"))
+
+
+@query(
+    "fill_mode_text",
+    "WITH s AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE text END AS text FROM documents), "
+    "m AS (SELECT text FROM (SELECT text, count(*) AS n FROM s WHERE text IS NOT NULL GROUP BY text) ORDER BY n DESC, text LIMIT 1) "
+    "SELECT doc_id, md5(coalesce(s.text, m.text)) AS digest FROM s, m",
+)
+def _(spark, d):
+    src = V.read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 10 > 0, F.col("text")).alias("text"))
+    return missing.fill_mode(src, ["text"]).select("doc_id", F.md5("text").alias("digest"))
+
+
+@query(
+    "groupby_prod_skew",
+    "SELECT 'skew' AS agg, l_returnflag AS \"group\", round(skewness(l_extendedprice), 6) AS value FROM lineitem GROUP BY 2 UNION ALL "
+    "SELECT 'prod', l_returnflag, round(product(1 + l_tax / 1000), 6) FROM lineitem GROUP BY 2",
+)
+def _(spark, d):
+    src = V.read(spark, d, "lineitem").withColumn("factor", 1 + F.col("l_tax") / 1000)
+    skew = tables.group_top(src, "l_returnflag", "l_extendedprice", "skew").withColumn("agg", F.lit("skew"))
+    prod = tables.group_top(src, "l_returnflag", "factor", "prod").withColumn("agg", F.lit("prod"))
+    return rounded(skew.unionByName(prod), 6, "value").select("agg", "group", "value")
+
+
+_WIDE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(
+    "correlation_wide",
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 7) AS r FROM lineitem"
+        for i, a in enumerate(_WIDE) for b in _WIDE[i + 1 :]
+    ),
+)
 def _(spark, d):
-    return analysis.driver_analysis(V.read(spark, d, "orders"), "o_orderstatus", trees=20).ranking
+    return rounded(tables.correlation_pairs(V.read(spark, d, "lineitem")).select("column_a", "column_b", "r"), 7, "r")

@@ -61,9 +61,9 @@ def sql(table: str, columns: list[str]) -> str:
 def doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels")
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    return docs.join(labels, "doc_id")
+    return docs.join(labels, "doc_id", "left")  # most documents have no label
 
 
 DOC_LABELS_SQL = (
-    "(SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+    "(SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
 )

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -157,6 +159,7 @@ class TrainedModel:
     feature_count: int
     classes: list[str] = field(default_factory=list)
     excluded: list[str] = field(default_factory=list)
+    train: DataFrame | None = None
 
     def metrics(self) -> dict[str, str]:
         out = {
@@ -185,14 +188,17 @@ def training_frame(
     task: str,
     exclude: Sequence[str] = (),
     split_key: Sequence[str] | None = None,
+    split_column: str | None = None,
 ) -> TrainingFrame:
     """(label, features, is_test); datetimes and ``exclude`` stay out and are listed.
+    ``split_column`` names a boolean column that marks the test rows, else ``hash_split`` does.
 
     Text columns with few levels become 0/1 columns, the others a sparse one-hot vector over
     a table of numbered levels. First level and missing are all zeros.
     """
-    usable = [n for n in df.columns if n != target and n not in exclude and is_atomic(dtype_of(df, n)) and not is_temporal(dtype_of(df, n))]
-    excluded = [n for n in df.columns if n != target and n not in usable]
+    skip = {target, split_column, *exclude}
+    usable = [n for n in df.columns if n not in skip and is_atomic(dtype_of(df, n)) and not is_temporal(dtype_of(df, n))]
+    excluded = [n for n in df.columns if n not in (target, split_column) and n not in usable]
     numbers = [n for n in usable if is_number_or_bool(dtype_of(df, n))]
     texts = [n for n in usable if n not in numbers]
     table, sizes = numbered(_cells(df, texts)) if texts else (None, {})
@@ -204,7 +210,8 @@ def training_frame(
             few[texts[r["ordinal"]]].append(r["value"])
     sparse = [n for n in texts if n not in few]
 
-    rows = hash_split(complete_rows(df, numbers, target), split_key)
+    rows = complete_rows(df, numbers, target)
+    rows = hash_split(rows, split_key) if split_column is None else rows.withColumn("is_test", c(split_column))
     slots = [number(df, n).alias(f"f{i}") for i, n in enumerate(numbers)]
     for n, found in few.items():
         for level in found[1:]:
@@ -259,6 +266,33 @@ def fit_logistic(train: DataFrame, n_rows: int | None = None) -> object:
     ).fit(train)
 
 
+def steepest(trained: TrainedModel) -> float:
+    """Largest entry of the gradient of the penalised logistic loss at the fitted coefficients,
+    each taken per standard deviation of its feature: near 0 at the optimum."""
+    fitted, train = trained.model, trained.train
+    weights, offsets = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    if len(weights) == 1:  # two classes share one row
+        weights, offsets = np.vstack([0 * weights[0], weights[0]]), np.array([0.0, offsets[0]])
+    x = vector_to_array("features")
+    width, strength = weights.shape[1], fitted.getRegParam()
+    cells = train.select("label", *[F.get(x, F.lit(j)).alias(f"x{j}") for j in range(width)])
+    margins = [sum((F.col(f"x{j}") * float(w[j]) for j in range(width)), F.lit(float(b))) for w, b in zip(weights, offsets)]
+    top = F.greatest(*margins)
+    powers = [F.exp(m - top) for m in margins]
+    total = sum(powers[1:], powers[0])
+    misses = [(p / total - (F.col("label") == k).cast("double")).alias(f"m{k}") for k, p in enumerate(powers)]
+    missed = cells.select(*[f"x{j}" for j in range(width)], *misses)
+    sums = missed.agg(
+        *[F.avg(F.col(f"m{k}") * F.col(f"x{j}")).alias(f"g{k}_{j}") for k in range(len(weights)) for j in range(width)],
+        *[F.stddev_pop(f"x{j}").alias(f"s{j}") for j in range(width)],
+        *[F.avg(f"m{k}").alias(f"b{k}") for k in range(len(weights))],
+    ).first()
+    slopes = [
+        abs(sums[f"g{k}_{j}"] + strength * weights[k][j]) / (sums[f"s{j}"] or 1.0) for k in range(len(weights)) for j in range(width)
+    ]
+    return max(slopes + [abs(sums[f"b{k}"]) for k in range(len(weights))])
+
+
 def fit_linear(train: DataFrame) -> object:
     """Ordinary least squares with intercept; the solver falls back to iterations when
     there are many columns."""
@@ -272,13 +306,14 @@ def train_model(
     target: str | None,
     exclude: Sequence[str] = (),
     split_key: Sequence[str] | None = None,
+    split_column: str | None = None,
 ) -> TrainedModel:
     """Fit the baseline model of a target on 80 % of the rows and predict the rest. What the
     fit reads again and again is written once."""
     if not target or target not in df.columns:
         raise ValueError("TRAIN_MODEL requires a valid target_column.")
     task = task_type(df, target)
-    frame = training_frame(df, target, task, exclude, split_key)
+    frame = training_frame(df, target, task, exclude, split_key, split_column)
     rows = materialize(frame.rows)
     sizes = {r["is_test"]: r["count"] for r in rows.groupBy("is_test").count().collect()}
     if not sizes:
@@ -288,7 +323,7 @@ def train_model(
     predictions = model.transform(test).select("label", "prediction")
     return TrainedModel(
         task, target, model, predictions, sizes.get(False, 0), sizes.get(True, 0),
-        frame.feature_count, frame.classes, frame.excluded,
+        frame.feature_count, frame.classes, frame.excluded, train,
     )
 
 
