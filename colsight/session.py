@@ -30,8 +30,8 @@ def local_session(cores: int | str = 8, app_name: str = "colsight", driver_memor
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder for an intermediate table, below the shared folder that
-    ``spark.checkpoint.dir`` names. Only a local session without that setting gets a
+    """A new folder for an intermediate table of this application, below the shared folder
+    that ``spark.checkpoint.dir`` names. Only a local session without that setting gets a
     temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
@@ -39,17 +39,17 @@ def work_folder(spark: SparkSession) -> str:
             raise RuntimeError("Set spark.checkpoint.dir to a shared folder.")
         root = tempfile.mkdtemp(prefix="colsight-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/colsight-{spark.conf.get('spark.app.id')}/table-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write a DataFrame that several jobs will read, and cut its lineage.
 
     The table is Parquet, so later scans read only the columns they need, and it outlives a
-    lost executor. ``release`` deletes it.
+    lost executor. ``release`` deletes it, ``release_all`` all of the application.
     """
     path = work_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -59,5 +59,14 @@ def release(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/table-" not in folder:
             raise ValueError(f"Not an intermediate table: {folder}")
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(spark, folder)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are stored."""
+    _delete(spark, work_folder(spark).rsplit("/", 1)[0])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

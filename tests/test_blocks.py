@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colsight.operators import blocks as B
 from colsight.operators import cleaning
-from colsight.session import materialize, release
+from colsight.session import materialize, release, release_all
 
 
 @pytest.mark.parametrize("cell", [5, 100, 100_000])
@@ -84,6 +84,13 @@ def test_materialized_table_is_kept_under_the_checkpoint_folder(spark):
         release(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
 
 
+def test_all_tables_of_an_application_are_released(spark):
+    one, two = (materialize(spark.range(n)).inputFiles()[0].removeprefix("file:").replace("//", "/") for n in (3, 4))
+    assert os.path.exists(one) and one.rsplit("/", 2)[0] == two.rsplit("/", 2)[0]
+    release_all(spark)
+    assert not os.path.exists(one) and not os.path.exists(two)
+
+
 def test_many_columns_go_in_bounded_aggregates(spark):
     df = spark.range(50).select(*[(F.col("id") * (i + 1) % 37).cast("double").alias(f"c{i}") for i in range(300)])
     got = B.exact_quantiles(df, df.columns, [0.5])
