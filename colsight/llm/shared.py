@@ -10,8 +10,6 @@ all documents is one entry per pack.
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -20,30 +18,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colsight.session import materialize
+
 PACK_BYTES = 8 << 20
 PACK_ROWS = 50_000
 KEY_BITS = 48
 NO_ID = 2**63 - 1
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``. Only a local session without that
-    setting gets a temporary folder of the machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a shared folder.")
-        root = tempfile.mkdtemp(prefix="colsight-llm-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame) -> DataFrame:
     """Write a table that several jobs read, and read it back: its lineage ends here, and
     rows and their order in files no longer change when a task is repeated."""
-    path = work_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialize(df, "zstd")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colsight.llm import shared
+from colsight.session import work_folder
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 16 << 20
@@ -235,7 +236,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
         "payload",
         F.when(~F.col("page_id").eqNullSafe(F.col("first")), urn("first")).alias("refers_to"),
     )
-    archives = write_archives(rows, shared.work_folder(spark))
+    archives = write_archives(rows, work_folder(spark))
     number = lambda c: F.regexp_extract(c, r":(-?\d+)$", 1)
     as_id = lambda c: F.when(number(c) != "", number(c).cast("bigint"))
     return read_archives(archives).select(

@@ -3,7 +3,8 @@ import hashlib
 import io
 import random
 
-from colsight.llm import shared, warc
+from colsight.llm import warc
+from colsight.session import work_folder
 
 SCHEMA = "page_id bigint, url string, html string, digest string, record_id string, payload string"
 
@@ -41,7 +42,7 @@ def test_every_split_size_reads_each_record_once(spark):
     rows.append(("urn:x:nested", "http://x", b"".join(warc.record(f"urn:in:{i}", None, b"z", None) for i in range(5)), None))
     rows.append(("urn:x:again", None, rows[3][2], "urn:x:3"))
     df = spark.createDataFrame(rows, "record_id string, uri string, payload binary, refers_to string")
-    archives = warc.write_archives(df, shared.work_folder(spark))
+    archives = warc.write_archives(df, work_folder(spark))
     for split in (997, 4096, 1 << 20):
         got = warc.read_archives(archives, split).collect()
         own = [r for r in got if r.record_id.startswith("urn:x:")]
