@@ -744,7 +744,13 @@ def _(spark, d):
     return targets.target_types(profile).drop("ordinal")
 
 
-_WORDS = " OR ".join(f"contains(lower(col), '{w}')" for w in targets.TARGET_WORDS)
+# Written out, so that a wrong word in the package shows.
+_TARGET_WORDS = "status approved default churn label outcome revenue income score amount risk".split()
+_INTENT_WORDS = {
+    "PREDICTIVE": "predict forecast probability likely", "EXPLANATORY": "why reason driver cause influence",
+    "DIAGNOSTIC": "compare difference segment breakdown",
+}
+_WORDS = " OR ".join(f"contains(lower(col), '{w}')" for w in _TARGET_WORDS)
 _SUGGEST = (
     "s AS (SELECT table_name, ordinal, col, row_number() OVER (PARTITION BY table_name ORDER BY ordinal) AS rnk FROM p WHERE n_rows > n_missing AND "
     f"CASE WHEN {_WORDS} THEN true WHEN kind <> 'number' THEN n_distinct BETWEEN 2 AND 6 WHEN n_distinct <= 10 THEN true "
@@ -773,7 +779,7 @@ def _(spark, d):
 _MSG = V.sql("conversations", V.MESSAGES)
 _INTENT = (
     "CASE " + " ".join(
-        "WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{intent}'" for intent, words in targets.INTENT_WORDS.items()
+        "WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words.split()) + f" THEN '{intent}'" for intent, words in _INTENT_WORDS.items()
     ) + " ELSE 'DESCRIPTIVE' END"
 )
 _ORDER_NAMES = [n for n, _ in O.ORDERS]
@@ -1019,7 +1025,7 @@ def _(spark, d):
     return rounded(out.drop("ordinal"), 7, "rho")
 
 
-@query("target_flag", f"SELECT count(*) - count(o_totalprice) AS target_missing, CASE WHEN count(*) > count(o_totalprice) THEN '{stats.TARGET_FLAG}' ELSE '' END AS flags FROM {ON}")
+@query("target_flag", f"SELECT count(*) - count(o_totalprice) AS target_missing, CASE WHEN count(*) > count(o_totalprice) THEN 'Target column contains missing values; pairwise rows were dropped per test.' ELSE '' END AS flags FROM {ON}")
 def _(spark, d):
     return joined(stats.target_flags(orders_n(spark, d), "o_totalprice"), "flags")
 

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colsight.functions.exprs import c, dtype_of, is_temporal, nan_to_null, value, value_sql
+from colsight.functions.exprs import c, dtype_of, is_temporal, nan_to_null, value
 from colsight.operators import profile as P
-from colsight.operators.blocks import ROWS_PER_BUCKET, exact_quantiles, gap_counts, per_column_agg, range_bucket, smallest_modes
+from colsight.operators.blocks import ROWS_PER_BUCKET, exact_quantiles, gap_counts, range_bucket, smallest_modes
 from colsight.session import materialize
 
 # Treatment ids, titles and descriptions, in the order they are offered.
@@ -94,11 +94,13 @@ def _columns_with_gaps(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [n for n in columns if gaps[n]]
 
 
-def fill_median(df: DataFrame, columns: Sequence[str], undefined: float | None = 0.0) -> DataFrame:
-    """Fill gaps with the exact median. Integer and decimal columns with gaps become
+def fill_median(
+    df: DataFrame, columns: Sequence[str], undefined: float | None = 0.0, gaps: Sequence[str] | None = None
+) -> DataFrame:
+    """Fill gaps with the exact median. ``gaps`` names the columns that have some, if known. Integer and decimal columns with gaps become
     double, as the median may lie between two values. ``undefined`` replaces the median
     of a column without values (None leaves it missing)."""
-    gaps = _columns_with_gaps(df, columns)
+    gaps = _columns_with_gaps(df, columns) if gaps is None else [n for n in columns if n in gaps]
     medians = exact_quantiles(df, gaps, [0.5])
     new = {}
     for n in gaps:
@@ -112,10 +114,11 @@ def _typed_literal(v: object, dt: T.DataType) -> Column:
     return F.lit(str(v)).cast(dt) if is_temporal(dt) else F.lit(v).cast(dt)
 
 
-def fill_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Fill gaps with the smallest most frequent value. A text column without any value
+def fill_mode(df: DataFrame, columns: Sequence[str], gaps: Sequence[str] | None = None) -> DataFrame:
+    """Fill gaps with the smallest most frequent value. ``gaps`` names the columns that have
+    some, if known. A text column without any value
     becomes UNKNOWN; other types without values stay missing."""
-    gaps = _columns_with_gaps(df, columns)
+    gaps = _columns_with_gaps(df, columns) if gaps is None else [n for n in columns if n in gaps]
     modes = smallest_modes(df, gaps)
     new = {}
     for n in gaps:
@@ -142,6 +145,7 @@ def fill_datetime(
     partition_by: Sequence[str] = (),
     n_rows: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    gaps: Sequence[str] | None = None,
 ) -> DataFrame:
     """Fill gaps with the last earlier value, else the first later one, in ``order_by`` order.
 
@@ -150,7 +154,7 @@ def fill_datetime(
     range ends are carried over a table with one row per range. Rows without gaps are
     passed through where they are, rows with gaps look their values up by key.
     """
-    gaps = _columns_with_gaps(df, columns)
+    gaps = _columns_with_gaps(df, columns) if gaps is None else [n for n in columns if n in gaps]
     if not gaps:
         return df
     parsed = _replace(df, {n: as_datetime(df, n) for n in gaps})
@@ -224,9 +228,10 @@ def drop_high_missing(df: DataFrame, profile: DataFrame | Sequence[Row] | None =
 def smart_impute(df: DataFrame, order_by: Sequence[str], profile: DataFrame | Sequence[Row] | None = None, **scan) -> DataFrame:
     """Median, mode and datetime fill by role; identifiers are never imputed."""
     rows = P.collect_profile(df, profile)
-    scan = {"n_rows": rows[0]["n_rows"] if rows else 0, **scan}
-    out = fill_median(df, P.columns_with_role(rows, P.METRIC))
-    out = fill_mode(out, P.columns_with_role(rows, *MODE_ROLES))
+    gaps = [r["column"] for r in rows if r["n_missing"]]
+    scan = {"n_rows": rows[0]["n_rows"] if rows else 0, "gaps": gaps, **scan}
+    out = fill_median(df, P.columns_with_role(rows, P.METRIC), gaps=gaps)
+    out = fill_mode(out, P.columns_with_role(rows, *MODE_ROLES), gaps=gaps)
     return fill_datetime(out, P.columns_with_role(rows, P.DATETIME), order_by, **scan)
 
 
@@ -255,15 +260,11 @@ def apply_treatment(
     return fill_datetime(df, datetimes, order_by, **{"n_rows": rows[0]["n_rows"] if rows else 0, **scan})
 
 
-def _gap_counts(df: DataFrame) -> DataFrame:
-    return per_column_agg(df, df.columns, lambda n: {"n_rows": "count(1)", "gaps": f"count_if({value_sql(df, n)} IS NULL)"})
-
-
 def treatment_report(before: DataFrame, after: DataFrame, solution_id: str) -> DataFrame:
     """One row: rows and missing cells before and after, and the columns that changed."""
     title = SOLUTIONS[solution_id][0]
-    old = _gap_counts(before).select("ordinal", "column", F.col("n_rows").alias("rows_b"), F.col("gaps").alias("gaps_b"))
-    new = _gap_counts(after).select("column", F.col("n_rows").alias("rows_a"), F.col("gaps").alias("gaps_a"))
+    old = gap_counts(before, before.columns).select("ordinal", "column", F.col("n_rows").alias("rows_b"), F.col("n_missing").alias("gaps_b"))
+    new = gap_counts(after, after.columns).select("column", F.col("n_rows").alias("rows_a"), F.col("n_missing").alias("gaps_a"))
     dropped = solution_id == "DROP_HIGH_MISSING_COLUMNS"
     touched = F.col("gaps_a").isNull() if dropped else F.col("gaps_a") != F.col("gaps_b")
     totals = old.join(new, "column", "left").agg(

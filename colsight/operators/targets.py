@@ -146,8 +146,12 @@ def hinted_columns(messages: DataFrame, names: Sequence[str], text_column: str =
     return silent.withColumn("column", F.explode(hints))
 
 
-def parse_messages(messages: DataFrame, names: Sequence[str], text_column: str = "text", limit: int | None = None) -> DataFrame:
-    """Intent and target candidates of every message; at most ``limit`` candidates."""
+def parse_messages(messages: DataFrame, names: Sequence[str] | None, text_column: str = "text", limit: int | None = None) -> DataFrame:
+    """Intent and target candidates of every message; at most ``limit`` candidates. Without
+    column names nothing can be told: every message is diagnostic and has no candidate."""
+    if names is None:
+        none = F.array().cast("array<string>")
+        return messages.withColumn("intent_type", F.lit("DIAGNOSTIC")).withColumn("target_candidates", none)
     found = mentioned(c(text_column), names)
     hints = F.array(*[F.lit(n) for n in hinted_names(names, limit)]).cast("array<string>")
     candidates = F.when(F.size(found) > 0, F.slice(found, 1, limit or max(1, len(names)))).otherwise(hints)

@@ -51,6 +51,8 @@ def test_messages(spark):
     assert got["Forecast revenue"] == ("PREDICTIVE", ["Revenue"])
     assert got["compare regions"] == ("DIAGNOSTIC", ["region"])
     assert got["hello"] == ("DESCRIPTIVE", ["churn", "Revenue"])
+    blind = targets.parse_messages(df, None).select("intent_type", "target_candidates").distinct().collect()
+    assert [tuple(r) for r in blind] == [("DIAGNOSTIC", [])]
 
 
 def test_target_suggestions_and_hypotheses(spark):
