@@ -6,6 +6,8 @@ rule is a column expression over them.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -328,6 +330,44 @@ def summary_report(columns: DataFrame, tables: DataFrame) -> DataFrame:
     )
 
 
+# --- tables without a profile ----------------------------------------------------------
+
+# What is said about a table that could not be profiled.
+UNPROFILED_DOMAIN = {
+    "domain_label": "Structured Dataset",
+    "confidence": 0.25,
+    "reasoning": "Insufficient profile context was available for domain inference fallback.",
+    "suggested_kpis": ["Missing Data Rate", "Duplicate Row Rate"],
+}
+UNPROFILED_OVERVIEW = {
+    "executive_summary": "Insufficient metadata for fallback overview.",
+    "data_health_assessment": "Fallback executed without profile context.",
+    "statistical_highlights": ["Load dataset and rerun profiling pipeline."],
+    "anomaly_indicators": ["No anomaly assessment available."],
+    "important_features": [],
+    "useful_statistics": [],
+    "confidence": 0.25,
+}
+UNPROFILED_SUMMARY = {
+    "executive_summary": "Dataset summary unavailable because metadata context is missing.",
+    "data_health_assessment": "Unable to assess data health without profile metadata.",
+    "statistical_highlights": ["No statistical highlights available."],
+    "anomaly_indicators": ["No anomaly indicators available."],
+    "important_features": [],
+    "useful_statistics": [],
+    "confidence": 0.2,
+}
+
+
+def unprofiled(names: DataFrame, answer: Mapping[str, object]) -> DataFrame:
+    """One of the answers above for every ``table_name``."""
+
+    def fixed(v: object) -> Column:
+        return F.array(*[F.lit(x) for x in v]).cast("array<string>") if isinstance(v, list) else F.lit(v)
+
+    return names.select("table_name", *[fixed(v).alias(n) for n, v in answer.items()])
+
+
 # --- rankings of columns ---------------------------------------------------------------
 
 

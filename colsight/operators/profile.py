@@ -192,8 +192,12 @@ def moments_sql(col: str) -> dict[str, str]:
     return {"mean": f"avg({col})", "std": f"stddev_samp({col})", "min": f"min({col})", "max": f"max({col})"}
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False, rsd: float = 0.02) -> DataFrame:
+    """(ordinal, column, n_distinct). ``approx`` counts by sketches with relative error ``rsd``:
+    nothing but sketches is shuffled, whatever the number of distinct values."""
     names = list(columns or atomic_columns(df))
+    if approx:
+        return per_column_agg(df, names, lambda n: {"n_distinct": f"approx_count_distinct({value_sql(df, n)}, {rsd})"})
     return _named(frequency_stats(df, names), names).select("ordinal", "column", "n_distinct")
 
 

@@ -1,5 +1,8 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from colsight.operators import insights
 from colsight.operators import profile as P
 
 
@@ -70,3 +73,36 @@ def test_catalog(spark):
     assert columns.count() == 3
     assert got["a"]["duplicate_rows"] == 1 and got["a"]["total_columns"] == 3 and got["a"]["skipped_columns"] == ["nested"]
     assert got["b"]["potential_primary_keys"] == ["id"] and got["b"]["identifier_columns"] == ["id"]
+
+
+def test_tables_without_numbers_texts_or_atomic_columns(spark):
+    texts = spark.createDataFrame([("a",)], "s string")
+    numbers = spark.createDataFrame([(1,)], "x int")
+    nested = spark.createDataFrame([([1], {"a": 1})], "v array<int>, m map<string,int>")
+    assert P.numeric_summary(texts).isEmpty() and P.datetime_detection(numbers).isEmpty() and P.column_profile(nested).isEmpty()
+    columns, tables = P.profile_catalog({"n": nested, "t": texts})
+    assert [r["table_name"] for r in columns.collect()] == ["t"] and tables.count() >= 1
+
+
+def test_formats_that_programs_write(spark):
+    texts = [
+        "2024-01-01T10:00:00.123", "2024-01-01T10:00:00.123456", "2024-01-01 10:00:00.123", "2024-01-01 10:00:00+00:00", "2024-01-01T10:00",
+        "January 1, 2024", "01-Jan-2024", "1/1/2024 10:00:00", "  2024-01-01 10:00:00                               ",
+    ]
+    df = spark.createDataFrame([tuple(texts)], ", ".join(f"t{i} string" for i in range(len(texts))))
+    assert all(r["is_datetime"] for r in P.datetime_detection(df).collect())
+    parsed = df.select(*[P.parsed_datetime(n, P.detect_datetime_format(df, n)).cast("date").cast("string").alias(n) for n in df.columns])
+    assert set(parsed.first()) == {"2024-01-01"}
+
+
+def test_approximate_distinct_counts(spark):
+    df = spark.range(20_000).select((F.col("id") % 5000).alias("a"), F.lit("x").alias("b"))
+    exact, near = ({r["column"]: r["n_distinct"] for r in P.distinct_counts(df, approx=a).collect()} for a in (False, True))
+    assert exact == {"a": 5000, "b": 1} and near["b"] == 1 and abs(near["a"] - 5000) < 500
+
+
+def test_answers_without_a_profile(spark):
+    names = spark.createDataFrame([("t",), ("u",)], "table_name string")
+    rows = insights.unprofiled(names, insights.UNPROFILED_OVERVIEW).collect()
+    assert len(rows) == 2 and rows[0]["confidence"] == 0.25 and rows[0]["important_features"] == []
+    assert insights.unprofiled(names, insights.UNPROFILED_DOMAIN).first()["suggested_kpis"] == ["Missing Data Rate", "Duplicate Row Rate"]
