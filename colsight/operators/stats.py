@@ -317,7 +317,7 @@ def chi_square(cells: DataFrame) -> DataFrame:
     classes = class_totals.groupBy("ordinal").agg(
         F.count(F.lit(1)).alias("k"), F.sum("class_n").alias("n"), F.product(F.col("class_n").cast("double")).alias("class_prod")
     )
-    shape = levels.join(classes, "ordinal")
+    shape = levels.join(F.broadcast(classes), "ordinal")  # a row per feature
     joined = (
         cells.withColumnRenamed("n", "observed")
         .join(level_totals, ["ordinal", "level"])
@@ -340,7 +340,7 @@ def chi_square(cells: DataFrame) -> DataFrame:
     chi2 = F.when(dof == 1, yates).otherwise(F.col("filled") + empty)
     smaller = F.least(r, k) - 1
     return (
-        sums.join(shape, "ordinal")
+        sums.join(F.broadcast(shape), "ordinal")
         .filter((r >= 2) & (k >= 2))
         .select(
             "ordinal",

@@ -1,12 +1,14 @@
 import itertools
 import math
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from colsight.functions import tails
-from colsight.operators import stats
+from colsight.operators import stats, tables
 
 
 def test_tails_closed_forms():
@@ -131,3 +133,20 @@ def test_constant_feature_gives_no_correlation(spark):
     df = spark.createDataFrame([(1.0, float(i)) for i in range(20)], "k double, y double")
     row = stats.run_tests(df, "y", ["k"], "regression").first()
     assert row["p_value"] is None and row["effect_size"] is None and row["correlation"] is None
+
+
+def test_no_join_is_dealt_by_the_feature_number(spark):
+    """A feature number is a key of a handful of values: with static broadcasts off no join of pairs or cells may use it alone."""
+    df = spark.range(500).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 11).cast("double").alias("y"), (F.col("id") % 3).cast("string").alias("s"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frames = [stats.spearman(df, "y", ["x"], rows_per_bucket=50), stats.chi_square(stats.contingency(df, "s", ["x"]))]
+        frames.append(tables.grouped_median(df.select(F.col("s").alias("group"), F.col("x").alias("target")), rows_per_bucket=50))
+        for frame in frames:
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            joins = re.findall(r"SortMergeJoin \[([^\]]*)\]", plan)
+            assert not [j for j in joins if re.fullmatch(r"ordinal#\d+", j)], joins
+        # The size of a group travels with its running total.
+        assert "n_total" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
