@@ -150,3 +150,10 @@ def test_no_join_is_dealt_by_the_feature_number(spark):
         assert "n_total" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rank_tail_of_a_small_group_among_very_many():
+    for n0, n1, part in ((1, 200_000, 0.01), (3, 100_000, 0.2), (5, 60_000, 0.15), (8, 30_000, 0.3)):
+        u = part * n0 * n1
+        assert tails._wide_rank_p(u, n0, n1) == pytest.approx(tails._exact_rank_p(u, n0, n1), rel=2e-3)
+    assert tails.mann_whitney_p(0.0, 2, 3_000_000, 0.0) < 1e-11
