@@ -7,10 +7,12 @@ of a document starts a walk; its outputs embed the window that begins there, wha
 the length of the item it is compared with. An item is embedded from several of its words, so
 that an edit spoils few of its embeddings.
 
-Bit sampling: ``REPEATS`` keys per walk, each of ``SAMPLES`` outputs. If outputs agree with
-chance a, a planted item is missed with chance ``(1 - a**SAMPLES) ** (WALKS * REPEATS)`` per
-embedding, below 1 % from a = 0.72 on. Equal keys are only candidates: the word edit
-distance of the item to the text around decides.
+Bit sampling: ``REPEATS`` keys per walk, each of ``SAMPLES`` outputs that lie apart, as
+neighbouring outputs are often the same word. If outputs agree with chance a, a planted item
+is missed with chance ``(1 - a**SAMPLES) ** (WALKS * REPEATS)`` per embedding, below 1 % from
+a = 0.72 on. Equal keys are only candidates: the word edit distance of the item to the text
+around decides. It is at least the number of item words that the text around lacks, which
+settles most of them beforehand.
 
 Items are sent to the tasks in blocks of bounded size, one pass over the texts per block.
 """
@@ -44,10 +46,16 @@ MATCHES = "array<struct<item_id:bigint,start:bigint,stop:bigint,edits:bigint>>"
 _rng = np.random.default_rng(60221)
 _SALTS = _rng.integers(1, 2**63, WALKS, dtype=np.uint64)
 _FACTORS = _rng.integers(1, 2**31, (WALKS * REPEATS, SAMPLES), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def _sampled(span: int) -> np.ndarray:
+    """One step from the first half of each of SAMPLES equal parts."""
+    width = span // SAMPLES
+    return np.arange(SAMPLES) * width + _rng.integers(0, width // 2 + 1, SAMPLES)
+
+
 #: Sampled steps: half of the keys look at early steps only, where short items still have words.
-_SAMPLED = np.array(
-    [np.sort(_rng.choice(STEPS // 2 if k % 2 else STEPS, SAMPLES, replace=False)) for k in range(WALKS * REPEATS)]
-)
+_SAMPLED = np.array([_sampled(STEPS // 2 if k % 2 else STEPS) for k in range(WALKS * REPEATS)])
 
 
 def walk_keys(h: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
@@ -74,7 +82,7 @@ class Items:
 
     def __init__(self, numbers: list[int], texts: list[str], least: int):
         hasher = WordHasher()
-        self.numbers, self.words = [], []
+        self.numbers, self.words, self.lists = [], [], []
         keys: list[list[np.ndarray]] = [[] for _ in range(WALKS * REPEATS)]
         item, offset = [], []
         for number, (_, _, words) in zip(numbers, (next(chunks(pa.array([t]), between=MARKS)) for t in texts)):
@@ -88,6 +96,7 @@ class Items:
             offset += starts.tolist()
             self.numbers.append(number)
             self.words.append(h)
+            self.lists.append(h.tolist())
         self.tables = []
         item, offset = np.array(item, np.int64), np.array(offset, np.int64)
         for found in keys if self.words else []:
@@ -144,12 +153,15 @@ def find_items(h: np.ndarray, first: np.ndarray, items: Items, edits: float) ->
     for text, item, begin in sorted(wanted):
         words = items.words[item]
         most = int(edits * len(words))
-        slack = most + STEPS // 2
+        slack = 2 * most + STEPS // 2
         before = checked.get((text, item))
         if before is not None and begin - before <= most // 2:
             continue
         checked[text, item] = begin
         lo, hi = max(int(first[text]), begin - slack), min(int(first[text + 1]), begin + len(words) + slack)
+        around = set(h[lo:hi].tolist())
+        if sum(x not in around for x in items.lists[item]) > most:
+            continue
         cost, a, b = best_match(words, h[lo:hi])
         if cost <= most and (item not in found[text] or cost < found[text][item][3]):
             base = lo - int(first[text])
