@@ -36,7 +36,7 @@ WALKS = 2
 STEPS = 32  # one bit of a 32-bit hash decides a step
 REPEATS = 8
 SAMPLES = 4
-STRIDE = 8
+STRIDE = 2
 REACH = 16  # words that a walk covers on average
 BLOCK_BYTES = 16 << 20
 POSITIONS = 1 << 16
