@@ -256,7 +256,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
 
     pivots = prefixes.groupBy("v").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("f")).filter("f > 1")
     members = shared.written(prefixes.join(pivots.select("v", "pivot"), "v").select("pivot", "id", "n").distinct())
-    active = members.select("id").distinct()
+    active = shared.bounded(shared.written(members.select("id").distinct()))
     sets = shared.written(_sets(source.join(active, "id", "left_semi"), shingle))
 
     weight = F.sum(F.greatest(F.col("n"), F.lit(LEAST_WEIGHT)))

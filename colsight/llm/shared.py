@@ -24,6 +24,7 @@ PACK_BYTES = 8 << 20
 PACK_ROWS = 50_000
 KEY_BITS = 48
 NO_ID = 2**63 - 1
+BROADCAST_IDS = 2_000_000
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -32,6 +33,12 @@ def written(df: DataFrame) -> DataFrame:
     return materialize(df, "zstd")
 
 
+def bounded(ids: DataFrame) -> DataFrame:
+    """A written list of numbers, marked for a broadcast if its counted size allows; a larger
+    one is joined by shuffling."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
