@@ -260,8 +260,10 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     sets = shared.written(_sets(source.join(active, "id", "left_semi"), shingle))
 
     weight = F.sum(F.greatest(F.col("n"), F.lit(LEAST_WEIGHT)))
-    blocks = members.groupBy("pivot").agg(F.ceil(weight / BLOCK_WEIGHT).alias("blocks"))
-    dealt = members.join(blocks, "pivot").join(sets, "id")
+    blocks = shared.written(members.groupBy("pivot").agg(F.ceil(weight / BLOCK_WEIGHT).alias("blocks")))
+    # Written first: a hot pivot is no key of the stage that joins the sets.
+    listed = shared.written(members.join(blocks, "pivot"))
+    dealt = sets.join(shared.bounded(listed), "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
     # The pivot is in each block of its group.

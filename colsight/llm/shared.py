@@ -24,7 +24,7 @@ PACK_BYTES = 8 << 20
 PACK_ROWS = 50_000
 KEY_BITS = 48
 NO_ID = 2**63 - 1
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 
 def written(df: DataFrame) -> DataFrame:
