@@ -23,7 +23,6 @@ from colsight.llm import shared
 from colsight.llm.words import WordHasher, Words, mix, rolling, text_bytes
 
 PRIOR = 1.0  # weight of the unigram model in bigram counts
-BROADCAST_IDS = 2_000_000
 SCHEMA = "doc_id bigint, n_tokens bigint, loss_target double, loss_background double, score double"
 _ONE = np.uint64(1)
 _SHIFT = np.uint64(64 - shared.KEY_BITS)
@@ -51,9 +50,7 @@ def score(docs: DataFrame, target: DataFrame, prior: float = PRIOR) -> DataFrame
     """
     buckets = shared.partitions(docs.sparkSession)
     named = target.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null").distinct()
-    named = shared.written(named.withColumn("wanted", F.lit(True)))
-    if named.count() <= BROADCAST_IDS:
-        named = F.broadcast(named)
+    named = shared.bounded(shared.written(named.withColumn("wanted", F.lit(True))))
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), shared.text_or_empty().alias("text"))
     source = source.join(named, "doc_id", "left").select("doc_id", "text", F.col("wanted").isNotNull().alias("wanted"))
     packs = shared.packed(source)
