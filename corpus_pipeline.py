@@ -18,8 +18,6 @@ from colsight.llm.language_id import UNDECIDED, identify
 from colsight.llm.line_dedup import kept_text, line_decisions
 from colsight.llm.minhash_dedup import near_dedup
 
-BROADCAST_IDS = 2_000_000
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is missing or has no letter are rejected and go."""
@@ -44,10 +42,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with
     the smallest doc_id stays."""
-    dropped = shared.written(near_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct())
-    if dropped.count() <= BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("dropped_id")), "left_anti")
+    dropped = near_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
+    return docs.join(shared.bounded(shared.written(dropped)), docs["doc_id"].eqNullSafe(F.col("dropped_id")), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
