@@ -14,6 +14,10 @@ a = 0.72 on. Equal keys are only candidates: the word edit distance of the item
 around decides. It is at least the number of item words that the text around lacks, which
 settles most of them beforehand.
 
+Items of fewer than ``SEEDED`` words are too short for several walks. They are cut into one part
+more than edits are allowed, so one part stands in the text unchanged: equal parts are their
+candidates, and none is missed.
+
 Items are sent to the tasks in blocks of bounded size, one pass over the texts per block.
 """
 
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colsight.llm import shared
-from colsight.llm.words import MARKS, WordHasher, chunks, mix
+from colsight.llm.words import MARKS, WordHasher, chunks, mix, rolling
 
 EDITS = 0.2
 LEAST_WORDS = 8
@@ -38,6 +42,7 @@ REPEATS = 8
 SAMPLES = 4
 STRIDE = 2
 REACH = 16  # words that a walk covers on average
+SEEDED = STEPS  # words; shorter items are found by their parts
 BLOCK_BYTES = 16 << 20
 POSITIONS = 1 << 16
 FILTER_BITS = 20
@@ -77,45 +82,71 @@ def walk_keys(h: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
             yield key
 
 
+class Lookup:
+    """(item, word of the item) by key, behind a filter on the first bits of the keys."""
+
+    def __init__(self, keys: list[np.ndarray], item: list[int], offset: list[int]):
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        self.shift = key.dtype.type(8 * key.itemsize - FILTER_BITS)
+        self.seen = np.zeros(1 << FILTER_BITS, bool)
+        self.seen[key >> self.shift] = True
+        self.key, self.item, self.offset = key[order], np.array(item, np.int64)[order], np.array(offset, np.int64)[order]
+
+    def __call__(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``found``, item, word of the item) for equal keys."""
+        at = np.flatnonzero(self.seen[found >> self.shift])
+        lo = np.searchsorted(self.key, found[at], "left")
+        n = np.searchsorted(self.key, found[at], "right") - lo
+        which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(at, n), self.item[which], self.offset[which]
+
+
+def parts(words: int, edits: int) -> list[tuple[int, int]]:
+    """(begin, end) of the parts of an item of which ``edits`` edits leave one unchanged."""
+    bounds = [k * words // (edits + 1) for k in range(edits + 2)]
+    return list(zip(bounds, bounds[1:]))
+
+
 class Items:
     """Benchmark items of a block: their words, and their keys with (item, first word)."""
 
-    def __init__(self, numbers: list[int], texts: list[str], least: int):
+    def __init__(self, numbers: list[int], texts: list[str], least: int, edits: float):
         hasher = WordHasher()
         self.numbers, self.words, self.lists = [], [], []
         keys: list[list[np.ndarray]] = [[] for _ in range(WALKS * REPEATS)]
         item, offset = [], []
+        seeds: dict[int, tuple[list, list, list]] = {}
         for number, (_, _, words) in zip(numbers, (next(chunks(pa.array([t]), between=MARKS)) for t in texts)):
             h = hasher(words.data, words.starts, words.ends)
             if len(h) < least:
                 continue
-            starts = np.arange(0, max(1, len(h) - REACH + 1), STRIDE)
-            for k, key in enumerate(walk_keys(h, starts)):
-                keys[k].append(key)
-            item += [len(self.words)] * len(starts)
-            offset += starts.tolist()
+            most = int(edits * len(h))
+            if len(h) < SEEDED and most < len(h):
+                for begin, end in parts(len(h), most):
+                    lists = seeds.setdefault(end - begin, ([], [], []))
+                    for x, value in zip(lists, (rolling(h[begin:end], end - begin), len(self.words), begin)):
+                        x.append(value)
+            else:
+                starts = np.arange(0, max(1, len(h) - REACH + 1), STRIDE)
+                for k, key in enumerate(walk_keys(h, starts)):
+                    keys[k].append(key)
+                item += [len(self.words)] * len(starts)
+                offset += starts.tolist()
             self.numbers.append(number)
             self.words.append(h)
             self.lists.append(h.tolist())
-        self.tables = []
-        item, offset = np.array(item, np.int64), np.array(offset, np.int64)
-        for found in keys if self.words else []:
-            key = np.concatenate(found)
-            order = np.argsort(key, kind="stable")
-            seen = np.zeros(1 << FILTER_BITS, bool)
-            seen[key >> np.uint32(32 - FILTER_BITS)] = True
-            self.tables.append((seen, key[order], item[order], offset[order]))
+        self.walks = [Lookup(found, item, offset) for found in keys if found]
+        self.seeds = {size: Lookup(*lists) for size, lists in seeds.items()}
 
     def candidates(self, h: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(position, item, word of the item there) for positions with an equal key."""
-        for (seen, key, item, offset), found in zip(self.tables, walk_keys(h, starts)):
-            at = np.flatnonzero(seen[found >> np.uint32(32 - FILTER_BITS)])
-            if len(at):
-                lo = np.searchsorted(key, found[at], "left")
-                n = np.searchsorted(key, found[at], "right") - lo
-                which = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                if len(which):
-                    yield np.repeat(starts[at], n), item[which], offset[which]
+        """(position, item, word of the item there) for positions with an equal key; ``starts``
+        are the first positions of ``h``."""
+        for size, lookup in self.seeds.items():
+            yield lookup(rolling(h, size)[: len(starts)])
+        if self.walks:
+            for lookup, found in zip(self.walks, walk_keys(h, starts)):
+                yield lookup(found)
 
 
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -189,7 +220,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, le
 
     def search(numbers: list[int], texts: list[str]) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items, hasher = Items(numbers, texts, least_words), WordHasher()
+            items, hasher = Items(numbers, texts, least_words, edits), WordHasher()
             matches = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "start", "stop", "edits")]))
             for batch in batches:
                 for x, y, words in chunks(batch.column("text"), between=MARKS):

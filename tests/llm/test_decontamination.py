@@ -91,3 +91,23 @@ def test_edges(spark):
     assert {m.item_id for m in out[None, len(item)]} == {7, None}
     assert dec.contaminated(df, bench.limit(0)).filter("size(matches) > 0").count() == 0
     assert dec.contaminated(df.limit(0), bench).count() == 0
+
+
+def test_recall_by_length_and_edits(spark):
+    rng = random.Random(17)
+    vocabulary = [f"v{i}" for i in range(2000)]
+    items, rows, want = {}, [], {}
+    for n in (8, 10, 12, 14, 15, 16, 17, 18, 20, 24, 31, 32, 40):
+        for edits in range(int(dec.EDITS * n) + 1):
+            for _ in range(12):
+                i = len(items)
+                items[i] = rng.sample(vocabulary, n)
+                text = rng.choices(vocabulary, k=20) + planted(rng, items[i], edits) + rng.choices(vocabulary, k=rng.randrange(20))
+                assert distance(items[i], text) <= edits
+                rows.append((i, " ".join(text), "r", "m", 1))
+                want.setdefault((n, edits), set()).add(i)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    out = dec.contaminated(spark.createDataFrame(rows, SCHEMA), bench).collect()
+    got = {r.row.doc_id for r in out if r.row.doc_id in {m.item_id for m in r.matches}}
+    for (n, edits), ids in want.items():
+        assert len(ids & got) >= (len(ids) if n < dec.SEEDED else 11), (n, edits)
