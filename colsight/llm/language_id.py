@@ -3,7 +3,8 @@
 Each language has a probability for every piece of a fixed public vocabulary. The probability
 of a word is the sum over all its segmentations into pieces (forward algorithm), and a text
 scores the sum of its words' log probabilities. Pieces do not cross words, so words are scored
-once per chunk, all words of one length together as arrays.
+once per chunk, all words of one length together as arrays. Sums that come near the smallest
+double are taken again as logarithms.
 
 Training counts (language, word) over the whole labelled part of the corpus, then estimates
 the piece probabilities by expectation maximisation on the counted words: forward and backward
@@ -30,6 +31,7 @@ WORDS_AT_ONCE = 20_000
 COUNTED_WORDS = 500_000
 CHUNK_BYTES = 4 << 20
 UNDECIDED = "und"
+LEAST_CHANCE = 1e-280  # above it, what is lost to underflow on the way does not count
 _STEP = np.uint64(0x9E3779B97F4A7C55)
 
 
@@ -96,6 +98,15 @@ def _by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
             yield int(n), at[k : k + WORDS_AT_ONCE]
 
 
+def _log_forward(edges: list, chance: list[np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """Logarithms of the forward sums at every position, from the log chances of the edges."""
+    out = np.full(shape, -np.inf)
+    out[0] = 0
+    for (begin, end, which, _), c in zip(edges, chance):
+        out[end][which] = np.logaddexp(out[end][which], out[begin][which] + c)
+    return out
+
+
 def word_scores(words: list[str], pieces: Pieces, model: np.ndarray) -> np.ndarray:
     """Log probability of every word in every language, summed over segmentations."""
     out = np.zeros((len(words), model.shape[1]))
@@ -104,7 +115,13 @@ def word_scores(words: list[str], pieces: Pieces, model: np.ndarray) -> np.ndarr
         forward[0] = 1
         for begin, end, which, piece in pieces.edges([words[i] for i in at], n):
             forward[end][which] += forward[begin][which] * model[piece]
-        out[at] = np.log(forward[-1])
+        weak = np.flatnonzero((forward[-1] < LEAST_CHANCE).any(axis=1))
+        strong = np.flatnonzero((forward[-1] >= LEAST_CHANCE).all(axis=1))
+        out[at[strong]] = np.log(forward[-1][strong])
+        if len(weak):
+            edges = list(pieces.edges([words[i] for i in at[weak]], n))
+            chance = [np.log(model[piece]) for _, _, _, piece in edges]
+            out[at[weak]] = _log_forward(edges, chance, (n + 2, len(weak), model.shape[1]))[-1]
     return out
 
 
@@ -124,13 +141,32 @@ def expected_counts(words: list[str], language: np.ndarray, times: np.ndarray, p
         for k in sorted(range(len(edges)), key=lambda k: -edges[k][1]):
             begin, end, which, _ = edges[k]
             backward[begin][which] += backward[end][which] * chance[k]
-        share = times[at] / forward[-1]
+        strong = forward[-1] >= LEAST_CHANCE
+        share = np.divide(times[at], forward[-1], out=np.zeros(len(at)), where=strong)
         for (begin, end, which, piece), p in zip(edges, chance):
             use = forward[begin][which] * p * backward[end][which] * share[which]
             out += np.bincount(piece * model.shape[1] + lang[which], use, len(out))
+        if not strong.all():
+            weak = at[~strong]
+            for piece, k, use in _log_uses([words[i] for i in weak], n, language[weak], times[weak], pieces, model):
+                out += np.bincount(piece * model.shape[1] + k, use, len(out))
     return out.reshape(pieces.size, model.shape[1])
 
 
+def _log_uses(words: list[str], n: int, lang: np.ndarray, times: np.ndarray, pieces: Pieces, model: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(piece, language, expected uses) by words of ``n`` letters whose chance is too small for a double."""
+    edges = list(pieces.edges(words, n))
+    chance = [np.log(model[piece, lang[which]]) for _, _, which, piece in edges]
+    forward = _log_forward(edges, chance, (n + 2, len(words)))
+    backward = np.full(forward.shape, -np.inf)
+    backward[-1] = 0
+    for k in sorted(range(len(edges)), key=lambda k: -edges[k][1]):
+        begin, end, which, _ = edges[k]
+        backward[begin][which] = np.logaddexp(backward[begin][which], backward[end][which] + chance[k])
+    for (begin, end, which, piece), c in zip(edges, chance):
+        yield piece, lang[which], times[which] * np.exp(forward[begin][which] + c + backward[end][which] - forward[-1][which])
+
+
 def _word_counts(labelled: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _finder()

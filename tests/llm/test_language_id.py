@@ -55,6 +55,39 @@ def test_held_out_accuracy(spark, sf_dir, documents):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_chances_below_the_smallest_double():
+    """Totals of 1e10 piece uses: a run of unseen letters has a chance of 1e-11 per letter."""
+    table = lid.Pieces(PIECES)
+    model = np.full((len(PIECES) + 1, 2), 0.1 / 1e10)
+    model[:, 1] = 0.1 / 1e6
+    words = ["x" * lid.WORD_LETTERS, "ab" * 16, "x"]
+    got = lid.word_scores(words, table, model)
+    small = np.log(model[-1])
+    assert np.isfinite(got).all()
+    assert np.allclose(got[0], (lid.WORD_LETTERS + 1) * small) and np.allclose(got[2], 2 * small)
+    # The same sums at chances which a double can hold, then all of them scaled.
+    scaled = np.full((len(PIECES) + 1, 1), 0.1 / 1e10)
+    letters = [len(p) for p in PIECES] + [1]
+    for f in (1.0, 1e-11):
+        scaled[:, 0] = 0.5 * f ** np.array(letters, float)
+        scores = lid.word_scores(words, table, scaled)[:, 0] - np.log(f) * np.array([len(w) + 1 for w in words])
+        uses = lid.expected_counts(words, np.zeros(3, int), np.array([2.0, 3.0, 1.0]), table, scaled)
+        if f == 1:
+            want = scores, uses
+        assert np.allclose(scores, want[0]) and np.allclose(uses, want[1])
+
+
+def test_unseen_script_does_not_decide(spark):
+    """A run in a script that no language has; the words around it say which language it is."""
+    chances = np.full((len(PIECES) + 1, 2), 0.1 / 1e10, np.float32)
+    chances[PIECES.index("▁ab")] = [0.9, 0.1]
+    docs = spark.createDataFrame([("ab ab ab " + chr(0x4E00) * 40,)], "text string")
+    for small in (1e-11, 1e-13):  # of the second language
+        chances[-1, 1] = small
+        (row,) = lid.predict(docs, lid.Model(PIECES, ["aa", "bb"], chances, np.array([0.5, 0.5]))).collect()
+        assert row.lang_pred == "aa" and 0.5 < row.score <= 1
+
+
 SCHEMA = "doc_id bigint, text string, lang string, row string, score int, lang_pred string"
 
 
