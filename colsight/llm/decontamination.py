@@ -113,15 +113,15 @@ class Items:
 
     def __init__(self, numbers: list[int], texts: list[str], least: int, edits: float):
         hasher = WordHasher()
-        self.numbers, self.words, self.lists = [], [], []
+        self.numbers, self.words, self.lists, self.most = [], [], [], []
         keys: list[list[np.ndarray]] = [[] for _ in range(WALKS * REPEATS)]
         item, offset = [], []
         seeds: dict[int, tuple[list, list, list]] = {}
         for number, (_, _, words) in zip(numbers, (next(chunks(pa.array([t]), between=MARKS)) for t in texts)):
             h = hasher(words.data, words.starts, words.ends)
-            if len(h) < least:
+            if not len(h):
                 continue
-            most = int(edits * len(h))
+            most = int(edits * len(h)) if len(h) >= least else 0
             if len(h) < SEEDED and most < len(h):
                 for begin, end in parts(len(h), most):
                     lists = seeds.setdefault(end - begin, ([], [], []))
@@ -135,6 +135,7 @@ class Items:
                 offset += starts.tolist()
             self.numbers.append(number)
             self.words.append(h)
+            self.most.append(most)
             self.lists.append(h.tolist())
         self.walks = [Lookup(found, item, offset) for found in keys if found]
         self.seeds = {size: Lookup(*lists) for size, lists in seeds.items()}
@@ -169,7 +170,7 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(origin[end]), end
 
 
-def find_items(h: np.ndarray, first: np.ndarray, items: Items, edits: float) -> list[list[tuple[int, int, int, int]]]:
+def find_items(h: np.ndarray, first: np.ndarray, items: Items) -> list[list[tuple[int, int, int, int]]]:
     """(item_id, start, stop, edits) of the items that stand in each text of a chunk."""
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     wanted: set[tuple[int, int, int]] = set()
@@ -183,7 +184,9 @@ def find_items(h: np.ndarray, first: np.ndarray, items: Items, edits: float) ->
     checked: dict[tuple[int, int], int] = {}
     for text, item, begin in sorted(wanted):
         words = items.words[item]
-        most = int(edits * len(words))
+        if item in found[text] and not found[text][item][3]:
+            continue
+        most = items.most[item]
         slack = 2 * most + STEPS // 2
         before = checked.get((text, item))
         if before is not None and begin - before <= most // 2:
@@ -206,9 +209,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, le
     Returns (row, matches): the input row as a struct, and for each item found its item_id,
     start, stop (word positions) and edits. Words are runs of letters and digits in lower case
     (any non-ASCII character counts as a letter). An item stands in a text if the word edit
-    distance to a part of it is at most ``edits`` times the words of the item. Items with fewer
-    than ``least_words`` words are common phrases and not searched, nor are missing ones. A
-    missing or empty text holds none. Repeated rows get equal results.
+    distance to a part of it is at most ``edits`` times the words of the item; items with fewer
+    than ``least_words`` words must stand there unchanged. Missing items and those without a
+    word are not searched. A missing or empty text holds none. Repeated rows get equal results.
     """
     text = F.lower(F.col("text").cast("string"))
     passages = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), text.alias("text")).filter("text is not null")
@@ -225,7 +228,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, le
             for batch in batches:
                 for x, y, words in chunks(batch.column("text"), between=MARKS):
                     h = hasher(words.data, words.starts, words.ends)
-                    found = find_items(h, words.first, items, edits)
+                    found = find_items(h, words.first, items)
                     rows = [[dict(zip(("item_id", "start", "stop", "edits"), m)) for m in f] for f in found]
                     yield pa.RecordBatch.from_arrays([batch.column("row").slice(x, y - x), pa.array(rows, matches)], ["row", "matches"])
 

@@ -111,3 +111,11 @@ def test_recall_by_length_and_edits(spark):
     got = {r.row.doc_id for r in out if r.row.doc_id in {m.item_id for m in r.matches}}
     for (n, edits), ids in want.items():
         assert len(ids & got) >= (len(ids) if n < dec.SEEDED else 11), (n, edits)
+
+
+def test_short_items_stand_unchanged(spark):
+    texts = ["say alpha beta gamma now", "alpha beta more gamma", "one", "", "Gamma? one, two!", "one " * 3000]
+    df = spark.createDataFrame([(i, t, "r", "m", 1) for i, t in enumerate(texts)], SCHEMA)
+    bench = spark.createDataFrame([(1, "Alpha, beta gamma."), (2, "one"), (3, "?!"), (4, "a b c d e f g"), (5, "")], "item_id bigint, text string")
+    got = {r.row.doc_id: [(m.item_id, m.edits) for m in r.matches] for r in dec.contaminated(df, bench).collect()}
+    assert got == {0: [(1, 0)], 1: [], 2: [(2, 0)], 3: [], 4: [(2, 0)], 5: [(2, 0)]}
