@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 DATA = os.environ.get("LLM_TEST_DATA", "/root/testdata/sf0.001")
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="session")
