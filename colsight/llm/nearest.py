@@ -10,7 +10,9 @@ wanted share of their true neighbours lies in visited leaves.
 Equal vectors are one entry with the smallest ``k + 1`` rows that hold them, which is all that a
 result can show, so a vector held by a third of all rows is as cheap as any other. Leaves and the
 queries that visit them meet in cells of bounded size: a leaf with many vectors is cut into
-slices, one with many visitors deals these out. A cell returns the best rows per query.
+slices, one with many visitors deals these out. The visits are made in waves, each ``WIDEN``
+times as wide as all before it, and a query carries the score of its last row found so far: cells
+return only rows that reach it, so the rows returned grow with the number of waves, not of visits.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ LEAF_ROWS = 1024
 MAX_LEAVES = 8192
 TREE_NUMBERS = 1 << 22
 BRANCHES = 8
+WIDEN = 8
 TRIAL_QUERIES = 256
 CELL_ROWS = 32_768
 BATCH = 4096
@@ -143,8 +146,11 @@ def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_pairs(queries: np.ndarray, rows: np.ndarray, least_id: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, row, score) of the k best rows of each query, ties to the smaller id; in blocks.
+def best_pairs(
+    queries: np.ndarray, rows: np.ndarray, least_id: np.ndarray, k: int, floor: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, row, score) of the k best rows of each query that reach its floor, ties to the
+    smaller id; in blocks.
 
     Products by blocks differ from ``scores`` in their last bits, so all that may be among the
     best are scored again."""
@@ -154,13 +160,15 @@ def best_pairs(queries: np.ndarray, rows: np.ndarray, least_id: np.ndarray, k: i
     for at in range(0, len(queries), step):
         some = queries[at : at + step]
         near = some @ rows.T
+        edge = np.full(len(some), -np.inf) if floor is None else floor[at : at + step]
         if len(rows) > k:
-            edge = np.partition(near, len(rows) - k, axis=1)[:, len(rows) - k]
-            edge -= margin * longest * np.sqrt((some**2).sum(axis=1))
-            q, r = np.nonzero(near >= edge[:, None])
-        else:
-            q, r = (x.ravel() for x in np.indices(near.shape))
+            edge = np.maximum(edge, np.partition(near, len(rows) - k, axis=1)[:, len(rows) - k])
+        edge = edge - margin * longest * np.sqrt((some**2).sum(axis=1))
+        q, r = np.nonzero(near >= edge[:, None])
         exact = scores(some[q], rows[r])
+        if floor is not None:
+            reached = exact >= floor[at + q]
+            q, r, exact = q[reached], r[reached], exact[reached]
         order = np.lexsort((least_id[r], -exact, q))
         q, r, exact = q[order], r[order], exact[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
@@ -280,7 +288,7 @@ def calibrated(tree: Tree, trial: np.ndarray, leaves: list[list[int]], recall: f
 def _in_cells(items: DataFrame, asked: DataFrame, tree: Tree, sizes: np.ndarray, visitors: np.ndarray, size: int, kind: str, k: int) -> DataFrame:
     """Rows found per query and cell: (qn, score, vec_id, row)."""
     slices = np.maximum(1, -(-sizes // CELL_ROWS))
-    deals = np.maximum(1, -(-visitors // CELL_ROWS))
+    deals = -(-visitors // CELL_ROWS)  # none for a leaf that nobody visits
 
     def place_items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
@@ -310,8 +318,8 @@ def _in_cells(items: DataFrame, asked: DataFrame, tree: Tree, sizes: np.ndarray,
             for at in range(0, len(which), BATCH):
                 w = which[at : at + BATCH]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x[at : at + BATCH].astype(np.int32)) for x in (leaf, slice_, deal)), batch.column("qn").take(w), batch.column("vec").take(w)],
-                    ["leaf", "slice", "deal", "qn", "vec"],
+                    [*(pa.array(x[at : at + BATCH].astype(np.int32)) for x in (leaf, slice_, deal)), *(batch.column(c).take(w) for c in ("qn", "vec", "floor"))],
+                    ["leaf", "slice", "deal", "qn", "vec", "floor"],
                 )
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -321,14 +329,15 @@ def _in_cells(items: DataFrame, asked: DataFrame, tree: Tree, sizes: np.ndarray,
             queries = vectors.from_bytes(right.column("vec"), size, kind)
             number = right.column("qn").to_numpy()
             ids, at, lengths, first = _holders(left.column("ids").combine_chunks())
-            for q, r, exact in best_pairs(queries, rows, first, k):
+            floor = right.column("floor").to_numpy()
+            for q, r, exact in best_pairs(queries, rows, first, k, floor):
                 part, which = _spread(r, lengths, at)
                 for kept, new in zip(found, _top([number[q][part], exact[part], ids[which, 0], ids[which, 1]], k)):
                     kept.append(new)
         return pa.table({n: np.concatenate(x) for n, x in zip(("qn", "score", "vec_id", "row"), found)})
 
     left = items.mapInArrow(place_items, "leaf int, slice int, deal int, vec binary, ids array<struct<vec_id: bigint, row: bigint>>")
-    right = asked.mapInArrow(place_queries, "leaf int, slice int, deal int, qn bigint, vec binary")
+    right = asked.mapInArrow(place_queries, "leaf int, slice int, deal int, qn bigint, vec binary, floor double")
     cell = ("leaf", "slice", "deal")
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(search, "qn bigint, score double, vec_id bigint, row bigint")
 
@@ -385,15 +394,30 @@ def nearest(
             number += batch.num_rows
 
     asked = shared.written(asked.mapInArrow(walk, "qn bigint, vec binary, leaves array<int>"))
-    visitors = np.zeros(tree.leaves, np.int64)
-    for row in asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():  # a row per leaf
-        visitors[row["leaf"]] = row["count"]
-
-    found = _in_cells(items, asked, tree, sizes, visitors, size, kind, k + 1)
+    ends = [visits]
+    while ends[0] >= WIDEN:
+        ends.insert(0, ends[0] // WIDEN)
+    wave = sum((F.col("pos") >= end).cast("int") for end in ends[:-1]) if ends[1:] else F.lit(0)
+    visitors = np.zeros((len(ends), tree.leaves), np.int64)
+    placed = asked.select(F.posexplode("leaves").alias("pos", "leaf")).groupBy(wave.alias("wave"), "leaf").count()
+    for row in placed.collect():  # a row per wave and leaf
+        visitors[row["wave"], row["leaf"]] = row["count"]
+
+    hits = None
     order = Window.partitionBy("qn").orderBy(F.desc("score"), "vec_id", "row")
-    best = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
-    hit = F.struct("n", "score", "vec_id", "row")
-    hits = shared.written(best.groupBy("qn").agg(F.sort_array(F.collect_list(hit)).alias("hits")))
+    for number, (begin, end) in enumerate(zip([0, *ends], ends)):
+        many = F.lit(tree.leaves) if end == visits else F.lit(end - begin)
+        going = asked.select("qn", "vec", F.slice("leaves", F.lit(begin + 1), many).alias("leaves"))
+        if hits is None:
+            found = _in_cells(items, going.withColumn("floor", F.lit(float("-inf"))), tree, sizes, visitors[number], size, kind, k + 1)
+        else:
+            last = F.when(F.size("hits") > k, F.element_at("hits", -1)["score"]).otherwise(float("-inf"))
+            going = going.join(hits.select("qn", last.alias("floor")), "qn", "left").fillna(float("-inf"), "floor")
+            found = _in_cells(items, going, tree, sizes, visitors[number], size, kind, k + 1)
+            found = found.unionByName(hits.select("qn", F.explode("hits").alias("h")).select("qn", "h.score", "h.vec_id", "h.row"))
+        best = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
+        hit = F.struct("n", "score", "vec_id", "row")
+        hits = shared.written(best.groupBy("qn").agg(F.sort_array(F.collect_list(hit)).alias("hits")))
     mine = wanted.select(F.col("row").alias("own"), F.col("vec_id").alias("query_id"), "vec").join(asked.select("qn", "vec"), "vec").drop("vec")
     others = F.slice(F.filter("hits", lambda h: h["row"] != F.col("own")), 1, k)
     out = mine.join(hits, "qn").select("query_id", F.posexplode(others).alias("place", "hit"))

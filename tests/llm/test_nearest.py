@@ -46,9 +46,10 @@ def test_one_leaf_is_exact(spark):
     assert result(nn.nearest(frame(spark, rows), QUERIES)) == brute(rows)
 
 
-@pytest.mark.parametrize("cell", [32_768, 20])
-def test_recall_of_many_leaves(spark, monkeypatch, cell):
+@pytest.mark.parametrize("cell, widen", [(32_768, 8), (20, 2)])
+def test_recall_of_many_leaves(spark, monkeypatch, cell, widen):
     monkeypatch.setattr(nn, "CELL_ROWS", cell)
+    monkeypatch.setattr(nn, "WIDEN", widen)
     seen = []
     found = nn.calibrated
     monkeypatch.setattr(nn, "calibrated", lambda tree, *a: seen.append((tree.leaves, found(tree, *a))) or seen[-1][1])
