@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,15 @@ def c(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_name(names: Iterable[str], stem: str) -> str:
+    """A name that no column begins with, whatever its case: for helper columns beside a
+    table's own. ``names`` are the table's columns."""
+    taken = [n.lower() for n in names]
+    while any(n.startswith(stem.lower()) for n in taken):
+        stem += "_"
+    return stem
+
+
 def dtype_of(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 

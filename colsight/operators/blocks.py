@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colsight.functions.exprs import c, dtype_of, literal, number, quoted, value, value_sql
+from colsight.functions.exprs import c, dtype_of, free_name, literal, number, quoted, value, value_sql
 
 COLUMNS_PER_AGGREGATE = 12
 LONG_TEXT_LENGTH = 128
@@ -42,6 +42,7 @@ def per_column_agg(
     aggregates of up to ``COLUMNS_PER_AGGREGATE`` columns: beyond that the generated code
     is too large to be compiled well. Each reads its own columns only."""
     parts = []
+    slot = free_name(keys, "_m")
     numbered = list(enumerate(columns))
     n_chunks = max(1, -(-len(numbered) // COLUMNS_PER_AGGREGATE))
     size = max(1, -(-len(numbered) // n_chunks))
@@ -49,8 +50,8 @@ def per_column_agg(
         aggs, rows = [], []
         for i, n in numbered[start : start + size]:
             found = metrics(n)
-            aggs.append(F.expr(f"struct({', '.join(f'{e} AS {a}' for a, e in found.items())})").alias(f"_m{i}"))
-            fields = ", ".join(f"_m{i}.{a} AS {a}" for a in found)
+            aggs.append(F.expr(f"struct({', '.join(f'{e} AS {a}' for a, e in found.items())})").alias(f"{slot}{i}"))
+            fields = ", ".join(f"{slot}{i}.{a} AS {a}" for a in found)
             rows.append(f"struct({i} AS ordinal, {literal(n)} AS column, {fields})")
         wide = df.groupBy(*[c(k) for k in keys]).agg(*aggs)
         parts.append(wide.selectExpr(*[quoted(k) for k in keys], f"inline(array({', '.join(rows)}))"))
@@ -409,25 +410,27 @@ def running_totals(
             *[F.coalesce(F.sum(c(s)).over(plain), F.lit(0)).alias(f"{s}_before") for s in sums],
             *[F.sum(c(s)).over(whole).alias(f"{s}_total") for s in sums],
         )
-    bucketed = df.withColumn("_bucket", bucket)
-    keys = [*by, "_bucket"]
-    totals = bucketed.groupBy(*[c(k) for k in keys]).agg(*[F.sum(c(s)).alias(f"_t{i}") for i, s in enumerate(sums)])
-    earlier = Window.partitionBy(*[c(k) for k in by]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    stem = free_name([*df.columns, *by], "_")
+    at = f"{stem}bucket"
+    bucketed = df.withColumn(at, bucket)
+    keys = [*by, at]
+    totals = bucketed.groupBy(*[c(k) for k in keys]).agg(*[F.sum(c(s)).alias(f"{stem}t{i}") for i, s in enumerate(sums)])
+    earlier = Window.partitionBy(*[c(k) for k in by]).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*[c(k) for k in by])
     carried = totals.select(
         *[c(k) for k in keys],
-        *[F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_c{i}") for i in range(len(sums))],
-        *[F.sum(f"_t{i}").over(whole).alias(f"{s}_total") for i, s in enumerate(sums)],
+        *[F.coalesce(F.sum(f"{stem}t{i}").over(earlier), F.lit(0)).alias(f"{stem}c{i}") for i in range(len(sums))],
+        *[F.sum(f"{stem}t{i}").over(whole).alias(f"{s}_total") for i, s in enumerate(sums)],
     )
     inside = Window.partitionBy(*[c(k) for k in keys]).orderBy(*[c(o) for o in order])
     inside = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = bucketed.select(
-        "*", *[F.coalesce(F.sum(c(s)).over(inside), F.lit(0)).alias(f"_l{i}") for i, s in enumerate(sums)]
+        "*", *[F.coalesce(F.sum(c(s)).over(inside), F.lit(0)).alias(f"{stem}l{i}") for i, s in enumerate(sums)]
     )
     joined = local.join(carried, keys, "inner")
     return joined.select(
         *[c(n) for n in df.columns],
-        *[(F.col(f"_l{i}") + F.col(f"_c{i}")).alias(f"{s}_before") for i, s in enumerate(sums)],
+        *[(F.col(f"{stem}l{i}") + F.col(f"{stem}c{i}")).alias(f"{s}_before") for i, s in enumerate(sums)],
         *[F.col(f"{s}_total") for s in sums],
     )
 

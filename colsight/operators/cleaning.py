@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colsight.functions.exprs import atomic_columns, c, dtype_of, is_number, nan_to_null, number_columns
+from colsight.functions.exprs import atomic_columns, c, dtype_of, free_name, is_number, nan_to_null, number_columns
 from colsight.operators.blocks import SUSPECT_LIMIT, comparable, exact_quantiles, gap_counts
 from colsight.operators.missing import fill_median, fill_mode
 from colsight.session import materialize
@@ -28,23 +28,25 @@ def drop_duplicates(df: DataFrame, suspect_limit: int = SUSPECT_LIMIT) -> DataFr
     shuffled). If they are few, rows with any other hash stay where they are and only
     the rest is compared in full; otherwise whole rows are shuffled.
     """
-    hashed = df.withColumn("_row_hash", F.xxhash64(*[comparable(df, n) for n in df.columns]))
-    counts = hashed.groupBy("_row_hash").agg(F.count(F.lit(1)).alias("n"))
-    shared = counts.filter(F.col("n") > 1).select("_row_hash")
+    key = free_name(df.columns, "_row_hash")
+    hashed = df.withColumn(key, F.xxhash64(*[comparable(df, n) for n in df.columns]))
+    counts = hashed.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    shared = counts.filter(F.col("n") > 1).select(key)
     n_shared = shared.count()
     if n_shared == 0:
         return df
     maps = [n for n in df.columns if "map<" in dtype_of(df, n).simpleString()]
 
     def distinct(rows: DataFrame) -> DataFrame:
-        keyed = rows.withColumns({f"_key{i}": comparable(df, n) for i, n in enumerate(maps)})
-        keys = [n for n in rows.columns if n not in maps] + [f"_key{i}" for i in range(len(maps))]
+        slots = [f"{free_name(rows.columns, '_key')}{i}" for i in range(len(maps))]
+        keyed = rows.withColumns({s: comparable(df, n) for s, n in zip(slots, maps)})
+        keys = [n for n in rows.columns if n not in maps] + slots
         return keyed.dropDuplicates(keys).select(*[c(n) for n in rows.columns])
 
     if n_shared > suspect_limit:
         return distinct(df)
-    alone = hashed.join(F.broadcast(shared), "_row_hash", "left_anti")
-    suspects = distinct(hashed.join(F.broadcast(shared), "_row_hash", "left_semi"))
+    alone = hashed.join(F.broadcast(shared), key, "left_anti")
+    suspects = distinct(hashed.join(F.broadcast(shared), key, "left_semi"))
     return alone.unionByName(suspects).select(*[c(n) for n in df.columns])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colsight.functions.exprs import c, dtype_of, is_temporal, nan_to_null, value
+from colsight.functions.exprs import c, dtype_of, free_name, is_temporal, nan_to_null, quoted, value
 from colsight.operators import profile as P
 from colsight.operators.blocks import ROWS_PER_BUCKET, exact_quantiles, gap_counts, range_bucket, smallest_modes
 from colsight.session import materialize
@@ -159,57 +159,59 @@ def fill_datetime(
         return df
     parsed = _replace(df, {n: as_datetime(df, n) for n in gaps})
     keys = [*partition_by, *order_by]
-    slots = [f"_v{i}" for i in range(len(gaps))]
+    stem = free_name(df.columns, "_")
+    at, other = f"{stem}bucket", f"{stem}b"
+    slots = [f"{stem}v{i}" for i in range(len(gaps))]
     steps = parsed.groupBy(*[c(k) for k in keys]).agg(
         *[F.max(c(n)).alias(s) for n, s in zip(gaps, slots)],
         *[F.max(c(n).isNull()).alias(f"{s}_gap") for n, s in zip(gaps, slots)],
     )
     bucket = range_bucket(df, keys, n_rows if n_rows is not None else df.count(), rows_per_bucket)
-    steps = steps.withColumn("_bucket", F.lit(0) if bucket is None else bucket)
+    steps = steps.withColumn(at, F.lit(0) if bucket is None else bucket)
 
     groups = [c(k) for k in partition_by] or [F.lit(0)]
     order = [c(k) for k in order_by]
     backward = [c(k).desc_nulls_last() for k in order_by]
-    up_to = Window.partitionBy(*groups, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    up_to = Window.partitionBy(*groups, at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # "First later value" as "last value" of the reversed order: a growing frame is linear.
-    since = Window.partitionBy(*groups, "_bucket").orderBy(*backward).rowsBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy(*groups, at).orderBy(*backward).rowsBetween(Window.unboundedPreceding, 0)
     local = steps.select(
         "*",
         *[F.last(s, ignorenulls=True).over(up_to).alias(f"{s}_prev") for s in slots],
         *[F.last(s, ignorenulls=True).over(since).alias(f"{s}_next") for s in slots],
-    ).filter(" or ".join(f"{s}_gap" for s in slots))
+    ).filter(" or ".join(quoted(f"{s}_gap") for s in slots))
 
     if bucket is not None:
-        at = F.struct(*order)
-        ends = steps.groupBy(*[c(k) for k in partition_by], "_bucket").agg(
-            *[F.max_by(s, F.when(F.col(s).isNotNull(), at)).alias(f"{s}_end") for s in slots],
-            *[F.min_by(s, F.when(F.col(s).isNotNull(), at)).alias(f"{s}_start") for s in slots],
+        when = F.struct(*order)
+        ends = steps.groupBy(*[c(k) for k in partition_by], at).agg(
+            *[F.max_by(s, F.when(F.col(s).isNotNull(), when)).alias(f"{s}_end") for s in slots],
+            *[F.min_by(s, F.when(F.col(s).isNotNull(), when)).alias(f"{s}_start") for s in slots],
         )
-        before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        after = Window.partitionBy(*groups).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy(*groups).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        after = Window.partitionBy(*groups).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, -1)
         carried = ends.select(
-            *[c(k).alias(f"_p{i}") for i, k in enumerate(partition_by)],
-            F.col("_bucket").alias("_b"),
+            *[c(k).alias(f"{stem}p{i}") for i, k in enumerate(partition_by)],
+            F.col(at).alias(other),
             *[F.last(f"{s}_end", ignorenulls=True).over(before).alias(f"{s}_carry") for s in slots],
             *[F.last(f"{s}_start", ignorenulls=True).over(after).alias(f"{s}_ahead") for s in slots],
         )
-        same = F.col("_bucket") == F.col("_b")
+        same = F.col(at) == F.col(other)
         for i, k in enumerate(partition_by):
-            same = same & c(k).eqNullSafe(F.col(f"_p{i}"))
+            same = same & c(k).eqNullSafe(F.col(f"{stem}p{i}"))
         local = local.join(carried, same)
         fills = [F.coalesce(f"{s}_prev", f"{s}_carry", f"{s}_next", f"{s}_ahead") for s in slots]
     else:
         fills = [F.coalesce(f"{s}_prev", f"{s}_next") for s in slots]
 
     looked_up = local.select(
-        *[c(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[f.alias(f"{s}_fill") for f, s in zip(fills, slots)]
+        *[c(k).alias(f"{stem}k{i}") for i, k in enumerate(keys)], *[f.alias(f"{s}_fill") for f, s in zip(fills, slots)]
     )
     gap = F.lit(False)
     for n in gaps:
         gap = gap | c(n).isNull()
     on = F.lit(True)
     for i, k in enumerate(keys):
-        on = on & c(k).eqNullSafe(F.col(f"_k{i}"))
+        on = on & c(k).eqNullSafe(F.col(f"{stem}k{i}"))
     holes = parsed.filter(gap).join(looked_up, on, "left")
     filled = holes.select(
         *[

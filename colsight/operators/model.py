@@ -135,17 +135,29 @@ def task_types(profile: DataFrame) -> DataFrame:
     return profile.select("table_name", "column", F.when(many, "regression").otherwise("classification").alias("task_type"))
 
 
-def hash_split(df: DataFrame, key: Sequence[str] | None = None, share: float = TEST_SHARE, seed: int = SPLIT_SEED) -> DataFrame:
-    """Add ``is_test``: a fixed function of the key (by default the whole row), so that
-    every evaluation and retry splits alike."""
+def hash_split(
+    df: DataFrame, key: Sequence[str] | None = None, share: float = TEST_SHARE, seed: int = SPLIT_SEED, name: str = "is_test"
+) -> DataFrame:
+    """Add a boolean column ``name``: a fixed function of the key (by default the whole row), so
+    that every evaluation and retry splits alike."""
+    return _added(df, name, split_mark(df, key, share, seed))
+
+
+def split_mark(df: DataFrame, key: Sequence[str] | None = None, share: float = TEST_SHARE, seed: int = SPLIT_SEED) -> Column:
+    """Whether a row is a test row, as an expression over the table's columns."""
     cols = [value(df, n) for n in (key or [n for n in df.columns if is_atomic(dtype_of(df, n))])]
-    slot = F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1000))
-    return df.withColumn("is_test", slot < int(share * 1000))
+    return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1000)) < int(share * 1000)
 
 
-def modulo_split(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
+def modulo_split(df: DataFrame, key: str, folds: int = 5, name: str = "is_test") -> DataFrame:
     """Split by key modulo: one of ``folds`` parts is the test part. Any SQL engine agrees."""
-    return df.withColumn("is_test", F.pmod(c(key), F.lit(folds)) == 0)
+    return _added(df, name, F.pmod(c(key), F.lit(folds)) == 0)
+
+
+def _added(df: DataFrame, name: str, column: Column) -> DataFrame:
+    if name.lower() in (n.lower() for n in df.columns):
+        raise ValueError(f"The table has a column {name}; choose another name for the split.")
+    return df.withColumn(name, column)
 
 
 @dataclass
@@ -191,7 +203,8 @@ def training_frame(
     split_column: str | None = None,
 ) -> TrainingFrame:
     """(label, features, is_test); datetimes and ``exclude`` stay out and are listed.
-    ``split_column`` names a boolean column that marks the test rows, else ``hash_split`` does.
+    ``split_column`` names a boolean column that marks the test rows, else ``split_mark`` does;
+    a column of the table that happens to be called is_test is a feature like any other.
 
     Text columns with few levels become 0/1 columns, the others a sparse one-hot vector over
     a table of numbered levels. First level and missing are all zeros.
@@ -211,7 +224,7 @@ def training_frame(
     sparse = [n for n in texts if n not in few]
 
     rows = complete_rows(df, numbers, target)
-    rows = hash_split(rows, split_key) if split_column is None else rows.withColumn("is_test", c(split_column))
+    mark = split_mark(rows, split_key) if split_column is None else c(split_column)
     slots = [number(df, n).alias(f"f{i}") for i, n in enumerate(numbers)]
     for n, found in few.items():
         for level in found[1:]:
@@ -219,7 +232,7 @@ def training_frame(
     inputs = [f"f{i}" for i in range(len(slots))]
     width = len(slots)
     label = number(df, target) if task == "regression" else value(df, target)
-    columns = [label.alias("label"), "is_test", *slots, *[text(df, n).alias(f"t{i}") for i, n in enumerate(sparse)]]
+    columns = [label.alias("label"), mark.alias("is_test"), *slots, *[text(df, n).alias(f"t{i}") for i, n in enumerate(sparse)]]
     wide = rows.select(*columns).filter(F.col("label").isNotNull())
     classes: list[str] = []
     if task == "classification":

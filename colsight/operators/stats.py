@@ -18,6 +18,7 @@ from colsight.functions.exprs import (
     corr_sql,
     dtype_of,
     exact_round,
+    free_name,
     is_number_or_bool,
     is_temporal,
     number,
@@ -77,16 +78,17 @@ def _feature(features: Sequence[str]) -> Column:
 
 def class_moments(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     """(class, ordinal, feature, n, mean, var) of numeric features per target class."""
-    rows = df.select(value(df, target).alias("_class"), *[c(n) for n in dict.fromkeys(features)])
-    rows = rows.filter(F.col("_class").isNotNull())
+    key = free_name(features, "_class")
+    rows = df.select(value(df, target).alias(key), *[c(n) for n in dict.fromkeys(features)])
+    rows = rows.filter(F.col(key).isNotNull())
     long = per_column_agg(
         rows,
         features,
         lambda n: {a: f"{fn}({number_sql(rows, n)})" for a, fn in (("n", "count"), ("mean", "avg"), ("var", "var_samp"))},
-        keys=["_class"],
+        keys=[key],
     )
     return long.filter(F.col("n") > 0).select(
-        F.col("_class").alias("class"), "ordinal", F.col("column").alias("feature"), "n", "mean", "var"
+        F.col(key).alias("class"), "ordinal", F.col("column").alias("feature"), "n", "mean", "var"
     )
 
 

@@ -15,6 +15,9 @@ NO_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 ROWS_PER_BATCH = 5000
 TABLE_SCHEMA = "page_id string, row_no int, is_header boolean, cells array<string>"
 
+# The most columns and rows that a cell may span in HTML.
+MAX_SPANS = (1000, 65_534)
+
 
 class _TableEnd(Exception):
     """The first table is complete; the rest of the page need not be read."""
@@ -52,7 +55,7 @@ class _FirstTable(HTMLParser):
                 self._row, self._header = [], True
             self._header = self._header and (tag == "th" or self._in_head)
             spans = [dict(attrs).get(k) or "1" for k in ("colspan", "rowspan")]
-            self._span = tuple(int(x) if x.isdigit() and int(x) > 0 else 1 for x in spans)
+            self._span = tuple(min(int(x[:9]), most) or 1 if x.isdigit() and x.isascii() else 1 for x, most in zip(spans, MAX_SPANS))
             self._cell = []
 
     def handle_endtag(self, tag: str) -> None:

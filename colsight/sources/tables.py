@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from colsight.functions.exprs import c, dtype_of, literal, nan_to_null, quoted
 from colsight.operators.blocks import per_column_agg
+from colsight.sources import delimited
 from colsight.sources.html import html_tables, table_frame
 
 # Texts that mean "missing" in a delimited file.
@@ -30,9 +31,10 @@ MEGABYTE = 1024 * 1024
 def load_table(spark: SparkSession, path: str, fmt: str | None = None, **options: str) -> DataFrame:
     """Read a table by format, given or taken from the file suffix.
 
-    CSV is read as text, missing tokens become NULL, then columns are typed. Files with
-    line breaks inside quotes are found beforehand and read whole, all others in splits;
-    ``multiLine`` as an option decides by hand. A repeated header name gets .1, .2, ...
+    CSV is read as text, missing tokens become NULL, then columns are typed. Files are read in
+    splits, those with line breaks inside quotes by ``delimited``; only with ``multiLine``, an
+    encoding, or separators of several characters among the options a file is read whole. A
+    repeated header name gets .1, .2, ...
     An HTML file gives its first table.
     """
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
@@ -55,15 +57,27 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None, **options
 
 def _csv(spark: SparkSession, path: str, options: dict[str, str]) -> DataFrame:
     chosen = {"header": "true", "escape": '"', **options}
-    if "multiLine" not in chosen:
-        # A line with an odd number of quotes begins or ends a quoted line break.
-        quotes = F.length("value") - F.length(F.replace("value", F.lit(chosen.get("quote", '"')), F.lit("")))
-        broken = not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
-        chosen["multiLine"] = "true" if broken else "false"
-    raw = spark.read.options(**chosen).csv(path)
+    if "multiLine" in chosen or not delimited.splittable(chosen):
+        return _named(spark.read.options(**{"multiLine": "true", **chosen}).csv(path), chosen, path)
+    broken = delimited.broken_files(spark, path, chosen)
+    if not broken:
+        return _named(spark.read.options(**chosen).csv(path), chosen, path)
+    found = delimited.records(spark, [delimited.as_path(b) for b in broken], chosen)
+    apart = {delimited.as_path(b) for b in broken}
+    whole = sorted(f for f in map(delimited.as_path, spark.read.text(path).inputFiles()) if f not in apart)
+    names = [f"_c{i}" if n is None else n for i, n in enumerate(delimited.first_fields(found, chosen))]
+    if whole:
+        plain = _named(spark.read.options(**chosen).csv(whole), chosen, whole)
+        return plain.unionAll(delimited.read(found, chosen, plain.columns))
+    headed = str(chosen["header"]).lower() == "true"
+    return delimited.read(found, chosen, unique_names(names) if headed else [f"_c{i}" for i in range(len(names))])
+
+
+def _named(raw: DataFrame, chosen: dict[str, str], path: str | list[str]) -> DataFrame:
+    """A CSV table with the names that stand in its header; repeated ones get .1, .2, ..."""
     if str(chosen["header"]).lower() != "true":
         return raw
-    first = spark.read.options(**{**chosen, "header": "false"}).csv(path).first()
+    first = raw.sparkSession.read.options(**{**chosen, "header": "false"}).csv(path).first()
     names = [n if v is None else v for n, v in zip(raw.columns, first or raw.columns)]
     plain = [n.strip().lower() for n in names]
     return raw if len(set(plain)) == len(plain) or len(names) != len(raw.columns) else raw.toDF(*unique_names(names))

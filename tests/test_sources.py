@@ -119,3 +119,10 @@ def test_file_inventory(spark, tmp_path):
 def test_nan_counts_as_missing(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "x double")
     assert S.na_to_null(df).filter(F.col("x").isNull()).count() == 2
+
+
+def test_spans_are_bounded(spark):
+    page = '<table><tr><td colspan="3000000">a</td></tr><tr><td rowspan="99999999999">b</td><td colspan="0">c</td></tr><tr><td colspan="²">d</td></tr></table>'
+    rows = html.html_tables(spark.createDataFrame([("p", page)], "page_id string, html string")).orderBy("row_no").collect()
+    assert len(rows[0]["cells"]) == 1000 and set(rows[0]["cells"]) == {"a"}
+    assert [r["cells"][:2] for r in rows[1:]] == [["b", "c"], ["b", "d"]]
