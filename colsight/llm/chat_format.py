@@ -7,9 +7,10 @@ joins the turn before (merge), and whether an empty turn is inserted in front; t
 costs is smallest.
 
 A conversation may be of any length. Rows are range-partitioned in the order of turns and cut
-into chunks; a chunk is summed up by the cheapest way from each state to each state, 4 x 4
-numbers. These are composed per conversation, which fixes the state at every cut, and then the
-chunks are repaired on their own.
+into chunks. A conversation that lies within one chunk is repaired where it is, without another
+shuffle. Of one that is cut a chunk is summed up by the cheapest way from each state to each
+state, 4 x 4 numbers; these are composed per conversation, which fixes the state at every cut, and
+then the chunks are repaired on their own.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsight.llm import shared
+from colsight.llm.conversation_repair import chunks
 
 CHUNK_TURNS = 1000
+BATCH_ROWS, BATCH_TEXT = 4096, 8 << 20
 MERGE, INSERT, RELABEL = 1, 2, 3
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 FAR = 1 << 40
-TURNS = pa.schema([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+TURN = pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
 PIECES = (
     "conv_id bigint, part int, chunk int, local bigint, piece bigint, role string, text string, action string, "
     "cost bigint, rendered string"
@@ -94,46 +97,21 @@ def path(roles: list[str | None], entry: int, leave: int) -> list[tuple[int, int
     return out[::-1]
 
 
-def _chunks(turns: DataFrame) -> DataFrame:
-    """(conv_id, part, chunk, costs, turns) of rows that are sorted within range partitions."""
+def _summed(cut: DataFrame) -> DataFrame:
+    """(conv_id, part, chunk, costs) of chunks of conversations that are cut."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        held: list[tuple] = []
-        owner, number = None, 0
-
-        def flush() -> pa.RecordBatch:
-            table = pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), TURNS)], schema=TURNS)
-            costs = chunk_costs([_known(r[1]) for r in held])
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([owner], pa.int64()),
-                    pa.array([part], pa.int32()),
-                    pa.array([number], pa.int32()),
-                    pa.array([costs.ravel().tolist()], pa.list_(pa.int64())),
-                    pa.array([shared.dump(table)], pa.binary()),
-                ],
-                ["conv_id", "part", "chunk", "costs", "turns"],
-            )
-
         for batch in batches:
-            for conv, *turn in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text"))):
-                if held and (conv != owner or len(held) >= CHUNK_TURNS):
-                    yield flush()
-                    number, held = number + 1, []
-                owner = conv
-                held.append(turn)
-        if held:
-            yield flush()
+            costs = [chunk_costs([_known(t["role"]) for t in turns]).ravel().tolist() for turns in batch.column("turns").to_pylist()]
+            columns = [batch.column(c) for c in ("conv_id", "part", "chunk")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(costs, pa.list_(pa.int64()))], ["conv_id", "part", "chunk", "costs"])
 
-    return turns.mapInArrow(run, "conv_id bigint, part int, chunk int, costs array<bigint>, turns binary")
+    return cut.mapInArrow(run, "conv_id bigint, part int, chunk int, costs array<bigint>")
 
 
-def _cuts(chunks: DataFrame) -> DataFrame:
+def _cuts(sums: DataFrame) -> DataFrame:
     """(conv_id, part, chunk, entry, leave, closing): states at the ends of every chunk. A group
-    holds 16 numbers per CHUNK_TURNS turns of a conversation."""
+    holds 16 numbers per CHUNK_TURNS turns of a conversation that is cut."""
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values(["part", "chunk"], kind="stable").reset_index(drop=True)
@@ -153,13 +131,15 @@ def _cuts(chunks: DataFrame) -> DataFrame:
         return out
 
     schema = "conv_id bigint, part int, chunk int, entry int, leave int, closing boolean"
-    return chunks.select("conv_id", "part", "chunk", "costs").groupBy("conv_id").applyInPandas(run, schema)
+    return sums.groupBy("conv_id").applyInPandas(run, schema)
 
 
-def _repaired(chunks: DataFrame) -> DataFrame:
+def _repaired(placed: DataFrame) -> DataFrame:
     """A row per given or inserted turn, numbered within its chunk."""
 
-    def rows(conv, part, chunk, entry, leave, closing, turns) -> list[list]:
+    def rows(conv, part, chunk, turns, entry=START, leave=None, closing=True) -> list[list]:
+        roles = [_known(t["role"]) for t in turns]
+        leave = int(np.argmin(chunk_costs(roles)[entry])) if leave is None else leave
         out: list[list] = []
         local, piece = 0, 0
         begun = entry != START
@@ -171,7 +151,7 @@ def _repaired(chunks: DataFrame) -> DataFrame:
             begun = True
             out.append([conv, part, chunk, local, piece, ROLES[state - 1], text, action, cost, head + text])
 
-        for turn, (state, cost, action, inserted) in zip(turns, path([_known(t["role"]) for t in turns], entry, leave)):
+        for turn, (state, cost, action, inserted) in zip(turns, path(roles, entry, leave)):
             text = turn["text"] or ""
             for s in inserted:
                 opened(s, "", "insert", INSERT)
@@ -188,13 +168,24 @@ def _repaired(chunks: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
     names = [x.split()[0] for x in PIECES.split(", ")]
 
+    def batch_of(held: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held), kinds)], names)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+        size = 0
         for batch in batches:
             for row in batch.to_pylist():
-                done = rows(*(row[c] for c in ("conv_id", "part", "chunk", "entry", "leave", "closing")), shared.load(row["turns"]).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done), kinds)], names)
+                done = rows(**{"conv" if k == "conv_id" else k: row[k] for k in row if k != "whole"})
+                held += done
+                size += sum(len(r[6]) for r in done)
+                if len(held) >= BATCH_ROWS or size >= BATCH_TEXT:
+                    yield batch_of(held)
+                    held, size = [], 0
+        if held:
+            yield batch_of(held)
 
-    return chunks.mapInArrow(run, PIECES)
+    return placed.mapInArrow(run, PIECES)
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -208,7 +199,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
     Rows are ordered by turn, role, text; a missing turn comes first. Repeated rows are turns
     of their own. A missing or unknown role has to be relabelled (or merged), a missing text is
-    empty, rows without conv_id form one conversation. Other columns are not looked at.
+    empty, rows without conv_id form one conversation. Texts and conversations may be of any
+    length; an empty table gives an empty result. Other columns are not looked at.
     """
     spark = conversations.sparkSession
     turns = conversations.select(
@@ -220,12 +212,20 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     )
     order = ["conv_id", "turn", "role", "text", "row"]  # equal rows may be cut apart by number
     ordered = turns.repartitionByRange(shared.partitions(spark), *order).sortWithinPartitions(*order)
-    chunks = shared.written(_chunks(ordered.drop("row")))
-    same = [chunks["conv_id"].eqNullSafe(F.col("c")), chunks["part"] == F.col("p"), chunks["chunk"] == F.col("k")]
-    cuts = _cuts(chunks).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("chunk").alias("k"), "entry", "leave", "closing")
-    placed = chunks.join(cuts, same).select("conv_id", "part", "chunk", "entry", "leave", "closing", "turns")
-    pieces = shared.written(_repaired(placed))
+    pieces_of = shared.written(chunks(ordered.drop("row"), TURN, CHUNK_TURNS))
+    place = ["conv_id", "part", "chunk", "turns"]
+    whole = _repaired(pieces_of.filter("whole").select(*place))
+    out = ["conv_id", F.col("local").alias("turn"), "piece", "role", "text", "action", "cost", "rendered"]
+
+    cut = pieces_of.filter("NOT whole").select(*place)
+    cuts = _cuts(_summed(cut)).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("chunk").alias("k"), "entry", "leave", "closing")
+    same = [cut["conv_id"].eqNullSafe(F.col("c")), cut["part"] == F.col("p"), cut["chunk"] == F.col("k")]
+    pieces = shared.written(_repaired(cut.join(cuts, same).select(*place, "entry", "leave", "closing")))
+    return whole.select(*out).unionByName(_located(pieces))
+
 
+def _located(pieces: DataFrame) -> DataFrame:
+    """Number the turns of conversations that were cut, and the pieces of each turn."""
     # Turns opened in earlier chunks; a chunk that goes on with a turn starts with local 0.
     sizes = pieces.groupBy("conv_id", "part", "chunk").agg(F.max("local").alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -246,8 +246,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     same = [
         counted["conv_id"].eqNullSafe(F.col("c2")), counted["turn"] == F.col("t2"), counted["part"] == F.col("p2"), counted["chunk"] == F.col("k2"),
     ]
-    out = counted.join(parts, same)
-    return out.select("conv_id", "turn", (F.col("piece") + F.col("shift")).alias("piece"), "role", "text", "action", "cost", "rendered")
+    return counted.join(parts, same).select("conv_id", "turn", (F.col("piece") + F.col("shift")).alias("piece"), "role", "text", "action", "cost", "rendered")
 
 
 def op5_chat_format(spark, sf_dir: str) -> DataFrame:

@@ -52,7 +52,6 @@ CLOSING = (0, 2 * INSERT, INSERT, 0)
 INT, LONG, TEXT = pa.int32(), pa.int64(), pa.string()
 KEY = [("conv_id", LONG), ("part", INT), ("chunk", INT)]
 TURN = pa.struct([("turn", LONG), ("role", TEXT), ("text", TEXT), ("copies", INT)])
-CHUNKS = pa.schema([*KEY, ("whole", pa.bool_()), ("turns", pa.list_(TURN))])
 NUMBERS = ("rows", "blank", "duplicate", "truncated", "illegal", "turns_distinct", "turn_min", "turn_max")
 EDITED = pa.struct([("edit", TEXT), ("turn", LONG), ("role", TEXT), ("text", TEXT)])
 SOLVED = pa.schema(
@@ -273,10 +272,11 @@ def damaged(conversations: DataFrame) -> DataFrame:
     )
 
 
-def _chunks(ordered: DataFrame) -> DataFrame:
-    """Rows sorted within range partitions as chunks: (conv_id, part, chunk, whole, turns). A chunk
-    is whole if rows of other conversations of the partition lie before and behind it."""
-    limit, most = CHUNK_TURNS, CHUNK_BYTES
+def chunks(ordered: DataFrame, turn: pa.StructType, limit: int, most: int = CHUNK_BYTES) -> DataFrame:
+    """Rows sorted within range partitions as chunks: (conv_id, part, chunk, whole, turns) of up to
+    about ``limit`` turns or ``most`` bytes. A chunk is whole if rows of other conversations of the
+    partition lie before and behind it. ``turn`` names the columns of a turn."""
+    schema = pa.schema([*KEY, ("whole", pa.bool_()), ("turns", pa.list_(turn))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -285,7 +285,7 @@ def _chunks(ordered: DataFrame) -> DataFrame:
         number, alone = 0, False  # alone: the conversation at hand began behind another one
         rest: pa.Table | None = None
 
-        def chunks(table: pa.Table, ends: list[int], begins_alone: bool, ends_alone: bool) -> pa.RecordBatch:
+        def cut(table: pa.Table, ends: list[int], begins_alone: bool, ends_alone: bool) -> pa.RecordBatch:
             """Chunks that end at ``ends``; only the first and last may be pieces of conversations."""
             nonlocal number
             n = len(ends)
@@ -294,8 +294,8 @@ def _chunks(ordered: DataFrame) -> DataFrame:
             whole[-1] &= ends_alone
             starts = [0, *ends[:-1]]
             table = table.slice(0, ends[-1]).combine_chunks()
-            columns = [table.column(f.name).combine_chunks().cast(f.type) for f in TURN]
-            turns = pa.StructArray.from_arrays(columns, fields=list(TURN))
+            columns = [table.column(f.name).combine_chunks().cast(f.type) for f in turn]
+            turns = pa.StructArray.from_arrays(columns, fields=list(turn))
             lists = pa.ListArray.from_arrays(pa.array([*starts, ends[-1]], pa.int32()), turns)
             out = pa.RecordBatch.from_arrays(
                 [
@@ -303,9 +303,9 @@ def _chunks(ordered: DataFrame) -> DataFrame:
                     pa.array([part] * n, pa.int32()),
                     pa.array(range(number, number + n), pa.int32()),
                     pa.array(whole),
-                    lists.cast(CHUNKS.field("turns").type),
+                    lists.cast(schema.field("turns").type),
                 ],
-                schema=CHUNKS,
+                schema=schema,
             )
             number += n
             return out
@@ -313,22 +313,22 @@ def _chunks(ordered: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in shared.batches_by_bytes(batch, "text", most):
                 for at in range(0, piece.num_rows, limit):
-                    cut = pa.Table.from_batches([piece.slice(at, limit)])
-                    rest = cut if rest is None else pa.concat_tables([rest, cut])
+                    more = pa.Table.from_batches([piece.slice(at, limit)])
+                    rest = more if rest is None else pa.concat_tables([rest, more])
                     ids = rest.column("conv_id")
                     plain = ids.fill_null(0).to_numpy()
                     missing = pc.is_null(ids).to_numpy()
                     ends = (np.flatnonzero((plain[1:] != plain[:-1]) | (missing[1:] != missing[:-1])) + 1).tolist()
                     if ends:
-                        yield chunks(rest, ends, alone, True)
+                        yield cut(rest, ends, alone, True)
                         rest, alone = rest.slice(ends[-1]), True
                     if rest.num_rows >= limit or rest.column("text").nbytes >= most:
-                        yield chunks(rest, [rest.num_rows], False, False)
+                        yield cut(rest, [rest.num_rows], False, False)
                         rest, alone = None, False
         if rest is not None and rest.num_rows:
-            yield chunks(rest, [rest.num_rows], False, False)
+            yield cut(rest, [rest.num_rows], False, False)
 
-    return ordered.mapInArrow(run, from_arrow_schema(CHUNKS))
+    return ordered.mapInArrow(run, from_arrow_schema(schema))
 
 
 def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
@@ -550,11 +550,11 @@ def repair(turns: DataFrame) -> Repaired:
     keyed = rows.withColumns({"head": head, "digest": F.when(F.length("text") > 64, digest), "row": row})
     by = ["conv_id", "turn", "role", "head", "digest", "row"]
     ordered = keyed.repartitionByRange(shared.partitions(turns.sparkSession), *by).sortWithinPartitions(*by).select(*rows.columns)
-    chunks = shared.written(_chunks(ordered))
+    pieces = shared.written(chunks(ordered, TURN, CHUNK_TURNS))
 
-    whole = chunks.filter("whole").mapInArrow(lambda batches: _batches(_whole(batches), SOLVED), from_arrow_schema(SOLVED))
+    whole = pieces.filter("whole").mapInArrow(lambda batches: _batches(_whole(batches), SOLVED), from_arrow_schema(SOLVED))
 
-    cut = chunks.filter("NOT whole")
+    cut = pieces.filter("NOT whole")
     # Conversations at the edges of partitions are mostly whole as well, but only a look at both sides tells.
     firsts = _firsts(cut)
     cut = shared.written(cut.join(firsts, _same(cut, "part", "chunk"), "left").select("conv_id", "part", "chunk", "turns", "firsts"))
