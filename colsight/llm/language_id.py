@@ -3,8 +3,9 @@
 Each language has a probability for every piece of a fixed public vocabulary. The probability
 of a word is the sum over all its segmentations into pieces (forward algorithm), and a text
 scores the sum of its words' log probabilities. Pieces do not cross words, so words are scored
-once per chunk, all words of one length together as arrays. Sums that come near the smallest
-double are taken again as logarithms.
+once per chunk, all words of one length together as arrays. A run of letters is one word however
+long it is: only the sums that a piece reaches back to are held, and they are scaled up as they
+fall. Sums that come near the smallest double all the same are taken again as logarithms.
 
 Training counts (language, word) over the whole labelled part of the corpus, then estimates
 the piece probabilities by expectation maximisation on the counted words: forward and backward
@@ -14,6 +15,7 @@ the driver.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -26,22 +28,16 @@ from colsight.llm import shared
 
 ROUNDS = 2
 SMOOTHING = 0.1
-WORD_LETTERS = 32  # longer runs of letters are scored in parts of this length
-WORDS_AT_ONCE = 20_000
-COUNTED_WORDS = 500_000
+WORDS_AT_ONCE, WORD_LETTERS = 20_000, 32  # so many words of so many letters at once, or fewer longer ones
+RESCALE, LOW = 8, 1e-100
+LONG_LETTERS = 256  # longer words are taken one by one, all their pieces found at once
+COUNTED_WORDS = 200_000
 CHUNK_BYTES = 4 << 20
 UNDECIDED = "und"
 LEAST_CHANCE = 1e-280  # above it, what is lost to underflow on the way does not count
 _STEP = np.uint64(0x9E3779B97F4A7C55)
 
 
-def letter_runs(text: str, find) -> list[str]:
-    runs = find(text.lower())
-    if any(len(w) > WORD_LETTERS for w in runs):
-        runs = [w[k : k + WORD_LETTERS] for w in runs for k in range(0, len(w), WORD_LETTERS)]
-    return runs
-
-
 def _finder():
     import regex
 
@@ -74,9 +70,26 @@ class Pieces:
             out[:, j + 1] = out[:, j] * _STEP + codes[:, j].astype(np.uint64) + np.uint64(7)
         return out
 
+    def edges_of(self, word: str) -> tuple[list[int], list[int], list[int]]:
+        """(begins, ends, pieces) in one long word, ends ascending."""
+        sums = self._sums(_codes(["▁" + word], len(word) + 1))[0]
+        found = []
+        for n in range(1, min(self.longest, len(word) + 1) + 1):
+            h = sums[n:] - sums[:-n] * self.powers[n]
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            there = self.hashes[at] == h
+            piece = self.places[at]
+            if n == 1:
+                piece, there = np.where(there, piece, self.size - 1), np.ones(len(h), bool)
+            begin = np.flatnonzero(there)
+            found.append((begin, begin + n, piece[begin]))
+        begins, ends, piece = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(ends, kind="stable")
+        return begins[order].tolist(), ends[order].tolist(), piece[order].tolist()
+
     def edges(self, words: list[str], length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(begin, end, which words, their piece) for all pieces in words of one length, which get
-        a word start in front."""
+        a word start in front; ends ascend."""
         sums = self._sums(_codes(["▁" + w for w in words], length + 1))
         for end in range(1, length + 2):
             for begin in range(end - 1, max(end - self.longest, 0) - 1, -1):
@@ -94,34 +107,58 @@ def _by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
     lengths = np.array([len(w) for w in words])
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
-        for k in range(0, len(at), WORDS_AT_ONCE):
-            yield int(n), at[k : k + WORDS_AT_ONCE]
-
-
-def _log_forward(edges: list, chance: list[np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-    """Logarithms of the forward sums at every position, from the log chances of the edges."""
-    out = np.full(shape, -np.inf)
-    out[0] = 0
-    for (begin, end, which, _), c in zip(edges, chance):
-        out[end][which] = np.logaddexp(out[end][which], out[begin][which] + c)
-    return out
+        many = max(1, WORDS_AT_ONCE * WORD_LETTERS // max(WORD_LETTERS, n))
+        for k in range(0, len(at), many):
+            yield int(n), at[k : k + many]
+
+
+def _log_forward(words: list[str], n: int, pieces: Pieces, logs: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over all segmentations of words of ``n`` letters."""
+    width = pieces.longest + 1
+    ring = np.full((width, len(words), logs.shape[1]), -np.inf)
+    ring[0] = 0
+    last = 0
+    for begin, end, which, piece in pieces.edges(words, n):
+        if end != last:
+            ring[end % width] = -np.inf
+            last = end
+        here = ring[end % width]
+        here[which] = np.logaddexp(here[which], ring[begin % width][which] + logs[piece])
+    return ring[last % width]
 
 
 def word_scores(words: list[str], pieces: Pieces, model: np.ndarray) -> np.ndarray:
-    """Log probability of every word in every language, summed over segmentations."""
+    """Log probability of every word in every language, summed over segmentations. A word's sums
+    are held for as many positions as the longest piece has letters."""
     out = np.zeros((len(words), model.shape[1]))
+    width = pieces.longest + 1
     for n, at in _by_length(words):
-        forward = np.zeros((n + 2, len(at), model.shape[1]))
-        forward[0] = 1
-        for begin, end, which, piece in pieces.edges([words[i] for i in at], n):
-            forward[end][which] += forward[begin][which] * model[piece]
-        weak = np.flatnonzero((forward[-1] < LEAST_CHANCE).any(axis=1))
-        strong = np.flatnonzero((forward[-1] >= LEAST_CHANCE).all(axis=1))
-        out[at[strong]] = np.log(forward[-1][strong])
+        some = [words[i] for i in at]
+        if n > LONG_LETTERS:
+            out[at] = [_long_score(w, pieces, model) for w in some]
+            continue
+        ring = np.zeros((min(width, n + 2), len(at), model.shape[1]))
+        ring[0] = 1
+        scale = np.zeros((len(at), model.shape[1]))
+        last = 0
+        for begin, end, which, piece in pieces.edges(some, n):
+            if end != last:
+                if last and last % RESCALE == 0 and n > 2 * RESCALE:
+                    top = ring.max(axis=0)
+                    low = (top < LOW) & (top > 0)
+                    if low.any():
+                        factor = np.divide(1.0, top, out=np.ones_like(top), where=low)
+                        ring *= factor
+                        scale -= np.log(factor)
+                ring[end % len(ring)] = 0
+                last = end
+            ring[end % len(ring)][which] += ring[begin % len(ring)][which] * model[piece]
+        total = ring[last % len(ring)]
+        weak = np.flatnonzero((total < LEAST_CHANCE).any(axis=1))
+        strong = np.flatnonzero((total >= LEAST_CHANCE).all(axis=1))
+        out[at[strong]] = np.log(total[strong]) + scale[strong]
         if len(weak):
-            edges = list(pieces.edges([words[i] for i in at[weak]], n))
-            chance = [np.log(model[piece]) for _, _, _, piece in edges]
-            out[at[weak]] = _log_forward(edges, chance, (n + 2, len(weak), model.shape[1]))[-1]
+            out[at[weak]] = _log_forward([some[i] for i in weak], n, pieces, np.log(model))
     return out
 
 
@@ -130,6 +167,10 @@ def expected_counts(words: list[str], language: np.ndarray, times: np.ndarray, p
     out = np.zeros(pieces.size * model.shape[1])
     for n, at in _by_length(words):
         lang = language[at]
+        if n > LONG_LETTERS:
+            for i in at:
+                _add_log_uses(out, words[i], int(language[i]), times[i], pieces, model)
+            continue
         edges = list(pieces.edges([words[i] for i in at], n))
         chance = [model[piece, lang[which]] for _, _, which, piece in edges]
         forward = np.zeros((n + 2, len(at)))
@@ -147,24 +188,52 @@ def expected_counts(words: list[str], language: np.ndarray, times: np.ndarray, p
             use = forward[begin][which] * p * backward[end][which] * share[which]
             out += np.bincount(piece * model.shape[1] + lang[which], use, len(out))
         if not strong.all():
-            weak = at[~strong]
-            for piece, k, use in _log_uses([words[i] for i in weak], n, language[weak], times[weak], pieces, model):
-                out += np.bincount(piece * model.shape[1] + k, use, len(out))
+            for i in at[~strong]:
+                _add_log_uses(out, words[i], int(language[i]), times[i], pieces, model)
     return out.reshape(pieces.size, model.shape[1])
 
 
-def _log_uses(words: list[str], n: int, lang: np.ndarray, times: np.ndarray, pieces: Pieces, model: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(piece, language, expected uses) by words of ``n`` letters whose chance is too small for a double."""
-    edges = list(pieces.edges(words, n))
-    chance = [np.log(model[piece, lang[which]]) for _, _, which, piece in edges]
-    forward = _log_forward(edges, chance, (n + 2, len(words)))
-    backward = np.full(forward.shape, -np.inf)
-    backward[-1] = 0
-    for k in sorted(range(len(edges)), key=lambda k: -edges[k][1]):
-        begin, end, which, _ = edges[k]
-        backward[begin][which] = np.logaddexp(backward[begin][which], backward[end][which] + chance[k])
-    for (begin, end, which, piece), c in zip(edges, chance):
-        yield piece, lang[which], times[which] * np.exp(forward[begin][which] + c + backward[end][which] - forward[-1][which])
+def _long_score(word: str, pieces: Pieces, model: np.ndarray) -> np.ndarray:
+    """Log probability of a long word in every language, by scaled sums."""
+    width = pieces.longest + 1
+    ring = np.zeros((width, model.shape[1]))
+    ring[0], scale, last = 1, np.zeros(model.shape[1]), 0
+    for begin, end, piece in zip(*pieces.edges_of(word)):
+        if end != last:
+            if last % RESCALE == 0 and (ring[last % width] < LOW).any():
+                top = ring.max(axis=0)
+                factor = np.divide(1.0, top, out=np.ones_like(top), where=(top < LOW) & (top > 0))
+                ring *= factor
+                scale -= np.log(factor)
+            ring[end % width] = 0
+            last = end
+        ring[end % width] += ring[begin % width] * model[piece]
+    if (ring[last % width] >= LEAST_CHANCE).all():
+        return np.log(ring[last % width]) + scale
+    return _log_forward([word], len(word), pieces, np.log(model))[0]
+
+
+def _log_sum(a: float, b: float) -> float:
+    low, high = (a, b) if a < b else (b, a)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
+def _add_log_uses(out: np.ndarray, word: str, lang: int, times: float, pieces: Pieces, model: np.ndarray) -> None:
+    """Add the expected uses of pieces by a word that is long, or whose chance is too small for a
+    double."""
+    logs = np.log(model[:, lang])
+    begins, ends, piece = pieces.edges_of(word)
+    chance = logs[piece].tolist()
+    forward = [0.0] + [-math.inf] * (len(word) + 1)
+    for a, b, c in zip(begins, ends, chance):
+        forward[b] = _log_sum(forward[b], forward[a] + c)
+    backward = [-math.inf] * (len(word) + 1) + [0.0]
+    uses = np.empty(len(piece))
+    for k in range(len(piece) - 1, -1, -1):
+        way = chance[k] + backward[ends[k]]
+        backward[begins[k]] = _log_sum(backward[begins[k]], way)
+        uses[k] = forward[begins[k]] + way - forward[-1]
+    np.add.at(out, np.array(piece) * model.shape[1] + lang, times * np.exp(uses))
 
 
 def _word_counts(labelled: DataFrame) -> DataFrame:
@@ -183,8 +252,9 @@ def _word_counts(labelled: DataFrame) -> DataFrame:
             for text, lang in zip(batch.column("text"), batch.column("lang")):
                 counter = held.setdefault(lang.as_py(), Counter())
                 before = len(counter)
-                counter.update(letter_runs(text.as_py(), find))
-                size += len(counter) - before
+                runs = find(text.as_py().lower())
+                counter.update(runs)
+                size += len(counter) - before + sum(map(len, runs)) // LONG_LETTERS
                 if size > COUNTED_WORDS:
                     yield flush()
                     held, size = {}, 0
@@ -241,7 +311,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     ``docs`` is kept as a struct ``row``, beside it lang_pred and score. A text that is missing
     or has no letter is 'und' with score 0, and so is every text if nothing was learned. The
     score is the posterior probability of the predicted language; of equal ones the first in
-    alphabetical order is taken. Repeated rows get equal results.
+    alphabetical order is taken. Repeated rows get equal results. Texts, and runs of letters in
+    them, may be of any length; an empty table gives an empty result.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +323,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 place: dict[str, int] = {}
                 counts, words = [], []
                 for text in piece.column("text").to_pylist():
-                    runs = letter_runs(text or "", find)
+                    runs = find((text or "").lower())
                     counts.append(len(runs))
                     words.append(np.array([place.setdefault(w, len(place)) for w in runs], np.int64))
                 languages, scores = [], []

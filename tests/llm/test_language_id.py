@@ -104,3 +104,36 @@ def test_edges(spark):
     nothing = lid.train(empty, ["a"])
     assert lid.predict(empty, nothing).count() == 0
     assert {r.lang_pred for r in lid.predict(df, nothing).collect()} == {"und"}
+
+
+def test_long_runs_are_one_word():
+    """A run of 500 letters against sums over all of its segmentations, taken from its end."""
+    rng = np.random.default_rng(6)
+    table = lid.Pieces(PIECES)
+    model = rng.random((len(PIECES) + 1, 2)) / 1000
+    word = "".join(rng.choice(list("abcx"), 500))
+    number = {p: k for k, p in enumerate(PIECES)}
+    text = "▁" + word
+    want = np.zeros((len(text) + 1, 2))  # logarithms
+    uses = np.zeros_like(model)
+    front = np.full_like(want, -np.inf)
+    front[0] = 0
+    steps = [(k, k + n, number.get(text[k : k + n], len(PIECES))) for k in range(len(text)) for n in (1, 2, 3) if k + n <= len(text) and (n == 1 or text[k : k + n] in number)]
+    want[:-1] = -np.inf
+    for a, b, p in reversed(steps):
+        want[a] = np.logaddexp(want[a], np.log(model[p]) + want[b])
+    for a, b, p in sorted(steps, key=lambda x: x[1]):
+        front[b] = np.logaddexp(front[b], np.log(model[p]) + front[a])
+    for a, b, p in steps:
+        uses[p] += np.exp(front[a] + np.log(model[p]) + want[b] - want[0])
+    got = lid.word_scores([word, "ab", word], table, model)
+    assert np.allclose(got[0], want[0], rtol=1e-12) and np.allclose(got[0], got[2])
+    both = lid.expected_counts([word, word], np.array([0, 1]), np.array([1.0, 2.0]), table, model)
+    assert np.allclose(both, uses * [1.0, 2.0])
+
+
+def test_a_cut_would_change_the_score():
+    table = lid.Pieces(PIECES)
+    model = np.random.default_rng(7).random((len(PIECES) + 1, 1))
+    whole, parts = lid.word_scores(["ab" * 20, "ab" * 16, "ab" * 4], table, model)[[0, 1]], lid.word_scores(["ab" * 16, "ab" * 4], table, model)
+    assert not math.isclose(whole[0, 0], parts.sum())

@@ -64,3 +64,26 @@ def test_nulls_and_empty(spark, sf_dir):
             assert docs.columns == schema.replace(" bigint", "").replace(" string", "").split(", ")
         ids = sorted((r.doc_id for r in p.encode(spark, docs, sf_dir).collect()), key=str)
         assert ids == ([1, None, None] if data else [])
+
+
+def test_near_duplicates_drop_rows_not_ids(spark, sf_dir):
+    schema = "doc_id bigint, text string, row string"
+    base = " ".join(f"word{k}" for k in range(60))
+    other, third = ("completely different text " + " ".join(f"{x}{k}" for k in range(50)) for x in ("else", "third"))
+    rows = [(1, base, "a"), (None, base + " more", "b"), (None, other, "c"), (2, base + " again", "d"), (2, third, "e"), (None, None, "f"), (None, "", "g")]
+    rows += [(9, third + " tail", "h"), (7, third, "i"), (None, other + " end", "j")]
+    out = p.near_duplicates(spark, spark.createDataFrame(rows, schema), sf_dir)
+    assert out.columns == ["doc_id", "text", "row"]
+    kept = sorted(r.row for r in out.collect())
+    assert kept in (["a", "c", "e", "f", "g"], ["a", "e", "f", "g", "j"])
+
+
+def test_very_long_texts(spark, sf_dir):
+    rng = __import__("random").Random(1)
+    lines = ["\n".join(" ".join(rng.choices([f"w{k}" for k in range(5000)], k=12)) for _ in range(1000)) for _ in range(2)]
+    rows = [(1, lines[0], "en", "s", len(lines[0])), (2, lines[1], "en", "s", len(lines[1])), (3, lines[0] + "\nend", "en", "s", len(lines[0]) + 4), (4, "k" * 20_000, "en", "s", 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for _, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+    out = {r.doc_id: r.n_tokens for r in p.encode(spark, docs, sf_dir).collect()}
+    assert {1, 2, 4} <= set(out)
