@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colsight.functions.exprs import free_name
 from colsight.llm import shared
 from colsight.llm.bpe import bpe, vocabulary_path
 from colsight.llm.decontamination import contaminated
@@ -41,19 +42,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with
-    the smallest doc_id stays."""
-    dropped = near_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(shared.bounded(shared.written(dropped)), docs["doc_id"].eqNullSafe(F.col("dropped_id")), "left_anti")
+    the smallest doc_id stays; a missing doc_id is larger than all others. A document is a doc_id
+    with its text: rows without doc_id, or with the same one, that differ in their texts are
+    documents of their own, and rows that repeat both stay or go together."""
+    row = free_name(docs.columns, "row")
+    numbered = shared.written(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = near_dedup(numbered.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    number = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(shared.NO_ID))
+    ids = numbered.select(row, F.struct(number.alias("id"), F.unhex(F.md5(shared.text_or_empty())).alias("digest")).alias("at"))
+    placed = shared.written(groups.join(ids, row))
+    stays = placed.groupBy("component_id").agg(F.min("at").alias("stays"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    dropped = placed.join(stays, "component_id").filter("at <> stays").select(F.col(row).alias("dropped"))
+    kept = numbered.join(shared.bounded(shared.written(dropped)), numbered[row] == F.col("dropped"), "left_anti")
+    return kept.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
+    """Documents that hold an item of the benchmark go. Every row is judged by its own text, whatever
+    its doc_id."""
     found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.filter(F.size("matches") == 0).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the text decoded from them."""
+    """Token ids of every document, with digests of the ids and of the text decoded from them. Rows
+    with a missing or repeated doc_id are encoded like all others."""
     out = bpe(docs, vocabulary_path())
     return out.select(
         "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
