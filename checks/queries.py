@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from checks import oracle as O
 from checks import views as V
 from colsight.functions.exprs import c
-from colsight.operators import cleaning, drivers, insights, missing, model, stats, tables, targets
+from colsight.operators import cleaning, drivers, forest, insights, missing, model, stats, tables, targets
 from colsight.operators import profile as P
 from colsight.plans import analysis
 from colsight.session import work_folder
@@ -735,6 +735,42 @@ def _(spark, d):
     return found.select("feature", weight.between(0, 1).alias("in_range"), total.alias("total"))
 
 
+def _split_gains_sql() -> str:
+    """Gains of all splits of lineitem at the root of a tree for l_returnflag, from full class tables."""
+    base = "b AS (SELECT * FROM lineitem WHERE l_returnflag IS NOT NULL AND l_quantity IS NOT NULL AND l_discount IS NOT NULL AND l_linestatus IS NOT NULL)"
+    nodes = "t AS (SELECT l_returnflag AS y, count(*)::DOUBLE AS n FROM b GROUP BY 1), w AS (SELECT sum(n) AS n, sum(n * n) AS q FROM t)"
+    parts = []
+    for name, test in (("l_quantity", "<="), ("l_discount", "<="), ("l_linestatus", "=")):
+        parts.append(
+            f"SELECT '{name}' AS feature, v.v::VARCHAR AS place, t.y, t.n AS tn, coalesce(sum(c.n), 0)::DOUBLE AS l FROM (SELECT DISTINCT {name} AS v FROM b) v "
+            f"CROSS JOIN t LEFT JOIN (SELECT {name} AS v, l_returnflag AS y, count(*) AS n FROM b GROUP BY ALL) c ON c.v {test} v.v AND c.y = t.y GROUP BY v.v, t.y, t.n"
+        )
+    return (
+        f"WITH {base}, {nodes}, s AS ({' UNION ALL '.join(parts)}), g AS (SELECT feature, place, sum(l) AS l, sum(l * l) AS ql, sum((tn - l) * (tn - l)) AS qr, sum(tn) AS n "
+        "FROM s GROUP BY feature, place) SELECT feature, count(*) AS splits, round(max(ql / l + qr / (g.n - l) - w.q / w.n), 4) AS best_gain "
+        "FROM g, w WHERE l > 0 AND l < g.n GROUP BY feature"
+    )
+
+
+@query("forest_split_gains", _split_gains_sql())
+def _(spark, d):
+    lines = V.read(spark, d, "lineitem")
+    return rounded(forest.split_gains(lines, ["l_quantity", "l_discount", "l_linestatus"], "l_returnflag", True), 4, "best_gain")
+
+
+@query(
+    "forest_split_gains_numbers",
+    "WITH b AS (SELECT o_orderpriority AS p, o_totalprice AS y FROM orders WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL), "
+    "t AS (SELECT count(*)::DOUBLE AS n, sum(y) AS s FROM b), l AS (SELECT p, count(*)::DOUBLE AS n, sum(y) AS s FROM b GROUP BY p) "
+    "SELECT 'o_orderpriority' AS feature, count(*) AS splits, round(max(l.s * l.s / l.n + (t.s - l.s) * (t.s - l.s) / (t.n - l.n) - t.s * t.s / t.n) / max(t.s), 4) AS best_gain FROM l, t WHERE l.n < t.n",
+)
+def _(spark, d):
+    orders = V.read(spark, d, "orders")
+    total = orders.filter("o_orderpriority IS NOT NULL").agg(F.sum("o_totalprice")).first()[0]
+    found = forest.split_gains(orders, ["o_orderpriority"], "o_totalprice", False)
+    return rounded(found.withColumn("best_gain", F.col("best_gain") / float(total)), 4, "best_gain")
+
+
 # --- targets ---------------------------------------------------------------------------
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,7 @@ from colsight.functions.exprs import (
     text,
     value,
 )
+from colsight.operators import forest
 from colsight.operators.blocks import value_counts
 from colsight.session import materialize
 
@@ -40,7 +42,7 @@ TREES, FOREST_SEED, FOREST_ROWS = 180, 42, 20
 COLUMN_LEVELS = 50
 LINEAR_ITERATIONS = 1000
 WIDE_FEATURES = 4096
-FOREST_BINS = 64
+FOREST_BINS = forest.BINS
 FOREST_DEPTH = 10
 
 
@@ -398,43 +400,22 @@ def feature_importance(
 ) -> DataFrame:
     """(feature, feature_importance) of a random forest on the complete rows.
 
-    Text features are nominal, every level a category of its own. Every feature is one slot
-    of the vector and needs no roll-up. Fewer than 20 rows give no result. Histograms of a
-    forest hold levels x classes numbers per node, which sets the limit of what it can fit.
+    A text feature is split by one level against all others, as 0/1 columns of its levels would be,
+    and is summed up as one feature; any number of levels and classes can be fitted, see ``forest``.
+    At every node the square root of the number of features is looked at for classes, all of them
+    for numbers. Fewer than 20 rows give no result.
     """
     spark = df.sparkSession
     empty = spark.createDataFrame([], "feature string, feature_importance double")
     features = list(features)
     if not features:
         return empty
-    rows = df
-    for n in [*features, target]:
-        rows = rows.filter(value(df, n).isNotNull())
     classify = target_type == "classification"
-    label = value(df, target) if classify else number(df, target)
-    numbers = [n for n in features if is_number_or_bool(dtype_of(df, n))]
-    texts = [n for n in features if n not in numbers]
-    cells = [(number(df, n) if n in numbers else text(df, n)).alias(f"f{i}") for i, n in enumerate(features)]
-    wide = materialize(rows.select(label.alias("label"), *cells).filter(F.col("label").isNotNull()))
-    if wide.count() < FOREST_ROWS:
+    table = forest.prepare(df, features, target, classify, bins)
+    if table.count < FOREST_ROWS:
         return empty
-
-    places = {n: f"f{i}" for i, n in enumerate(features)}
-    most = 2
-    if texts:
-        table, sizes = numbered(_cells(wide, [places[n] for n in texts]))
-        for k, n in enumerate(texts):
-            size = max(sizes[k], 2)
-            most = max(most, size)
-            nominal = {"ml_attr": {"type": "nominal", "num_vals": size, "name": places[n]}}
-            found = wide.join(table.filter(F.col("ordinal") == k).select("value", "index"), F.col(places[n]) == F.col("value"))
-            wide = found.select(*[(F.col("index").alias(x, metadata=nominal) if x == places[n] else c(x)) for x in wide.columns])
-    if classify:
-        wide, _, _ = label_encoded(wide, "label")
-    train = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features").transform(wide)
-    kind = RandomForestClassifier if classify else RandomForestRegressor
-    forest = kind(numTrees=trees, maxDepth=depth, maxBins=max(bins, most), seed=FOREST_SEED, subsamplingRate=1.0)
-    weights = forest.fit(train.select("label", "features")).featureImportances.toArray()
+    looked_at = math.ceil(math.sqrt(len(features))) if classify else None
+    weights = forest.importances(forest.grow(table, trees, depth, FOREST_SEED, looked_at=looked_at), len(features))
     return spark.createDataFrame(
         [(n, float(w)) for n, w in zip(features, weights)], "feature string, feature_importance double"
     )
