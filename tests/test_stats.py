@@ -152,8 +152,38 @@ def test_no_join_is_dealt_by_the_feature_number(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def table_p(u, n0, n1):
+    """Two-sided p from the whole table of counts."""
+    small, large = min(n0, n1), max(n0, n1)
+    ways = np.zeros(small * large + 1, dtype=object)
+    ways[0] = 1
+    for i in range(1, small + 1):
+        grown = ways.copy()
+        if large + i < len(ways):
+            grown[large + i :] -= ways[: -(large + i)]
+        for start in range(min(i, len(ways))):
+            grown[start::i] = np.cumsum(grown[start::i])
+        ways = grown
+    return min(1.0, float(2 * sum(ways[math.ceil(max(u, n0 * n1 - u)) :]) / math.comb(n0 + n1, small)))
+
+
+def uniform_p(u, n0, n1):
+    """The limit for very large groups: ranks of the small group's members are uniform numbers."""
+    small, lower = min(n0, n1), math.floor(min(u, n0 * n1 - u))
+    x = (lower + small * (small + 1) / 2 + 0.5) / (n0 + n1 + 1)
+    return 2 * sum((-1) ** k * math.comb(small, k) * (x - k) ** small for k in range(int(x) + 1)) / math.factorial(small)
+
+
 def test_rank_tail_of_a_small_group_among_very_many():
     for n0, n1, part in ((1, 200_000, 0.01), (3, 100_000, 0.2), (5, 60_000, 0.15), (8, 30_000, 0.3)):
         u = part * n0 * n1
-        assert tails._wide_rank_p(u, n0, n1) == pytest.approx(tails._exact_rank_p(u, n0, n1), rel=2e-3)
+        assert tails.mann_whitney_p(u, n0, n1, 0) == pytest.approx(uniform_p(u, n0, n1), rel=2e-3)
     assert tails.mann_whitney_p(0.0, 2, 3_000_000, 0.0) < 1e-11
+    assert tails.mann_whitney_p(2.4e9, 8, 10**9, 0) == pytest.approx(uniform_p(2.4e9, 8, 10**9), rel=1e-6)
+
+
+@pytest.mark.parametrize("n0, n1", [(8, 249_000), (251_000, 8), (2, 1_100_000), (7, 3), (8, 8), (1, 1)])
+def test_rank_tail_equals_the_whole_table(n0, n1):
+    for part in (0.0, 0.11, 0.5):
+        u = round(2 * part * n0 * n1) / 2
+        assert tails.mann_whitney_p(u, n0, n1, 0) == pytest.approx(table_p(u, n0, n1), rel=1e-13)
