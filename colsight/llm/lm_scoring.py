@@ -48,12 +48,12 @@ def score(docs: DataFrame, target: DataFrame, prior: float = PRIOR) -> DataFrame
     target document the target model is uniform. Rows without doc_id are never target; rows
     with equal doc_id are all target or none. Other columns are not looked at.
     """
-    buckets = shared.partitions(docs.sparkSession)
     named = target.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null").distinct()
     named = shared.bounded(shared.written(named.withColumn("wanted", F.lit(True))))
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), shared.text_or_empty().alias("text"))
     source = source.join(named, "doc_id", "left").select("doc_id", "text", F.col("wanted").isNotNull().alias("wanted"))
     packs = shared.packed(source)
+    buckets = shared.hash_ranges(packs)
 
     def keys_of(table: pa.Table) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         words, singles, second, pairs = _ngrams(table)

@@ -22,6 +22,7 @@ from colsight.session import materialize
 
 PACK_BYTES = 8 << 20
 PACK_ROWS = 50_000
+PACKS_PER_RANGE = 2
 KEY_BITS = 48
 NO_ID = 2**63 - 1
 BROADCAST_IDS = 1_000_000
@@ -47,6 +48,12 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def hash_ranges(packs: DataFrame) -> int:
+    """Number of hash ranges for the lists of these packs: it grows with the corpus, so that a range
+    has the keys of at most about ``PACKS_PER_RANGE`` packs, whatever the session's settings."""
+    return max(partitions(packs.sparkSession), -(-packs.count() // PACKS_PER_RANGE))
+
+
 def dump(table: pa.Table | pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:

@@ -63,3 +63,10 @@ def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e", None, None, None)] * 3, SCHEMA)
     assert [r.n_removed for r in substring_dedup(df, 3).collect()] == [0, 0, 0]
     assert substring_dedup(df.withColumn("text", F.lit(None).cast("string"))).count() == 3
+
+
+def test_ranges_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(shared, "PACK_ROWS", 1)
+    rows = [(i, f"text number {i} of many") for i in range(60)]
+    packs = shared.packed(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1))
+    assert packs.count() == 60 and shared.hash_ranges(packs) == 30
