@@ -60,7 +60,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     block = (window + 1) // 2
     span = window - block + 1  # anchors that a window can hold
-    spark = docs.sparkSession
     shift = np.uint64(64 - shared.KEY_BITS)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), shared.text_or_empty().alias("text"))
     packs = shared.packed(source)
