@@ -583,6 +583,30 @@ def _(spark, d):
     return cleaning.remove_outliers(V.read(spark, d, "events").select("event_id", "user_id", "value")).select("event_id", "value")
 
 
+_LINE_NUMBERS = {
+    "qty": "l_quantity", "price": "l_extendedprice", "disc": "l_discount", "tax": "l_tax", "off": "l_extendedprice * l_discount",
+    "due": "l_extendedprice * l_tax", "bulk": "l_extendedprice * l_quantity", "square": "l_extendedprice * l_extendedprice",
+    "rest": "l_quantity * l_quantity * l_discount", "pair": "l_discount * l_tax", "unit": "l_tax * l_quantity * l_quantity * l_quantity",
+}
+_LINE_COLUMNS = ", ".join(f"{x} AS {n}" for n, x in _LINE_NUMBERS.items())
+
+
+def _iqr_kept_sql(columns: list[str], src: str, shown: str) -> str:
+    return _iqr_sql(columns, src).replace("SELECT event_id, value FROM", f"SELECT {shown} FROM")
+
+
+@query(
+    "clean_iqr_many",
+    _iqr_kept_sql(
+        list(_LINE_NUMBERS), f"(SELECT l_orderkey AS okey, l_linenumber AS line, {_LINE_COLUMNS} FROM lineitem)", "okey, line, price, unit"
+    ),
+)
+def _(spark, d):
+    cells = [F.expr(x).alias(n) for n, x in _LINE_NUMBERS.items()]
+    lines = V.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("okey"), F.col("l_linenumber").alias("line"), *cells)
+    return cleaning.remove_outliers(lines, list(_LINE_NUMBERS)).select("okey", "line", "price", "unit")
+
+
 @query(
     "clean_metrics",
     f"WITH s AS {EN}, g AS (SELECT count(*) * 3 - count(ts) - count(event_type) - count(value) AS m FROM s) "

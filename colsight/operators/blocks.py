@@ -206,20 +206,23 @@ def exact_quantiles(
     columns: Sequence[str | tuple[str, Column]],
     probs: Sequence[float],
     cell: int = QUANTILE_CELL,
+    width: int = COLUMNS_PER_AGGREGATE,
+    sizes: Mapping[str, int] | None = None,
 ) -> dict[str, list[float] | None]:
     """Interpolated quantiles of many columns (None for a column without values).
 
-    Columns are taken ``COLUMNS_PER_AGGREGATE`` at a time, so that an aggregate holds a
-    bounded number of sketches and values.
+    Columns are taken ``width`` at a time, so that an aggregate holds a bounded number
+    of sketches, and at most ``cell`` values of a fence. ``sizes`` are the numbers of
+    present values, if they are known already.
     """
     out: dict[str, list[float] | None] = {}
-    for start in range(0, len(columns), COLUMNS_PER_AGGREGATE):
-        out |= _exact_quantiles(df, columns[start : start + COLUMNS_PER_AGGREGATE], probs, cell)
+    for start in range(0, len(columns), width):
+        out |= _exact_quantiles(df, columns[start : start + width], probs, cell, sizes)
     return out
 
 
 def _exact_quantiles(
-    df: DataFrame, columns: Sequence[str | tuple[str, Column]], probs: Sequence[float], cell: int
+    df: DataFrame, columns: Sequence[str | tuple[str, Column]], probs: Sequence[float], cell: int, sizes: Mapping[str, int] | None
 ) -> dict[str, list[float] | None]:
     """Quantiles of some columns.
 
@@ -239,8 +242,10 @@ def _exact_quantiles(
         return {}
     names = list(cols)
     base = df.select(*[cols[n].alias(f"q{i}") for i, n in enumerate(names)])
-    counts = base.agg(*[F.count(f"q{i}").alias(f"n{i}") for i in range(len(names))]).first()
-    size = {i: counts[f"n{i}"] for i in range(len(names)) if counts[f"n{i}"]}
+    if sizes is None:
+        counts = base.agg(*[F.count(f"q{i}").alias(f"n{i}") for i in range(len(names))]).first()
+        sizes = {n: counts[f"n{i}"] for i, n in enumerate(names)}
+    size = {i: sizes[n] for i, n in enumerate(names) if sizes[n]}
 
     known: dict[tuple[int, int], float] = {}
     fences = []
@@ -253,12 +258,12 @@ def _exact_quantiles(
     while wide := [f for f in fences if f.inside > cell]:
         settled = [f for f in fences if f.inside <= cell]
         cuts = base.agg(*[f.sketch().alias(f"s{k}") for k, f in enumerate(wide)]).first()
-        sizes = base.agg(
+        found = base.agg(
             *[m.alias(f"{a}{k}") for k, f in enumerate(wide) for a, m in f.sizes(*cuts[f"s{k}"])]
         ).first()
         for k, f in enumerate(wide):
             lo, hi = cuts[f"s{k}"]
-            settled += f.narrow(lo, hi, sizes[f"below{k}"], sizes[f"at_lo{k}"], sizes[f"mid{k}"], sizes[f"at_hi{k}"], known)
+            settled += f.narrow(lo, hi, found[f"below{k}"], found[f"at_lo{k}"], found[f"mid{k}"], found[f"at_hi{k}"], known)
         fences = settled
 
     if fences:

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colsight.functions.exprs import atomic_columns, c, dtype_of, free_name, is_number, nan_to_null, number_columns
-from colsight.operators.blocks import SUSPECT_LIMIT, comparable, exact_quantiles, gap_counts
+from colsight.functions.exprs import atomic_columns, c, dtype_of, free_name, is_number, nan_to_null, number, number_columns
+from colsight.operators.blocks import COLUMNS_PER_AGGREGATE, QUANTILE_CELL, SUSPECT_LIMIT, comparable, exact_quantiles, gap_counts
 from colsight.operators.missing import fill_median, fill_mode
 from colsight.session import materialize
 
@@ -20,6 +20,13 @@ DEFAULT_OPERATIONS = OPERATIONS[:3]
 # Fixed value: whisker length in interquartile ranges.
 WHISKER = 1.5
 
+# Columns whose quartiles are sought in the same passes, one after the other in meaning;
+# columns up to which each has passes of its own, as that takes no more of them; passes over
+# sketches before the first exact one. All are choices of plan, the bounds are the same.
+SHARED_COLUMNS = 48
+FEW_COLUMNS = 4
+ROUGH_PASSES = 2
+
 
 def drop_duplicates(df: DataFrame, suspect_limit: int = SUSPECT_LIMIT) -> DataFrame:
     """Distinct rows; NULL equals NULL.
@@ -60,12 +67,92 @@ def fill_categories(df: DataFrame) -> DataFrame:
     return fill_mode(df, [n for n in atomic_columns(df) if not is_number(dtype_of(df, n))])
 
 
-def iqr_bounds(df: DataFrame, columns: Sequence[str], whisker: float = WHISKER) -> dict[str, tuple[float, float] | None]:
-    quartiles = exact_quantiles(df, list(columns), (0.25, 0.75))
-    bounds = {}
-    for n, q in quartiles.items():
-        bounds[n] = None if q is None else (q[0] - whisker * (q[1] - q[0]), q[1] + whisker * (q[1] - q[0]))
-    return bounds
+Bounds = dict[str, tuple[float, float] | None]
+
+
+def _whiskers(quartiles: dict[str, Sequence[float] | None], whisker: float) -> Bounds:
+    return {
+        n: None if q is None else (q[0] - whisker * (q[1] - q[0]), q[1] + whisker * (q[1] - q[0])) for n, q in quartiles.items()
+    }
+
+
+def iqr_bounds(df: DataFrame, columns: Sequence[str], whisker: float = WHISKER) -> Bounds:
+    return _whiskers(exact_quantiles(df, list(columns), (0.25, 0.75)), whisker)
+
+
+def sequential_bounds(df: DataFrame, columns: Sequence[str], whisker: float = WHISKER, shared: int = SHARED_COLUMNS) -> Bounds:
+    """IQR bounds of every column among the rows that the columns before it kept.
+
+    The quartiles of ``shared`` columns are sought in the same passes: bounds are guessed
+    from sketches, the quartiles of all columns are taken under the guessed bounds of those
+    before, and a count tells from which column on a row is kept by one set of bounds and not
+    by the other. All columns up to that one are settled, the others go through another
+    round with the better guess. A round settles one column at least and as a rule nearly
+    all, so passes grow with rounds and not with columns.
+    """
+    out: Bounds = {}
+    shared = 1 if len(columns) <= FEW_COLUMNS else shared
+    for start in range(0, len(columns), shared):
+        found = _settle(df, list(columns[start : start + shared]), whisker)
+        df = _kept(df, found)
+        out |= found
+    return out
+
+
+def _kept(df: DataFrame, bounds: Bounds) -> DataFrame:
+    for n, b in bounds.items():
+        df = df.filter(F.lit(False) if b is None else within(df, n, *b))
+    return df
+
+
+def _failing(df: DataFrame, names: Sequence[str], bounds: Bounds) -> Column:
+    """Position of the first column whose bounds a row misses; the number of columns if it misses none."""
+    out = F.when(F.lit(False), F.lit(-1))
+    for i, n in enumerate(names):
+        if n in bounds:
+            keep = F.lit(False) if bounds[n] is None else F.coalesce(within(df, n, *bounds[n]), F.lit(False))
+            out = out.when(~keep, F.lit(i))
+    return out.otherwise(F.lit(len(names)))
+
+
+def _marked(df: DataFrame, names: Sequence[str], bounds: Bounds) -> DataFrame:
+    return df.select(_failing(df, names, bounds).alias("failing"), *[number(df, n).alias(f"x{i}") for i, n in enumerate(names)])
+
+
+def _rough_bounds(df: DataFrame, names: Sequence[str], guess: Bounds, whisker: float) -> Bounds:
+    """Bounds from one sketch per column, under the bounds guessed for the columns before."""
+    kept = [F.when(F.col("failing") >= i, F.col(f"x{i}")) for i in range(len(names))]
+    sketches = [F.percentile_approx(col, [0.25, 0.75]).alias(f"s{i}") for i, col in enumerate(kept)]
+    found = _marked(df, names, guess).agg(*sketches).first()
+    return _whiskers({n: found[f"s{i}"] for i, n in enumerate(names)}, whisker)
+
+
+def _settle(df: DataFrame, names: list[str], whisker: float) -> Bounds:
+    guess: Bounds = {}
+    for _ in range(ROUGH_PASSES if len(names) > 1 else 0):
+        guess, last = _rough_bounds(df, names, guess, whisker), guess
+        if guess == last:
+            break
+    done, sizes = 0, None
+    while done < len(names):
+        rows = _kept(df, {n: guess[n] for n in names[:done]})
+        seek = [(names[i], F.when(F.col("failing") >= i, F.col(f"x{i}"))) for i in range(done, len(names))]
+        cell = max(1, QUANTILE_CELL * COLUMNS_PER_AGGREGATE // max(len(seek), COLUMNS_PER_AGGREGATE))
+        quartiles = exact_quantiles(_marked(rows, names, guess), seek, (0.25, 0.75), cell, len(seek), sizes)
+        better = guess | _whiskers(quartiles, whisker)
+        if len(names) - done == 1:
+            return better
+        # the first column on which the two sets of bounds differ for some row, and the counts of the next round
+        both = rows.select(
+            _failing(rows, names, guess).alias("before"), _failing(rows, names, better).alias("after"),
+            *[number(rows, n).alias(f"x{i}") for i, n in enumerate(names)],
+        )
+        before, after = F.col("before"), F.col("after")
+        counts = [F.count(F.when(after >= i, F.col(f"x{i}"))).alias(names[i]) for i in range(done + 1, len(names))]
+        found = both.agg(F.min(F.when(before != after, F.least(before, after))), *counts).first()
+        guess, done = better, len(names) if found[0] is None else found[0] + 1
+        sizes = dict(zip(names[len(names) - len(counts) :], found[1:]))
+    return guess
 
 
 def remove_outliers(df: DataFrame, columns: Sequence[str] | None = None, mode: str = "sequential") -> DataFrame:
@@ -76,11 +163,7 @@ def remove_outliers(df: DataFrame, columns: Sequence[str] | None = None, mode: s
     so the filters reach the scan and nothing is materialised in between.
     """
     names = list(columns or number_columns(df))
-    rounds = [[n] for n in names] if mode == "sequential" else [names]
-    for group in rounds:
-        for n, bounds in iqr_bounds(df, group).items():
-            df = df.filter(F.lit(False) if bounds is None else within(df, n, *bounds))
-    return df
+    return _kept(df, sequential_bounds(df, names) if mode == "sequential" else iqr_bounds(df, names))
 
 
 def within(df: DataFrame, name: str, low: float, high: float) -> Column:
