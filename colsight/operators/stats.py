@@ -35,10 +35,13 @@ from colsight.operators.blocks import (
     running_totals,
     union_all,
 )
+from colsight.session import materialize
 
 # Rows a test needs, rows a group needs, and the target flag.
 MIN_ROWS = 12
 MIN_GROUP = 3
+# A value that holds more than this share of all pairs has its rank broadcast: at most 1,000 values.
+HOT_SHARE = 0.001
 TARGET_FLAG = "Target column contains missing values; pairwise rows were dropped per test."
 
 RESULT_SCHEMA = (
@@ -266,21 +269,22 @@ def spearman(
 ) -> DataFrame:
     """(ordinal, feature, n, rho) over pair-complete rows, average ranks on ties.
 
-    Equal pairs are counted first; the ranks of each side are looked up by value.
-    A value shared by many pairs makes a skewed join partition, which adaptive
-    execution splits: the rank side holds one row per value.
+    Equal pairs are counted first; the ranks of each side are looked up by value, see ``_with_ranks``.
     """
     long = _long(df, [number(df, n) for n in features], number(df, target))
-    pairs = long.groupBy("ordinal", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    pairs = materialize(long.groupBy("ordinal", "x", "y").agg(F.count(F.lit(1)).alias("n")))
     size = (df.count() if n_rows is None else n_rows) * len(features)
 
     def side(col: str) -> DataFrame:
-        counted = pairs.groupBy("ordinal", col).agg(F.sum("n").alias("m"))
+        counted = pairs.groupBy("ordinal", col).agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("pairs"))
         bucket = range_bucket(long, ["ordinal", col], size, rows_per_bucket)
         ranks = average_ranks(counted, ["ordinal"], col, "m", bucket)
-        return ranks.select("ordinal", col, F.col("avg_rank").alias(f"r{col}"), F.col("m_total").alias("total"))
+        return ranks.select("ordinal", col, "pairs", F.col("avg_rank").alias(f"r{col}"), F.col("m_total").alias("total"))
 
-    ranked = pairs.join(side("x"), ["ordinal", "x"]).join(side("y").drop("total"), ["ordinal", "y"])
+    sides = {"x": materialize(side("x")), "y": materialize(side("y").drop("total"))}
+    ranked = pairs
+    for col, ranks in sides.items():
+        ranked = _with_ranks(ranked, ranks, col)
     middle = (F.col("total") + 1) / 2.0
     dx, dy = F.col("rx") - middle, F.col("ry") - middle
     sums = ranked.groupBy("ordinal").agg(
@@ -294,6 +298,31 @@ def spearman(
     return sums.select("ordinal", _feature(features), "n", rho.alias("rho"))
 
 
+def hot_values(ranks: DataFrame, share: float = HOT_SHARE) -> DataFrame:
+    """The values that more than ``share`` of all pairs hold: at most 1 / share rows."""
+    limit = share * (ranks.agg(F.sum("pairs")).first()[0] or 0)
+    return ranks.filter(F.col("pairs") > limit)
+
+
+def _with_ranks(pairs: DataFrame, ranks: DataFrame, col: str, share: float = HOT_SHARE) -> DataFrame:
+    """Add the columns of ``ranks`` (one row per ordinal and value) to the pairs, looked up by value.
+
+    Values are counted already, so the hot ones are known exactly: their ranks are broadcast.
+    Pairs of a hot value are spread by a salt over the join of the others, in which they
+    find nothing, so no task gets more of them than of any other pairs. The salt of a rank is 0
+    by way of its count: a literal would be taken out of the join keys.
+    """
+    more = [n for n in ranks.columns if n not in ("ordinal", col, "pairs")]
+    hot = hot_values(ranks, share).select("ordinal", col, *[F.col(n).alias(f"hot_{n}") for n in more])
+    marked = pairs.join(F.broadcast(hot), ["ordinal", col], "left")
+    other = F.col("y" if col == "x" else "x")
+    salt = F.when(F.col(f"hot_{more[0]}").isNotNull(), F.xxhash64(other)).otherwise(F.lit(0))
+    zero = F.least(F.col("pairs"), F.lit(0).cast("bigint"))
+    found = marked.withColumn("salt", salt).join(ranks.withColumn("salt", zero).drop("pairs"), ["ordinal", col, "salt"], "left")
+    looked_up = [F.coalesce(F.col(f"hot_{n}"), F.col(n)).alias(n) for n in more]
+    return found.select(*pairs.columns, *looked_up)
+
+
 # --- contingency -----------------------------------------------------------------------
 
 

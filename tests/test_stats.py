@@ -187,3 +187,28 @@ def test_rank_tail_equals_the_whole_table(n0, n1):
     for part in (0.0, 0.11, 0.5):
         u = round(2 * part * n0 * n1) / 2
         assert tails.mann_whitney_p(u, n0, n1, 0) == pytest.approx(table_p(u, n0, n1), rel=1e-13)
+
+
+def test_spearman_spreads_hot_values(spark):
+    rng = np.random.default_rng(8)
+    n = 6000
+    y = np.where(rng.random(n) < 0.3, -5.0, np.round(rng.normal(size=n), 4))
+    pdf = pd.DataFrame({"hot": np.where(rng.random(n) < 0.34, 3.0, rng.normal(size=n)), "y": y})
+    df = spark.createDataFrame(pdf)
+    got = stats.spearman(df, "y", ["hot"], rows_per_bucket=500).first()
+    assert got["rho"] == pytest.approx(pdf["hot"].rank().corr(pdf["y"].rank()))
+    pairs = df.groupBy(F.lit(0).alias("ordinal"), F.col("hot").alias("x"), "y").agg(F.count(F.lit(1)).alias("n"))
+    ranks = pairs.groupBy("ordinal", "x").agg(F.count(F.lit(1)).alias("pairs"), F.sum("x").alias("rx"))
+    assert stats.hot_values(ranks, 0.1).count() == 1
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = stats._with_ranks(pairs, ranks, "x").withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in found.groupBy("task").count().collect()]
+        missing = found.filter("rx IS NULL").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert missing == 0 and len(sizes) == 8 and max(sizes) < 3 * np.median(sizes)
