@@ -6,13 +6,14 @@ through the same job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colsight.functions.exprs import c
+from colsight.functions.exprs import c, free_name
 from colsight.operators import profile as P
 
 # Words that mark a likely target when they occur inside a column name.
@@ -27,6 +28,9 @@ INTENT_WORDS = {
     "DIAGNOSTIC": ("compare", "difference", "segment", "breakdown"),
 }
 DEFAULT_INTENT = "DESCRIPTIVE"
+
+# Names up to which a mention is tested name by name: a choice of plan, the result is the same.
+SPELLED_OUT = 64
 # Distinct values above which a number is a regression target; limits of
 # the target suggestion.
 REGRESSION_DISTINCT = 10
@@ -110,7 +114,10 @@ def resolve_targets(profile: DataFrame, candidates: Sequence[str], limit: int |
 
 
 def intent_of(message: Column) -> Column:
-    low = F.lower(message)
+    return _intent(F.lower(message))
+
+
+def _intent(low: Column) -> Column:
     out = None
     for intent, words in INTENT_WORDS.items():
         test = contains_any(low, words)
@@ -120,19 +127,70 @@ def intent_of(message: Column) -> Column:
 
 def intent_tags(messages: DataFrame, text_column: str = "text") -> DataFrame:
     """Messages with their intent."""
-    return messages.withColumn("intent_type", intent_of(c(text_column)))
+    lowered, low = _lowered(messages, text_column)
+    return lowered.withColumn("intent_type", _intent(c(low))).drop(low)
+
+
+def _lowered(messages: DataFrame, text_column: str) -> tuple[DataFrame, str]:
+    """Add the lower-case text as a column, so that it is made once and not for every word; also its name."""
+    low = free_name(messages.columns, "_low")
+    return messages.withColumn(low, F.lower(c(text_column))), low
+
+
+def mentioned(message: Column, names: Sequence[str], spelled_out: int = SPELLED_OUT) -> Column:
+    """Array of the column names that occur in a message, case ignored, in the order of ``names``.
+
+    A few names are tested one by one inside the generated code. More of them, as of a whole
+    catalog, become one automaton per task that finds all in a single pass over the message,
+    and the plan holds one expression however many there are.
+    """
+    return _mentioned(F.lower(message), names, spelled_out)
 
 
-def mentioned(message: Column, names: Sequence[str]) -> Column:
-    """Array of the column names that occur in a message, case ignored."""
-    low = F.lower(message)
+def _mentioned(low: Column, names: Sequence[str], spelled_out: int = SPELLED_OUT) -> Column:
+    if len(names) > spelled_out:
+        return _scanner(names)(low)
     return F.array_compact(F.array(*[F.when(low.contains(n.lower()), F.lit(n)) for n in names]))
 
 
+def _scanner(names: Sequence[str]) -> Callable[[Column], Column]:
+    """Function from lower-case texts to the names that occur in them; nulls hold none."""
+    names = list(names)
+
+    @F.pandas_udf("array<string>")
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        places: dict[str, list[int]] = {}
+        for i, n in enumerate(names):
+            places.setdefault(n.lower(), []).append(i)
+        always = places.pop("", [])
+        automaton = ahocorasick.Automaton()
+        for low, found in places.items():
+            automaton.add_word(low, found)
+        if places:
+            automaton.make_automaton()
+
+        def occurring(message: str | None) -> list[str]:
+            if message is None:
+                return []
+            hits = set(always)
+            if places:
+                for _, found in automaton.iter(message):
+                    hits.update(found)
+            return [names[i] for i in sorted(hits)]
+
+        for batch in batches:
+            yield batch.map(occurring)
+
+    return scan
+
+
 def column_mentions(messages: DataFrame, names: Sequence[str], text_column: str = "text") -> DataFrame:
     """One row per message and mentioned column. The names are schema metadata, so a
     message is matched where it lies and nothing is joined."""
-    return messages.withColumn("column", F.explode(mentioned(c(text_column), names)))
+    lowered, low = _lowered(messages, text_column)
+    return lowered.withColumn("column", F.explode(_mentioned(c(low), names))).drop(low)
 
 
 def hinted_names(names: Sequence[str], limit: int | None = None) -> list[str]:
@@ -141,7 +199,8 @@ def hinted_names(names: Sequence[str], limit: int | None = None) -> list[str]:
 
 def hinted_columns(messages: DataFrame, names: Sequence[str], text_column: str = "text", limit: int | None = None) -> DataFrame:
     """For messages that mention no column: the columns whose names suggest a target."""
-    silent = messages.filter(F.size(mentioned(c(text_column), names)) == 0)
+    lowered, low = _lowered(messages, text_column)
+    silent = lowered.filter(F.size(_mentioned(c(low), names)) == 0).drop(low)
     hints = F.array(*[F.lit(n) for n in hinted_names(names, limit)]).cast("array<string>")
     return silent.withColumn("column", F.explode(hints))
 
