@@ -731,6 +731,24 @@ def _(spark, d):
     return model.evaluate(model.train_model(src, "l_returnflag"))
 
 
+_BANDS = ["l_orderkey", "concat('b', cast(floor(l_quantity / 7) AS int)) AS band", "CASE WHEN l_quantity < 13 THEN 'S' WHEN l_quantity < 38 THEN 'M' ELSE 'L' END AS size"]
+
+
+@query(
+    "logistic_eval_levels",  # one 0/1 column per band: the fit predicts the most frequent class of a band
+    f"WITH b AS {V.sql('lineitem', _BANDS)}, h AS (SELECT band, size, count(*) AS n FROM b WHERE l_orderkey % 5 <> 0 GROUP BY ALL), "
+    "w AS (SELECT band, arg_max(size, n) AS prediction FROM h GROUP BY band), s AS (SELECT b.size AS label, w.prediction FROM b JOIN w USING (band) WHERE l_orderkey % 5 = 0), "
+    "c AS (SELECT label, count(*) AS sup, sum(CAST(label = prediction AS INT)) AS tp FROM s GROUP BY label), "
+    "g AS (SELECT prediction AS label, count(*) AS pr FROM s GROUP BY 1), m AS (SELECT sup, tp, tp / sup AS rec, coalesce(tp / pr, 0) AS prec FROM c LEFT JOIN g USING (label)) "
+    "SELECT round(sum(tp) / sum(sup), 6) AS accuracy, round(sum(sup * prec) / sum(sup), 6) AS precision_weighted, round(sum(sup * rec) / sum(sup), 6) AS recall_weighted, "
+    "round(sum(sup * CASE WHEN prec + rec = 0 THEN 0 ELSE 2 * prec * rec / (prec + rec) END) / sum(sup), 6) AS f1_weighted FROM m",
+)
+def _(spark, d):
+    src = model.modulo_split(V.frame(spark, d, "lineitem", _BANDS), "l_orderkey").drop("l_orderkey")
+    out = model.evaluate(model.train_model(src, "size", split_column="is_test"))
+    return rounded(out, 6, *out.columns)
+
+
 @query(
     "linear_fit",
     "WITH s AS (SELECT l_extendedprice AS y, l_quantity AS a, l_discount AS b, l_orderkey % 5 = 0 AS t FROM lineitem), "
@@ -1460,6 +1478,127 @@ def _(spark, d):
     return _test_rows(done.results, ("o_totalprice",)).join(ranks, "feature")
 
 
+def _step_metrics(run: analysis.StepRun) -> DataFrame:
+    """Every metric of every step: numbers rounded, other values as text."""
+    cells = run.results.select("step_id", "status", F.explode("metrics").alias("metric", "value"))
+    number = F.expr("try_cast(value AS double)")
+    dated = F.col("metric").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}")
+    return cells.select(
+        "step_id", "status", F.when(dated, F.substring("metric", 1, 10)).otherwise(F.col("metric")).alias("metric"),
+        F.round(number, 4).alias("number"), F.when(number.isNull(), F.col("value")).alias("text"),
+    )
+
+
+def _metrics_sql(*parts: tuple[str, str, str]) -> str:
+    """(step_id, metric, number or text) of relations with the columns metric and number or text."""
+    return " UNION ALL ".join(
+        f"SELECT '{sid}' AS step_id, 'SUCCESS' AS status, CAST(metric AS VARCHAR) AS metric, {number} AS number, {text} AS text FROM ({sql})"
+        for sid, kind, sql in parts
+        for number, text in [("round(CAST(v AS DOUBLE), 4)", "CAST(NULL AS VARCHAR)") if kind == "number" else ("CAST(NULL AS DOUBLE)", "v")]
+    )
+
+
+def _shape_sql(src: str, columns: int) -> str:
+    return f"SELECT 'rows' AS metric, count(*)::DOUBLE AS v FROM {src} UNION ALL SELECT 'columns', {columns}"
+
+
+@query(
+    "step_metrics_descriptive",
+    _metrics_sql(
+        ("step_1", "number", _shape_sql("orders", 6)),
+        ("step_2", "number", "SELECT o_orderstatus AS metric, avg(o_totalprice) AS v FROM orders GROUP BY 1"),
+        ("step_3", "number", "SELECT CAST(last_day(CAST(o_orderdate AS DATE)) AS VARCHAR) AS metric, avg(o_totalprice) AS v FROM orders GROUP BY 1"),
+    ),
+)
+def _(spark, d):
+    group = {"group_by": "o_orderstatus", "target_column": "o_totalprice", "agg": "mean"}
+    trend = {"datetime_column": "o_orderdate", "target_column": "o_totalprice"}
+    steps = [("SUMMARY", {}), ("GROUPBY", group), ("TREND", trend)]
+    steps = [{"step_id": f"step_{i}", "operation": op, "parameters": p} for i, (op, p) in enumerate(steps, 1)]
+    return _step_metrics(analysis.run_steps(V.read(spark, d, "orders"), steps))
+
+
+_LINE_ALL = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_PAIRS_SQL = " UNION ALL ".join(
+    f"SELECT {i} AS i, {j} AS j, '{a}, {b}' AS pair, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM lineitem"
+    for i, a in enumerate(_LINE_ALL) for j, b in enumerate(_LINE_ALL) if i < j
+)
+
+
+@query(
+    "step_metrics_diagnostic",
+    _metrics_sql(
+        ("step_1", "number", _shape_sql("lineitem", 11)),
+        ("step_2", "number", "SELECT l_linenumber AS metric, avg(l_quantity) AS v FROM lineitem GROUP BY 1"),
+        ("step_3", "text", f"SELECT 'strongest_pair' AS metric, pair AS v FROM ({_PAIRS_SQL}) ORDER BY abs(r) DESC, i, j LIMIT 1"),
+        ("step_3", "number", f"SELECT 'strongest_value' AS metric, r AS v FROM ({_PAIRS_SQL}) ORDER BY abs(r) DESC, i, j LIMIT 1"),
+    ),
+)
+def _(spark, d):
+    return _step_metrics(analysis.report(V.read(spark, d, "lineitem"), "DIAGNOSTIC"))
+
+
+_EN_GAPS = "(SELECT count(*) * 3 - count(ts) - count(event_type) - count(value) FROM " + EN + ")"
+
+
+@query(
+    "step_metrics_cleaning",
+    _metrics_sql(
+        (
+            "step_1", "number",
+            f"SELECT unnest(['rows_before', 'missing_before', 'duplicates_removed', 'rows_after', 'missing_after']) AS metric, "
+            f"unnest([a, {_EN_GAPS}, a - b, b, 0]) AS v FROM (SELECT (SELECT count(*) FROM {EN}) AS a, (SELECT count(*) FROM (SELECT DISTINCT * FROM {EN})) AS b)",
+        ),
+        ("step_2", "number", _shape_sql(f"(SELECT DISTINCT * FROM {EN})", 5)),
+    ),
+)
+def _(spark, d):
+    return _step_metrics(analysis.report(events_n(spark, d), "DATA_CLEANING"))
+
+
+@query(
+    "step_metrics_predictive",
+    "WITH s AS (SELECT l_extendedprice AS y, l_quantity AS a, l_discount AS b, l_orderkey % 5 = 0 AS t FROM lineitem), "
+    "m AS (SELECT covar_pop(y, a) AS ya, covar_pop(y, b) AS yb, covar_pop(a, b) AS ab, var_pop(a) AS aa, var_pop(b) AS bb, avg(y) AS my, avg(a) AS ma, avg(b) AS mb FROM s WHERE NOT t), "
+    "w AS (SELECT *, (ya * bb - yb * ab) / (aa * bb - ab * ab) AS wa, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS wb FROM m), "
+    "e AS (SELECT y, y - (my + wa * (a - ma) + wb * (b - mb)) AS e FROM s, w WHERE t), "
+    "q AS (SELECT avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, 1 - sum(e * e) / (var_pop(y) * count(y)) AS r2 FROM e), "
+    "n AS (SELECT count(*) FILTER (WHERE NOT t) AS a, count(*) FILTER (WHERE t) AS b FROM s) "
+    + _metrics_sql(
+        ("step_1", "text", "SELECT unnest(['task_type', 'target_column']) AS metric, unnest(['regression', 'l_extendedprice']) AS v"),
+        ("step_1", "number", "SELECT unnest(['train_rows', 'test_rows', 'feature_count']) AS metric, unnest([a, b, 2]) AS v FROM n"),
+        ("step_2", "number", "SELECT unnest(['mae', 'rmse', 'r2']) AS metric, unnest([mae, rmse, r2]) AS v FROM q"),
+    ),
+)
+def _(spark, d):
+    src = model.modulo_split(V.read(spark, d, "lineitem"), "l_orderkey").select("l_quantity", "l_discount", "l_extendedprice", "is_test")
+    train = {"target_column": "l_extendedprice", "split_column": "is_test"}
+    steps = [
+        {"step_id": "step_1", "operation": "TRAIN_MODEL", "parameters": train}, {"step_id": "step_2", "operation": "EVALUATE_MODEL"},
+    ]
+    return _step_metrics(analysis.run_steps(src, steps))
+
+
+_FILLED = (
+    f"cl AS (SELECT event_id, user_id, coalesce(event_type, {mode_sql(EN, 'event_type')}) AS event_type, "
+    f"coalesce(value, (SELECT quantile_cont(value, 0.5) FROM {EN})) AS value FROM {EN})"
+)
+
+
+@query(
+    "drivers_after_steps",
+    f"WITH {_FILLED}, " + O.anova(O.class_groups("cl", "event_type", ["value"]))
+    + " SELECT feature, 'anova_multi_class' AS test_type, n, round(f_stat, 4) AS statistic, round(eta, 6) AS effect_size, CAST(1 AS INT) AS importance_rank, "
+    "'SUCCESS' AS cleaned FROM f",
+)
+def _(spark, d):
+    steps = [{"step_id": "clean", "operation": "CLEAN_DATA"}]
+    run, done = analysis.report_with_drivers(events_n(spark, d), steps, "event_type", importance=False)
+    status = run.results.first()["status"]
+    tests = _test_rows(done.results).select("feature", "test_type", "n", "statistic", "effect_size")
+    return tests.join(done.ranking.select("feature", "importance_rank"), "feature").withColumn("cleaned", F.lit(status))
+
+
 # --- more of the sources, fills and trends ----------------------------------------------
 
 

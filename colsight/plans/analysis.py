@@ -118,7 +118,7 @@ def _trend_step(df, params, state):
 
 def _train_step(df, params, state):
     trained = model.train_model(
-        df, params.get("target_column"), params.get("exclude", ()), params.get("split_key")
+        df, params.get("target_column"), params.get("exclude", ()), params.get("split_key"), params.get("split_column")
     )
     state["model"] = trained
     text = f"Trained baseline {trained.task_type} model on target '{trained.target}'."
