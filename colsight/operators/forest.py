@@ -1,8 +1,8 @@
 """Random forests whose histograms are sparse rows.
 
 Trees grow level by level, all at once. In each level tasks walk their rows down the trees so far
-and count (tree, node, feature, level, class); only combinations that occur are counted, and the
-counts are rows of one aggregate. So neither the number of levels of a text feature nor that of
+and count (tree, node, feature, level, class); only combinations that occur are counted, a task sums
+them up for its part of the rows and its group of trees, and the counts are rows of one aggregate. So neither the number of levels of a text feature nor that of
 classes is an array anywhere, and no list of them reaches the driver: levels and classes go by
 their 64-bit hashes. Splits are chosen by Spark from these rows: a text feature by one level
 against all others (a 0/1 column per level), a number at a bin's edge. Only the chosen splits, at
@@ -26,11 +26,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsight.functions.exprs import dtype_of, is_number_or_bool, number, text, value
+from colsight.operators.blocks import union_all
 from colsight.session import materialize, release
 
 BINS = 64
-ROWS_AT_ONCE = 1024
+# Values a task holds at once, rows whose draws are made at once, and tasks at least (parts of the rows times groups of trees).
+CELLS_AT_ONCE, ROWS_AT_ONCE, TASKS = 20_000_000, 65_536, 48
+DENSE = 4  # counts are an array up to so many cells a row
 NOISE = 1e-10  # gains below this share of a node's squares are rounding
+# Shares of draws up to 0, 1, ... times, and the number of times by 12 leading bits, -1 where a step lies within.
+STEPS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+_ENDS = np.arange(2**12) / 2.0**12
+LEADING = np.where(np.searchsorted(STEPS, _ENDS) == np.searchsorted(STEPS, _ENDS + (2.0**-12 - 2.0**-53)), np.searchsorted(STEPS, _ENDS), -1)
 HISTOGRAM = "tree int, node int, feature int, level bigint, class bigint, w double, s double"
 
 
@@ -44,6 +51,7 @@ class Table:
     numeric: list[bool]
     classify: bool
     count: int
+    parts: int
 
 
 @dataclass
@@ -81,7 +89,11 @@ def prepare(df: DataFrame, features: Sequence[str], target: str, classify: bool,
             # A value's bin is the number of edges below it.
             cell = _bin(cell, edges)
         out.append(cell.cast("bigint").alias(f"c{i}"))
-    return Table(plain.select("row", "label", *out), list(features), numeric, classify, seen["n"])
+    # Equal rows lie together; a part is what a task takes at once.
+    parts = max(1, -(-seen["n"] * (len(features) + 2) // CELLS_AT_ONCE))
+    order = [*[f"c{i}" for i in range(len(features))], "label", "row"]
+    placed = plain.select("row", "label", *out).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return Table(materialize(placed), list(features), numeric, classify, seen["n"], parts)
 
 
 def _bin(cell: Column, edges: Sequence[float]) -> Column:
@@ -96,56 +108,128 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _times(rows: np.ndarray, trees: int, seed: int) -> np.ndarray:
-    """How often each row is drawn for each tree: Poisson with mean 1, a function of row and tree."""
-    keys = rows.astype(np.uint64)[None, :] * np.uint64(2 * trees + 1) + np.arange(trees, dtype=np.uint64)[:, None]
-    share = (_mixed(_mixed(keys + np.uint64(seed))) >> np.uint64(11)).astype(float) / 2.0**53
-    return np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)]), share)
+def _times(rows: np.ndarray, trees: int, seed: int, chosen: np.ndarray | None = None) -> np.ndarray:
+    """How often each row is drawn for each tree (or the chosen ones): Poisson with mean 1, a
+    function of row and tree. Leading bits that no step of the distribution shares are looked up."""
+    which = np.arange(trees, dtype=np.uint64) if chosen is None else chosen.astype(np.uint64)
+    keys = rows.astype(np.uint64)[None, :] * np.uint64(2 * trees + 1) + which[:, None]
+    bits = _mixed(_mixed(keys + np.uint64(seed)))
+    out = LEADING[bits >> np.uint64(52)]
+    unsure = out < 0
+    out[unsure] = np.searchsorted(STEPS, (bits[unsure] >> np.uint64(11)).astype(float) / 2.0**53)
+    return out
+
+
+def _gathered(batches: Iterable[pa.RecordBatch], names: Sequence[str], limit: int) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Rows for one group of trees, up to ``limit`` at once."""
+    held: list[pa.RecordBatch] = []
+    group, size = None, 0
+
+    def whole() -> tuple[int, dict[str, np.ndarray]]:
+        return group, {n: np.concatenate([b.column(n).to_numpy() for b in held]) for n in names}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        its = batch.column("trees")[0].as_py()  # a partition is of one group
+        if held and (its != group or size + batch.num_rows > limit):
+            yield whole()
+            held, size = [], 0
+        group, size = its, size + batch.num_rows
+        held.append(batch)
+    if held:
+        yield whole()
 
 
 def _counted(table: Table, trees: Trees, depth: int, bootstrap: bool, seed: int) -> DataFrame:
     """Histogram rows of the nodes of one level."""
+    rows = _counted_by_task(table, trees, depth, bootstrap, seed)
+    return rows.groupBy("tree", "node", "feature", "level", "class").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+
+
+def _counted_by_task(table: Table, trees: Trees, depth: int, bootstrap: bool, seed: int) -> DataFrame:
+    """Histogram rows as tasks have them.
+
+    A task takes a part of the rows and a group of the trees. Rows of equal cells lie together in a
+    part; a tree draws them by row, sums the draws and walks each kind of row once.
+    """
     names = [f"c{i}" for i in range(len(table.features))]
     numeric, classify = np.array(table.numeric), table.classify
     n_trees, first = len(trees.feature), 2**depth - 1
-
-    def walk(cells: np.ndarray) -> np.ndarray:
-        node = np.zeros((n_trees, cells.shape[1]), np.int64)
-        which = np.arange(n_trees)[:, None]
-        row = np.arange(cells.shape[1])[None, :]
-        for _ in range(depth):
-            feature, at = trees.feature[which, node], trees.at[which, node]
-            cell = cells[np.maximum(feature, 0), row]
-            left = np.where(numeric[np.maximum(feature, 0)], cell <= at, cell == at)
-            node = np.where((feature < 0) | (node < 0), -1, 2 * node + np.where(left, 1, 2))
-        return np.where(node >= first, node, -1)
+    split_by, split_at = trees.feature[:, :first].copy(), trees.at[:, :first].copy()
+    groups = min(n_trees, -(-TASKS // table.parts))
+    limit = max(1, CELLS_AT_ONCE // (len(names) + 2))
+
+    def places(tree: int, levels: list[np.ndarray]) -> np.ndarray:
+        """Split points of a tree as positions among the levels; -1 goes with no level."""
+        out = np.full(first, -1)
+        for f, known in enumerate(levels):
+            mine = np.flatnonzero(split_by[tree] == f)
+            at = split_at[tree, mine]
+            if numeric[f]:
+                out[mine] = np.searchsorted(known, at, "right") - 1
+            else:
+                spot = np.minimum(np.searchsorted(known, at), len(known) - 1)
+                out[mine] = np.where(known[spot] == at, spot, -1)
+        return out
+
+    def drawn(tree: int, row: np.ndarray, kind: np.ndarray, kinds: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often a tree draws each kind of row, and the sums of the target of these."""
+        w = np.zeros(kinds)
+        s = w if classify else np.zeros(kinds)
+        for a in range(0, len(row), ROWS_AT_ONCE):
+            here = slice(a, a + ROWS_AT_ONCE)
+            times = _times(row[here], n_trees, seed, np.array([tree]))[0].astype(float) if bootstrap else np.ones(len(row[here]))
+            low, span = kind[a], kind[here] - kind[a]
+            w[low : low + span[-1] + 1] += np.bincount(span, times)
+            if not classify:
+                s[low : low + span[-1] + 1] += np.bincount(span, times * label[here])
+        return w, s
+
+    def count(group: int, rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        label = rows["label"]
+        new = np.ones(len(label), bool)
+        new[1:] = False
+        for column in [*(rows[n] for n in names), *([label] if classify else [])]:
+            new[1:] |= column[1:] != column[:-1]
+        start, kind = np.flatnonzero(new), np.cumsum(new) - 1
+        levels, coded = zip(*(np.unique(rows[n][start], return_inverse=True) for n in names))
+        cells = np.stack(coded)
+        classes, k = np.unique(label[start], return_inverse=True) if classify else (np.zeros(1, np.int64), np.zeros(len(start), np.int64))
+        for tree in range(group, n_trees, groups):
+            w, s = drawn(tree, rows["row"], kind, len(start), label)
+            some = np.flatnonzero(w)
+            node, place = np.zeros(len(some), np.int64), places(tree, levels)
+            for _ in range(depth):
+                feature = split_by[tree, node]
+                on = feature >= 0
+                some, node, feature = some[on], node[on], feature[on]
+                cell = cells[feature, some]
+                left = np.where(numeric[feature], cell <= place[node], cell == place[node])
+                node = 2 * node + np.where(left, 1, 2)
+            if not len(some):
+                continue
+            for f in range(len(names)):
+                key = ((node - first) * len(levels[f]) + cells[f, some]) * len(classes) + k[some]
+                size = 2**depth * len(levels[f]) * len(classes)
+                if size <= DENSE * len(key):
+                    weight = np.bincount(key, w[some], size)
+                    found = np.flatnonzero(weight)
+                    weight, sums = weight[found], weight[found] if classify else np.bincount(key, s[some], size)[found]
+                else:
+                    found, which = np.unique(key, return_inverse=True)
+                    weight = np.bincount(which, w[some], len(found))
+                    sums = weight if classify else np.bincount(which, s[some], len(found))
+                rest, c = np.divmod(found, len(classes))
+                nd, lv = np.divmod(rest, len(levels[f]))
+                columns = [np.full(len(found), tree, np.int32), (nd + first).astype(np.int32), np.full(len(found), f, np.int32), levels[f][lv], classes[c], weight, sums]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [x.split()[0] for x in HISTOGRAM.split(", ")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                cells = np.stack([batch.column(c).to_numpy() for c in names])
-                label = batch.column("label").to_numpy()
-                times = _times(batch.column("row").to_numpy(), n_trees, seed) if bootstrap else np.ones((n_trees, batch.num_rows), np.int64)
-                node = walk(cells)
-                tree, row = np.nonzero((node >= 0) & (times > 0))
-                weight = times[tree, row].astype(float)
-                place = tree * (2 ** (depth + 1)) + node[tree, row]
-                classes, k = np.unique(label, return_inverse=True) if classify else (np.zeros(1, np.int64), np.zeros(len(label), np.int64))
-                for f, column in enumerate(cells):
-                    levels, j = np.unique(column, return_inverse=True)
-                    key = (place * len(levels) + j[row]) * len(classes) + k[row]
-                    found, which = np.unique(key, return_inverse=True)
-                    w = np.bincount(which, weight, len(found))
-                    s = w if classify else np.bincount(which, weight * label[row], len(found))
-                    rest, c = np.divmod(found, len(classes))
-                    spot, lv = np.divmod(rest, len(levels))
-                    t, nd = np.divmod(spot, 2 ** (depth + 1))
-                    columns = [t.astype(np.int32), nd.astype(np.int32), np.full(len(found), f, np.int32), levels[lv], classes[c], w, s]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [x.split()[0] for x in HISTOGRAM.split(", ")])
-
-    rows = table.rows.mapInArrow(run, HISTOGRAM)
-    return rows.groupBy("tree", "node", "feature", "level", "class").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+        for group, rows in _gathered(batches, ["row", "label", *names], limit):
+            yield from count(group, rows)
+
+    return union_all([table.rows.withColumn("trees", F.lit(g)) for g in range(groups)]).mapInArrow(run, HISTOGRAM)
 
 
 def gains(histogram: DataFrame, numeric: Sequence[bool]) -> DataFrame:

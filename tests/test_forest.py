@@ -93,3 +93,29 @@ def test_bootstrap_and_bins(spark):
     assert [r["feature_importance"] for r in none] == [0.0]
     small = model.feature_importance(df.withColumn("z", F.col("x") * F.col("tiny")), ["x", "one"], "z", "regression", trees=2, depth=3).collect()
     assert [r["feature_importance"] for r in small] == [1.0, 0.0]
+
+
+def test_tasks_sum_up_what_they_count(spark):
+    df = spark.range(30_000).select((F.col("id") % 5).cast("string").alias("s"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3).alias("y"))
+    table = forest.prepare(df, ["s", "x"], "y", True)
+    roots = forest.Trees(np.full((8, 1), -1), np.zeros((8, 1), np.int64), np.zeros((8, 1)))
+    assert table.parts == 1 and forest._counted_by_task(table, roots, 0, True, 42).count() == 8 * (5 + 7) * 3
+
+
+@pytest.mark.parametrize("target, classify", [("y", True), ("z", False)])
+def test_parts_and_groups_give_the_same_forest(data, target, classify, monkeypatch):
+    _, df = data
+    whole = forest.grow(forest.prepare(df, ["s", "x", "z" if classify else "y"], target, classify), 5, 4, 3, looked_at=2)
+    monkeypatch.setattr(forest, "CELLS_AT_ONCE", 300)
+    monkeypatch.setattr(forest, "TASKS", 14)
+    table = forest.prepare(df, ["s", "x", "z" if classify else "y"], target, classify)
+    cut = forest.grow(table, 5, 4, 3, looked_at=2)
+    assert table.parts == 7 and (cut.feature == whole.feature).all() and (cut.at == whole.at).all() and cut.gain == pytest.approx(whole.gain)
+
+
+def test_draws_of_chosen_trees():
+    rows = np.arange(50_000) * 7919 + (3 << 33)
+    keys = rows.astype(np.uint64)[None, :] * np.uint64(11) + np.arange(5, dtype=np.uint64)[:, None]
+    share = (forest._mixed(forest._mixed(keys + np.uint64(9))) >> np.uint64(11)).astype(float) / 2.0**53
+    want = np.searchsorted(forest.STEPS, share)
+    assert (forest._times(rows, 5, 9) == want).all() and (forest._times(rows, 5, 9, np.array([3])) == want[3]).all()
