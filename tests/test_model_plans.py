@@ -219,3 +219,21 @@ def test_driver_analysis_end_to_end(sales):
     assert [r["importance_rank"] for r in ranks] == [1, 2] and ranks[0]["feature"] == "size" and ranks[0]["strength_score"] == 1.0
     assert abs(sum(r["feature_importance"] for r in ranks) - 1) < 1e-6
     assert done.answer.first()["direct_answer"].startswith("The strongest driver for amount is size,")
+
+
+def test_driver_analysis_counts_each_kind_of_row_once(spark, monkeypatch):
+    df = spark.range(40_000).select((F.col("id") % 3).cast("string").alias("y"), (F.col("id") % 50).cast("double").alias("size"), (F.col("id") % 4).cast("string").alias("zone"))
+    sent, write = [], model.forest.materialize
+
+    def counted(table):
+        if "by_task" in table.columns:
+            sent.append(table.agg(F.max("by_task")).first()[0])
+        return write(table.drop("by_task"))
+
+    by_task = model.forest._counted_by_task
+    monkeypatch.setattr(model.forest, "_counted", lambda *a: by_task(*a).groupBy("tree", "node", "feature", "level", "class").agg(
+        F.sum("w").alias("w"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("by_task")))
+    monkeypatch.setattr(model.forest, "materialize", counted)
+    done = analysis.driver_analysis(df, "y", trees=3)
+    assert done.data_quality_flags == [] and done.ranking.agg(F.sum("feature_importance")).first()[0] == pytest.approx(1.0)
+    assert sent and max(sent) == 1
