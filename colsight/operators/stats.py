@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsight.functions.exprs import (
@@ -29,6 +29,7 @@ from colsight.functions.exprs import (
 )
 from colsight.functions.tails import chi2_tail, f_tail, mann_whitney_tail, pearson_tail
 from colsight.operators.blocks import (
+    COLUMNS_PER_AGGREGATE,
     ROWS_PER_BUCKET,
     per_column_agg,
     range_bucket,
@@ -42,6 +43,8 @@ MIN_ROWS = 12
 MIN_GROUP = 3
 # A value that holds more than this share of all pairs has its rank broadcast: at most 1,000 values.
 HOT_SHARE = 0.001
+# Ranks of a feature with up to so many values are broadcast: a choice of plan, the result is the same.
+FEW_VALUES = 10_000
 TARGET_FLAG = "Target column contains missing values; pairwise rows were dropped per test."
 
 RESULT_SCHEMA = (
@@ -269,33 +272,90 @@ def spearman(
 ) -> DataFrame:
     """(ordinal, feature, n, rho) over pair-complete rows, average ranks on ties.
 
-    Equal pairs are counted first; the ranks of each side are looked up by value, see ``_with_ranks``.
+    Features are ranked from their value counts, and the rows take the ranks: those of a feature with
+    few values by a broadcast, others by value, see ``_with_ranks``. Rows are then summed up per value
+    of the target, and its ranks come from one scan of these sums in ranges: no rank of the target is
+    joined to rows, and features with few values share the scan.
     """
-    long = _long(df, [number(df, n) for n in features], number(df, target))
-    pairs = materialize(long.groupBy("ordinal", "x", "y").agg(F.count(F.lit(1)).alias("n")))
-    size = (df.count() if n_rows is None else n_rows) * len(features)
-
-    def side(col: str) -> DataFrame:
-        counted = pairs.groupBy("ordinal", col).agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("pairs"))
-        bucket = range_bucket(long, ["ordinal", col], size, rows_per_bucket)
-        ranks = average_ranks(counted, ["ordinal"], col, "m", bucket)
-        return ranks.select("ordinal", col, "pairs", F.col("avg_rank").alias(f"r{col}"), F.col("m_total").alias("total"))
-
-    sides = {"x": materialize(side("x")), "y": materialize(side("y").drop("total"))}
-    ranked = pairs
-    for col, ranks in sides.items():
-        ranked = _with_ranks(ranked, ranks, col)
-    middle = (F.col("total") + 1) / 2.0
-    dx, dy = F.col("rx") - middle, F.col("ry") - middle
-    sums = ranked.groupBy("ordinal").agg(
+    x, y = [number(df, n) for n in features], number(df, target)
+    long = _long(df, x, y)
+    counts = materialize(long.groupBy("ordinal", "x").agg(F.count(F.lit(1)).alias("pairs")))
+    facts = counts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("values"), F.sum("pairs").alias("n")).collect()
+    size = {r["ordinal"]: r["n"] for r in facts}  # a feature without pairs has no row
+    few = [r["ordinal"] for r in facts if r["values"] <= FEW_VALUES]
+    many = [i for i in size if i not in few]
+    if not size:
+        return df.sparkSession.createDataFrame([], "ordinal int, feature string, n bigint, rho double")
+
+    def ranks_of(chosen: list[int], bucket: Column | None) -> DataFrame:
+        """Ranks less their mean."""
+        middle = F.element_at(F.create_map(*[F.lit(v) for i in chosen for v in (i, (size[i] + 1) / 2.0)]), F.col("ordinal"))
+        placed = average_ranks(counts.filter(F.col("ordinal").isin(chosen)), ["ordinal"], "x", "pairs", bucket)
+        return placed.select("ordinal", "x", "pairs", (F.col("avg_rank") - middle).alias("dx"))
+
+    sums, ranks = [], []
+    present = df.select(y.alias("y"), *[col.alias(f"x{i}") for i, col in enumerate(x)]).filter(F.col("y").isNotNull())
+    for start in range(0, len(few), COLUMNS_PER_AGGREGATE):
+        chosen = few[start : start + COLUMNS_PER_AGGREGATE]
+        placed = ranks_of(chosen, None)
+        ranks.append(placed)
+        rows = present
+        for i in chosen:
+            its = placed.filter(F.col("ordinal") == i).select(F.col("x").alias(f"x{i}"), F.col("dx").alias(f"dx{i}"))
+            rows = rows.join(F.broadcast(its), f"x{i}", "left")  # at most FEW_VALUES rows
+        bucket = range_bucket(present, ["y"], df.count() if n_rows is None else n_rows, rows_per_bucket)
+        cells = [a for i in chosen for a in (F.count(f"dx{i}").alias(f"n{i}"), F.sum(f"dx{i}").alias(f"s{i}"))]
+        sums.append(_rank_sums(rows.groupBy("y").agg(*cells), chosen, bucket))
+    if many:
+        placed = materialize(ranks_of(many, range_bucket(counts, ["ordinal", "x"], sum(r["values"] for r in facts), rows_per_bucket)))
+        ranks.append(placed)
+        wanted = long.filter(F.col("ordinal").isin(many))
+        pairs = wanted.groupBy("ordinal", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+        ranked = _with_ranks(pairs, placed, "x")
+        cells = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("dx")).alias("s")]
+        bucket = range_bucket(wanted, ["ordinal", "y"], sum(size[i] for i in many), rows_per_bucket)
+        sums.append(_rank_sums(ranked.groupBy("ordinal", "y").agg(*cells), None, bucket))
+
+    n = F.col("n")
+    earlier = Window.partitionBy("ordinal").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = F.element_at(F.create_map(*[F.lit(v) for i, k in size.items() for v in (i, k)]), F.col("ordinal"))
+    # Rows of a range are ``shift`` further from the mean rank than their place within it.
+    shift = F.coalesce(F.sum("n").over(earlier), F.lit(0)) - (sizes + 1) / 2.0
+    moved = union_all(sums).withColumn("shift", shift)
+    by_y = moved.groupBy("ordinal").agg(
         F.sum("n").alias("n"),
-        F.sum(F.col("n") * dx * dy).alias("sxy"),
-        F.sum(F.col("n") * dx * dx).alias("sxx"),
-        F.sum(F.col("n") * dy * dy).alias("syy"),
+        F.sum("values").alias("values"),
+        F.sum(F.col("sl") + F.col("shift") * F.col("s")).alias("sxy"),
+        F.sum(F.col("nll") + F.col("shift") * (2 * F.col("nl") + F.col("shift") * n)).alias("syy"),
     )
-    rho = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx")) * F.sqrt(F.col("syy")))
+    by_x = union_all(ranks).groupBy("ordinal").agg(F.sum(F.col("pairs") * F.col("dx") * F.col("dx")).alias("sxx"))
+    syy = F.when(F.col("values") > 1, F.greatest(F.col("syy"), F.lit(0.0))).otherwise(0.0)
+    rho = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx")) * F.sqrt(syy))
     rho = F.when(rho.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), rho)))
-    return sums.select("ordinal", _feature(features), "n", rho.alias("rho"))
+    return by_y.join(by_x, "ordinal").select("ordinal", _feature(features), "n", rho.alias("rho"))
+
+
+def _rank_sums(grouped: DataFrame, chosen: Sequence[int] | None, bucket: Column | None) -> DataFrame:
+    """Per ordinal and range of y: its rows ``n``, values of y, the sum ``s`` of the other side's ranks, and sums
+    of both by the average rank within the range. ``grouped`` has a row per y with columns n<i> and
+    s<i> of the chosen ordinals, or (without) a row per ordinal and y."""
+    by, slots = (["ordinal"], [""]) if chosen is None else ([], chosen)
+    keys = [*by, "bucket"]
+    inside = Window.partitionBy(*keys).orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
+    cut = grouped.withColumn("bucket", F.lit(0) if bucket is None else bucket)
+    places = [(F.coalesce(F.sum(f"n{i}").over(inside), F.lit(0)) + (F.col(f"n{i}") + 1) / 2.0).alias(f"l{i}") for i in slots]
+    placed = cut.select(*keys, *[f"{a}{i}" for i in slots for a in "ns"], *places)
+    aggs = []
+    for i in slots:
+        n, s, at = F.col(f"n{i}"), F.col(f"s{i}"), F.col(f"l{i}")
+        found = {"n": F.sum(n), "values": F.count_if(n > 0), "s": F.sum(s), "sl": F.sum(s * at), "nl": F.sum(n * at), "nll": F.sum(n * at * at)}
+        aggs += [F.coalesce(v, F.lit(0)).alias(f"{a}_{i}") for a, v in found.items()]
+    names = ("n", "values", "s", "sl", "nl", "nll")
+    summed = placed.groupBy(*keys).agg(*aggs)
+    if chosen is None:
+        return summed.select("ordinal", "bucket", *[F.col(f"{a}_").alias(a) for a in names])
+    rows = [F.struct(F.lit(i).alias("ordinal"), "bucket", *[F.col(f"{a}_{i}").alias(a) for a in names]) for i in slots]
+    return summed.select(F.inline(F.array(*rows)))
 
 
 def hot_values(ranks: DataFrame, share: float = HOT_SHARE) -> DataFrame:

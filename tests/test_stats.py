@@ -212,3 +212,28 @@ def test_spearman_spreads_hot_values(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert missing == 0 and len(sizes) == 8 and max(sizes) < 3 * np.median(sizes)
+
+
+@pytest.mark.parametrize("few", [0, 40, 10_000])
+def test_spearman_joins_no_rank_of_the_target(spark, few, monkeypatch):
+    monkeypatch.setattr(stats, "FEW_VALUES", few)
+    rng = np.random.default_rng(5)
+    n = 5000
+    pdf = pd.DataFrame({"a": np.round(rng.normal(size=n), 3), "b": rng.integers(0, 9, n).astype(float), "none": np.nan, "one": 4.0})
+    pdf["y"] = np.where(rng.random(n) < 0.3, -5.0, pdf["b"] - pdf["a"] + rng.normal(size=n))
+    pdf.loc[rng.random(n) < 0.1, "y"] = np.nan
+    pdf.loc[rng.random(n) < 0.2, "a"] = np.nan
+    written = []
+    write = stats.materialize
+    monkeypatch.setattr(stats, "materialize", lambda df: written.append(df.columns) or write(df))
+    got = {r["feature"]: r for r in stats.spearman(spark.createDataFrame(pdf), "y", ["a", "b", "none", "one"], rows_per_bucket=400).collect()}
+    assert sorted(got) == ["a", "b", "one"] and got["one"]["rho"] is None
+    for name in "ab":
+        both = pdf[[name, "y"]].dropna()
+        assert got[name]["n"] == len(both) and got[name]["rho"] == pytest.approx(both[name].rank().corr(both["y"].rank()), abs=1e-12)
+    assert not any("y" in names for names in written)
+
+
+def test_spearman_of_a_constant_target(spark):
+    df = spark.range(100_001).select(F.lit(0.1).alias("y"), (F.col("id") % 7).alias("x"), "id")
+    assert [r["rho"] for r in stats.spearman(df, "y", ["x", "id"]).collect()] == [None, None]
