@@ -237,3 +237,17 @@ def test_spearman_joins_no_rank_of_the_target(spark, few, monkeypatch):
 def test_spearman_of_a_constant_target(spark):
     df = spark.range(100_001).select(F.lit(0.1).alias("y"), (F.col("id") % 7).alias("x"), "id")
     assert [r["rho"] for r in stats.spearman(df, "y", ["x", "id"]).collect()] == [None, None]
+
+
+def test_regression_tests_write_value_counts_only(spark, monkeypatch):
+    sizes, write = [], stats.materialize
+
+    def counted(df):
+        out = write(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(stats, "materialize", counted)
+    df = spark.range(3000).select((F.col("id") % 9).alias("a"), (F.col("id") % 4).alias("b"), (F.col("id") % 3).cast("string").alias("s"), F.sqrt("id").alias("y"))
+    found = {r["feature"]: r["test_type"] for r in stats.run_tests(df, "y", ["a", "b", "s"], "regression").collect()}
+    assert found == {"a": "pearson_spearman", "b": "pearson_spearman", "s": "anova"} and sum(sizes) == 9 + 4
