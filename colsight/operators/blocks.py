@@ -24,9 +24,18 @@ LONG_TEXT_LENGTH = 128
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 2048
 QUANTILE_CELL = 100_000
+# Values that a sketch takes as a rule: of more, a share is drawn. A sketch only proposes where to
+# count; every row is counted on either side of it, so the draw can't change a result.
+SKETCH_ROWS = 1_000_000
+# Distance from a wanted rank to the fence that is sought for it, in standard errors of the draw.
+DRAW_ERRORS = 5.0
 SUSPECT_LIMIT = 1_000_000
 
 
+# Two values around the ranks of a quantile, by name of the column and probability.
+Cuts = dict[tuple[str, float], tuple[float, float]]
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -208,29 +217,43 @@ def exact_quantiles(
     cell: int = QUANTILE_CELL,
     width: int = COLUMNS_PER_AGGREGATE,
     sizes: Mapping[str, int] | None = None,
+    fences: Cuts | None = None,
 ) -> dict[str, list[float] | None]:
     """Interpolated quantiles of many columns (None for a column without values).
 
     Columns are taken ``width`` at a time, so that an aggregate holds a bounded number
     of sketches, and at most ``cell`` values of a fence. ``sizes`` are the numbers of
-    present values, if they are known already.
+    present values, if they are known already. ``fences`` are the first fences of an earlier
+    call on nearly the same rows: they are tried before a sketch is taken, and those of this
+    call are noted there.
     """
     out: dict[str, list[float] | None] = {}
     for start in range(0, len(columns), width):
-        out |= _exact_quantiles(df, columns[start : start + width], probs, cell, sizes)
+        out |= _exact_quantiles(df, columns[start : start + width], probs, cell, sizes, {} if fences is None else fences)
     return out
 
 
+def draw(df: DataFrame, share: float) -> tuple[DataFrame, str]:
+    """Rows whose drawn number, in a column of the returned name, is below ``share``."""
+    name = free_name(df.columns, "_draw")
+    return df.withColumn(name, F.rand(42)).filter(c(name) < share), name
+
+
 def _exact_quantiles(
-    df: DataFrame, columns: Sequence[str | tuple[str, Column]], probs: Sequence[float], cell: int, sizes: Mapping[str, int] | None
+    df: DataFrame,
+    columns: Sequence[str | tuple[str, Column]],
+    probs: Sequence[float],
+    cell: int,
+    sizes: Mapping[str, int] | None,
+    first_cuts: Cuts,
 ) -> dict[str, list[float] | None]:
     """Quantiles of some columns.
 
     The exact ``percentile`` aggregate keeps every distinct value of a column in one
-    reducer. Here the wanted ranks are fenced in first: a bounded sketch names a value
-    on either side of a rank, a count tells how many rows lie below, at and between
-    the two, and the fence is narrowed until it is a single value or holds at most
-    ``cell`` rows. Only the rows inside the last fence meet the exact aggregate. Every
+    reducer. Here the wanted ranks are fenced in first: a bounded sketch (of drawn rows, if
+    there are many) names a value on either side of a rank, a count over all rows tells how
+    many lie below, at and between the two, and the fence is narrowed until it is a single
+    value or holds at most ``cell`` rows. Only the rows inside the last fence meet the exact aggregate. Every
     round is one fused scan without a shuffle of rows, and a hot value ends a fence
     instead of filling it.
     """
@@ -253,17 +276,21 @@ def _exact_quantiles(
         for p in probs:
             low = int(p * (n - 1))
             ranks = tuple(sorted({low, min(low + 1, n - 1)}))
-            fences.append(_Fence(i, ranks, None, None, 0, n))
+            fences.append(_Fence(i, p, ranks, None, None, 0, n))
 
     while wide := [f for f in fences if f.inside > cell]:
         settled = [f for f in fences if f.inside <= cell]
-        cuts = base.agg(*[f.sketch().alias(f"s{k}") for k, f in enumerate(wide)]).first()
-        found = base.agg(
-            *[m.alias(f"{a}{k}") for k, f in enumerate(wide) for a, m in f.sizes(*cuts[f"s{k}"])]
-        ).first()
+        cuts = {k: first_cuts[key] for k, f in enumerate(wide) if f.whole() and (key := (names[f.column], f.prob)) in first_cuts}
+        if sought := {k: f for k, f in enumerate(wide) if k not in cuts}:
+            cuts |= _sketched(df, cols, sought)
+        first_cuts |= {(names[f.column], f.prob): cuts[k] for k, f in enumerate(wide) if f.whole()}
+        found = base.agg(*[m.alias(f"{a}{k}") for k, f in enumerate(wide) for a, m in f.sizes(*cuts[k])]).first()
         for k, f in enumerate(wide):
-            lo, hi = cuts[f"s{k}"]
-            settled += f.narrow(lo, hi, found[f"below{k}"], found[f"at_lo{k}"], found[f"mid{k}"], found[f"at_hi{k}"], known)
+            lo, hi = cuts[k]
+            inner = f.narrow(lo, hi, found[f"below{k}"], found[f"at_lo{k}"], found[f"mid{k}"], found[f"at_hi{k}"], known)
+            settled += inner
+            if any(g.lo is None or g.hi is None for g in inner):  # missed a rank, not worth another try
+                first_cuts.pop((names[f.column], f.prob), None)
         fences = settled
 
     if fences:
@@ -283,11 +310,26 @@ def _exact_quantiles(
     return out
 
 
+def _sketched(df: DataFrame, cols: Mapping[str, Column], fences: Mapping[int, _Fence]) -> dict[int, tuple[float, float]]:
+    """A value on either side of the wanted ranks of every fence. Of a fence with many values a share
+    is drawn; a sketch that gets none of them is taken of all."""
+    shares = {k: min(1.0, SKETCH_ROWS / f.inside) for k, f in fences.items()}
+    values = [col.alias(f"q{i}") for i, col in enumerate(cols.values())]
+    drawn, place = draw(df, max(shares.values()))
+    cuts = drawn.select(c(place).alias("draw"), *values).agg(*[f.sketch(shares[k]).alias(f"s{k}") for k, f in fences.items()]).first()
+    out = {k: cuts[f"s{k}"] for k in fences}
+    if empty := [k for k, cut in out.items() if cut is None]:
+        out |= df.select(*values).agg(*[fences[k].sketch(1.0).alias(str(k)) for k in empty]).first().asDict()
+        out = {int(k): cut for k, cut in out.items() if cut is not None}
+    return {k: (cut[0], cut[1]) for k, cut in out.items()}
+
+
 @dataclass(frozen=True)
 class _Fence:
     """Open value range that holds the wanted 0-based ranks of a column."""
 
     column: int
+    prob: float
     ranks: tuple[int, ...]
     lo: float | None
     hi: float | None
@@ -305,11 +347,16 @@ class _Fence:
             keep = keep & (self.value() < self.hi)
         return F.when(keep, self.value())
 
-    def sketch(self) -> Column:
-        slack = 2.0 / 10_000
+    def whole(self) -> bool:
+        return self.lo is None and self.hi is None
+
+    def sketch(self, share: float) -> Column:
+        """Values around the ranks, of those whose ``draw`` is below the share."""
+        slack = 2.0 / 10_000 + (DRAW_ERRORS * (0.25 / SKETCH_ROWS) ** 0.5 if share < 1 else 0.0)
+        values = self.within() if share >= 1 else F.when(F.col("draw") < share, self.within())
         a = max(0.0, (self.ranks[0] - self.below) / self.inside - slack)
         b = min(1.0, (self.ranks[-1] - self.below + 1) / self.inside + slack)
-        return F.percentile_approx(self.within(), [a, b], 10_000)
+        return F.percentile_approx(values, [a, b], 10_000)
 
     def sizes(self, lo: float, hi: float) -> list[tuple[str, Column]]:
         v = self.value()
@@ -344,7 +391,7 @@ class _Fence:
             "mid": (lo, hi, start_mid, mid),
             "over": (hi, self.hi, after_hi, self.below + self.inside - after_hi),
         }
-        return [_Fence(self.column, tuple(rs), *bounds[k]) for k, rs in parts.items() if rs]
+        return [_Fence(self.column, self.prob, tuple(rs), *bounds[k]) for k, rs in parts.items() if rs]
 
     def exact(self) -> Column:
         last = max(self.inside - 1, 1)

@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colsight.functions.exprs import atomic_columns, c, dtype_of, free_name, is_number, nan_to_null, number, number_columns
-from colsight.operators.blocks import COLUMNS_PER_AGGREGATE, QUANTILE_CELL, SUSPECT_LIMIT, comparable, exact_quantiles, gap_counts
+from colsight.operators.blocks import (
+    COLUMNS_PER_AGGREGATE,
+    QUANTILE_CELL,
+    SKETCH_ROWS,
+    SUSPECT_LIMIT,
+    Cuts,
+    comparable,
+    draw,
+    exact_quantiles,
+    gap_counts,
+)
 from colsight.operators.missing import fill_median, fill_mode
 from colsight.session import materialize
 
@@ -84,7 +94,7 @@ def sequential_bounds(df: DataFrame, columns: Sequence[str], whisker: float = WH
     """IQR bounds of every column among the rows that the columns before it kept.
 
     The quartiles of ``shared`` columns are sought in the same passes: bounds are guessed
-    from sketches, the quartiles of all columns are taken under the guessed bounds of those
+    from sketches (of drawn rows, if there are many; every later step reads all rows), the quartiles of all columns are taken under the guessed bounds of those
     before, and a count tells from which column on a row is kept by one set of bounds and not
     by the other. All columns up to that one are settled, the others go through another
     round with the better guess. A round settles one column at least and as a rule nearly
@@ -119,26 +129,27 @@ def _marked(df: DataFrame, names: Sequence[str], bounds: Bounds) -> DataFrame:
     return df.select(_failing(df, names, bounds).alias("failing"), *[number(df, n).alias(f"x{i}") for i, n in enumerate(names)])
 
 
-def _rough_bounds(df: DataFrame, names: Sequence[str], guess: Bounds, whisker: float) -> Bounds:
-    """Bounds from one sketch per column, under the bounds guessed for the columns before."""
+def _rough_bounds(df: DataFrame, names: Sequence[str], guess: Bounds, whisker: float, share: float) -> Bounds:
+    """Bounds from one sketch per column of a share of the rows, under the bounds guessed for the columns before."""
     kept = [F.when(F.col("failing") >= i, F.col(f"x{i}")) for i in range(len(names))]
     sketches = [F.percentile_approx(col, [0.25, 0.75]).alias(f"s{i}") for i, col in enumerate(kept)]
-    found = _marked(df, names, guess).agg(*sketches).first()
+    found = _marked(draw(df, share)[0] if share < 1 else df, names, guess).agg(*sketches).first()
     return _whiskers({n: found[f"s{i}"] for i, n in enumerate(names)}, whisker)
 
 
 def _settle(df: DataFrame, names: list[str], whisker: float) -> Bounds:
     guess: Bounds = {}
+    share = SKETCH_ROWS / max(SKETCH_ROWS, df.count()) if len(names) > 1 else 1.0
     for _ in range(ROUGH_PASSES if len(names) > 1 else 0):
-        guess, last = _rough_bounds(df, names, guess, whisker), guess
+        guess, last = _rough_bounds(df, names, guess, whisker, share), guess
         if guess == last:
             break
-    done, sizes = 0, None
+    done, sizes, fences = 0, None, Cuts()
     while done < len(names):
         rows = _kept(df, {n: guess[n] for n in names[:done]})
         seek = [(names[i], F.when(F.col("failing") >= i, F.col(f"x{i}"))) for i in range(done, len(names))]
         cell = max(1, QUANTILE_CELL * COLUMNS_PER_AGGREGATE // max(len(seek), COLUMNS_PER_AGGREGATE))
-        quartiles = exact_quantiles(_marked(rows, names, guess), seek, (0.25, 0.75), cell, len(seek), sizes)
+        quartiles = exact_quantiles(_marked(rows, names, guess), seek, (0.25, 0.75), cell, len(seek), sizes, fences)
         better = guess | _whiskers(quartiles, whisker)
         if len(names) - done == 1:
             return better

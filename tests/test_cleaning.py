@@ -79,3 +79,30 @@ def test_quantiles_do_not_depend_on_width(spark):
     wide = blocks.exact_quantiles(df, df.columns, (0.1, 0.5), cell=10, width=7)
     narrow = blocks.exact_quantiles(df, df.columns, (0.1, 0.5), width=2)
     assert all(wide[n] == pytest.approx(narrow[n]) for n in df.columns)
+
+
+def test_sequential_bounds_with_drawn_sketches(spark, monkeypatch):
+    """Sketches of a share of the rows give the same bounds, and a later round tries the fences of the first."""
+    rng = np.random.default_rng(5)
+    n = 20_000
+    pdf = pd.DataFrame({f"x{i}": np.round(rng.standard_t(4, n), 4) if i % 2 else rng.integers(0, 9, n) for i in range(8)})
+    pdf["gaps"] = np.where(np.arange(n) % 3 == 0, np.nan, rng.normal(size=n))
+    pdf["rare"] = np.where(np.arange(n) < 3, 1.0, np.nan)
+    df = cleaning.nan_to_null(spark.createDataFrame(pdf))
+    names = list(pdf.columns)
+    want, _ = brute_bounds(pdf)
+    wide = []
+    plain = blocks._Fence.sketch
+
+    def spy(fence, *more):
+        if fence.lo is None and fence.hi is None and fence.inside > 2_000:
+            wide.append((fence.column, more))
+        return plain(fence, *more)
+
+    monkeypatch.setattr(blocks._Fence, "sketch", spy)
+    monkeypatch.setattr(cleaning, "QUANTILE_CELL", 40)
+    for module in (blocks, cleaning):
+        monkeypatch.setattr(module, "SKETCH_ROWS", 2_000, raising=False)
+    same(cleaning.sequential_bounds(df, names), want)
+    # was: without a share, so of all rows
+    assert wide and all(more and more[0] <= 0.5 for _, more in wide)
