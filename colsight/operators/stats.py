@@ -99,8 +99,8 @@ def class_moments(df: DataFrame, target: str, features: Sequence[str]) -> DataFr
 
 
 def _digest(col: Column) -> Column:
-    """Sixteen bytes that stand for a text where it is a key only."""
-    return F.unhex(F.md5(col))
+    """Bytes that stand for a text where it is a key only: its own if they are fewer than sixteen, else a digest of sixteen."""
+    return F.when(F.octet_length(col) < 16, col.cast("binary")).otherwise(F.unhex(F.md5(col)))
 
 
 def category_moments(df: DataFrame, target: str, features: Sequence[str], digest: bool = False) -> DataFrame:

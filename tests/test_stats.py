@@ -251,3 +251,11 @@ def test_regression_tests_write_value_counts_only(spark, monkeypatch):
     df = spark.range(3000).select((F.col("id") % 9).alias("a"), (F.col("id") % 4).alias("b"), (F.col("id") % 3).cast("string").alias("s"), F.sqrt("id").alias("y"))
     found = {r["feature"]: r["test_type"] for r in stats.run_tests(df, "y", ["a", "b", "s"], "regression").collect()}
     assert found == {"a": "pearson_spearman", "b": "pearson_spearman", "s": "anova"} and sum(sizes) == 9 + 4
+
+
+def test_short_texts_are_their_own_keys(spark):
+    """Texts below sixteen bytes are no longer digested, longer ones (by bytes) are, and the two are never equal."""
+    rows = spark.createDataFrame([("R",), ("",), ("a" * 15,), ("a" * 16,), ("é" * 8,), (None,)], "x string")
+    keys = [r["k"] for r in rows.select(stats._digest(F.col("x")).alias("k")).collect()]
+    assert [bytes(k) for k in keys[:3]] == [b"R", b"", b"a" * 15] and keys[5] is None
+    assert [len(k) for k in keys[3:5]] == [16, 16] and bytes(keys[3]) != b"a" * 16
