@@ -26,6 +26,18 @@ def test_dummy_columns_keep_missing_as_zero(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 0, 1.0, 1.0), (2, 0, 0, 0.0, 2.0)]
 
 
+def test_wide_dummies_are_spread_and_keep_odd_names(spark):
+    """Rows of one split are spread before thousands of levels are spelled out; levels may hold any character."""
+    odd = ["it's", "a`b", "c\\d", "e.f", "\n", "$x", ""]
+    df = spark.createDataFrame([(t, i, i) for i, t in enumerate(odd + [f"L{i:04d}" for i in range(1100)])], "s string, _x0 int, y int")
+    out = model.dummy_encode(df.coalesce(1), "y")
+    levels = sorted(odd + [f"L{i:04d}" for i in range(1100)])
+    assert out.columns == ["y", *[f"s_{t}" for t in levels[1:]], "_x0"]
+    assert out.rdd.getNumPartitions() > 1  # was 1
+    few = model.dummy_encode(df.filter("y < 7"), "y", {"s": sorted(odd)})
+    assert sorted(tuple(r) for r in few.collect()) == sorted((i, *[int(t == u) for u in sorted(odd)[1:]], i) for i, t in enumerate(odd))
+
+
 def test_split_is_stable_and_near_a_fifth(spark):
     df = spark.range(5000)
     a, b = model.hash_split(df).filter("is_test"), model.hash_split(df.repartition(7)).filter("is_test")
