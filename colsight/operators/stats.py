@@ -332,7 +332,7 @@ def spearman(
     syy = F.when(F.col("values") > 1, F.greatest(F.col("syy"), F.lit(0.0))).otherwise(0.0)
     rho = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx")) * F.sqrt(syy))
     rho = F.when(rho.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), rho)))
-    return by_y.join(by_x, "ordinal").select("ordinal", _feature(features), "n", rho.alias("rho"))
+    return by_y.join(F.broadcast(by_x), "ordinal").select("ordinal", _feature(features), "n", rho.alias("rho"))  # a row per feature
 
 
 def _rank_sums(grouped: DataFrame, chosen: Sequence[int] | None, bucket: Column | None) -> DataFrame:
