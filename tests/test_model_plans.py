@@ -38,6 +38,29 @@ def test_wide_dummies_are_spread_and_keep_odd_names(spark):
     assert sorted(tuple(r) for r in few.collect()) == sorted((i, *[int(t == u) for u in sorted(odd)[1:]], i) for i, t in enumerate(odd))
 
 
+def test_wide_dummies_look_a_level_up_once_a_row(spark):
+    """A cell of a wide frame compares numbers; unknown and missing texts are all zeros, a level that is named twice is two columns."""
+    levels = [f"L{i:04d}" for i in range(1100)]
+    df = spark.createDataFrame([("L0000", 1), ("L0007", 2), ("L1099", 3), ("other", 4), (None, 5), ("L0007", None)], "s string, y int")
+    out = model.dummy_encode(df, "y", {"s": [*levels, "L0007"]})
+    assert out.columns == ["y", *[f"s_{t}" for t in levels[1:]], "s_L0007"]
+    assert "array_position" in out._jdf.queryExecution().analyzed().toString()  # was a comparison of texts in each cell
+    want = [(y, *[int(t == u) for u in [*levels[1:], "L0007"]]) for t, y in [("L0000", 1), ("L0007", 2), ("L1099", 3), ("other", 4), (None, 5)]]
+    assert sorted(tuple(r) for r in out.collect()) == want
+
+
+def test_sums_of_wide_dummies_are_joined_without_the_frame(spark, tmp_path):
+    """For a join the optimizer holds all columns below it against each other: with thousands that took longer than any job."""
+    from checks.queries import QUERIES
+
+    rows = [(f"C{i % 1200:04d}", float(i)) for i in range(1500)] + [(None, 1.0), ("C0003", None), ("none", None)]
+    spark.createDataFrame(rows, "c_name string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    out = QUERIES["dummy_encode_many"][0](spark, str(tmp_path))
+    assert "C0003" not in out._jdf.queryExecution().analyzed().toString().split("LocalRelation")[0]  # was every column of the frame
+    ones = {r["name"]: r["ones"] for r in out.collect()}
+    assert ones == {f"c_name_C{i:04d}": 2 if i < 300 else 1 for i in range(1, 1200)} | {"c_name_none": 0}
+
+
 def test_split_is_stable_and_near_a_fifth(spark):
     df = spark.range(5000)
     a, b = model.hash_split(df).filter("is_test"), model.hash_split(df.repartition(7)).filter("is_test")
